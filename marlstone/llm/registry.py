@@ -1,7 +1,7 @@
 """The queries of the training-data operators and their SQL."""
 
-from marlstone.llm import mixing, quality_rules, url_filter
+from marlstone.llm import decontamination, mixing, quality_rules, token_ids, url_filter
 
-MODULES = [url_filter, quality_rules, mixing]
+MODULES = [url_filter, token_ids, quality_rules, mixing, decontamination]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
