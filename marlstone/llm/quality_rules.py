@@ -97,7 +97,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         )
         return let(lines, with_lines)
 
-    return docs.withColumn("_s", let(words(t), stats))
+    # a generated column is computed once, whatever is asked of it later
+    return docs.drop("_s").select("*", F.explode(F.array(let(words(t), stats))).alias("_s"))
 
 
 def base_failed(s: str = "_s") -> Column:
