@@ -1,7 +1,7 @@
 """The queries of the training-data operators and their SQL."""
 
-from marlstone.llm import compression_quality, decontamination, licence_scan, mixing, near_duplicates, quality_rules, token_ids, url_filter
+from marlstone.llm import compression_quality, decontamination, katz, licence_scan, mixing, near_duplicates, quality_rules, token_ids, url_filter
 
-MODULES = [url_filter, token_ids, quality_rules, mixing, decontamination, near_duplicates, licence_scan, compression_quality]
+MODULES = [url_filter, token_ids, quality_rules, mixing, decontamination, katz, near_duplicates, licence_scan, compression_quality]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
