@@ -1,4 +1,8 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from marlstone.registered import search, state
+from marlstone.registered.search import search_entry  # noqa: F401
+
+MODULES = [search, state]
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
