@@ -8,8 +8,9 @@
 3. Rounds: every posting list elects a leader by a hash; each class proposes to the leader with which its
    signature has most collisions, and the proposal is confirmed on the full sets. So a group of thousands costs
    one comparison for each member and round, not one for each pair.
-4. Last, the pairs of classes that meet in a prefix list and are not yet in one component are compared, all of
-   them, so that no link between different texts is lost that has the threshold's collisions.
+4. Last, all pairs of classes that meet in a prefix list and are not yet in one component are looked at, so that no
+   link between different texts is lost. A second signature of FINE coordinates, four bits each, decides in the join
+   itself which of them can reach the threshold; those are compared in full.
 """
 
 from __future__ import annotations
@@ -34,9 +35,14 @@ ROUNDS = 2
 MAX_BROADCAST_IDS = 2_000_000
 ROWS = 128
 
+#: Coordinates of the second signature: FINE values of four bits, sixteen in a 64-bit word.
+FINE, FINE_WORDS = 512, 32
+
 _SEEDS = np.random.default_rng(20240601)
 _MULTIPLY = _SEEDS.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _SEEDS.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_FINE_MULTIPLY = _SEEDS.integers(1, 1 << 63, FINE, dtype=np.uint64) * U(2) + U(1)
+_FINE_ADD = _SEEDS.integers(0, 1 << 63, FINE, dtype=np.uint64)
 
 
 def least_matches(threshold: float, coordinates: int = COORDINATES) -> int:
@@ -44,6 +50,19 @@ def least_matches(threshold: float, coordinates: int = COORDINATES) -> int:
     return max(1, math.floor(coordinates * threshold - 4.3 * math.sqrt(coordinates * threshold * (1 - threshold))))
 
 
+def most_mismatches(threshold: float) -> int:
+    """Four-bit coordinates in which two sets at the threshold differ, but for one case in some 100,000."""
+    p = 1 / 16 + 15 / 16 * threshold
+    return math.ceil(FINE * (1 - p) + 4.3 * math.sqrt(FINE * p * (1 - p)))
+
+
+def fine_signature(s: np.ndarray) -> bytes:
+    """The second signature as FINE_WORDS little-endian 64-bit words."""
+    least = np.array([((s * m + a) >> U(32)).min() for m, a in zip(_FINE_MULTIPLY, _FINE_ADD, strict=True)], dtype=U)
+    nibbles = (mix(least) & U(15)).reshape(FINE_WORDS, 16)
+    return (nibbles << (np.arange(16, dtype=U) * U(4))).sum(axis=1, dtype=U).astype("<u8").tobytes()
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
     w = words_of(texts, NON_SPACE)
@@ -95,33 +114,33 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid and set (sorted hashes) of the wanted classes (cid, rep), one row each."""
+    """cid, set (sorted hashes) and the words w0, w1, … of the second signature of the wanted classes (cid, rep), one row each."""
+    names = [f"w{i}" for i in range(FINE_WORDS)]
 
     def run(ids: np.ndarray | None):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 if ids is not None:
-                    given = whole.column("doc_id")
-                    own = np.array(given.to_pylist(), dtype=object)
-                    keep = np.array([x is None for x in own], dtype=bool)
-                    filled = np.array([0 if x is None else x for x in own])
-                    p = np.minimum(np.searchsorted(ids, filled), max(0, len(ids) - 1))
-                    keep |= (ids[p] == filled) if len(ids) else False
+                    own = whole.column("doc_id").to_pylist()
+                    filled = np.array([0 if x is None else x for x in own], dtype=ids.dtype if len(ids) else None)
+                    keep = np.array([x is None for x in own], dtype=bool) | np.isin(filled, ids)
                     whole = whole.filter(pa.array(keep))
                 for lo in range(0, whole.num_rows, ROWS):
                     sets = [s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)]
+                    fine = np.frombuffer(b"".join(map(fine_signature, sets)), dtype="<i8").reshape(len(sets), FINE_WORDS)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "set"])
+                        [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                         *(pa.array(np.ascontiguousarray(fine[:, i])) for i in range(FINE_WORDS))], names=["cid", "set", *names])
 
         return pick
 
-    plain = docs.select("doc_id", "text")
+    plain, schema = docs.select("doc_id", "text"), "cid long, set binary, " + ", ".join(f"{n} long" for n in names)
     sorts = wanted.schema["rep"].dataType.typeName() in ("long", "integer", "short", "string")
     if sorts and wanted.count() <= MAX_BROADCAST_IDS:
         ids = np.unique(np.array([r.rep for r in wanted.select("rep").where("rep is not null").collect()]))
-        found = plain.mapInArrow(_shared(docs, ids, run), "cid long, set binary")
+        found = plain.mapInArrow(_shared(docs, ids, run), schema)
     else:
-        found = plain.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run(None), "cid long, set binary")
+        found = plain.join(wanted.select("rep").distinct(), plain.doc_id.eqNullSafe(F.col("rep")), "left_semi").mapInArrow(run(None), schema)
     return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
@@ -130,7 +149,7 @@ def _shared(docs: DataFrame, ids: np.ndarray, run):
     return lambda batches: run(value.value)(batches)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +163,6 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
                 ok.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = materialize(_sets(docs, classes.join(nodes, "cid", "left_semi").select("cid", "rep"), k), "sets")
     left, right = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
@@ -175,6 +192,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     classes = materialize(full.groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     lists = _prefix_lists(classes, least)
+    wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep")
+    sets = materialize(_sets(docs, wanted, shingle), "sets")
     links = None
     roots = None
     for r in range(rounds + 1):
@@ -183,21 +202,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
         if r < rounds:
             pairs = _proposals(member, classes, least, percent, r)
         else:
-            pairs = _remaining(member, classes, least, percent)
+            pairs = _remaining(member, classes, sets, percent)
         pairs = materialize(pairs, "pairs")
-        found = materialize(_confirm(docs, classes, pairs, shingle, percent), "links")
+        found = materialize(_confirm(sets, pairs, percent), "links")
         links = found if links is None else links.union(found)
         roots = materialize(connected_components(links), "roots")
     return _label(base, classes, roots)
 
 
 def _prefix_lists(classes: DataFrame, least: int) -> DataFrame:
-    """cid, j, v: the postings that are needed to find partners."""
+    """cid, j, v, i and p: the postings that are needed to find partners, with their place in the class's prefix p (from 1)."""
     posted = classes.select("cid", F.posexplode("sig").alias("j", "v"))
     counts = posted.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(counts, ["j", "v"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "j", "v"))).alias("p"))
-    prefix = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - least + 1))
-    rows = shared.where(F.size("p") >= least).select("cid", F.inline(prefix)).select("cid", "j", "v")
+    shared = posted.join(counts, ["j", "v"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "j", "v"))).alias("s"))
+    prefix = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.size("s") - least + 1))
+    cut = shared.where(F.size("s") >= least).select("cid", prefix.alias("s")).withColumn("p", F.transform("s", lambda x: x["j"].cast("long") * (1 << 32) + x["v"]))
+    rows = cut.select("cid", "p", F.posexplode("s").alias("i", "x")).select("cid", (F.col("i") + 1).alias("i"), "p", "x.j", "x.v")
     return materialize(rows, "postings")
 
 
@@ -212,13 +232,25 @@ def _proposals(member: DataFrame, classes: DataFrame, least: int, percent: int,
     return best.select(F.col("_m.a").alias("a"), "b")
 
 
-def _remaining(member: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """All pairs of classes of different components that meet in a list."""
+def _remaining(member: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that meet in a list and that their signatures and sizes allow; each at
+    the first list that they share."""
     mixed = member.groupBy("j", "v").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).where("lo < hi").select("j", "v")
-    m = member.join(mixed, ["j", "v"], "left_semi").select("j", "v", "cid", "_c")
-    n = m.select("j", "v", F.col("cid").alias("b"), F.col("_c").alias("cb"))
-    pairs = m.withColumnRenamed("cid", "a").join(n, ["j", "v"]).where("_c < cb").select("a", "b").distinct()
-    return _collisions(pairs, classes, least, percent).select("a", "b")
+    words = [f"w{i}" for i in range(FINE_WORDS)]
+    about = classes.select("cid", F.col("n_shingles").alias("size")).join(sets.select("cid", *words), "cid")
+    m = member.join(mixed, ["j", "v"], "left_semi").select("j", "v", "cid", "_c", "i", "p").join(about, "cid")
+    a, b = m.alias("a"), m.alias("b")
+    differ = F.lit(0)
+    for w in words:
+        x = F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    allowed = (
+        (F.col("a.j") == F.col("b.j")) & (F.col("a.v") == F.col("b.v")) & (F.col("a._c") < F.col("b._c"))
+        & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size")) & (differ <= most_mismatches(percent / 100))
+        & ~F.arrays_overlap(F.slice("a.p", F.lit(1), F.col("a.i") - 1), F.col("b.p")))
+    return a.join(b, allowed).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
 
 
 def _label(base: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
