@@ -49,7 +49,6 @@ def pipe_table(block: str) -> str:
     return "\n".join([line(padded[0]), line(["---"] * width), *map(line, padded[1:])])
 
 
-@F.pandas_udf("string")
 def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _TABLE.sub(lambda m: pipe_table(m[0]), t) if t else t)
 
@@ -58,7 +57,7 @@ def normalize_html_tables(text: Column | str) -> Column:
     """Every HTML table in a text as a pipe table; texts without one do not reach Python."""
     t = T.col(text)
     has = F.contains(F.lower(t), F.lit("<table"))
-    return F.when(has, _normalized(F.when(has, t))).otherwise(t)
+    return F.when(has, F.pandas_udf(_normalized, "string")(F.when(has, t))).otherwise(t)
 
 
 def table_to_markdown_parts(rows: DataFrame, part_rows: int = 5000) -> DataFrame:

@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import search as S
 from marlstone.plans import views as V
-from marlstone.plans.views import with_views
+from marlstone.registered.base import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 QTOK = r"""list_filter(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z_\-\.]+|[\x{4e00}-\x{9fff}]{2,}'), lambda t: len(t) >= 2)"""
