@@ -136,9 +136,9 @@ _FLAT = "translate(text, chr(13) || chr(10), '  ')"
 _STRIP = "trim(({0}), ' ' || chr(9) || chr(10) || chr(13))"
 
 
-@query("snippet_window", f"""select doc_id, case when at > 0 then (case when at - 41 > 0 then '...' else '' end) || {_STRIP.format("substring(f, greatest(0, at - 41) + 1, least(len(f), at - 1 + len(a) + 40) - greatest(0, at - 41))")}
-   || (case when least(len(f), at - 1 + len(a) + 40) < len(f) then '...' else '' end) else {_STRIP.format('substring(f, 1, 160)')} end as snippet
-from (select doc_id, f, a, instr(f, a) as at from (select doc_id, {_FLAT} as f, case when doc_id % 2 = 0 then split_part({_FLAT}, ' ', 30) else 'zzzz' end as a from documents) where a <> '')""")
+@query("snippet_window", f"""select doc_id, case when pos > 0 then (case when pos - 41 > 0 then '...' else '' end) || {_STRIP.format("substring(f, greatest(0, pos - 41) + 1, least(len(f), pos - 1 + len(a) + 40) - greatest(0, pos - 41))")}
+   || (case when least(len(f), pos - 1 + len(a) + 40) < len(f) then '...' else '' end) else {_STRIP.format('substring(f, 1, 160)')} end as snippet
+from (select doc_id, f, a, instr(f, a) as pos from (select doc_id, {_FLAT} as f, case when doc_id % 2 = 0 then split_part({_FLAT}, ' ', 30) else 'zzzz' end as a from documents) where a <> '')""")
 def snippet(spark, d):
     """D10"""
     flat = F.translate("text", "\r\n", "  ")
