@@ -120,14 +120,19 @@ def search_substring(spark, d):
     return S.substring_search(V.documents(spark, d), V.queries(spark, d), 20).select("query_id", "path", "score", "rank")
 
 
-@query("search_knowledge", f"""with {_MIXED}, {_PH}, {_TOKENS}, {_PATHS}, {_hybrid(15)}, {_SUB},
-short as (select query_id from (select distinct query_id from v_queries) where query_id not in (select query_id from hyb group by query_id having count(*) >= 5)),
+def knowledge_sql(limit: int) -> str:
+    """Common tables up to `found`: the combined search for v_queries over v_documents."""
+    return f"""{_PH}, {_TOKENS}, {_PATHS}, {_hybrid(3 * limit)}, {_SUB},
+short as (select query_id from (select distinct query_id from v_queries) where query_id not in (select query_id from hyb group by query_id having count(*) >= {limit})),
 allhits as (
   select query_id, path, rank as r, 0 as b from hyb
-  union all select query_id, path, rank, 1 from ({_top('sscore', 20, 'where query_id in (select query_id from short)')})),
-firsts as (select query_id, path, min(struct_pack(b := b, r := r)) as f from allhits group by query_id, path)
-select query_id, path, rank, case f.b when 0 then 'fts' else 'substring' end as matched_by
-from (select *, row_number() over (partition by query_id order by f, path) as rank from firsts) where rank <= 5""", "v_documents")
+  union all select query_id, path, rank, 1 from ({_top('sscore', 4 * limit, 'where query_id in (select query_id from short)')})),
+firsts as (select query_id, path, min(struct_pack(b := b, r := r)) as f from allhits group by query_id, path),
+found as (select query_id, path, rank, case f.b when 0 then 'fts' else 'substring' end as matched_by
+  from (select *, row_number() over (partition by query_id order by f, path) as rank from firsts) where rank <= {limit})"""
+
+
+@query("search_knowledge", f"with {_MIXED}, {knowledge_sql(5)} select query_id, path, rank, matched_by from found", "v_documents")
 def search_knowledge(spark, d):
     """The combined search with its substring fallback."""
     return S.knowledge_search(V.documents(spark, d), mixed_queries(spark, d), 5)

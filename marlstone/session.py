@@ -18,3 +18,15 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    import tempfile
+    import uuid
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return f"{configured.rstrip('/')}/flow-{uuid.uuid4().hex}"
