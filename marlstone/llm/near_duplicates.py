@@ -5,7 +5,7 @@
 2. Each class is posted under every pair of coordinate and value. Pairs that only one class has are skipped: a
    class with fewer shared coordinates than the match threshold can have no partner, and of the others only the
    prefix of the rarest is needed, since two classes that agree in `least` coordinates have one in either's prefix.
-3. Rounds: every posting list elects a leader by a hash; each class proposes to the leader with which its
+3. Rounds: every posting list elects a leader by a hash of its own; each class proposes to the leader with which its
    signature has most collisions, and the proposal is confirmed on the full sets. So a group of thousands costs
    one comparison for each member and round, not one for each pair.
 4. Last, all pairs of classes that meet in a prefix list and are not yet in one component are looked at, so that no
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,7 +36,7 @@ MAX_BROADCAST_IDS = 2_000_000
 ROWS = 128
 
 #: Coordinates of the second signature: FINE values of four bits, sixteen in a 64-bit word.
-FINE, FINE_WORDS = 512, 32
+FINE, FINE_WORDS = 768, 48
 
 _SEEDS = np.random.default_rng(20240601)
 _MULTIPLY = _SEEDS.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -56,11 +56,11 @@ def most_mismatches(threshold: float) -> int:
     return math.ceil(FINE * (1 - p) + 4.3 * math.sqrt(FINE * p * (1 - p)))
 
 
-def fine_signature(s: np.ndarray) -> bytes:
-    """The second signature as FINE_WORDS little-endian 64-bit words."""
+def fine_signature(s: np.ndarray) -> list[int]:
+    """The second signature as FINE_WORDS 64-bit words."""
     least = np.array([((s * m + a) >> U(32)).min() for m, a in zip(_FINE_MULTIPLY, _FINE_ADD, strict=True)], dtype=U)
     nibbles = (mix(least) & U(15)).reshape(FINE_WORDS, 16)
-    return (nibbles << (np.arange(16, dtype=U) * U(4))).sum(axis=1, dtype=U).astype("<u8").tobytes()
+    return (nibbles << (np.arange(16, dtype=U) * U(4))).sum(axis=1, dtype=U).view(np.int64).tolist()
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -114,8 +114,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid, set (sorted hashes) and the words w0, w1, … of the second signature of the wanted classes (cid, rep), one row each."""
-    names = [f"w{i}" for i in range(FINE_WORDS)]
+    """cid, set (sorted hashes) and fine (words of the second signature) of the wanted classes (cid, rep), one row each."""
 
     def run(ids: np.ndarray | None):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +126,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     whole = whole.filter(pa.array(keep))
                 for lo in range(0, whole.num_rows, ROWS):
                     sets = [s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)]
-                    fine = np.frombuffer(b"".join(map(fine_signature, sets)), dtype="<i8").reshape(len(sets), FINE_WORDS)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                         *(pa.array(np.ascontiguousarray(fine[:, i])) for i in range(FINE_WORDS))], names=["cid", "set", *names])
+                         pa.array([fine_signature(s) for s in sets], pa.list_(pa.int64()))], names=["cid", "set", "fine"])
 
         return pick
 
-    plain, schema = docs.select("doc_id", "text"), "cid long, set binary, " + ", ".join(f"{n} long" for n in names)
+    plain, schema = docs.select("doc_id", "text"), "cid long, set binary, fine array<long>"
     sorts = wanted.schema["rep"].dataType.typeName() in ("long", "integer", "short", "string")
     if sorts and wanted.count() <= MAX_BROADCAST_IDS:
         ids = np.unique(np.array([r.rep for r in wanted.select("rep").where("rep is not null").collect()]))
@@ -224,7 +222,7 @@ def _prefix_lists(classes: DataFrame, least: int) -> DataFrame:
 def _proposals(member: DataFrame, classes: DataFrame, least: int, percent: int, r: int) -> DataFrame:
     """For each class the leader of one of its lists, of another component, with most collisions."""
     leader = member.groupBy("j", "v").agg(
-        F.min(F.struct(F.xxhash64(F.lit(r), "cid").alias("h"), F.col("cid").alias("l"), F.col("_c").alias("c"))).alias("_l"), F.count("*").alias("n")
+        F.min(F.struct(F.xxhash64(F.lit(r), "j", "cid").alias("h"), F.col("cid").alias("l"), F.col("_c").alias("c"))).alias("_l"), F.count("*").alias("n")
     ).where("n > 1").select("j", "v", F.col("_l.l").alias("a"), F.col("_l.c").alias("ca"))
     pairs = member.join(leader, ["j", "v"]).where("_c <> ca").select("a", F.col("cid").alias("b")).distinct()
     counted = _collisions(pairs, classes, least, percent)
@@ -236,20 +234,21 @@ def _remaining(member: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     """All pairs of classes of different components that meet in a list and that their signatures and sizes allow; each at
     the first list that they share."""
     mixed = member.groupBy("j", "v").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).where("lo < hi").select("j", "v")
-    words = [f"w{i}" for i in range(FINE_WORDS)]
-    about = classes.select("cid", F.col("n_shingles").alias("size")).join(sets.select("cid", *words), "cid")
+    about = classes.select("cid", F.col("n_shingles").alias("size")).join(sets.select("cid", "fine"), "cid")
     m = member.join(mixed, ["j", "v"], "left_semi").select("j", "v", "cid", "_c", "i", "p").join(about, "cid")
     a, b = m.alias("a"), m.alias("b")
-    differ = F.lit(0)
-    for w in words:
-        x = F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    # cheap conditions first; each pair passes at one list only
     allowed = (
         (F.col("a.j") == F.col("b.j")) & (F.col("a.v") == F.col("b.v")) & (F.col("a._c") < F.col("b._c"))
-        & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size")) & (differ <= most_mismatches(percent / 100))
-        & ~F.arrays_overlap(F.slice("a.p", F.lit(1), F.col("a.i") - 1), F.col("b.p")))
+        & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
+        & ~F.arrays_overlap(F.slice("a.p", F.lit(1), F.col("a.i") - 1), F.col("b.p"))
+        & (F.aggregate(F.zip_with("a.fine", "b.fine", differing), F.lit(0), lambda n, x: n + x) <= most_mismatches(percent / 100)))
     return a.join(b, allowed).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
 
 

@@ -17,7 +17,7 @@ from marlstone.llm.common import SPACE_CLASS, let, table
 
 #: Labelled rows that the list is learned from at most, chosen by a hash of their id.
 MAX_LABELLED = 20_000
-#: A rule must be this precise on the pruning rows, and cover so many of them.
+#: A rule must be this precise on the pruning rows and on all rows, and cover so many bad ones.
 MIN_PRECISION, MIN_COVERED = 0.9, 5
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 8, 3, 24
 #: Repeated windows are looked up in a list of up to this many hashes, and by sorting beyond; both give the same count.
@@ -201,8 +201,11 @@ def learn(rows: list[dict]) -> DecisionList:
     rules: list[list[Condition]] = []
     while len(rules) < MAX_RULES and any(r["bad"] for r in grow):
         rule = _prune(_grow(grow), prune)
-        hit = _covered(prune, rule)
-        if not rule or sum(r["bad"] for r in hit) < MIN_COVERED or _precision(hit) < MIN_PRECISION:
+        unseen = _covered(prune, rule)
+        both = unseen + _covered(grow, rule)
+        if not rule or sum(r["bad"] for r in both) < MIN_COVERED or _precision(both) < MIN_PRECISION or not unseen:
+            break
+        if sum(r["bad"] for r in unseen) < MIN_PRECISION * len(unseen):
             break
         rules.append(rule)
         grow = [r for r in grow if not all(c.holds(r) for c in rule)]
