@@ -27,7 +27,7 @@ END_ID = 1
 #: Ids in one block of a file, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: Word pieces that a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Documents in one shard, about.
 SHARD_ROWS = 20_000
 
@@ -57,12 +57,14 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        #: ids fit in two bytes or take four
+        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.model = self.whole.model
         letters = _byte_letters()
         self.spelled = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece.translate(self.spelled))], dtype="<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(piece.translate(self.spelled))], dtype=self.kind).tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
         if len(piece) <= 64:
@@ -70,10 +72,10 @@ class Encoder(dict):
         return ids
 
     def slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; none for null."""
+        """The ids of a text as little-endian integers of `kind`; none for null."""
         if not text:
             return b""
         if _PLAIN.fullmatch(text):
@@ -110,30 +112,34 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values that encode_ranks wrote."""
-    lens = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
+def decode_ranks(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """The values that encode_ranks wrote for documents of these lengths, one after another."""
+    lens = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
+    padded = -(-lengths // 4) * 4
+    inside = np.arange(len(lens)) - np.repeat(np.cumsum(padded) - padded, padded) < np.repeat(lengths, padded)
+    lens = lens[inside]
+    out = np.zeros((len(lens), 4), dtype=np.uint8)
     out[np.arange(4) < lens[:, None]] = np.frombuffer(data, dtype=np.uint8)
     return out.view("<u4").reshape(-1)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs with n_tokens and ids (little-endian 32-bit), the end id last."""
-    names = keep or ["doc_id"]
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
+    """doc_id, width (bytes of an id, 2 or 4) and ids of every row, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        width = int(enc.kind[-1])
+        tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
         for b in batches:
             ids = [enc.ids(t) + tail for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=[*names, "n_tokens", "ids"])
+                [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
-    fields = ", ".join(["n_tokens long", "ids binary"])
-    schema = StructType([docs.schema[c] for c in names] + list(StructType.fromDDL(fields)))
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("width int, ids binary")]))
+
+
+def _ids(width: int, raw) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{width}")
 
 
 def count_tokens(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
@@ -143,7 +149,7 @@ def count_tokens(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = [len(enc.ids(t)) // 4 + one for t in b.column("text").to_pylist()]
+            n = [len(enc.ids(t)) // int(enc.kind[-1]) + one for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_tokens long")]))
@@ -155,14 +161,14 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=len(total))
+            for width, ids in zip(b.column("width").to_pylist(), b.column("ids"), strict=True):
+                n = np.bincount(_ids(width, ids.as_buffer()), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
+    rows = tokens.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     return np.array([r.id for r in rows.select("id").collect()], dtype="<u4")
 
 
@@ -170,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
     """Encode docs(doc_id, text) and write blocks and the table of ranks below `out`; returns `out`.
 
     Null texts are empty and give the end id alone. Null ids come first; rows with equal ids keep an order by
-    their ids' bytes. Extra columns are ignored, an empty table gives files without blocks.
+    their code. Extra columns are ignored, an empty table gives files without blocks.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
@@ -180,13 +186,12 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
     to_rank[by_rank] = np.arange(len(by_rank), dtype="<u4")
     shared = spark.sparkContext.broadcast(to_rank)  # one entry for each id of the vocabulary
 
-    def block(rows: list, start: int, shard: int, no: int) -> dict:
-        ids = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u4")
-        control, data = encode_ranks(shared.value[ids])
-        return {"shard": shard, "block": no, "start": start, "doc_ids": [r[0] for r in rows], "lengths": [len(r[1]) // 4 for r in rows],
-                "control": control, "data": data}
-
-    schema = f"shard int, block long, start long, doc_ids array<{dict(docs.dtypes)['doc_id']}>, lengths array<long>, control binary, data binary"
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [shared.value[_ids(w, x.as_buffer())] for w, x in zip(b.column("width").to_pylist(), b.column("ids"), strict=True)]
+            pairs = [encode_ranks(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()),
+                                              pa.array([x for _, x in pairs], pa.binary())], names=["doc_id", "n", "control", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,21 +199,30 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
         shard, rows, held, start, no = TaskContext.get().partitionId(), [], 0, 0, 0
         arrow = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(id_type)),
                            ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
+
+        def block() -> pa.RecordBatch:
+            # each document's control bytes begin anew, so its code is copied as it is
+            return pa.RecordBatch.from_pylist([{
+                "shard": shard, "block": no, "start": start, "doc_ids": [r[0] for r in rows], "lengths": [r[1] for r in rows],
+                "control": b"".join(r[2] for r in rows), "data": b"".join(r[3] for r in rows)}], schema=arrow)
+
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if rows and held + len(ids) // 4 > BLOCK_IDS:
-                    yield pa.RecordBatch.from_pylist([block(rows, start, shard, no)], schema=arrow)
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
+                if rows and held + r[1] > BLOCK_IDS:
+                    yield block()
                     rows, start, held, no = [], start + held, 0, no + 1
-                rows.append((doc_id, ids))
-                held += len(ids) // 4
+                rows.append(r)
+                held += r[1]
         if rows:
-            yield pa.RecordBatch.from_pylist([block(rows, start, shard, no)], schema=arrow)
+            yield block()
 
+    schema = f"shard int, block long, start long, doc_ids array<{dict(docs.dtypes)['doc_id']}>, lengths array<long>, control binary, data binary"
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     shards = bits_for(staged.count(), SHARD_ROWS)
-    ordered = staged.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    coded = staged.mapInArrow(code, StructType([docs.schema["doc_id"], *StructType.fromDDL("n long, control binary, data binary")]))
+    ordered = coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "data")
     ordered.mapInArrow(pack, schema).write.parquet(f"{out}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id long").write.parquet(f"{out}/ranks")
     return out
@@ -229,7 +243,7 @@ def read_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame
         for b in batches:
             for i in range(b.num_rows):
                 lens = np.array(b.column("lengths")[i].as_py(), dtype=np.int64)
-                ids = to_id[decode_ranks(b.column("control")[i].as_py(), b.column("data")[i].as_py(), int(lens.sum()))]
+                ids = to_id[decode_ranks(b.column("control")[i].as_py(), b.column("data")[i].as_py(), lens)]
                 ends = np.cumsum(lens)
                 own = [ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)]
                 start = ends - lens + b.column("start")[i].as_py() + b.column("_before")[i].as_py()

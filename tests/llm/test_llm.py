@@ -121,7 +121,10 @@ def test_no_ids(spark, empty):
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_code(values):
     v = np.array(values, dtype="<u4")
-    assert token_ids.decode_ranks(*token_ids.encode_ranks(v), len(v)).tolist() == values
+    assert token_ids.decode_ranks(*token_ids.encode_ranks(v), np.array([len(v)])).tolist() == values
+    a, b = token_ids.encode_ranks(v), token_ids.encode_ranks(v[::-1])
+    both = token_ids.decode_ranks(a[0] + b[0], a[1] + b[1], np.array([len(v), len(v)]))
+    assert both.tolist() == values + values[::-1]
 
 
 def test_counts(spark, sf_dir):
