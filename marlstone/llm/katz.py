@@ -26,7 +26,7 @@ from marlstone.llm.common import materialize, table
 from marlstone.llm.wordhash import NON_SPACE, U, mix, words_of
 
 #: Tokens in a chunk and in a partition of the tables, about.
-CHUNK_TOKENS, PARTITION_TOKENS = 2_000_000, 1_500_000
+CHUNK_TOKENS, PARTITION_TOKENS = 1_200_000, 1_500_000
 #: Counts up to this are discounted.
 K = 5
 #: A context with at least this share of the tokens is split over SPLITS partitions; there are 1 / HOT_SHARE of them at most.
