@@ -252,7 +252,7 @@ def read_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame
 
     schema = StructType.fromDDL("doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     schema["doc_id"].dataType = id_field
-    return blocks.join(F.broadcast(before), "shard").mapInArrow(unpack, schema)
+    return blocks.join(before, "shard").mapInArrow(unpack, schema)
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +284,7 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
         "_span", (F.sum("d").over(below) - F.col("d")).alias("_d"), (F.sum("t").over(below) - F.col("t")).alias("_t"),
         F.sum("d").over(Window.partitionBy()).alias("_docs"), F.sum("t").over(Window.partitionBy()).alias("_tokens"))
     inside = Window.partitionBy("_span").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = h.join(F.broadcast(offsets), "_span").select(
+    summed = h.join(offsets, "_span").select(
         "length", "n_docs", "n_tokens",
         (F.col("_d") + F.sum("n_docs").over(inside) - F.col("n_docs")).alias("docs_below"),
         (F.col("_t") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("tokens_below"), "_docs", "_tokens")

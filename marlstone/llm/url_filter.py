@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,23 +91,19 @@ class RuleSweep:
 
 
 def _sweep_partition(rules: list[Rule], default: str):
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = RuleSweep(rules)
-        for pdf in batches:
-            keys = pdf["_key"]
-            chosen = pd.Series([None] * len(pdf), dtype=object)
-            verdict = pd.Series([default] * len(pdf), dtype=object)
-            run = (keys != keys.shift()).cumsum().to_numpy()
-            for idx in pd.Series(range(len(pdf))).groupby(run, sort=False).indices.values():
-                active = state.active(keys.iloc[idx[0]])
-                if not active:
-                    continue
-                for i, path in zip(idx, pdf["path"].iloc[idx], strict=True):
-                    for r in active:
-                        if path.startswith(r.path):
-                            chosen.iat[i], verdict.iat[i] = r.text, r.verdict
-                            break
-            yield pdf.drop(columns="_key").assign(rule=chosen, verdict=verdict)
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last, active = RuleSweep(rules), None, []
+        for b in batches:
+            chosen, verdict = [], []
+            for key, path in zip(b.column("_key").to_pylist(), b.column("path").to_pylist(), strict=True):
+                if key != last:
+                    last, active = key, state.active(key)
+                best = next((r for r in active if path.startswith(r.path)), None)
+                chosen.append(best and best.text)
+                verdict.append(best.verdict if best else default)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c) for c in ("page_id", "host", "path")] + [pa.array(chosen, pa.string()), pa.array(verdict, pa.string())],
+                names=["page_id", "host", "path", "rule", "verdict"])
 
     return sweep
 
@@ -155,7 +151,7 @@ def filter_urls(
         rules = [Rule(*r) for r in head]
     # page_id splits a hot host over several ranges
     ranged = parts.withColumn("_key", host_key(F.col("host"))).repartitionByRange("_key", "page_id")
-    return ranged.sortWithinPartitions("_key").mapInPandas(
+    return ranged.sortWithinPartitions("_key").mapInArrow(
         _sweep_partition(list(rules), default),
         f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string",
     )

@@ -80,10 +80,10 @@ URLS = ["http://A.example.NET/en/x?q", "https://example.net", "http://net/", "ht
 
 @pytest.mark.parametrize("how", ["sweep", "table", "join"])
 def test_url_rules(spark, how):
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[0], "x")] * 2, "page_id long, url string, rule string")
     rules = url_filter.RULES if how == "sweep" else spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, max_broadcast=1 if how == "join" else 100).collect()}
-    assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[0] == got[None] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[1] == ("example.net", "", None, "allow")
     assert got[2][2:] == ("net/", "block") and got[3][2:] == (None, "allow")
     assert got[4][2:] == ("example.com/de/", "block") and got[5][2:] == ("org/fr/", "allow") and got[6][2] is None
