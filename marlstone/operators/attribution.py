@@ -25,9 +25,9 @@ def locate_hits(docs: DataFrame, wanted: DataFrame, limit: int = HITS_PER_DOCUME
 
     Lines score by the number of needles they hold; fences are skipped, and titles outside fences.
     """
-    lines = fence_state(explode_lines(docs.join(F.broadcast(wanted.select("path").distinct()), "path", "left_semi")))
+    lines = fence_state(explode_lines(docs.join(wanted.select("path").distinct(), "path", "left_semi")))
     body = lines.where(~F.col("marker") & (F.col("_s") != "") & (F.col("fenced") | ~T.is_title_line(F.col("_s"))))
-    scored = body.join(F.broadcast(wanted), "path").withColumn("score", F.size(F.filter("needles", lambda n: F.contains(F.col("body"), n)))).where("score > 0")
+    scored = body.join(wanted, "path").withColumn("score", F.size(F.filter("needles", lambda n: F.contains(F.col("body"), n)))).where("score > 0")
     w = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "line")
     best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
     return best.select("query_id", "path", "line", T.line_snippet(F.col("body"), F.col("needles")).alias("snippet"))
@@ -42,7 +42,7 @@ def resolve_citations(paths: DataFrame, docs: DataFrame) -> DataFrame:
 def locate_sources(paths: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, path, title, hits (line and snippet, by line) for paths(query_id, path): every row stays, with or without hits."""
     known = resolve_citations(paths, docs)
-    wanted = paths.join(F.broadcast(queries.select("query_id", T.needles("text").alias("needles"))), "query_id").where(F.size("needles") > 0)
+    wanted = paths.join(queries.select("query_id", T.needles("text").alias("needles")), "query_id").where(F.size("needles") > 0)
     shown = docs.select("path", normalize_html_tables("content").alias("content"))
     hits = locate_hits(shown, wanted).groupBy("query_id", "path").agg(F.sort_array(F.collect_list(F.struct("line", "snippet"))).alias("hits"))
     empty = F.array().cast("array<struct<line:int,snippet:string>>")

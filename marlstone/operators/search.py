@@ -5,7 +5,7 @@ Everything works on sets of queries: queries(query_id, text) in, ranked rows for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -15,8 +15,10 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 AND, OR, PATH = 0, 1, 2
 CHANNEL_WEIGHTS = {AND: 3.0, OR: 1.0, PATH: 2.0}
-#: Query tables up to this many rows are broadcast; larger ones are joined by shuffling.
-BROADCAST_QUERIES = 100_000
+#: Tokens that are sent to every executor at a time where documents are searched for containment; more take more passes.
+TOKENS_A_PASS = 20_000
+#: Folders that a stored index's postings lie in, by a hash of the token.
+BUCKETS = 64
 
 
 def knowledge_documents(docs: DataFrame) -> DataFrame:
@@ -38,8 +40,16 @@ def list_documents(docs: DataFrame, member: str | None = None, prefix: str | Non
     return found.select("path", "title").orderBy("path").limit(limit)
 
 
+def bucket(token: Column | str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 class Index:
-    """postings(path, field, token, positions), lengths(path, n_tokens): what BM25 needs; the corpus' totals come from lengths."""
+    """postings(key, field, token, positions), lengths(key, n_tokens) and the corpus' totals: what BM25 needs.
+
+    Made of documents, it is computed when it is asked; `store` keeps it and `StoredIndex` reads no more of it than
+    the folders of the tokens asked for.
+    """
 
     def __init__(self, docs: DataFrame, fields: dict[str, float] | None = None, key: str = "path"):
         self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
@@ -57,9 +67,39 @@ class Index:
         flat = self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
         return flat.groupBy(self.key, "field", "token").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
+    def positions_of(self, asked: DataFrame) -> DataFrame:
+        """key, field, token, at for the tokens of asked(token)."""
+        flat = self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
+        return flat.join(asked, "token").groupBy(self.key, "field", "token").agg(F.collect_list("position").alias("at"))
+
     def corpus(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
 
+    def store(self, path: str) -> StoredIndex:
+        cut = self.postings.withColumn("bucket", bucket("token"))
+        # a frequent token's postings are dealt to several files
+        cut.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        return StoredIndex(self.tokens.sparkSession, path, self.fields, self.key)
+
+
+class StoredIndex(Index):
+    """An index that was stored; only the folders of the tokens asked for are read."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: dict[str, float] | None = None, key: str = "path"):
+        self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
+        self.key = key
+        self.stored = spark.read.parquet(f"{path}/postings")
+        self.lengths = spark.read.parquet(f"{path}/lengths")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored.drop("bucket")
+
+    def positions_of(self, asked: DataFrame) -> DataFrame:
+        folders = [r.b for r in asked.select(bucket("token").alias("b")).distinct().collect()]  # BUCKETS at most
+        return self.stored.where(F.col("bucket").isin(folders)).join(asked, "token").select(self.key, "field", "token", F.col("positions").alias("at"))
+
 
 def query_phrases(queries: DataFrame, tokens=T.query_tokens) -> DataFrame:
     """query_id, phrase (number), pieces: what each token of a query becomes in the index; tokens without letters and digits are left out."""
@@ -76,10 +116,9 @@ def phrase_frequencies(index: Index, phrases: DataFrame) -> DataFrame:
     wanted = phrases.select("pieces").distinct()
     asked = wanted.select(F.explode("pieces").alias("token")).distinct()
     key = index.key
-    flat = index.tokens.select(key, "field", F.posexplode("tokens").alias("position", "token"))
-    own = flat.join(F.broadcast(asked), "token").groupBy(key, "field", "token").agg(F.collect_list("position").alias("at"))
+    own = index.positions_of(asked)
     piece = wanted.select("pieces", F.posexplode("pieces").alias("i", "token"))
-    shifted = own.join(F.broadcast(piece), "token").select(
+    shifted = own.join(piece, "token").select(
         "pieces", key, "field", "i", F.transform("at", lambda x: x - F.col("i")).alias("starts"))
     joined = shifted.groupBy("pieces", key, "field").agg(F.collect_list("starts").alias("s"))
     common = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), lambda a, x: F.array_intersect(a, x))
@@ -97,7 +136,7 @@ def bm25(index: Index, phrases: DataFrame) -> DataFrame:
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = df.crossJoin(F.broadcast(index.corpus())).select("pieces", idf.alias("idf"), "avg_tokens")  # one row of totals
     score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = found.join(F.broadcast(weighted), "pieces").join(index.lengths, index.key).select("pieces", index.key, score.alias("s"))
+    scored = found.join(weighted, "pieces").join(index.lengths, index.key).select("pieces", index.key, score.alias("s"))
     return phrases.join(scored, "pieces").groupBy("query_id", index.key).agg(F.sum("s").alias("score"), F.countDistinct("phrase").alias("n_phrases"))
 
 
@@ -121,17 +160,27 @@ def match_all(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, path, score, rank: documents with every token of a query."""
     phrases = query_phrases(queries)
     sizes = phrases.groupBy("query_id").agg(F.count("*").alias("_n"))
-    found = bm25(index, phrases).join(F.broadcast(sizes), "query_id").where(F.col("n_phrases") == F.col("_n"))
+    found = bm25(index, phrases).join(sizes, "query_id").where(F.col("n_phrases") == F.col("_n"))
     return top(found.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
 
 
+def in_passes(tokens: DataFrame, search) -> DataFrame:
+    """The union of search(some) over parts of tokens(token) that are small enough to be broadcast."""
+    parts = max(1, -(-tokens.count() // TOKENS_A_PASS))
+    out = search(tokens) if parts == 1 else None
+    for p in range(parts if out is None else 0):
+        found = search(tokens.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == p))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def path_channel(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, path, score, rank: documents whose path holds tokens, each worth 1 / the number of paths that hold it."""
     tokens = queries.select("query_id", F.explode(T.query_tokens("text")).alias("_t")).select("query_id", F.lower("_t").alias("token"))
     distinct = tokens.select("token").distinct()
-    hits = docs.select("path").join(F.broadcast(distinct), F.contains(F.lower("path"), F.col("token")))
+    hits = in_passes(distinct, lambda some: docs.select("path").join(F.broadcast(some), F.contains(F.lower("path"), F.col("token"))))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = tokens.join(hits, "token").join(F.broadcast(df), "token").groupBy("query_id", "path").agg(F.sum(1 / F.col("df")).alias("score"))
+    scored = tokens.join(hits, "token").join(df, "token").groupBy("query_id", "path").agg(F.sum(1 / F.col("df")).alias("score"))
     return top(scored.select("query_id", "path", rounded(F.col("score")).alias("score")), limit)
 
 
@@ -156,8 +205,8 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataF
 def fill_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """hits with title and snippet: the context of the token that comes first. Only the hits' documents are fetched."""
     tokens = queries.select("query_id", T.query_tokens("text").alias("_tokens"))
-    text = docs.join(F.broadcast(hits.select("path").distinct()), "path", "left_semi").select("path", "title", "content")
-    return hits.join(F.broadcast(tokens), "query_id").join(text, "path").withColumn("snippet", T.earliest_snippet("content", F.col("_tokens"))).drop("_tokens", "content")
+    text = docs.join(hits.select("path").distinct(), "path", "left_semi").select("path", "title", "content")
+    return hits.join(tokens, "query_id").join(text, "path").withColumn("snippet", T.earliest_snippet("content", F.col("_tokens"))).drop("_tokens", "content")
 
 
 def substring_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -167,8 +216,9 @@ def substring_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFra
     """
     tokens = queries.select("query_id", F.explode(T.query_tokens("text")).alias("_t")).select("query_id", F.lower("_t").alias("token"))
     body = docs.select("path", F.lower("content").alias("_c"), F.lower("title").alias("_h"))
-    found = body.join(F.broadcast(tokens.select("token").distinct()), F.contains("_c", F.col("token")) | F.contains("_h", F.col("token"))).select(
-        "path", "token", (F.contains("_c", F.col("token")).cast("int") + F.contains("_h", F.col("token")).cast("int")).alias("n"))
+    n = F.contains("_c", F.col("token")).cast("int") + F.contains("_h", F.col("token")).cast("int")
+    found = in_passes(tokens.select("token").distinct(), lambda some: body.join(
+        F.broadcast(some), F.contains("_c", F.col("token")) | F.contains("_h", F.col("token"))).select("path", "token", n.alias("n")))
     scored = tokens.join(found, "token").groupBy("query_id", "path").agg(F.sum("n").alias("score"))
     return top(scored, limit)
 
@@ -183,9 +233,25 @@ def knowledge_search(docs: DataFrame, queries: DataFrame, limit: int = 5, member
     scope = docs if post_filter else member_scope(docs, member)
     hits = member_scope(hybrid_search(scope, queries, 3 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(0).alias("_by"))
     full = hits.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit)
-    short = queries.join(F.broadcast(full), "query_id", "left_anti")
+    short = queries.join(full, "query_id", "left_anti")
     more = member_scope(substring_search(scope, short, 4 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(1).alias("_by"))
     first = hits.unionByName(more).groupBy("query_id", "path").agg(F.min(F.struct("_by", "_r")).alias("_f"))
     w = Window.partitionBy("query_id").orderBy("_f", "path")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(
         "query_id", "path", "rank", F.when(F.col("_f._by") == 0, "fts").otherwise("substring").alias("matched_by"))
+
+
+def highlight(index: Index, docs: DataFrame, hits: DataFrame, queries: DataFrame, width: int = 24, field: str = "content") -> DataFrame:
+    """hits(query_id, path) with excerpt: the window of `width` index tokens of the document that holds most distinct phrases, the
+    first of them, matched tokens in brackets. Only the hits' documents are fetched."""
+    phrases = query_phrases(queries, T.expanded_tokens)
+    pieces = phrases.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("_p"))
+    text = docs.join(hits.select(index.key).distinct(), index.key, "left_semi").select(index.key, T.index_tokens(field).alias("_t"))
+    rows = hits.join(pieces, "query_id").join(text, index.key)
+    flags = rows.withColumn("_at", F.filter(F.transform("_t", lambda t, i: F.when(F.array_contains("_p", t), F.struct(i.alias("i"), t.alias("t")))), lambda x: x.isNotNull()))
+    starts = F.transform("_at", lambda a: F.struct(
+        (-F.size(F.array_distinct(F.transform(F.filter("_at", lambda b: (b["i"] >= a["i"]) & (b["i"] < a["i"] + width)), lambda b: b["t"])))).alias("n"), a["i"].alias("i")))
+    best = F.coalesce(F.array_min(starts)["i"], F.lit(0))
+    shown = F.transform(F.slice("_t", F.col("_s") + 1, F.lit(width)), lambda t: F.when(F.array_contains("_p", t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    excerpt = F.concat(F.when(F.col("_s") > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.col("_s") + width < F.size("_t"), "...").otherwise(""))
+    return flags.withColumn("_s", best).withColumn("excerpt", excerpt).drop("_p", "_t", "_at", "_s")

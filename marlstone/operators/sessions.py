@@ -45,7 +45,7 @@ def search_messages(messages: DataFrame, queries: DataFrame, limit: int = 20) ->
     hits = S.match_any(S.Index(expanded, {"content": 1.0}, key="message_id"), queries, n)
     tokens = queries.select("query_id", T.expanded_tokens("text").alias("_t"))
     titles = session_list(messages).select("session_id", "title")
-    return hits.join(said.select("message_id", "session_id", "content"), "message_id").join(F.broadcast(tokens), "query_id").join(titles, "session_id").select(
+    return hits.join(said.select("message_id", "session_id", "content"), "message_id").join(tokens, "query_id").join(titles, "session_id").select(
         "query_id", "session_id", "message_id", "score", "rank", T.earliest_snippet("content", F.col("_t"), 30).alias("snippet"), "title")
 
 

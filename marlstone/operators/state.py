@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.session import shared_dir
 
 SUCCESS = ("converted", "quality_warned")
 DIRECT = (".md", ".markdown", ".txt")
@@ -90,13 +91,14 @@ def recover_stale(conversions: DataFrame, now: Column, minutes: int = 60) -> Dat
 def global_row_number(df: DataFrame, *order: Column | str, ranges: int = 64) -> DataFrame:
     """df with `n`, its place from 1 in a total order, without one task that sees all rows.
 
-    The first ordering column's hash-free prefix decides a range: rows are counted by the leading characters of the
-    first column, the counts give offsets, and each range is numbered by itself.
+    Rows are dealt into ranges of the order and written with their range, so that counting and numbering see the same
+    ranges; counts give offsets, and each range is numbered by itself.
     """
-    first, *_ = order
-    prefix = F.substring(T.col(first).cast("string"), 1, 12)
-    ranged = df.withColumn("_range", prefix)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_k"))
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_k"))  # one row for each range
     along = Window.orderBy("_range")
     offsets = counts.withColumn("_before", F.sum("_k").over(along) - F.col("_k")).select("_range", "_before")
     inside = Window.partitionBy("_range").orderBy(*order)
@@ -212,5 +214,5 @@ def stratified_sample(conversions: DataFrame, per_type: int = 6) -> DataFrame:
     n = ok.groupBy("file_type").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("file_type").orderBy("relative_path")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / per_type))
-    placed = ok.join(F.broadcast(n), "file_type").withColumn("_i", F.row_number().over(w) - 1)
+    placed = ok.join(n, "file_type").withColumn("_i", F.row_number().over(w) - 1)
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") / step < per_type)).select("relative_path", "file_type", "status")

@@ -66,7 +66,7 @@ def last_days(traces: DataFrame, n: int) -> DataFrame:
     """The traces of the last n days that have any."""
     day = F.to_date("ts")
     days = traces.select(day.alias("_d")).distinct().orderBy(F.desc("_d")).limit(n)
-    return traces.withColumn("_d", day).join(F.broadcast(days), "_d", "left_semi").drop("_d")
+    return traces.withColumn("_d", day).join(days, "_d", "left_semi").drop("_d")
 
 
 def question_candidates(traces: DataFrame, limit: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from marlstone.functions import text as T
 from marlstone.operators import search as S
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
+from marlstone.session import shared_dir
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -67,6 +68,21 @@ def index_stats(spark, d):
     return p.groupBy("token").agg(F.sum(F.size("positions")).alias("n_positions"), F.countDistinct("path").alias("n_docs"))
 
 
+@query("search_stored_index", f"with {_PH} {_top('scored', 10)}", "v_documents", "v_queries")
+def search_stored(spark, d):
+    """The OR channel over an index that is stored first; only the folders of the queries' tokens are read."""
+    index = S.Index(V.documents(spark, d)).store(shared_dir(spark))
+    return S.match_any(index, V.queries(spark, d), 10).select("query_id", "path", "score", "rank")
+
+
+@query("search_highlight")
+def highlight(spark, d):
+    """Excerpts of the best three hits; tests compare them with a plain search for the best window."""
+    docs, queries = V.documents(spark, d), V.queries(spark, d)
+    index = S.Index(docs)
+    return S.highlight(index, docs, S.match_any(index, queries, 3), queries).select("query_id", "path", "rank", "excerpt")
+
+
 _PATH_QUERIES = """v_queries as (
   select doc_id as query_id, source || ' d' || cast(doc_id as varchar) as text from documents where doc_id % 50 = 0)"""
 

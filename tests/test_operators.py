@@ -173,3 +173,20 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     closed = spark.sql("select * from sessions_out where session_id < 9")
     assert sorted(closed.collect()) == sorted(W.session_bursts(df).where("session_id < 9").collect())
+
+
+def test_stored_index_and_highlight(spark, docs, tmp_path):
+    q = spark.createDataFrame([(1, "quick fox"), (2, "tdf-bff")], "query_id long, text string")
+    index = S.Index(docs)
+    stored = index.store(str(tmp_path / "index"))
+    assert sorted(S.match_any(stored, q, 10).collect()) == sorted(S.match_any(index, q, 10).collect())
+    got = {(r.query_id, r.path): r.excerpt for r in S.highlight(index, docs, S.match_any(index, q, 10).select("query_id", "path"), q, width=3).collect()}
+    assert got[(1, "members/whm/doris/doris.md")] == "...[quick] brown [fox]..."
+    assert got[(1, "members/other/x/x.md")] == "...[fox] [fox] and..."
+
+
+def test_containment_in_passes(spark, docs, monkeypatch):
+    q = spark.createDataFrame([(1, "quick fox store"), (2, "tdf whm")], "query_id long, text string")
+    whole = sorted(S.substring_search(docs, q, 5).collect()), sorted(S.path_channel(docs, q, 5).collect())
+    monkeypatch.setattr(S, "TOKENS_A_PASS", 2)
+    assert (sorted(S.substring_search(docs, q, 5).collect()), sorted(S.path_channel(docs, q, 5).collect())) == whole
