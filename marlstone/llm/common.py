@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", compression: str = "snappy") -> DataFrame:
     """Cut the lineage by writing df as Parquet to the shared folder and reading it again; a lost executor then costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,8 +28,8 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Word pieces that a Python worker remembers.
 REMEMBERED = 300_000
-#: Documents in one shard, about.
-SHARD_ROWS = 20_000
+#: Documents in one shard, about, and most shards.
+SHARD_ROWS, MOST_SHARDS = 20_000, 4_096
 
 # The characters for which the short way below is exact (ASCII but for "<", and precomposed Latin-1 letters).
 _PLAIN = re.compile(r"[\t\n\r -;=-~À-ÖØ-öø-ÿ]*")
@@ -124,7 +124,7 @@ def decode_ranks(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, width (bytes of an id, 2 or 4) and ids of every row, the end id last."""
+    """doc_id, width (bytes of an id, 2 or 4) and ids of every row, the end id last: first all low bytes, then the next ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -133,13 +133,19 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFra
         for b in batches:
             ids = [enc.ids(t) + tail for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
+                [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()),
+                 pa.array([_planes(width, x) for x in ids], pa.binary())],
+                names=["doc_id", "width", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("width int, ids binary")]))
 
 
-def _ids(width: int, raw) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{width}")
+def _planes(width: int, raw: bytes) -> bytes:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _ids(width: int, planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").reshape(-1)
 
 
 def count_tokens(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
@@ -172,6 +178,21 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
     return np.array([r.id for r in rows.select("id").collect()], dtype="<u4")
 
 
+def _shard(rows: DataFrame, shards: int) -> Column:
+    """The number of the range of doc_id that a row lies in, from about even ranges; ids that are no numbers go by their order, too."""
+    if shards == 1:
+        return F.lit(0)
+    if rows.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        # bounds from an ordered sample of bounded size
+        sample = sorted(r.doc_id for r in rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(20 * shards).collect())
+        bounds = sample[20::20]
+    else:
+        bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)})
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0))
+
+
 def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int | None = END_ID) -> str:
     """Encode docs(doc_id, text) and write blocks and the table of ranks below `out`; returns `out`.
 
@@ -180,7 +201,7 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    staged = materialize(tokenize(docs, path, end_id), "tokens")
+    staged = materialize(tokenize(docs, path, end_id), "tokens", "zstd")
     by_rank = id_ranks(staged)
     to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, dtype="<u4")
     to_rank[by_rank] = np.arange(len(by_rank), dtype="<u4")
@@ -190,13 +211,12 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
         for b in batches:
             rows = [shared.value[_ids(w, x.as_buffer())] for w, x in zip(b.column("width").to_pylist(), b.column("ids"), strict=True)]
             pairs = [encode_ranks(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()),
-                                              pa.array([x for _, x in pairs], pa.binary())], names=["doc_id", "n", "control", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
+                                              pa.array([c for c, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())],
+                                             names=["shard", "doc_id", "n", "control", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, rows, held, start, no = TaskContext.get().partitionId(), [], 0, 0, 0
+        shard, rows, held, start, no = 0, [], 0, 0, 0
         arrow = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(id_type)),
                            ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
@@ -207,10 +227,12 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
                 "control": b"".join(r[2] for r in rows), "data": b"".join(r[3] for r in rows)}], schema=arrow)
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
-                if rows and held + r[1] > BLOCK_IDS:
+            for own, *r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "control", "data")), strict=True):
+                if rows and (held + r[1] > BLOCK_IDS or own != shard):
                     yield block()
                     rows, start, held, no = [], start + held, 0, no + 1
+                if own != shard:
+                    shard, start, no = own, 0, 0
                 rows.append(r)
                 held += r[1]
         if rows:
@@ -220,10 +242,12 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    shards = bits_for(staged.count(), SHARD_ROWS)
-    coded = staged.mapInArrow(code, StructType([docs.schema["doc_id"], *StructType.fromDDL("n long, control binary, data binary")]))
-    ordered = coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "data")
-    ordered.mapInArrow(pack, schema).write.parquet(f"{out}/blocks")
+    shards = min(MOST_SHARDS, bits_for(staged.count(), SHARD_ROWS))
+    cut = staged.withColumn("shard", _shard(staged, shards))
+    fields = StructType([*StructType.fromDDL("shard int"), docs.schema["doc_id"], *StructType.fromDDL("n long, control binary, data binary")])
+    coded = cut.select("shard", "doc_id", "width", "ids").mapInArrow(code, fields)
+    ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "data")
+    ordered.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id long").write.parquet(f"{out}/ranks")
     return out
 

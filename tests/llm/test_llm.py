@@ -96,7 +96,9 @@ def test_no_pages(spark):
 
 # ---- 2 and 5 tokens
 
-def test_ids_round_trip(spark, odd, sf_dir):
+def test_ids_round_trip(spark, odd, sf_dir, monkeypatch):
+    monkeypatch.setattr(token_ids, "SHARD_ROWS", 40)
+    monkeypatch.setattr(token_ids, "BLOCK_IDS", 5_000)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_ids.tokenizer_path())
