@@ -5,7 +5,7 @@
 2. Each class is posted under every pair of coordinate and value. Pairs that only one class has are skipped: a
    class with fewer shared coordinates than the match threshold can have no partner, and of the others only the
    prefix of the rarest is needed, since two classes that agree in `least` coordinates have one in either's prefix.
-3. Rounds: every posting list elects a leader by a hash of its own; each class proposes to the leader with which its
+3. Rounds: every posting list elects a leader by one of LEADERS hashes; each class proposes to the leader with which its
    signature has most collisions, and the proposal is confirmed on the full sets. So a group of thousands costs
    one comparison for each member and round, not one for each pair.
 4. Last, all pairs of classes that meet in a prefix list and are not yet in one component are looked at, so that no
@@ -29,8 +29,8 @@ from marlstone.llm.components import connected_components
 from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
 COORDINATES = 64
-#: Rounds of proposals before the pairs that remain are compared.
-ROUNDS = 2
+#: Rounds of proposals before the pairs that remain are compared, and hashes by which lists elect leaders in a round.
+ROUNDS, LEADERS = 2, 4
 #: Ids of the classes to be compared that are sent to every executor at most; more are joined.
 MAX_BROADCAST_IDS = 2_000_000
 ROWS = 128
@@ -222,7 +222,7 @@ def _prefix_lists(classes: DataFrame, least: int) -> DataFrame:
 def _proposals(member: DataFrame, classes: DataFrame, least: int, percent: int, r: int) -> DataFrame:
     """For each class the leader of one of its lists, of another component, with most collisions."""
     leader = member.groupBy("j", "v").agg(
-        F.min(F.struct(F.xxhash64(F.lit(r), "j", "cid").alias("h"), F.col("cid").alias("l"), F.col("_c").alias("c"))).alias("_l"), F.count("*").alias("n")
+        F.min(F.struct(F.xxhash64(F.lit(r), F.col("j") % LEADERS, "cid").alias("h"), F.col("cid").alias("l"), F.col("_c").alias("c"))).alias("_l"), F.count("*").alias("n")
     ).where("n > 1").select("j", "v", F.col("_l.l").alias("a"), F.col("_l.c").alias("ca"))
     pairs = member.join(leader, ["j", "v"]).where("_c <> ca").select("a", F.col("cid").alias("b")).distinct()
     counted = _collisions(pairs, classes, least, percent)
