@@ -34,6 +34,8 @@ ROUNDS = 2
 #: Ids of the classes to be compared that are sent to every executor at most; more are joined.
 MAX_BROADCAST_IDS = 2_000_000
 ROWS = 128
+#: The column that numbers rows, since ids may be missing or repeated.
+ROW = "_near_duplicates_row"
 
 #: Coordinates of the second signature: FINE values of four bits, sixteen in a 64-bit word.
 FINE, FINE_WORDS = 768, 48
@@ -90,7 +92,7 @@ def class_id(s: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cid and signature (null for an empty set)."""
+    """doc_id, row number, n_shingles, cid and signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,11 +108,11 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     for i, v in zip(full, values.astype(np.uint32).view(np.int32).tolist(), strict=True):
                         sig[i] = v
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()),
-                     pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "cid", "sig"])
+                    [b.column("doc_id"), b.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()),
+                     pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", ROW, "n_shingles", "cid", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_shingles long, cid long, sig array<int>")]))
+    return docs.select("doc_id", "text", ROW).mapInArrow(
+        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{ROW} long, n_shingles long, cid long, sig array<int>")]))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -180,15 +182,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
 
     Two texts are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     least doc_id that a text reaches over links, itself included, and kept marks that document. Texts without
-    words (null, empty) are linked with nothing. Rows that repeat an id are that document again and are kept or
-    not alike. A row without an id takes the component's least id, or null if no row of it has one; it is kept
-    only in the latter case. Extra columns are ignored; an empty table gives an empty result.
+    words (null, empty) are linked with nothing. Rows that repeat an id with the same set are that document again and
+    are kept or not alike; where the component's least id has several sets, one of them is kept. A row without an id
+    takes the component's least id, or null if no row of it has one; of the latter, one row of each component is kept.
+    Extra columns are ignored; an empty table gives an empty result.
     """
+    return _judged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW)), shingle, percent, rounds).drop(ROW)
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """near_duplicates with the number of each row, as the table of signatures stores it."""
     least = least_matches(percent / 100)
     base = materialize(_signatures(docs, shingle), "signatures")
     full = base.where("n_shingles > 0")
     classes = materialize(full.groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
+        F.min(ROW).alias("first")), "classes")
     lists = _prefix_lists(classes, least)
     wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
@@ -254,20 +263,25 @@ def _remaining(member: DataFrame, classes: DataFrame, sets: DataFrame, percent:
 
 def _label(base: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     of_class = classes.join(roots, classes.cid == roots.node, "left").select(
-        "cid", "rep", "copies", F.coalesce("root", "cid").alias("_root"), F.col("root").isNotNull().alias("_linked"))
-    names = of_class.where("_linked").groupBy("_root").agg(F.min("rep").alias("component_id"))
-    named = of_class.where("_linked").join(names, "_root").select("cid", "component_id").union(
-        of_class.where("not _linked and copies > 1").select("cid", "rep"))
-    out = base.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        "cid", "rep", "copies", "first", F.coalesce("root", "cid").alias("_root"), F.col("root").isNotNull().alias("_linked"))
+    # the least id and one class that has it; classes without ids come last
+    names = of_class.where("_linked").groupBy("_root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("_m"))
+    named = of_class.where("_linked").join(names, "_root").select(
+        "cid", F.col("_m.rep").alias("component_id"), "first", (F.col("cid") == F.col("_m.cid")).alias("_stands")).union(
+        of_class.where("not _linked and copies > 1").select("cid", "rep", "first", F.lit(True)))
+    out = base.select("doc_id", ROW, "n_shingles", "cid").join(named, "cid", "left")
+    in_group = (F.col("n_shingles") > 0) & F.col("_stands").isNotNull()
+    kept = F.col("_stands") & F.when(F.col("component_id").isNull(), F.col(ROW) == F.col("first")).otherwise(
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", ROW, "n_shingles", F.when(in_group, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.when(in_group, kept).otherwise(True).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document stands for its component, with the columns of docs."""
-    judged = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(judged, docs.doc_id.eqNullSafe(judged.doc_id), "left_anti")
+    """The rows of docs that stand for their component, with the columns of docs; rows are told apart by a stored number."""
+    numbered = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    judged = _judged(numbered, shingle, percent).where("not kept").select(ROW)
+    return numbered.join(judged, ROW, "left_anti").select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,20 @@ def test_odd_copies(spark, odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_copies_of_missing_and_repeated_ids(spark):
+    a, b, c, d, e, f = ("".join(f" {x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [(1, a), (None, a), (None, b),  # a copy without an id beside a unique text without one
+            (2, c), (5, c), (5, d),  # an id with two texts, one of them a copy
+            (None, e), (None, e), (None, e + " more"),  # copies that all lack an id
+            (6, f), (6, f + " more"), (7, f),  # near copies that share the least id
+            (None, None), (None, "")]
+    kept = [(r.doc_id, r.text) for r in near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    group = lambda x: [k for k in kept if k[1] and k[1].startswith(x)]
+    assert group(a) == [(1, a)] and group(b) == [(None, b)] and group(c) == [(2, c)] and group(d) == [(5, d)]
+    assert len(group(e)) == len(group(f)) == 1 and group(e)[0][0] is None and group(f)[0][0] == 6
+    assert len(kept) == 8
+
+
 # ---- 9 licences
 
 def test_licences(spark, odd, empty):
