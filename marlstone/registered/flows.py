@@ -13,6 +13,9 @@ from marlstone.session import shared_dir
 from marlstone.sources import files as I
 from marlstone.streaming import streams as W
 
+#: Cases in an object of the question set and documents in a file of texts, at most or about.
+CASES, TEXTS = 1000, 1000
+
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
@@ -48,13 +51,19 @@ def snapshots(spark, d):
     return spark.read.parquet(f"{out}/history").groupBy(F.col("published_at").cast("string").alias("published_at")).agg(F.count("*").alias("n"))
 
 
+def _blocks(df, each: int):
+    """A column that deals the rows of df evenly over blocks of about `each` rows, by their place and not by a key."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-df.count() // each))))
+
+
 @query("question_set", "select item_id::varchar as id, text as question, 1::int as n_expected from benchmark")
 def questions(spark, d):
-    """A nested question file made of the benchmark."""
+    """Nested question objects made of the benchmark, each of a bounded number of cases."""
     out = shared_dir(spark)
     case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.array(F.lit("members/a.md")).alias("expected_paths"))
-    V.table(spark, d, "benchmark").groupBy().agg(F.collect_list(case).alias("cases")).write.json(out)
-    return I.load_question_set(spark, out).select("id", "question", F.size("expected_paths").alias("n_expected"))
+    items = V.table(spark, d, "benchmark")
+    items.select(case.alias("case"), _blocks(items, CASES).alias("b")).groupBy("b").agg(F.collect_list("case").alias("cases")).select("cases").write.json(out)
+    return I.load_question_set(spark, out, lines=True).select("id", "question", F.size("expected_paths").alias("n_expected"))
 
 
 @query("decode_text", "select doc_id::varchar as path, case when doc_id % 5 = 0 then null else text end as text, case when doc_id % 5 = 0 then 'binary' end as error from documents")
@@ -117,12 +126,16 @@ def traces(spark, d):
 
 @query("stream_ingest", "select count(distinct source) as n_files, sum(strlen(text) + 1)::bigint as bytes, count(distinct source) as n_hashes from documents")
 def ingest(spark, d):
-    """The texts of each source as a file, taken up in batches."""
+    """The texts of each source as files of bounded numbers of texts, taken up in batches; the files of a source count as one."""
     out, state, sink = shared_dir(spark), shared_dir(spark), shared_dir(spark)
-    V.table(spark, d, "documents").select("text", F.col("source").alias("k")).repartition("k").write.partitionBy("k").format("text").option("lineSep", "\x1f").save(out)
+    docs = V.table(spark, d, "documents")
+    dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
+    dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
 
     def keep(df, epoch):
         df.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     W.stream_ingest(spark, f"{out}/k=*", keep, state, 8).awaitTermination()
-    return spark.read.parquet(sink).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("sha256").alias("n_hashes"))
+    source = F.regexp_extract("path", "/k=([^/]*)/", 1)
+    each = spark.read.parquet(sink).groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
+    return each.agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("digest").alias("n_hashes"))

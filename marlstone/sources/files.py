@@ -88,9 +88,9 @@ def publish_snapshot(df: DataFrame, path: str, published_at: str, keep: int) ->
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/history/{n}"), True)
 
 
-def load_question_set(spark: SparkSession, path: str) -> DataFrame:
-    """The cases of a nested JSON file as rows, optional fields filled; an empty set is an error."""
-    whole = spark.read.schema(f"cases array<struct<{QUESTIONS.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True)
+def load_question_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The cases of a nested JSON file (or of one object a line) as rows, optional fields filled; an empty set is an error."""
+    whole = spark.read.schema(f"cases array<struct<{QUESTIONS.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=not lines)
     cases = whole.select(F.inline("cases"))
     none = F.array().cast("array<string>")
     out = cases.select("id", "question", F.coalesce("expected_paths", none).alias("expected_paths"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("note", F.lit("")).alias("note"))

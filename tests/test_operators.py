@@ -1,5 +1,6 @@
 """Small cases with results worked out by hand."""
 
+import json
 import sqlite3
 
 import pytest
@@ -12,6 +13,7 @@ from marlstone.operators import search as S
 from marlstone.operators import sessions as M
 from marlstone.operators import state as st
 from marlstone.operators import text_jobs as J
+from marlstone.registered import flows as R
 from marlstone.sources import files as I
 from marlstone.streaming import streams as W
 
@@ -190,3 +192,19 @@ def test_containment_in_passes(spark, docs, monkeypatch):
     whole = sorted(S.substring_search(docs, q, 5).collect()), sorted(S.path_channel(docs, q, 5).collect())
     monkeypatch.setattr(S, "TOKENS_A_PASS", 2)
     assert (sorted(S.substring_search(docs, q, 5).collect()), sorted(S.path_channel(docs, q, 5).collect())) == whole
+
+
+def test_flows_write_bounded_files_and_objects(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "CASES", 3, raising=False)
+    monkeypatch.setattr(R, "TEXTS", 2, raising=False)
+    outs = iter(f"{tmp_path}/{i}" for i in range(4))
+    monkeypatch.setattr(R, "shared_dir", lambda spark: next(outs))
+    items, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
+    assert R.questions(spark, sf_dir).count() == items.count()
+    objects = [json.loads(x) for p in (tmp_path / "0").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(objects) > 1 and max(len(x["cases"]) for x in objects) <= 4
+    got = R.ingest(spark, sf_dir).first()
+    sizes = [p.read_bytes().count(b"\x1f") for p in (tmp_path / "1").glob("k=*/part-*")]
+    assert max(sizes) <= 2 and sum(sizes) == docs.count()
+    n = docs.select("source").distinct().count()
+    assert (got.n_files, got.n_hashes) == (n, n)
