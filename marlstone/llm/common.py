@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,20 @@ def lower_ascii(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+#: By application: the folder that stands in for an unset one.
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a folder of its own where it is unset (tests on one machine)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where the driver is the one
+    executor, too, a folder of this machine is taken if that is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get(spark.sparkContext.applicationId)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", configured)
+        _own_dir[spark.sparkContext.applicationId] = configured
     return configured.rstrip("/")
 
 
@@ -51,3 +61,25 @@ def bits_for(rows: int, rows_each: int, least: int = 1) -> int:
     while n * rows_each < rows:
         n *= 2
     return n
+
+
+def key_filter(rows: DataFrame, key: str, bits: int):
+    """A test, for numpy arrays of 64-bit keys inside tasks, that passes all values of the column `key` and few others.
+
+    It is a bitmap of 2 ** bits bits at most, whatever the number of rows; what it lets through beside the keys, a
+    join has to remove.
+    """
+    place = F.pmod(key, F.lit(1 << bits)) + 1
+    found = rows.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(
+        F.bitmap_construct_agg("p").alias("m")).collect()  # 2 ** bits / 32768 rows at most
+    whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in found:
+        lo = (r.k - 1) * 4096
+        whole[lo : lo + 4096] = np.frombuffer(r.m, dtype=np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
+
+    def passes(keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.int64) & ((1 << bits) - 1)
+        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return passes

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialize
 
+SALTS = 16
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Hang the neighbours of each node under the least of them: all larger ones (large star) or the node itself
     with its smaller ones (small star)."""
     both = edges if small else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = both.join(least, "u")
+    # the edges of a node with very many are dealt over SALTS tasks
+    salted = both.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "_s"])
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:

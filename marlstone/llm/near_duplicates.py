@@ -5,12 +5,14 @@
 2. Each class is posted under every pair of coordinate and value. Pairs that only one class has are skipped: a
    class with fewer shared coordinates than the match threshold can have no partner, and of the others only the
    prefix of the rarest is needed, since two classes that agree in `least` coordinates have one in either's prefix.
-3. Rounds: every posting list elects a leader by a hash of its own; each class proposes to the leader with which its
-   signature has most collisions, and the proposal is confirmed on the full sets. So a group of thousands costs
-   one comparison for each member and round, not one for each pair.
-4. Last, all pairs of classes that meet in a prefix list and are not yet in one component are looked at, so that no
-   link between different texts is lost. A second signature of FINE coordinates, four bits each, decides in the join
-   itself which of them can reach the threshold; those are compared in full.
+3. Rounds: every posting list elects a leader, first the class whose coordinates are shared most, later one by a hash;
+   each class proposes to the leader with which its signature has most collisions, and the proposal is confirmed on
+   the full sets. So a group of thousands costs one comparison for each member and round, not one for each pair.
+4. Lists that still hold several components are looked at by their shingles: rarest first, two sets at the threshold
+   share a shingle that comes so early in both that enough of either set is left behind it. Shingles that one class
+   alone has, and lists whose places or sizes rule out a link or that lie in one component, are skipped. What is left
+   is short lists, whose pairs count collisions and are confirmed, and long ones, whose leaders are compared with all
+   members and then leave the list until it is short or of one component. No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -24,27 +26,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import materialize, table
+from marlstone.llm.common import key_filter, materialize, table
 from marlstone.llm.components import connected_components
 from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
 COORDINATES = 64
-#: Rounds of proposals before the pairs that remain are compared.
+#: Rounds of proposals at most before lists are looked at by shingles; it changes the cost only.
 ROUNDS = 2
-#: Ids of the classes to be compared that are sent to every executor at most; more are joined.
-MAX_BROADCAST_IDS = 2_000_000
+#: Lists of so many classes are compared pair by pair; of longer ones LEADERS classes a round are compared with all.
+SHORT, LEADERS = 256, 64
+#: Sizes within this ratio share a band.
+BAND = 1.04
+#: Bits of the filter of texts whose sets are kept; its false hits are joined away.
+FILTER_BITS = 25
 ROWS = 128
 #: The column that numbers rows, since ids may be missing or repeated.
-ROW = "_near_duplicates_row"
-
-#: Coordinates of the second signature: FINE values of four bits, sixteen in a 64-bit word.
-FINE, FINE_WORDS = 768, 48
+ROW, KEY = "_near_duplicates_row", "_near_duplicates_key"
 
 _SEEDS = np.random.default_rng(20240601)
 _MULTIPLY = _SEEDS.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _SEEDS.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_FINE_MULTIPLY = _SEEDS.integers(1, 1 << 63, FINE, dtype=np.uint64) * U(2) + U(1)
-_FINE_ADD = _SEEDS.integers(0, 1 << 63, FINE, dtype=np.uint64)
 
 
 def least_matches(threshold: float, coordinates: int = COORDINATES) -> int:
@@ -52,19 +53,6 @@ def least_matches(threshold: float, coordinates: int = COORDINATES) -> int:
     return max(1, math.floor(coordinates * threshold - 4.3 * math.sqrt(coordinates * threshold * (1 - threshold))))
 
 
-def most_mismatches(threshold: float) -> int:
-    """Four-bit coordinates in which two sets at the threshold differ, but for one case in some 100,000."""
-    p = 1 / 16 + 15 / 16 * threshold
-    return math.ceil(FINE * (1 - p) + 4.3 * math.sqrt(FINE * p * (1 - p)))
-
-
-def fine_signature(s: np.ndarray) -> list[int]:
-    """The second signature as FINE_WORDS 64-bit words."""
-    least = np.array([((s * m + a) >> U(32)).min() for m, a in zip(_FINE_MULTIPLY, _FINE_ADD, strict=True)], dtype=U)
-    nibbles = (mix(least) & U(15)).reshape(FINE_WORDS, 16)
-    return (nibbles << (np.arange(16, dtype=U) * U(4))).sum(axis=1, dtype=U).view(np.int64).tolist()
-
-
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
     w = words_of(texts, NON_SPACE)
@@ -92,7 +80,7 @@ def class_id(s: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, row number, n_shingles, cid and signature (null for an empty set)."""
+    """doc_id, row number, key (a hash of the text), n_shingles, cid and signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,45 +96,31 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     for i, v in zip(full, values.astype(np.uint32).view(np.int32).tolist(), strict=True):
                         sig[i] = v
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()),
-                     pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", ROW, "n_shingles", "cid", "sig"])
+                    [b.column("doc_id"), b.column(ROW), b.column(KEY), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([class_id(s) for s in sets], pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
+                    names=["doc_id", ROW, KEY, "n_shingles", "cid", "sig"])
 
-    return docs.select("doc_id", "text", ROW).mapInArrow(
-        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{ROW} long, n_shingles long, cid long, sig array<int>")]))
+    return docs.select("doc_id", "text", ROW, F.xxhash64("text").alias(KEY)).mapInArrow(
+        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{ROW} long, {KEY} long, n_shingles long, cid long, sig array<int>")]))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid, set (sorted hashes) and fine (words of the second signature) of the wanted classes (cid, rep), one row each."""
-
-    def run(ids: np.ndarray | None):
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                if ids is not None:
-                    own = whole.column("doc_id").to_pylist()
-                    filled = np.array([0 if x is None else x for x in own], dtype=ids.dtype if len(ids) else None)
-                    keep = np.array([x is None for x in own], dtype=bool) | np.isin(filled, ids)
-                    whole = whole.filter(pa.array(keep))
-                for lo in range(0, whole.num_rows, ROWS):
-                    sets = [s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                         pa.array([fine_signature(s) for s in sets], pa.list_(pa.int64()))], names=["cid", "set", "fine"])
-
-        return pick
-
-    plain, schema = docs.select("doc_id", "text"), "cid long, set binary, fine array<long>"
-    sorts = wanted.schema["rep"].dataType.typeName() in ("long", "integer", "short", "string")
-    if sorts and wanted.count() <= MAX_BROADCAST_IDS:
-        ids = np.unique(np.array([r.rep for r in wanted.select("rep").where("rep is not null").collect()]))
-        found = plain.mapInArrow(_shared(docs, ids, run), schema)
-    else:
-        found = plain.join(wanted.select("rep").distinct(), plain.doc_id.eqNullSafe(F.col("rep")), "left_semi").mapInArrow(run(None), schema)
-    return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-
+    """cid and set (hashes) of the wanted classes (cid, key), one row each. Texts go by a filter of fixed size first, then by a join."""
+    keep = key_filter(wanted, KEY, FILTER_BITS)
 
-def _shared(docs: DataFrame, ids: np.ndarray, run):
-    value = docs.sparkSession.sparkContext.broadcast(ids)
-    return lambda batches: run(value.value)(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = whole.filter(pa.array(keep(whole.column(KEY).to_numpy())))
+            for lo in range(0, whole.num_rows, ROWS):
+                sets = [s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)]
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([class_id(s) for s in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["cid", "set"])
+
+    found = docs.select("text", F.xxhash64("text").alias(KEY)).mapInArrow(run, "cid long, set array<long>")
+    return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +130,7 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                both = np.concatenate((u, v))
+                both = np.concatenate((x.values.to_numpy(), y.values.to_numpy()))
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(100 * same >= percent * (len(both) - same))
@@ -177,6 +150,29 @@ def _collisions(pairs: DataFrame, classes: DataFrame, least: int, percent: int)
     return counted.where(F.col("n") >= least)
 
 
+class _Groups:
+    """The components that links have joined so far: cid and c of every class that has a posting."""
+
+    def __init__(self, wanted: DataFrame, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.of = wanted.select("cid", F.col("cid").alias("c"))
+
+    def join(self, rows: DataFrame) -> DataFrame:
+        """rows, which have a cid, with their component c."""
+        return rows.join(self.of, "cid")
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Confirm pairs (a, b) and merge what they link; whether there was a link."""
+        links = materialize(_confirm(self.sets, pairs, self.percent), "links")
+        a, b = self.of.toDF("a", "ca"), self.of.toDF("b", "cb")
+        between = materialize(links.join(a, "a").join(b, "b").where("ca <> cb").select("ca", "cb").distinct(), "links")
+        if between.isEmpty():
+            return False
+        roots = connected_components(between, "ca", "cb").toDF("c", "root")
+        self.of = materialize(self.of.join(roots, "c", "left").select("cid", F.coalesce("root", "c").alias("c")), "groups")
+        return True
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text).
 
@@ -194,76 +190,131 @@ def _judged(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS) -
     """near_duplicates with the number of each row, as the table of signatures stores it."""
     least = least_matches(percent / 100)
     base = materialize(_signatures(docs, shingle), "signatures")
-    full = base.where("n_shingles > 0")
-    classes = materialize(full.groupBy("cid").agg(
+    classes = materialize(base.where("n_shingles > 0").groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
-        F.min(ROW).alias("first")), "classes")
+        F.min(ROW).alias("first"), F.min(KEY).alias(KEY)), "classes")
     lists = _prefix_lists(classes, least)
-    wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep")
+    wanted = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi"), "wanted")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
-    links = None
-    roots = None
-    for r in range(rounds + 1):
-        member = lists if roots is None else lists.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        member = member.withColumn("_c", F.coalesce(F.col("root"), F.col("cid"))) if roots is not None else member.withColumn("_c", F.col("cid"))
-        if r < rounds:
-            pairs = _proposals(member, classes, least, percent, r)
-        else:
-            pairs = _remaining(member, classes, sets, percent)
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_confirm(sets, pairs, percent), "links")
-        links = found if links is None else links.union(found)
-        roots = materialize(connected_components(links), "roots")
-    return _label(base, classes, roots)
+    groups = _Groups(wanted, sets, percent)
+    for r in range(rounds):
+        if not groups.link(_proposals(groups.join(lists), wanted, least, percent, r)):
+            break
+    _link_by_shingles(groups, lists, wanted, least)
+    return _label(base, classes, groups.of)
 
 
 def _prefix_lists(classes: DataFrame, least: int) -> DataFrame:
-    """cid, j, v, i and p: the postings that are needed to find partners, with their place in the class's prefix p (from 1)."""
+    """cid, j, v and shared: the postings that are needed to find partners; shared is the length of all lists that the class is in."""
     posted = classes.select("cid", F.posexplode("sig").alias("j", "v"))
     counts = posted.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(counts, ["j", "v"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "j", "v"))).alias("s"))
+    shared = posted.join(counts, ["j", "v"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "j", "v"))).alias("s"), F.sum("n").alias("shared"))
     prefix = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.size("s") - least + 1))
-    cut = shared.where(F.size("s") >= least).select("cid", prefix.alias("s")).withColumn("p", F.transform("s", lambda x: x["j"].cast("long") * (1 << 32) + x["v"]))
-    rows = cut.select("cid", "p", F.posexplode("s").alias("i", "x")).select("cid", (F.col("i") + 1).alias("i"), "p", "x.j", "x.v")
-    return materialize(rows, "postings")
+    cut = shared.where(F.size("s") >= least).select("cid", "shared", F.explode(prefix).alias("x"))
+    return materialize(cut.select("cid", "shared", "x.j", "x.v"), "postings")
 
 
 def _proposals(member: DataFrame, classes: DataFrame, least: int, percent: int, r: int) -> DataFrame:
-    """For each class the leader of one of its lists, of another component, with most collisions."""
+    """For each class the leader of one of its lists, of another component, with most collisions. In round 0 lists elect
+    the class that shares most, later one of a few by hash."""
+    order = F.struct(F.lit(0) - F.col("shared"), F.xxhash64("cid")) if r == 0 else F.struct(F.lit(0), F.xxhash64(F.lit(r), F.col("j") % 4, "cid"))
     leader = member.groupBy("j", "v").agg(
-        F.min(F.struct(F.xxhash64(F.lit(r), "j", "cid").alias("h"), F.col("cid").alias("l"), F.col("_c").alias("c"))).alias("_l"), F.count("*").alias("n")
+        F.min(F.struct(order.alias("o"), F.col("cid").alias("l"), F.col("c").alias("c"))).alias("_l"), F.count("*").alias("n")
     ).where("n > 1").select("j", "v", F.col("_l.l").alias("a"), F.col("_l.c").alias("ca"))
-    pairs = member.join(leader, ["j", "v"]).where("_c <> ca").select("a", F.col("cid").alias("b")).distinct()
-    counted = _collisions(pairs, classes, least, percent)
-    best = counted.groupBy("b").agg(F.max(F.struct("n", "a")).alias("_m"))
+    pairs = member.join(leader, ["j", "v"]).where("c <> ca").select("a", F.col("cid").alias("b")).distinct()
+    best = _collisions(pairs, classes, least, percent).groupBy("b").agg(F.max(F.struct("n", "a")).alias("_m"))
     return best.select(F.col("_m.a").alias("a"), "b")
 
 
-def _remaining(member: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that meet in a list and that their signatures and sizes allow; each at
-    the first list that they share."""
-    mixed = member.groupBy("j", "v").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).where("lo < hi").select("j", "v")
-    about = classes.select("cid", F.col("n_shingles").alias("size")).join(sets.select("cid", "fine"), "cid")
-    m = member.join(mixed, ["j", "v"], "left_semi").select("j", "v", "cid", "_c", "i", "p").join(about, "cid")
-    a, b = m.alias("a"), m.alias("b")
+def _enough(n: Column, other: Column, percent: int) -> Column:
+    """Shingles that sets of these sizes share at the threshold, at least."""
+    return F.ceil((n + other) * percent / (100 + percent))
 
-    def differing(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    # cheap conditions first; each pair passes at one list only
-    allowed = (
-        (F.col("a.j") == F.col("b.j")) & (F.col("a.v") == F.col("b.v")) & (F.col("a._c") < F.col("b._c"))
-        & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
-        & ~F.arrays_overlap(F.slice("a.p", F.lit(1), F.col("a.i") - 1), F.col("b.p"))
-        & (F.aggregate(F.zip_with("a.fine", "b.fine", differing), F.lit(0), lambda n, x: n + x) <= most_mismatches(percent / 100)))
-    return a.join(b, allowed).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+def _shingle_lists(groups: _Groups, lists: DataFrame, percent: int) -> DataFrame:
+    """cid, c, n, i, t and band: classes posted under the shingles by which they can find partners of another component.
 
-
-def _label(base: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    of_class = classes.join(roots, classes.cid == roots.node, "left").select(
-        "cid", "rep", "copies", "first", F.coalesce("root", "cid").alias("_root"), F.col("root").isNotNull().alias("_linked"))
+    i is the shingle's place in its class, rarest first; behind it n - i shingles are left, the shingle itself included.
+    A class is posted in the band of its own size and as a guest in the bands above that partners can have.
+    """
+    mixed = groups.join(lists).groupBy("j", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("j", "v")
+    open_ = lists.join(mixed, ["j", "v"], "left_semi").select("cid").distinct()
+    tokens = groups.sets.join(open_, "cid", "left_semi").select("cid", F.size("set").alias("n"), F.explode("set").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(often, "t").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    alone = F.col("n") - F.size("s")  # shingles of this class only come first
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    placed = ranked.where(alone < most).select(
+        "cid", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), (most - alone).cast("int"))).alias("p", "x")).select(
+        "cid", "n", (F.col("alone") + F.col("p")).alias("i"), "x.t")
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND))
+    own, last = band(F.col("n")), band(F.col("n") * 100.0 / percent)
+    posted = groups.join(placed).select("*", (own).alias("own"), F.explode(F.sequence(own, last)).alias("band"))
+    # a guest meets only classes of the band's sizes or more
+    least_size = F.greatest("n", F.ceil(F.pow(F.lit(BAND), "band") - 1e-6))
+    posted = posted.where((F.col("band") == F.col("own")) | (F.col("n") - F.col("i") >= _enough(F.col("n"), least_size, percent)))
+    posted = materialize(posted.withColumn("home", F.col("band") == F.col("own")).drop("own"), "shingles")
+    sizes = posted.groupBy("t", "band").agg(
+        F.min("n").alias("any_n"), F.min(F.when(F.col("home"), F.col("n"))).alias("home_n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    sizes = sizes.where("lo < hi and home_n is not null").select("t", "band", "any_n", "home_n")
+    partner = F.when(F.col("home"), F.col("any_n")).otherwise(F.col("home_n"))
+    alive = posted.join(sizes, ["t", "band"]).where(F.col("n") - F.col("i") >= _enough(F.col("n"), partner, percent))
+    return materialize(alive.drop("any_n", "home_n"), "shingles")
+
+
+def _link_by_shingles(groups: _Groups, lists: DataFrame, classes: DataFrame, least: int) -> None:
+    """Find all links between components that are left: short lists pair by pair, then leaders of the long ones."""
+    percent = groups.percent
+    alive = _shingle_lists(groups, lists, percent).drop("c")
+    done = None  # the leaders that have been compared, with their lists
+
+    def open_lists() -> tuple[DataFrame, DataFrame]:
+        now = groups.join(alive if done is None else alive.join(done, ["t", "band", "cid"], "left_anti"))
+        now = materialize(now, "lists")
+        by_group = now.groupBy("t", "band", "c").agg(F.count("*").alias("m"), F.max("home").alias("homes"))
+        about = by_group.groupBy("t", "band").agg(
+            F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("groups"), F.max("homes").alias("homes")).where("groups > 1 and homes")
+        return now, materialize(about.select("t", "band", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.c").alias("top")), "lists")
+
+    def compare(pairs: DataFrame) -> None:
+        groups.link(_collisions(materialize(pairs.distinct(), "pairs"), classes, least, percent))
+
+    now, about = open_lists()
+    short = now.join(about.where(F.col("m") <= SHORT), ["t", "band"])
+    compare(_pairs(short, short, percent))
+    long_lists = about.where(F.col("m") > SHORT).select("t", "band")
+    if long_lists.isEmpty():
+        return
+    alive, r = materialize(alive.join(long_lists, ["t", "band"], "left_semi"), "lists"), 0
+    while True:
+        now, about = open_lists()
+        if about.isEmpty():
+            return
+        member = now.join(about, ["t", "band"])
+        # only classes outside the list's largest component have to be compared with all
+        drawn = F.xxhash64(F.lit(r), "t", "cid")
+        chosen = member.where(F.col("c") != F.col("top")).where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("t", "band").agg(
+            F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("h"), "cid"))), 1, 2 * LEADERS).alias("s"))
+        leaders = materialize(chosen.select("t", "band", F.explode("s").alias("x")).select("t", "band", "x.cid"), "leaders")
+        compare(_pairs(member.join(leaders, ["t", "band", "cid"]), member, percent, both=True))
+        done = leaders if done is None else materialize(done.union(leaders), "leaders")
+        r += 1
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, both: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components in one list whose sizes and places leave room for a link; each once if
+    left is right, else every class of left with every one of right."""
+    x, y = left.alias("x"), right.alias("y")
+    na, nb = F.col("x.n"), F.col("y.n")
+    room = F.least(na - F.col("x.i"), nb - F.col("y.i")) >= _enough(na, nb, percent)
+    once = F.col("x.cid") != F.col("y.cid") if both else F.col("x.cid") < F.col("y.cid")
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & once & (F.col("x.home") | F.col("y.home")) & room
+    return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+
+
+def _label(base: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    of_class = classes.join(groups, "cid", "left").select(
+        "cid", "rep", "copies", "first", F.col("c").alias("_root"), F.col("c").isNotNull().alias("_linked"))
     # the least id and one class that has it; classes without ids come last
     names = of_class.where("_linked").groupBy("_root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("_m"))
     named = of_class.where("_linked").join(names, "_root").select(

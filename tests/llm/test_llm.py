@@ -326,6 +326,26 @@ def test_near_duplicates(spark, sf_dir, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("short, leaders", [(near_duplicates.SHORT, near_duplicates.LEADERS), (4, 3)])
+def test_large_group_of_near_copies(spark, monkeypatch, short, leaders):
+    """500 copies with up to eight changed words; a third of them is linked with none."""
+    monkeypatch.setattr(near_duplicates, "SHORT", short)
+    monkeypatch.setattr(near_duplicates, "LEADERS", leaders)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in rng.integers(0, 400, 150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for x in rng.integers(0, len(w), i % 9):
+            w[x] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 3, 85)
+    alone = Counter(c for _, c in want.values())
+    assert 100 < sum(n == 1 for n in alone.values()) < 400
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_odd_copies(spark, odd, empty):
     got = near_duplicates.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
