@@ -42,14 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step", compression: str = "snappy") -> DataFrame:
-    """Cut the lineage by writing df as Parquet to the shared folder and reading it again; a lost executor then costs no recomputation."""
+def materialize(df: DataFrame, label: str = "step", compression: str = "snappy", few: bool = False) -> DataFrame:
+    """Cut the lineage by writing df as Parquet to the shared folder and reading it again; a lost executor then costs no recomputation.
+
+    few: for narrow tables, no more files than the cluster has cores."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if few else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once for a row and hand it to body as a variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -70,7 +80,7 @@ def key_filter(rows: DataFrame, key: str, bits: int):
     join has to remove.
     """
     place = F.pmod(key, F.lit(1 << bits)) + 1
-    found = rows.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(
+    found = rows.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(
         F.bitmap_construct_agg("p").alias("m")).collect()  # 2 ** bits / 32768 rows at most
     whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for r in found:

@@ -5,9 +5,9 @@
 2. Each class is posted under every pair of coordinate and value. Pairs that only one class has are skipped: a
    class with fewer shared coordinates than the match threshold can have no partner, and of the others only the
    prefix of the rarest is needed, since two classes that agree in `least` coordinates have one in either's prefix.
-3. Rounds: every posting list elects a leader, first the class whose coordinates are shared most, later one by a hash;
-   each class proposes to the leader with which its signature has most collisions, and the proposal is confirmed on
-   the full sets. So a group of thousands costs one comparison for each member and round, not one for each pair.
+3. Every posting list elects two leaders, the class whose coordinates are shared most and one by a hash; each class
+   proposes to the leader of either kind with which its signature has most collisions, and proposals are confirmed on
+   the full sets. So a group of thousands costs two comparisons for each member, not one for each pair.
 4. Lists that still hold several components are looked at by their shingles: rarest first, two sets at the threshold
    share a shingle that comes so early in both that enough of either set is left behind it. Shingles that one class
    alone has, and lists whose places or sizes rule out a link or that lie in one component, are skipped. What is left
@@ -31,10 +31,8 @@ from marlstone.llm.components import connected_components
 from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
 COORDINATES = 64
-#: Rounds of proposals at most before lists are looked at by shingles; it changes the cost only.
-ROUNDS = 2
 #: Lists of so many classes are compared pair by pair; of longer ones LEADERS classes a round are compared with all.
-SHORT, LEADERS = 256, 64
+SHORT, LEADERS = 256, 256
 #: Sizes within this ratio share a band.
 BAND = 1.04
 #: Bits of the filter of texts whose sets are kept; its false hits are joined away.
@@ -140,13 +138,13 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _collisions(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+def _collisions(pairs: DataFrame, classes: DataFrame, least: int, percent: int, *more: str) -> DataFrame:
     """The pairs (a, b) with n (coordinates that agree) of at least `least` and sizes within the threshold."""
     a = classes.select(F.col("cid").alias("a"), F.col("sig").alias("ga"), F.col("n_shingles").alias("na"))
     b = classes.select(F.col("cid").alias("b"), F.col("sig").alias("gb"), F.col("n_shingles").alias("nb"))
     same = F.size(F.filter(F.arrays_zip("ga", "gb"), lambda z: z["ga"] == z["gb"]))
     counted = pairs.join(a, "a").join(b, "b").where(
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", same.alias("n"))
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", *more, same.alias("n"))
     return counted.where(F.col("n") >= least)
 
 
@@ -163,17 +161,17 @@ class _Groups:
 
     def link(self, pairs: DataFrame) -> bool:
         """Confirm pairs (a, b) and merge what they link; whether there was a link."""
-        links = materialize(_confirm(self.sets, pairs, self.percent), "links")
+        links = _confirm(self.sets, pairs, self.percent)
         a, b = self.of.toDF("a", "ca"), self.of.toDF("b", "cb")
-        between = materialize(links.join(a, "a").join(b, "b").where("ca <> cb").select("ca", "cb").distinct(), "links")
+        between = materialize(links.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), "links", few=True)
         if between.isEmpty():
             return False
         roots = connected_components(between, "ca", "cb").toDF("c", "root")
-        self.of = materialize(self.of.join(roots, "c", "left").select("cid", F.coalesce("root", "c").alias("c")), "groups")
+        self.of = materialize(self.of.join(roots, "c", "left").select("cid", F.coalesce("root", "c").alias("c")), "groups", few=True)
         return True
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text).
 
     Two texts are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
@@ -183,10 +181,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     takes the component's least id, or null if no row of it has one; of the latter, one row of each component is kept.
     Extra columns are ignored; an empty table gives an empty result.
     """
-    return _judged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW)), shingle, percent, rounds).drop(ROW)
+    return _judged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW)), shingle, percent).drop(ROW)
 
 
-def _judged(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """near_duplicates with the number of each row, as the table of signatures stores it."""
     least = least_matches(percent / 100)
     base = materialize(_signatures(docs, shingle), "signatures")
@@ -197,9 +195,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, rounds: int = ROUNDS) -
     wanted = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi"), "wanted")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
     groups = _Groups(wanted, sets, percent)
-    for r in range(rounds):
-        if not groups.link(_proposals(groups.join(lists), wanted, least, percent, r)):
-            break
+    groups.link(_proposals(lists, wanted, least, percent))
     _link_by_shingles(groups, lists, wanted, least)
     return _label(base, classes, groups.of)
 
@@ -214,16 +210,15 @@ def _prefix_lists(classes: DataFrame, least: int) -> DataFrame:
     return materialize(cut.select("cid", "shared", "x.j", "x.v"), "postings")
 
 
-def _proposals(member: DataFrame, classes: DataFrame, least: int, percent: int, r: int) -> DataFrame:
-    """For each class the leader of one of its lists, of another component, with most collisions. In round 0 lists elect
-    the class that shares most, later one of a few by hash."""
-    order = F.struct(F.lit(0) - F.col("shared"), F.xxhash64("cid")) if r == 0 else F.struct(F.lit(0), F.xxhash64(F.lit(r), F.col("j") % 4, "cid"))
-    leader = member.groupBy("j", "v").agg(
-        F.min(F.struct(order.alias("o"), F.col("cid").alias("l"), F.col("c").alias("c"))).alias("_l"), F.count("*").alias("n")
-    ).where("n > 1").select("j", "v", F.col("_l.l").alias("a"), F.col("_l.c").alias("ca"))
-    pairs = member.join(leader, ["j", "v"]).where("c <> ca").select("a", F.col("cid").alias("b")).distinct()
-    best = _collisions(pairs, classes, least, percent).groupBy("b").agg(F.max(F.struct("n", "a")).alias("_m"))
-    return best.select(F.col("_m.a").alias("a"), "b")
+def _proposals(lists: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """For each class the leader of one of its lists with most collisions, among those that share most and those by hash."""
+    central = F.min(F.struct((-F.col("shared")).alias("o"), F.xxhash64("cid").alias("h"), "cid"))
+    drawn = F.min(F.struct(F.xxhash64(F.lit("drawn"), F.col("j") % 4, "cid").alias("h"), "cid"))
+    leaders = lists.groupBy("j", "v").agg(central.alias("x"), drawn.alias("y")).select("j", "v", F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("x.cid").alias("a")), F.struct(F.lit(1).alias("kind"), F.col("y.cid").alias("a"))).alias("s"))
+    pairs = lists.join(leaders, ["j", "v"]).select(F.col("cid").alias("b"), F.inline("s")).where("a <> b").distinct()
+    best = _collisions(pairs, classes, least, percent, "kind").groupBy("b", "kind").agg(F.max(F.struct("n", "a")).alias("m"))
+    return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
 
 
 def _enough(n: Column, other: Column, percent: int) -> Column:
@@ -270,35 +265,33 @@ def _link_by_shingles(groups: _Groups, lists: DataFrame, classes: DataFrame, lea
 
     def open_lists() -> tuple[DataFrame, DataFrame]:
         now = groups.join(alive if done is None else alive.join(done, ["t", "band", "cid"], "left_anti"))
-        now = materialize(now, "lists")
+        now = materialize(now, "lists", few=True)
         by_group = now.groupBy("t", "band", "c").agg(F.count("*").alias("m"), F.max("home").alias("homes"))
         about = by_group.groupBy("t", "band").agg(
             F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("groups"), F.max("homes").alias("homes")).where("groups > 1 and homes")
-        return now, materialize(about.select("t", "band", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.c").alias("top")), "lists")
+        return now, materialize(about.select("t", "band", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.c").alias("top")), "lists", few=True)
 
     def compare(pairs: DataFrame) -> None:
-        groups.link(_collisions(materialize(pairs.distinct(), "pairs"), classes, least, percent))
-
-    now, about = open_lists()
-    short = now.join(about.where(F.col("m") <= SHORT), ["t", "band"])
-    compare(_pairs(short, short, percent))
-    long_lists = about.where(F.col("m") > SHORT).select("t", "band")
-    if long_lists.isEmpty():
-        return
-    alive, r = materialize(alive.join(long_lists, ["t", "band"], "left_semi"), "lists"), 0
+        groups.link(_collisions(pairs.distinct(), classes, least, percent))
+
+    r = 0
     while True:
         now, about = open_lists()
         if about.isEmpty():
             return
         member = now.join(about, ["t", "band"])
-        # only classes outside the list's largest component have to be compared with all
+        short, long_ = member.where(F.col("m") <= SHORT), member.where(F.col("m") > SHORT)
+        # only classes outside a list's largest component have to be compared with all
         drawn = F.xxhash64(F.lit(r), "t", "cid")
-        chosen = member.where(F.col("c") != F.col("top")).where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("t", "band").agg(
+        chosen = long_.where(F.col("c") != F.col("top")).where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("t", "band").agg(
             F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("h"), "cid"))), 1, 2 * LEADERS).alias("s"))
-        leaders = materialize(chosen.select("t", "band", F.explode("s").alias("x")).select("t", "band", "x.cid"), "leaders")
-        compare(_pairs(member.join(leaders, ["t", "band", "cid"]), member, percent, both=True))
-        done = leaders if done is None else materialize(done.union(leaders), "leaders")
-        r += 1
+        leaders = materialize(chosen.select("t", "band", F.explode("s").alias("x")).select("t", "band", "x.cid"), "leaders", few=True)
+        compare(_pairs(short, short, percent).union(_pairs(member.join(leaders, ["t", "band", "cid"]), long_, percent, both=True)))
+        left = about.where((F.col("m") > SHORT) & (F.col("others") > LEADERS)).select("t", "band")
+        if left.isEmpty():
+            return
+        alive, r = materialize(alive.join(left, ["t", "band"], "left_semi"), "lists", few=True), r + 1
+        done = leaders if done is None else materialize(done.union(leaders), "leaders", few=True)
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, both: bool = False) -> DataFrame:
