@@ -9,32 +9,30 @@ doc_id, with the position of their first id in the shard, so that any reader of
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import bits_for, materialize, shared_dir, table
+from marlstone.llm.common import materialize, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids in one block of a file, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-#: Word pieces that a Python worker remembers.
-REMEMBERED = 300_000
-#: Documents in one shard, about, and most shards.
-SHARD_ROWS, MOST_SHARDS = 20_000, 4_096
-
-# The characters for which the short way below is exact (ASCII but for "<", and precomposed Latin-1 letters).
-_PLAIN = re.compile(r"[\t\n\r -;=-~À-ÖØ-öø-ÿ]*")
-# The tokenizer's own pattern for those characters, lower-cased.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Pieces of text between blanks that a Python worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 48
+#: Documents in one shard, about.
+SHARD_ROWS = 20_000
+#: Texts that are encoded together.
+TEXTS = 256
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -43,48 +41,76 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """What byte-level vocabularies write for each byte: printable Latin-1 as itself, the others from U+0100 on, in order."""
-    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in keep]
-    return {b: chr(b) for b in keep} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
+def blanks_part(config: dict) -> bool:
+    """Whether a tokenizer's file says that what blanks part is encoded each by itself and blanks give no ids.
 
-class Encoder(dict):
-    """Texts to ids of the lower-case word vocabulary; remembers the ids of pieces of words."""
+    Its normaliser may compose, lower-case and replace white space; its first split must keep matches of a pattern
+    only, none of which takes a blank or a newline in.
+    """
+    import regex
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+
+    for n in steps(config.get("normalizer"), "normalizers"):
+        if not (n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "):
+            return False
+    split, *rest = steps(config.get("pre_tokenizer"), "pretokenizers") or [{"type": None}]
+    if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"]:
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in rest):
+        return False
+    if config.get("post_processor") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in config["added_tokens"]):
+        return False
+    around = ["a{}b", "{}", "1{}2", ".{}!", "'{}s", "a{}", "{}b", "{}.", "a{0}{0}b"]
+    return not any(c in m[0] for c in " \n" for x in around for m in regex.finditer(split["pattern"]["Regex"], x.format(c)))
+
+
+class Encoder:
+    """Texts to ids by the tokenizers library.
+
+    Where blanks part a text (see blanks_part), each distinct piece is encoded once and remembered, and the first texts
+    are compared with what the library gives for them whole; any other tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.library = Tokenizer.from_file(path)
         #: ids fit in two bytes or take four
-        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-        self.model = self.whole.model
-        letters = _byte_letters()
-        self.spelled = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece.translate(self.spelled))], dtype=self.kind).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian integers of `kind`; none for null."""
-        if not text:
-            return b""
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
-        # the normaliser and the vocabulary never join what blanks and newlines part
-        out = []
-        for part in re.split("[ \n]+", text):
-            out.append(b"".join(map(self.__getitem__, _PIECE.findall(part.lower()))) if _PLAIN.fullmatch(part) else self.slow(part))
-        return b"".join(out)
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.parted = blanks_part(config)
+        #: ASCII may be lower-cased before
+        self.lower = '"Lowercase"' in json.dumps(config.get("normalizer"))
+        self.known: dict[str, bytes] = {"": b""}
+        self.unchecked = 8
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian integers of `kind`; none for null."""
+        whole = [t or "" for t in texts]
+        if not self.parted:
+            return self._bytes(whole)
+        split = [(t.lower() if self.lower and t.isascii() else t).replace("\n", " ").split(" ") for t in whole]
+        new = list(set().union(*split).difference(self.known))
+        found = dict(zip(new, self._bytes(new), strict=True))
+        if len(self.known) + len(found) > REMEMBERED:
+            self.known = {"": b""}
+            found |= dict(zip(more := list(set().union(*split).difference(found)), self._bytes(more), strict=True))
+        self.known |= found
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        for k in [k for k in found if len(k) > LONGEST]:
+            del self.known[k]
+        if self.unchecked:
+            if out[: self.unchecked] != self._bytes(whole[: self.unchecked]):
+                raise ValueError("this tokenizer does not encode what blanks part each by itself")
+            self.unchecked = max(0, self.unchecked - len(out))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -130,12 +156,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFra
         enc = encoder(path)
         width = int(enc.kind[-1])
         tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
-        for b in batches:
-            ids = [enc.ids(t) + tail for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()),
-                 pa.array([_planes(width, x) for x in ids], pa.binary())],
-                names=["doc_id", "width", "ids"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(lo, TEXTS)
+                ids = [_planes(width, x + tail) for x in enc.ids(b.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("width int, ids binary")]))
 
@@ -154,9 +180,11 @@ def count_tokens(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            n = [len(enc.ids(t)) // int(enc.kind[-1]) + one for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(lo, TEXTS)
+                n = [len(x) // int(enc.kind[-1]) + one for x in enc.ids(b.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_tokens long")]))
 
@@ -178,27 +206,15 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
     return np.array([r.id for r in rows.select("id").collect()], dtype="<u4")
 
 
-def _shard(rows: DataFrame, shards: int) -> Column:
-    """The number of the range of doc_id that a row lies in, from about even ranges; ids that are no numbers go by their order, too."""
-    if shards == 1:
-        return F.lit(0)
-    if rows.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        # bounds from an ordered sample of bounded size
-        sample = sorted(r.doc_id for r in rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(20 * shards).collect())
-        bounds = sample[20::20]
-    else:
-        bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)})
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0))
-
-
 def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int | None = END_ID) -> str:
     """Encode docs(doc_id, text) and write blocks and the table of ranks below `out`; returns `out`.
 
-    Null texts are empty and give the end id alone. Null ids come first; rows with equal ids keep an order by
-    their code. Extra columns are ignored, an empty table gives files without blocks.
+    Null texts are empty and give the end id alone. Null ids come first; rows with equal ids keep an order by a hash
+    of their ids and by their place, so that one id with very many rows spreads over shards, too. Extra columns are
+    ignored, an empty table gives files without blocks.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     staged = materialize(tokenize(docs, path, end_id), "tokens", "zstd")
@@ -206,48 +222,36 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
     to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, dtype="<u4")
     to_rank[by_rank] = np.arange(len(by_rank), dtype="<u4")
     shared = spark.sparkContext.broadcast(to_rank)  # one entry for each id of the vocabulary
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [shared.value[_ids(w, x.as_buffer())] for w, x in zip(b.column("width").to_pylist(), b.column("ids"), strict=True)]
-            pairs = [encode_ranks(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
-                                              pa.array([c for c, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())],
-                                             names=["shard", "doc_id", "n", "control", "data"])
+    arrow = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))),
+                       ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, held, start, no = 0, [], 0, 0, 0
-        arrow = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(id_type)),
-                           ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
+        from pyspark import TaskContext
+
+        shard, rows, held, start, no = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def block() -> pa.RecordBatch:
-            # each document's control bytes begin anew, so its code is copied as it is
+            # each document's control bytes begin anew
             return pa.RecordBatch.from_pylist([{
                 "shard": shard, "block": no, "start": start, "doc_ids": [r[0] for r in rows], "lengths": [r[1] for r in rows],
                 "control": b"".join(r[2] for r in rows), "data": b"".join(r[3] for r in rows)}], schema=arrow)
 
         for b in batches:
-            for own, *r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "control", "data")), strict=True):
-                if rows and (held + r[1] > BLOCK_IDS or own != shard):
+            for doc_id, width, ids in zip(b.column("doc_id").to_pylist(), b.column("width").to_pylist(), b.column("ids"), strict=True):
+                ranks = shared.value[_ids(width, ids.as_buffer())]
+                if rows and held + len(ranks) > BLOCK_IDS:
                     yield block()
                     rows, start, held, no = [], start + held, 0, no + 1
-                if own != shard:
-                    shard, start, no = own, 0, 0
-                rows.append(r)
-                held += r[1]
+                rows.append((doc_id, len(ranks), *encode_ranks(ranks)))
+                held += len(ranks)
         if rows:
             yield block()
 
     schema = f"shard int, block long, start long, doc_ids array<{dict(docs.dtypes)['doc_id']}>, lengths array<long>, control binary, data binary"
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    shards = min(MOST_SHARDS, bits_for(staged.count(), SHARD_ROWS))
-    cut = staged.withColumn("shard", _shard(staged, shards))
-    fields = StructType([*StructType.fromDDL("shard int"), docs.schema["doc_id"], *StructType.fromDDL("n long, control binary, data binary")])
-    coded = cut.select("shard", "doc_id", "width", "ids").mapInArrow(code, fields)
-    ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "data")
-    ordered.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    order = ["doc_id", "_tie", "_row"]
+    tied = staged.select("*", F.xxhash64("ids").alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+    ranged = tied.repartitionByRange(-(-max(1, staged.count()) // SHARD_ROWS), *order).sortWithinPartitions(*order)
+    ranged.select("doc_id", "width", "ids").mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id long").write.parquet(f"{out}/ranks")
     return out
 
@@ -299,9 +303,10 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     tokens_from, truncated_total (ids kept when documents are cut to this length) and rank_high (share of
     documents this long or shorter).
 
-    Sums run over spans of lengths first and inside each span then, so that no task holds the whole histogram.
+    percents are the whole per cents of documents whose quantile is this length. Sums run over spans of lengths first and
+    inside each span then, so that no task holds the whole histogram. The histogram is computed once.
     """
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / SPAN).alias("_span"))
+    h = materialize(histogram, "lengths").select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / SPAN).alias("_span"))
     spans = h.groupBy("_span").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     below = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = spans.select(
@@ -316,15 +321,20 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
         "length", "n_docs", "n_tokens", "docs_below", (F.col("_docs") - F.col("docs_below")).alias("docs_from"), "tokens_below",
         (F.col("_tokens") - F.col("tokens_below")).alias("tokens_from"),
         (F.col("tokens_below") + F.col("length") * (F.col("_docs") - F.col("docs_below"))).alias("truncated_total"),
-        ((F.col("docs_below") + F.col("n_docs")) / F.col("_docs")).alias("rank_high"))
+        F.try_divide(F.col("docs_below") + F.col("n_docs"), F.col("_docs")).alias("rank_high"),
+        F.when(F.col("n_docs") > 0, F.expr("filter(sequence(100 * docs_below div _docs + 1, 100 * (docs_below + n_docs) div _docs), p -> 100 * docs_below < p * _docs and p * _docs <= 100 * (docs_below + n_docs))")
+               ).alias("percents"))
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit and the ids kept when every document is cut to it, for any limits."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    shorter = [F.sum(F.when(F.col("length") <= x, F.col("n_tokens")).otherwise(x * F.col("n_docs"))).alias(str(x)) for x in dict.fromkeys(limits)]
-    row = sums.agg(*shorter).select(F.explode(F.create_map(*[y for x in dict.fromkeys(limits) for y in (F.lit(int(x)).cast("long"), F.coalesce(F.col(f"`{x}`"), F.lit(0)).cast("long"))])).alias("limit", "total"))
-    return asked.join(row, "limit")
+    """limit and the ids kept when every document is cut to it, for any limits: what lies below the next length in the
+    table, and the limit for each document from there on. Of an empty table there is no total."""
+    asked = list(dict.fromkeys(map(int, limits)))
+    after = [F.min(F.when(F.col("length") >= x, F.struct("length", "tokens_below", "docs_from"))).alias(f"l{i}") for i, x in enumerate(asked)]
+    row = sums.agg(*after, F.max(F.struct("length", (F.col("tokens_below") + F.col("n_tokens")).alias("all"))).alias("top"))
+    totals = [F.struct(F.lit(x).cast("long").alias("limit"), F.coalesce(
+        F.col(f"l{i}.tokens_below") + x * F.col(f"l{i}.docs_from"), F.col("top.all")).alias("total")) for i, x in enumerate(asked)]
+    return row.select(F.inline(F.array(*totals))).where("total is not null")
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
@@ -334,8 +344,15 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     return sums.agg(*exprs).select(F.explode(F.create_map(*pairs)).alias("share", "length"))
 
 
+#: Context limits that the query answers beside the lengths that occur.
+LIMITS = [1 << k for k in range(9, 18)]
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+    """The suffix sums at every length that occurs and, with no documents of their own, at the usual context limits."""
+    counted = length_histogram(table(spark, sf_dir, "documents"), tokenizer_path())
+    limits = spark.createDataFrame([(x, 0) for x in LIMITS], "length long, n_docs long")
+    return with_suffix_sums(counted.union(limits).groupBy("length").agg(F.sum("n_docs").alias("n_docs")))
 
 
 QUERIES = {"op2_token_ids": op2_token_ids, "op5_token_counts": op5_token_counts}
