@@ -1,165 +1,144 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
 Every window of an item is a set of word shingles. Shingles are ordered by rarity in the documents; since a
-window must be contained whole, its prefix is its one rarest shingle. Documents meet windows by that
-shingle alone; the shingle's place in the window must leave room in the document (positional and length
-bounds), and the words are then compared one by one.
+window must be contained whole, its prefix is its one rarest shingle. Documents are posted under the shingles that are
+some window's prefix, at the places that leave room for the window before and behind (positional and length bounds).
+Postings and windows are joined on the shingle, and the words of the window are compared in the same join, so that a
+shingle that many windows and many documents share never pairs those that differ.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import table
-from marlstone.llm.wordhash import ALNUM, U, Words, shingles, words_of
+from marlstone.llm.common import fresh, key_filter, materialize, table
+from marlstone.llm.wordhash import ALNUM, U, Words, mix, shingles, words_of
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows that one pass over the documents looks for, so that what is broadcast stays small; more windows take more passes.
-WINDOWS_A_PASS = 200_000
+#: Bits of the filters of shingles that documents are held against before the joins.
+FILTER_BITS = 25
 #: Texts that are hashed together in a task.
 ROWS = 256
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, words (hashes): the distinct windows of each item. An item with fewer words than a window
-    is one window, an item without words none."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            w = words_of(pdf["text"].tolist(), ALNUM)
-            out = []
-            for i, item in enumerate(pdf["item_id"]):
-                h = w.of(i).astype(np.int64)
-                out += [(item, h[j : j + window].tolist()) for j in range(max(1, len(h) - window + 1))] if len(h) else []
-            yield pd.DataFrame(out, columns=["item_id", "words"]).astype({"words": object})
-
-    name = dict(items.dtypes)["item_id"]
-    return items.where("item_id is not null").select("item_id", "text").mapInPandas(
-        cut, f"item_id {name}, words array<long>").dropDuplicates()
-
-
-class WindowIndex:
-    """Windows of one pass: their words, owners and the shingles they consist of."""
-
-    def __init__(self, rows: list, shingle: int):
-        self.words = [np.array(r["words"], dtype=np.int64).view(U) for r in rows]
-        self.items = [sorted(map(str, r["items"])) for r in rows]
-        lens = {len(w) for w in self.words}
-        #: a window shorter than a shingle is one shingle of its own length
-        self.sizes = sorted({min(shingle, n) for n in lens})
-        self.shingle = shingle
-        parts = []
-        for i, w in enumerate(self.words):
-            k = min(shingle, len(w))
-            s, at = shingles(Words(w, np.array([0, len(w)])), k)
-            parts += [(k, int(x), i, int(o)) for x, o in zip(s, at, strict=True)]
-        self.entries = pd.DataFrame(parts, columns=["k", "s", "window", "offset"])
-
-    def all_shingles(self, k: int) -> np.ndarray:
-        return np.unique(self.entries.loc[self.entries.k == k, "s"].to_numpy(dtype=U))
-
-    def prefixes(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, ...]]:
-        """By shingle size: the rarest shingle of each window that the documents can hold whole, sorted."""
-        e = self.entries.assign(n=[counts.get((k, s), 0) for k, s in zip(self.entries.k, self.entries.s, strict=True)])
-        if not len(e):
-            return {}
-        e = e[e.groupby("window").n.transform("min") > 0]
-        e = e.sort_values(["window", "n", "s", "offset"]).drop_duplicates("window")
-        out = {}
-        for k, g in e.groupby("k"):
-            order = np.argsort(s := g.s.to_numpy(dtype=U), kind="stable")
-            out[int(k)] = (s[order], g.window.to_numpy()[order], g.offset.to_numpy()[order])
-        return out
-
-
-def _shingle_counts(docs: DataFrame, index: WindowIndex) -> dict[tuple[int, int], int]:
-    """How often each shingle of the windows occurs in the documents (one row for each that does)."""
-    sought = docs.sparkSession.sparkContext.broadcast({k: index.all_shingles(k) for k in index.sizes})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: np.zeros(len(v), dtype=np.int64) for k, v in sought.value.items()}
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROWS):
-                w = words_of(pdf["text"].iloc[lo : lo + ROWS].tolist(), ALNUM)
-                for k, v in sought.value.items():
-                    s, _ = shingles(w, k)
-                    p = np.searchsorted(v, s)
-                    hit = p[(p < len(v)) & (v[np.minimum(p, len(v) - 1)] == s)]
-                    total[k] += np.bincount(hit, minlength=len(v))
-        for k, v in sought.value.items():
-            at = np.flatnonzero(total[k])
-            yield pd.DataFrame({"k": np.full(len(at), k, dtype=np.int64), "i": at, "n": total[k][at]})
-
-    rows = docs.select("text").mapInPandas(count, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    return {(r.k, int(sought.value[r.k][r.i])): r.n for r in rows}
-
-
-def _match(words: Words, prefixes: dict, wins: list[np.ndarray], items: list[list[str]]) -> dict[int, tuple[np.ndarray, set[str]]]:
-    """By text: which of its words are hit, and the items with windows in it."""
-    found: dict[int, tuple[np.ndarray, set[str]]] = {}
-    if not len(words.hashes):
-        return found
-    text_of = words.texts()
-    for k, (keys, window, offset) in prefixes.items():
-        s, at = shingles(words, k)
-        lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-        for j in np.flatnonzero(hi > lo):
-            t = text_of[at[j]]
-            begin, end = words.ptr[t], words.ptr[t + 1]
-            for e in range(lo[j], hi[j]):
-                w = wins[window[e]]
-                start = at[j] - offset[e]
-                if start < begin or start + len(w) > end or not np.array_equal(words.hashes[start : start + len(w)], w):
-                    continue
-                hit, names = found.setdefault(int(t), (np.zeros(end - begin, dtype=bool), set()))
-                hit[start - begin : start - begin + len(w)] = True
-                names.update(items[window[e]])
-    return found
-
-
-def _one_pass(state: DataFrame, rows: list, shingle: int, drop: list[str]) -> DataFrame:
-    """state with _n (words), _hit (ranges of hit words, as starts and ends) and _items brought up to date."""
-    index = WindowIndex(rows, shingle)
-    shared = state.sparkSession.sparkContext.broadcast((index.prefixes(_shingle_counts(state, index)), index.words, index.items))
-    names = [c for c in state.columns if c not in ("_n", "_hit", "_items", *drop)]
+def plain_words(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased (bytes.lower knows no others)."""
+    return _WORD.findall((text or "").encode("utf-8", "replace").lower())
+
+
+def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k words and where they begin; runs of different lengths differ."""
+    s, at = shingles(words, k)
+    return mix(s + U(k)).view(np.int64), at
+
+
+def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """item_id, w (the words, a blank between), n (words) and s (shingles in order): the windows of each item. An item
+    with fewer words than a window is one window, an item without words or without an id none."""
+    schema = StructType([items.schema["item_id"], *StructType.fromDDL("w string, n int, s array<long>")])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for b in batches:
+            texts, out = b.column("text").to_pylist(), []
+            hashed = words_of(texts, ALNUM)
+            for i, item in enumerate(b.column("item_id").to_pylist()):
+                words, own = plain_words(texts[i]), hashed.of(i)
+                for j in range(max(1, len(words) - window + 1)) if words else ():
+                    w = own[j : j + window]
+                    s, _ = _shingles(Words(w, np.array([0, len(w)])), min(shingle, len(w)))
+                    out.append({"item_id": item, "w": b" ".join(words[j : j + window]).decode("utf-8", "replace"), "n": len(w), "s": s.tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(schema))
+
+    return items.where("item_id is not null").select("item_id", "text").mapInArrow(cut, schema)
+
+
+def shingle_counts(docs: DataFrame, parts: DataFrame, shingle: int) -> DataFrame:
+    """s and df: how often shingles occur in docs(text), for all shingles of parts(s) that do and, by the filter's false hits, some others."""
+    keep = key_filter(parts, "s", FILTER_BITS)
+    sizes = [r.k for r in parts.select("k").distinct().collect()]  # 1 to `shingle`
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                w = words_of(whole.column("text").slice(lo, ROWS).to_pylist(), ALNUM)
+                for k in sizes:
+                    s, _ = _shingles(w, k)
+                    u, n = np.unique(s[keep(s)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], names=["s", "n"])
+
+    return docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("df"))
+
+
+def window_prefixes(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """w, n, k, s, o and items: each distinct window all of whose shingles occur in docs, with its rarest one, the
+    shingle's length and place, and the sorted names of its items."""
+    wins = materialize(item_windows(items, window, shingle), "windows")
+    k = F.least(F.lit(shingle), F.col("n")).alias("k")
+    parts = materialize(wins.select("w", "n", "s").distinct().select("w", "n", k, F.posexplode("s").alias("o", "s")), "window-shingles")
+    rarest = parts.join(shingle_counts(docs, parts, shingle), "s", "left").groupBy("w", "n", "k").agg(
+        F.min(F.struct("df", "s", "o")).alias("p"), F.count("df").alias("found"), F.count("*").alias("all")).where("found = all")
+    owners = wins.groupBy("w").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return materialize(rarest.join(owners, "w").select("w", "n", "k", F.col("p.s").alias("s"), F.col("p.o").alias("o"), "items"), "prefixes")
+
+
+def postings(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """One row for each row of docs(doc_id, text) with n_words and s null, and one for each place of a document at which a
+    window can stand by its prefix: s, start and w (the words there). k1 and k2 are hashes of the text."""
+    keep = key_filter(prefixes, "s", FILTER_BITS)
+    room = [(r.k, r.n, r.o) for r in prefixes.select("k", "n", "o").distinct().collect()]  # a few dozen at most
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("k1 long, k2 long, n_words long, s long, start int, n int, w string")])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes, wins, items = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS):
                 b = whole.slice(lo, ROWS)
-                w = words_of(b.column("text").to_pylist(), ALNUM)
-                found = _match(w, prefixes, wins, items)
-                n, spans, owners = np.diff(w.ptr), b.column("_hit").to_pylist(), b.column("_items").to_pylist()
-                for i, (hit, who) in found.items():
-                    for x, y in zip(spans[i][::2], spans[i][1::2], strict=True):
-                        hit[x:y] = True
-                    spans[i] = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
-                    owners[i] = sorted({*who, *owners[i]})
-                cols = [b.column(c) for c in names] + [
-                    pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "_n", "_hit", "_items"])
-
-    return state.mapInArrow(probe, StructType([state.schema[c] for c in (*names, "_n", "_hit", "_items")]))
-
-
-def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, drop: list[str]) -> DataFrame:
-    wins = item_windows(items, window).groupBy("words").agg(F.collect_set("item_id").alias("items")).cache()
-    parts = max(1, -(-wins.count() // WINDOWS_A_PASS))
-    state = docs.withColumns({
-        "_n": F.lit(0).cast("long"), "_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    for p in range(parts):
-        rows = wins.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == p).orderBy("words").collect()
-        state = _one_pass(state, rows, shingle, drop if p == parts - 1 else [])
-    return state
+                texts = b.column("text").to_pylist()
+                hashed, found = words_of(texts, ALNUM), []
+                text_of = hashed.texts()
+                for k in sorted({k for k, _, _ in room}):
+                    s, at = _shingles(hashed, k)
+                    hit = np.flatnonzero(keep(s))
+                    for n, o in [(n, o) for kk, n, o in room if kk == k]:
+                        t = text_of[at[hit]]
+                        start = at[hit] - o
+                        fits = (start >= hashed.ptr[t]) & (start + n <= hashed.ptr[t + 1])
+                        found += zip(t[fits].tolist(), (start - hashed.ptr[t])[fits].tolist(), s[hit][fits].tolist(), [n] * int(fits.sum()), strict=True)
+                rows, last, words = [], -1, []
+                for t, start, x, n in sorted(found):
+                    if t != last:
+                        last, words = t, plain_words(texts[t])
+                    rows.append((t, x, start, n, b" ".join(words[start : start + n]).decode("utf-8", "replace")))
+                size = len(texts)
+                take = pa.array([*range(size), *(r[0] for r in rows)], pa.int64())
+                none = [None] * size
+                yield pa.RecordBatch.from_arrays([
+                    *(b.column(c).take(take) for c in ("doc_id", "k1", "k2")), pa.array(np.diff(hashed.ptr)).take(take),
+                    *(pa.array([*none, *(r[i] for r in rows)], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.string())))],
+                    names=schema.names)
+
+    return docs.select("doc_id", "text", *_keys()).mapInArrow(probe, schema)
+
+
+def _keys(first: str = "k1", second: str = "k2"):
+    """Two hashes by which a text is known; equal texts are judged alike."""
+    return [F.xxhash64("text").alias(first), F.xxhash64(F.lit(1), "text").alias(second)]
+
+
+def _hits(posted: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """k1, k2, start, n and items: the windows that stand in a text, once for equal texts."""
+    places = posted.where("s is not null").select("k1", "k2", "s", "start", "w").distinct()
+    return places.join(prefixes, ["s", "w"]).select("k1", "k2", "start", "n", "items")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -169,16 +148,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     rows are judged each by itself; null item ids are left out; extra columns are ignored. Without windows
     nothing is hit. An empty table gives an empty result.
     """
-    lens = F.transform("_hit", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    n_hit = F.aggregate(lens, F.lit(0), lambda a, x: a + x).cast("long")
-    return _judged(docs.select("doc_id", "text"), items, window, shingle, ["text"]).select(
-        "doc_id", F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.col("_items").alias("items"), F.col("_hit").alias("spans"), (F.size("_hit") > 0).alias("contaminated"))
+    prefixes = window_prefixes(docs, items, window, shingle)
+    posted = materialize(postings(docs, prefixes), "postings")
+    hits = materialize(_hits(posted, prefixes), "hits")
+    along = Window.partitionBy("k1", "k2").orderBy("start", "n")
+    before = F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begun = hits.select("k1", "k2", "start", "n", (before.isNull() | (F.col("start") > before)).cast("int").alias("new"))
+    ranges = begun.withColumn("no", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k1", "k2", "no").agg(
+        F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("b"))
+    spans = ranges.groupBy("k1", "k2").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("a", "b"))), lambda x: F.array(x["a"], x["b"]))).alias("spans"))
+    owners = hits.select("k1", "k2", F.explode("items").alias("item")).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    judged = posted.where("s is null").select("doc_id", "k1", "k2", "n_words").join(spans.join(owners, ["k1", "k2"]), ["k1", "k2"], "left")
+    return judged.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
+        F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs without any window of an item, with the columns of docs."""
-    return _judged(docs, items, window, shingle, []).where(F.size("_hit") == 0).select(*docs.columns)
+    """The rows of docs without any window of an item, with the columns of docs, whatever their names."""
+    prefixes = window_prefixes(docs, items, window, shingle)
+    posted = materialize(postings(docs, prefixes).where("s is not null"), "postings")
+    a, b = fresh("k1", docs.columns), fresh("k2", docs.columns)
+    leaking = _hits(posted, prefixes).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    return docs.select("*", *_keys(a, b)).join(leaking, [a, b], "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
