@@ -1,9 +1,10 @@
 """URL filter: a sort-merge range join of urls with host and path rules.
 
 A host is turned round into a canonical key (``www.example.net`` -> ``net.example.www.``), so that a
-rule's host and all its subdomains form one interval of keys. Urls are range-partitioned and sorted by
-the key; a sweep over the sorted keys keeps a stack of the rules whose intervals are open, and the
-longest active rule whose path starts the url's path decides.
+rule's host and all its subdomains form one interval of keys. Rules and urls are one table of events,
+range-partitioned and sorted by key; each range begins with the rules whose intervals are open at its first
+key, and a sweep over its events keeps the stack of open rules. The longest rule on the stack whose path
+starts the url's path decides. There is one way for any number of rules, and none passes the driver.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from marlstone.llm.common import lower_ascii, table
+from marlstone.llm.common import lower_ascii, materialize, table
 
-#: Most rules that are sent to every executor; larger rule sets go through `ancestor_join`.
-MAX_BROADCAST_RULES = 500_000
 DEFAULT_VERDICT = "allow"
 
 
@@ -61,100 +61,98 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def rule_key(host: str) -> str:
-    return ".".join(reversed(host.split("."))) + "."
+class RuleStack:
+    """The rules of the open intervals, outermost first: of each host its paths, by their lengths."""
 
+    def __init__(self):
+        self.open: list[tuple[str, str, dict[str, str], list[int]]] = []
 
-class RuleSweep:
-    """The rules in key order, swept along a sorted sequence of keys; the stack holds the open intervals."""
+    def move(self, key: str) -> None:
+        """Close the intervals that do not reach key."""
+        while self.open and not key.startswith(self.open[-1][0]):
+            self.open.pop()
 
-    def __init__(self, rules: list[Rule]):
-        by_key: dict[str, list[Rule]] = {}
-        for r in rules:
-            by_key.setdefault(rule_key(r.host), []).append(r)
-        self.entries = sorted(by_key.items())
-        self.next = 0
-        self.stack: list[tuple[str, list[Rule]]] = []
+    def add(self, key: str, host: str, path: str, verdict: str) -> None:
+        self.move(key)
+        if not self.open or self.open[-1][0] != key:
+            self.open.append((key, host, {}, []))
+        _, _, paths, lengths = self.open[-1]
+        paths[path] = verdict
+        if len(path) not in lengths:
+            lengths.append(len(path))
+            lengths.sort(reverse=True)
 
-    def active(self, key: str) -> list[Rule]:
-        """The rules that cover key, longest first. Keys must come in ascending order."""
-        while self.next < len(self.entries) and self.entries[self.next][0] <= key:
-            opened = self.entries[self.next]
-            while self.stack and not opened[0].startswith(self.stack[-1][0]):
-                self.stack.pop()
-            self.stack.append(opened)
-            self.next += 1
-        while self.stack and not key.startswith(self.stack[-1][0]):
-            self.stack.pop()
-        found = [r for _, rules in self.stack for r in rules]
-        return sorted(found, key=lambda r: (-len(r.text), -len(r.host), r.path, r.verdict))
+    def best(self, path: str) -> tuple[str | None, str | None]:
+        """The longest rule for a path below the key that move was called with, and its verdict."""
+        found: tuple[int, int, str | None, str | None] = (-1, -1, None, None)
+        for _, host, paths, lengths in self.open:
+            own = next((path[:n] for n in lengths if n <= len(path) and path[:n] in paths), None)
+            if own is not None:
+                found = max(found, (len(host) + len(own), len(host), host + own, paths[own]))
+        return found[2:]
 
 
-def _sweep_partition(rules: list[Rule], default: str):
+def _sweep(default: str, schema: StructType):
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last, active = RuleSweep(rules), None, []
+        part, stack, last, known = None, RuleStack(), None, {}
         for b in batches:
-            chosen, verdict = [], []
-            for key, path in zip(b.column("_key").to_pylist(), b.column("path").to_pylist(), strict=True):
+            rule, verdict = [], []
+            for own, key, is_url, host, path, says in zip(*(b.column(c).to_pylist() for c in ("part", "key", "is_url", "host", "path", "verdict")), strict=True):
+                if own != part:
+                    part, stack, last = own, RuleStack(), None
+                if not is_url:
+                    stack.add(key, host, path, says)
+                    last = None
+                    continue
                 if key != last:
-                    last, active = key, state.active(key)
-                best = next((r for r in active if path.startswith(r.path)), None)
-                chosen.append(best and best.text)
-                verdict.append(best.verdict if best else default)
+                    stack.move(key)
+                    last, known = key, {}
+                if path not in known:
+                    known[path] = stack.best(path)
+                found = known[path]
+                rule.append(found[0])
+                verdict.append(default if found[0] is None else found[1])
+            urls = b.filter(b.column("is_url"))
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("page_id", "host", "path")] + [pa.array(chosen, pa.string()), pa.array(verdict, pa.string())],
-                names=["page_id", "host", "path", "rule", "verdict"])
+                [urls.column(c) for c in ("page_id", "host", "path")] + [pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=schema.names)
 
     return sweep
 
 
-def ancestor_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """The way for rule sets beyond MAX_BROADCAST_RULES: every distinct host is expanded to its
-    ancestors (one for each label), joined with rules(host, path, verdict), and the longest rule whose
-    path starts the url's path is kept. pages has page_id, host and path."""
-    labels = F.split("host", r"\.")
-    ancestors = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    hosts = pages.select("host").distinct().withColumn("_a", F.explode(ancestors))
-    r = rules.select(
-        F.col("host").alias("_a"), F.struct(
-            F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"),
-            F.col("path").alias("p"), F.concat("host", "path").alias("t"), F.col("verdict").alias("v")).alias("_r"))
-    active = hosts.join(r, "_a").groupBy("host").agg(F.sort_array(F.collect_list("_r"), asc=False).alias("_rs"))
-    hit = F.get(F.filter("_rs", lambda x: F.startswith(F.col("path"), x["p"])), F.lit(0))
-    return (
-        pages.join(active, "host", "left").withColumn("_hit", hit)
-        .withColumn("rule", F.col("_hit")["t"]).withColumn("verdict", F.coalesce(F.col("_hit")["v"], F.lit(default)))
-        .select("page_id", "host", "path", "rule", "verdict")
-    )
-
-
-def filter_urls(
-    pages: DataFrame, rules: list[Rule] | DataFrame, default: str = DEFAULT_VERDICT,
-    max_broadcast: int = MAX_BROADCAST_RULES,
-) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """Judge every row of pages(page_id, url): page_id, host, path, rule and verdict.
 
     A rule fits its host and all subdomains where the url's path starts with the rule's path; the longest
     rule (host and path together, then the longer host) wins, else rule is null and verdict is `default`.
-    Null urls and urls without ``://`` have an empty host and path and meet no rule. Rows repeat as they
-    repeat in pages; other columns of pages are left out, so their names can't clash; an empty table gives
-    an empty result. rules as a DataFrame(host, path, verdict) are broadcast up to max_broadcast rows and
-    joined beyond it.
+    Of rules with one host and path the verdict that comes first by code point holds; rules with a null host, path or
+    verdict are left out. Null urls and urls without ``://`` have an empty host and path and meet no rule. Rows repeat
+    as they repeat in pages; other columns of pages are left out, so their names can't clash; an empty table gives
+    an empty result. rules are a list or a DataFrame(host, path, verdict) of any size. The paths of the rules of one
+    host and its ancestors are held in a task together.
     """
-    parts = pages.select("page_id", url_host("url").alias("host"), url_path("url").alias("path"))
-    if isinstance(rules, DataFrame):
-        head = rules.select("host", "path", "verdict").limit(max_broadcast + 1).collect()
-        if len(head) > max_broadcast:
-            return ancestor_join(parts, rules, default)
-        rules = [Rule(*r) for r in head]
-    # page_id splits a hot host over several ranges
-    ranged = parts.withColumn("_key", host_key(F.col("host"))).repartitionByRange("_key", "page_id")
-    return ranged.sortWithinPartitions("_key").mapInArrow(
-        _sweep_partition(list(rules), default),
-        f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string",
-    )
+    if not isinstance(rules, DataFrame):
+        rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    clean = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(
+        F.min("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
+    urls = pages.select(F.lit(True).alias("is_url"), "page_id", url_host("url").alias("host"), url_path("url").alias("path")).select(
+        host_key(F.col("host")).alias("key"), "*", F.lit(None).cast("string").alias("verdict"), F.monotonically_increasing_id().alias("row"))
+    opened = clean.select(
+        "key", F.lit(False).alias("is_url"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict", F.lit(-1).cast("long").alias("row"))
+    # the row's number splits a host with very many urls over several ranges
+    order = ["key", "is_url", "row"]
+    events = urls.select(*opened.columns).union(opened).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(events.withColumn("part", F.spark_partition_id()), "url-ranges")
+    first = ranged.groupBy("part").agg(F.min("key").alias("first"))
+    # every prefix of a key that ends in a dot is an ancestor
+    labels = F.split("first", r"\.")
+    above = first.select("part", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))).alias("key"))
+    seeds = above.join(clean, "key").select(
+        "key", F.lit(False).alias("is_url"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict",
+        F.lit(-2).cast("long").alias("row"), "part")
+    schema = StructType([pages.schema["page_id"], *StructType.fromDDL("host string, path string, rule string, verdict string")])
+    swept = ranged.union(seeds.select(*ranged.columns)).repartition("part").sortWithinPartitions("part", F.col("row") > -2, *order)
+    return swept.mapInArrow(_sweep(default, schema), schema)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
