@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import table
+from marlstone.llm.common import materialize, table
 
 #: Labelled documents used for fitting at most, of each label; half build the dictionary, half calibrate.
 MAX_EACH = 1_500
-#: Bytes of a text that go into a dictionary at most, taken evenly from its blocks, and bytes of a dictionary.
-TEXT_BYTES, DICT_BYTES = 4_096, 110 << 10
+#: A dictionary is trained on SAMPLES pieces of SAMPLE_BYTES of each of its texts at most, evenly spread over the whole
+#: text, and has DICT_BYTES at most. Calibration and scores read whole texts.
+SAMPLES, SAMPLE_BYTES, DICT_BYTES = 8, 512, 110 << 10
 #: Texts are compressed in blocks, so that a long text does not become its own dictionary.
 BLOCK = 4_096
 LEVEL = 3
@@ -33,15 +34,20 @@ def blocks(raw: bytes) -> list[bytes]:
     return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary trained on blocks of the texts; the texts themselves where there are too few to train on."""
+def samples(raw: bytes, most: int = SAMPLES) -> list[bytes]:
+    """At most `most` pieces of a text, evenly spread from its beginning to its end."""
+    n = -(-len(raw) // SAMPLE_BYTES)
+    return [raw[i * SAMPLE_BYTES : (i + 1) * SAMPLE_BYTES] for i in sorted({k * n // min(n, most) for k in range(min(n, most))})] if n else []
+
+
+def build_dictionary(pieces: list[bytes]) -> bytes:
+    """A zstandard dictionary trained on pieces of texts; the pieces themselves where there are too few to train on."""
     import zstandard
 
-    samples = [raw[i : i + 512] for raw in texts for i in range(0, len(raw), max(512, len(raw) * 512 // TEXT_BYTES))]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICT_BYTES:]
+        return b"".join(pieces)[-DICT_BYTES:]
 
 
 @lru_cache(maxsize=8)
@@ -96,26 +102,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> CompressionModel:
-    """Learn from rows that are not held out: at most `most` ids of each label, chosen by a hash of the id.
-
-    Ids with null or contradicting labels are left out. With one label only, all scores are 0.5.
-    """
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> DataFrame:
+    """doc_id, label, builds (for the dictionaries, else for calibration) and text: one row for each of at most `most`
+    ids of each label, chosen by a hash of the id among rows that are not held out."""
     clean = (
         labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("quality").alias("hi"), F.min("quality").alias("lo")).where("hi = lo")
-        .select("doc_id", F.col("hi").alias("label"), F.xxhash64(F.lit("fit"), "doc_id").alias("_h"))
+        .select("doc_id", F.col("hi").alias("label"), F.xxhash64(F.lit("fit"), "doc_id").alias("h"))
     )
-    chosen = clean.where("label = 0").orderBy("_h").limit(most).union(clean.where("label = 1").orderBy("_h").limit(most))
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * most rows
-    # of each text, blocks spread over its length; their differences calibrate as those of whole texts do
-    part = F.when(F.length("text") <= 4 * TEXT_BYTES, F.col("text")).otherwise(F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("text"), (F.length("text") * i / 8).cast("int") + 1, F.lit(TEXT_BYTES // 2))), "\n"))
-    rows = joined.select("doc_id", "_h", "label", part.alias("text")).where("text is not null").orderBy("_h", "doc_id").collect()
-    raw = lambda label: [r.text.encode() for r in rows if r.label == label and r["_h"] % 2 == 0]
-    good, bad = build_dictionary(raw(1)), build_dictionary(raw(0))
-    rest = [r for r in rows if r["_h"] % 2]
-    slope, intercept = logistic([difference(r.text, good, bad) for r in rest], [r.label for r in rest])
+    chosen = clean.where("label = 0").orderBy("h", "doc_id").limit(most).union(clean.where("label = 1").orderBy("h", "doc_id").limit(most))
+    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * most rows
+    return joined.groupBy("doc_id", "label", (F.pmod("h", F.lit(2)) == 0).alias("builds")).agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> CompressionModel:
+    """Learn from rows that are not held out: at most `most` ids of each label, half for the dictionaries and half, whole
+    texts, for calibration.
+
+    Ids with null or contradicting labels and null texts are left out; of an id with several texts the first by code
+    point counts. With one label only, all scores are 0.5.
+    """
+    chosen = materialize(labelled_texts(docs, labels, most), "labelled")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(
+                [samples(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))], names=["doc_id", "label", "pieces"])
+
+    schema = StructType([chosen.schema["doc_id"], *StructType.fromDDL("label int, pieces array<binary>")])
+    parts = chosen.select("doc_id", F.col("label").cast("int").alias("label"), "builds", "text")
+    pieces = parts.where("builds").mapInArrow(cut, schema).orderBy("doc_id").collect()  # most * SAMPLES * SAMPLE_BYTES for each label
+    good, bad = (build_dictionary([bytes(x) for r in pieces if r.label == label for x in r.pieces]) for label in (1, 0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(
+                [difference(t, good, bad) for t in b.column("text").to_pylist()], pa.float64())], names=["doc_id", "label", "x"])
+
+    schema = StructType([chosen.schema["doc_id"], *StructType.fromDDL("label int, x double")])
+    rest = parts.where("not builds").mapInArrow(measure, schema).orderBy("doc_id").collect()  # 2 * most numbers
+    slope, intercept = logistic([r.x for r in rest], [r.label for r in rest])
     return CompressionModel(good, bad, slope, intercept)
 
 
