@@ -17,7 +17,7 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Documents in one range of hash keys, about.
 RANGE_ROWS = 50_000
-LEAST_RANGES, MOST_RANGES = 256, 65_536
+LEAST_RANGES = 256
 
 
 def n_words(text: Column) -> Column:
@@ -28,9 +28,9 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - edge).cast("long")
 
 
-def random_key(doc_id: Column) -> Column:
-    """A key that depends on the id alone, so that reruns agree."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A key that depends on id and text alone, so that reruns agree and rows that share an id spread over ranges."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -75,13 +75,12 @@ def place(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 def _placed(docs: DataFrame, weights, max_epochs: int, keep: list[str]) -> DataFrame:
     sized = docs.select(
         "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"),
-        random_key(F.col("doc_id")).alias("_key"), *keep,
+        random_key(F.col("doc_id"), F.col("text")).alias("_key"), *keep,
     )
-    lean = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    ranges = min(MOST_RANGES, bits_for(docs.count(), RANGE_ROWS, LEAST_RANGES))
+    ranges = bits_for(docs.select("doc_id").count(), RANGE_ROWS, LEAST_RANGES)
     high = lambda k: (F.conv(F.substring(k, 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long")
     per_range = (
-        lean.withColumn("_range", high(random_key(F.col("doc_id")))).groupBy("source", "_range")
+        sized.select("source", "size", high(F.col("_key")).alias("_range")).groupBy("source", "_range")
         .agg(F.sum("size").alias("range_size"))
     )
     along = Window.partitionBy("source").orderBy("_range")
@@ -112,8 +111,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataF
     The one document of a source that the budget cuts appears once more with its first words up to the cut;
     a document of no words is left out.
     """
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    placed = _placed(docs.select("*", whole) if "_row" not in docs.columns else docs, weights, max_epochs, ["_row"])
+    # the caller's columns travel as one, so that no name of theirs meets one of ours
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    placed = _placed(whole, weights, max_epochs, ["_row"])
     times = F.col("copies") + F.when(F.col("cut") > 0, 1).otherwise(0)
     rows = placed.where(F.col("taken") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     words = F.filter(F.split(F.col("_row.text"), SPACE_CLASS + "+"), lambda w: w != "")
@@ -130,7 +130,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with d as (
-  select doc_id, source, md5(cast(doc_id as varchar)) as k,
+  select doc_id, source, md5(concat(coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, '')))) as k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 s as (
   select source, sum(size)::bigint as source_size from d group by source),
