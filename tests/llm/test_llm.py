@@ -78,11 +78,11 @@ def test_words_are_those_of_the_pattern(texts, segment):
 URLS = ["http://A.example.NET/en/x?q", "https://example.net", "http://net/", "http://network/", "http://x.example.com/de/1#a", "http://example.org/fr/", "ftp://example.org/en", "nothing", None, "a://b://c/d", "http://example.net/en/"]
 
 
-@pytest.mark.parametrize("how", ["sweep", "table", "join"])
+@pytest.mark.parametrize("how", ["list", "table"])
 def test_url_rules(spark, how):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[0], "x")] * 2, "page_id long, url string, rule string")
-    rules = url_filter.RULES if how == "sweep" else spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, max_broadcast=1 if how == "join" else 100).collect()}
+    rules = url_filter.RULES if how == "list" else spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
     assert got[0] == got[None] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[1] == ("example.net", "", None, "allow")
     assert got[2][2:] == ("net/", "block") and got[3][2:] == (None, "allow")
@@ -90,6 +90,37 @@ def test_url_rules(spark, how):
     assert got[7][:2] == got[8][:2] == ("", "") and got[9][:2] == ("b:", "//c/d")
 
 
+def test_many_url_rules_and_a_hot_host(spark):
+    """Rules at every level, with ties and nulls, swept in many ranges, against each rule tried on each url."""
+    rng = np.random.default_rng(3)
+    label = lambda: "abc"[rng.integers(0, 3)]
+    host = lambda: ".".join(label() for _ in range(rng.integers(1, 5)))
+    path = lambda: "/" + "".join("xy/"[rng.integers(0, 3)] for _ in range(rng.integers(0, 6)))
+    rules = [(host(), path(), ["allow", "block"][rng.integers(0, 2)]) for _ in range(300)] + [("a", "", "block"), ("a", "/", "allow"), ("a", "/", "block")]
+    nulls = [(None, "/", "block"), ("a", None, "block"), ("a", "/x", None)]
+    hosts = [host() for _ in range(300)] + ["a.b.c"] * 150
+    urls = [f"http://{h}{path()}?q" for h in hosts]
+
+    def judged(h, p):
+        fit = [(len(rh + rp), len(rh), rh + rp, v) for rh, rp, v in sorted(rules, reverse=True) if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        best = max(fit, key=lambda x: x[:2], default=None)
+        return (None, "allow") if best is None else (best[2], min(x[3] for x in fit if x[:3] == best[:3]))
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = url_filter.filter_urls(pages, spark.createDataFrame(rules + nulls, "host string, path string, verdict string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path) == tuple(re.match("http://([^/]*)([^?]*)", urls[r.page_id]).groups())
+        assert (r.rule, r.verdict) == judged(r.host, r.path)
+
+
 def test_no_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
 
@@ -129,8 +160,38 @@ def test_code(values):
     assert both.tolist() == values + values[::-1]
 
 
+@pytest.mark.parametrize("name, parted", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_any_tokenizer(spark, odd, sf_dir, name, parted):
+    from tokenizers import Tokenizer
+
+    path = token_ids.tokenizer_path(name)
+    t = Tokenizer.from_file(path)
+    docs = odd.select("doc_id", "text").union(documents(spark, sf_dir).select("doc_id", "text").limit(40))
+    assert token_ids.Encoder(path).parted == parted
+    got = Counter(bytes(r.ids) for r in token_ids.read_ids(spark, token_ids.write_ids(docs, path, end_id=None), with_ids=True).collect())
+    assert got == Counter(np.array(t.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for r in docs.collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBé'sS \n\t\u00a0\u0301İΣσ.<|endoftx>12日\x1c\u2028", max_size=40)), min_size=1, max_size=4))
+def test_pieces_give_what_whole_texts_give(texts):
+    e = token_ids.encoder(token_ids.tokenizer_path())
+    e.unchecked = 0
+    assert [np.frombuffer(x, dtype=e.kind).tolist() for x in e.ids(texts)] == [e.library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_other_splits_are_not_taken_for_blanks():
+    split = {"type": "Split", "pattern": {"Regex": " ?[a-z]+"}, "behavior": "Removed", "invert": True}
+    config = {"normalizer": None, "pre_tokenizer": split, "added_tokens": [], "post_processor": None}
+    assert not token_ids.blanks_part(config) and not token_ids.blanks_part(config | {"pre_tokenizer": None})
+    assert token_ids.blanks_part(config | {"pre_tokenizer": split | {"pattern": {"Regex": "[a-z]+|[^a-z\\s]+"}}})
+
+
 def test_counts(spark, sf_dir):
-    lengths = [r.n_tokens for r in token_ids.count_tokens(documents(spark, sf_dir), token_ids.tokenizer_path()).collect()]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_ids.tokenizer_path())
+    lengths = [len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in documents(spark, sf_dir).collect()]
     sums = token_ids.with_suffix_sums(token_ids.length_histogram(documents(spark, sf_dir), token_ids.tokenizer_path())).cache()
     for r in sums.collect():
         assert r.n_docs == lengths.count(r.length) and r.docs_from == sum(x >= r.length for x in lengths)
@@ -139,6 +200,16 @@ def test_counts(spark, sf_dir):
     assert got == {k: sum(min(x, k) for x in lengths) for k in (1, 100, 10**6)}
     q = {r.share: r.length for r in token_ids.quantiles(sums, [0.5, 1.0]).collect()}
     assert q == {0.5: sorted(lengths)[math.ceil(len(lengths) / 2) - 1], 1.0: max(lengths)}
+    per_cent = {p: r.length for r in sums.collect() for p in r.percents}
+    assert per_cent == {p: sorted(lengths)[math.ceil(p * len(lengths) / 100) - 1] for p in range(1, 101)}
+
+
+def test_count_query(spark, sf_dir):
+    got = {r.length: r for r in registry.QUERIES["op5_token_counts"](spark, sf_dir).collect()}
+    lengths = [r.n_tokens for r in token_ids.count_tokens(documents(spark, sf_dir), token_ids.tokenizer_path()).collect()]
+    assert set(got) == {*lengths, *token_ids.LIMITS}
+    for x in token_ids.LIMITS:
+        assert got[x].truncated_total == sum(min(n, x) for n in lengths) and got[x].docs_from == sum(n >= x for n in lengths)
 
 
 def test_count_of_nothing(spark, empty, odd):
@@ -177,6 +248,22 @@ def test_rules_find_bad_texts(spark, sf_dir):
     assert quality_rules.filter_quality(docs, rules).columns == docs.columns
 
 
+def test_verdicts_are_those_of_the_rules(spark, odd, sf_dir):
+    """The expression in Spark against the conditions one by one, rows without words included."""
+    C = quality_rules.Condition
+    rules = quality_rules.DecisionList([[C("symbol_share", True, 0.05), C("mean_word", False, 6.0)], [C("dup_line_share", True, 0.2)], [C("distinct_share", False, 0.3)], [C("words_per_line", True, 90.0)]])
+    kinds = set()
+    for docs in (odd, documents(spark, sf_dir)):
+        for r in quality_rules.judge(docs, rules).collect():
+            row = r.asDict()
+            failed = row["n_words"] < 50 or 100 * row["n_repeat_words"] > 50 * row["n_words"]
+            kept = not failed and not any(all(c.holds(row) for c in rule) for rule in rules.rules)
+            assert (row["base_failed"], row["kept"]) == (failed, kept)
+            kinds.add((failed, kept))
+        assert quality_rules.filter_quality(docs, rules).count() == quality_rules.judge(docs, rules).where("kept").count()
+    assert len(kinds) == 3
+
+
 def test_rules_without_labels(spark, odd, empty):
     none = quality_rules.learn([])
     assert none.rules == []
@@ -205,6 +292,15 @@ def test_mix(spark, odd, empty, sf_dir):
     assert mixing.place(empty).count() == mixing.mix(empty).count() == 0
 
 
+def test_mix_of_private_names_and_one_id(spark):
+    rows = [(1, f"word{i} and more words {i}", "s", "keep") for i in range(300)] + [(None, "a b", None, "keep")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string").withColumns({c: F.col("_row") for c in ("_key", "_range", "cut", "copies", "_n")})
+    placed, mixed = mixing.place(docs).collect(), mixing.mix(docs)
+    assert len(placed) == 303 and len({r._range for r in placed}) > 100
+    assert mixed.columns == docs.columns and {(r._row, r._n, r.cut) for r in mixed.collect()} == {("keep",) * 3}
+    assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r.taken for r in placed)
+
+
 # ---- 6 decontamination
 
 def test_windows(spark):
@@ -216,12 +312,42 @@ def test_windows(spark):
     assert got == [(1, 12, 10, ["1", "10"]), (2, 3, 0, []), (3, 0, 0, []), (4, 0, 0, []), (5, 21, 21, ["1", "10"]), (6, 5, 4, ["11", "2"]), (6, 5, 4, ["11", "2"])]
 
 
-def test_more_windows_than_a_pass_takes(spark, sf_dir, monkeypatch):
-    docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    whole = decontamination.find_leaks(docs, items).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontamination, "WINDOWS_A_PASS", 200)
-    assert decontamination.find_leaks(docs, items).orderBy("doc_id").collect() == whole
-    assert any(r.contaminated for r in whole)
+def brute_leaks(text, items):
+    """Words, hit words and items of a text, by every window at every place."""
+    words = plain_words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    hit, who = set(), set()
+    for item, body in items:
+        own = plain_words(body, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        for w in {tuple(own[i : i + 10]) for i in range(max(1, len(own) - 9))} if own else ():
+            at = [i for i in range(len(words) - len(w) + 1) if tuple(words[i : i + len(w)]) == w]
+            hit.update(i + j for i in at for j in range(len(w)))
+            who |= {str(item)} if at else set()
+    return len(words), len(hit), sorted(who)
+
+
+@pytest.mark.parametrize("bits", [decontamination.FILTER_BITS, 15])
+def test_windows_that_many_texts_share(spark, odd, bits, monkeypatch):
+    """A passage in most items and documents, items of all lengths, a filter with and without false hits."""
+    monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+    rng = np.random.default_rng(4)
+    common = [f"c{i % 7}" for i in range(14)]
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 6, n)]
+    items = [(i, " ".join([*words(i % 13), *common[: 12 if i % 2 else 0], *words(i % 4)])) for i in range(40)]
+    docs = [(i, " ".join([*words(60), *common, *words(5), *(items[i % 40][1].upper().split() if i % 3 else ())])) for i in range(60)]
+    docs += [r[:2] for r in ODD if r[1] != LONG]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = Counter((d, *brute_leaks(t, items)[:2], tuple(brute_leaks(t, items)[2])) for d, t in docs)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in got) == want
+    assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) == r.n_hit for r in got)
+
+
+def test_leaks_keep_the_callers_columns(spark):
+    ten = " ".join(f"x{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, ten, "keep"), (2, "clean " + ten[:-1], "keep"), (3, None, "keep")], "doc_id long, text string, k1 string").withColumns(
+        {c: F.col("k1") for c in ("_hit", "_n", "_items", "K2", "s", "w", "items", "n_words")})
+    kept = decontamination.remove_leaks(docs, spark.createDataFrame([(1, ten)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r._hit, r._n, r.k1, r.K2, r.items) for r in kept.collect()} == {(d, *["keep"] * 5) for d in (2, 3)}
 
 
 def test_no_items(spark, odd, empty):
@@ -392,6 +518,20 @@ def test_classifier(spark, sf_dir):
     assert auc > 0.9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_scores_are_those_of_the_model(spark, sf_dir):
+    """On plain Python, whole texts; held-out labels and repeated ids change nothing."""
+    d = sf_dir.replace("0.001", "0.01")
+    docs, labels = documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    model = compression_quality.fit(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.QUERIES["op10_quality_classifier"](spark, d).collect():
+        assert r.score == model.score(text[r.doc_id]) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    held = compression_quality.held_out(F.col("doc_id"))
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert compression_quality.fit(docs.withColumn("text", F.when(held, F.lit("other")).otherwise(F.col("text"))).repartition(5), turned) == model
+    assert compression_quality.fit(docs.union(docs), labels) == model
+
+
 def test_classifier_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = compression_quality.fit(odd, labels)
