@@ -360,51 +360,90 @@ def test_no_items(spark, odd, empty):
 
 # ---- 7 Katz
 
-def brute_katz(docs):
+def brute_katz(docs, order, others=None):
+    """What docs teach, and the scores of docs or of others."""
     words = {k: plain_words(t) + ["</s>"] for k, (_, t) in enumerate(docs)}
     held = {k: i is None or zlib.crc32(str(i).encode()) % 10 == 0 for k, (i, _) in enumerate(docs)}
-    c1, c2, n_docs = Counter(), Counter(), 0
-    for k, w in words.items():
-        if not held[k]:
-            c1.update(w)
-            c2.update(zip(["<s>", *w], w))
-            n_docs += 1
-    n, of = sum(c1.values()), lambda c: katz.discounts(np.array([Counter(c.values())[r] for r in range(7)]))
-    d1, d2 = of(c1), of(c2)
-    d = lambda t, c: t[c] if c <= 5 else 1.0
-    left = 1 - sum(d(d1, c) * c for c in c1.values()) / n
-    p1 = lambda w: d(d1, c1[w]) * c1[w] / n if c1[w] else left
-    context = Counter({"<s>": n_docs}) + c1
-    after = defaultdict(dict)
-    for (v, w), c in c2.items():
-        after[v][w] = c
-
-    def p(v, w):
-        if not after[v]:
-            return p1(w)
-        none = all(c > 5 for c in after[v].values())
-        if w in after[v]:
-            return d(d2, after[v][w]) * after[v][w] / (context[v] + none)
-        mass = 1 / (context[v] + 1) if none else 1 - sum(d(d2, c) * c for c in after[v].values()) / context[v]
-        return mass / (1 - sum(map(p1, after[v]))) * p1(w)
-
-    return {k: (held[k], len(w), sum(math.log10(p(v, x)) for v, x in zip(["<s>", *w], w)),
-                sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (len(c1) + 1))) for x in w)) for k, w in words.items()}, p, c1
-
-
-@pytest.mark.parametrize("chunk", [2_000_000, 5_000])
-def test_katz(spark, sf_dir, chunk, monkeypatch):
+    after = {k: defaultdict(Counter) for k in range(1, order + 1)}
+    for d, w in words.items():
+        for k in after if not held[d] else ():
+            padded = ["<s>"] * (k - 1) + w
+            for i in range(len(w)):
+                after[k][tuple(padded[i : i + k - 1])][padded[i + k - 1]] += 1
+    c1 = after[1][()]
+    n = sum(c1.values())
+    rates = {k: katz.discounts(np.array([sum(list(c.values()).count(r) for c in after[k].values()) for r in range(7)])) for k in after}
+    d = lambda k, c: rates[k][c] if c <= 5 else 1.0
+    left = 1 - sum(d(1, c) * c for c in c1.values()) / n
+    weights = {}
+
+    def p(context, w):
+        k = len(context) + 1
+        own = after[k].get(context)
+        if k == 1:
+            return d(1, c1[w]) * c1[w] / n if c1[w] else left
+        if not own:
+            return p(context[1:], w)
+        total, none = sum(own.values()), all(c > 5 for c in own.values())
+        if w in own:
+            return d(k, own[w]) * own[w] / (total + none)
+        if context not in weights:
+            mass = 1 / (total + 1) if none else 1 - sum(d(k, c) * c for c in own.values()) / total
+            weights[context] = mass / (1 - sum(p(context[1:], x) for x in own))
+        return weights[context] * p(context[1:], w)
+
+    out = {}
+    for k, (i, t) in enumerate(others or docs):
+        w = plain_words(t) + ["</s>"]
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(p(tuple(padded[j : j + order - 1]), x)) for j, x in enumerate(w))
+        out[k] = (i is None or zlib.crc32(str(i).encode()) % 10 == 0, len(w), score, sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (len(c1) + 1))) for x in w))
+    return out, p, c1, after
+
+
+def katz_rows(spark, sf_dir):
+    """Documents and all odd rows, the long and the repeated ones too."""
+    return [(r.doc_id, r.text) for r in documents(spark, sf_dir).limit(120).collect()] + [(r[0] and r[0] + 10**6, r[1]) for r in ODD]
+
+
+def assert_katz(got, rows, want):
+    rounded = lambda i, held, n, score, base: (i, held, n, round(score, 5), round(base, 5))
+    a = sorted((rounded(r.doc_id, r.held_out, r.n_tokens, r.score, r.base_score) for r in got), key=repr)
+    b = sorted((rounded(i, *want[k]) for k, (i, _) in enumerate(rows)), key=repr)
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-4 and abs(x[4] - y[4]) < 1e-4
+
+
+@pytest.mark.parametrize("order, chunk", [(2, 2_000_000), (2, 5_000), (3, 5_000), (4, 30_000)])
+def test_katz(spark, sf_dir, order, chunk, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(katz.Words, "hot", property(lambda self: 200.0))
-    rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).limit(150).collect()] + [(r[0] and r[0] + 10**6, r[1]) for r in ODD if r[0] not in (4, 5, 7)]
-    want, p, c1 = brute_katz(rows)
-    got = katz.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert len(got) == len(rows)
-    by_id = {r.doc_id: r for r in got}
-    for k, (i, _) in enumerate(rows):
-        r, (held, n, score, base) = by_id[i], want[k]
-        assert (r.held_out, r.n_tokens) == (held, n) and abs(r.score - score) < 1e-6 and abs(r.base_score - base) < 1e-6
-    assert abs(sum(p("the", w) for w in c1) + p("the", "<unseen>") - 1) < 1e-9
+    rows = katz_rows(spark, sf_dir)
+    want, p, c1, after = brute_katz(rows, order)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in ("chunk", "part", "held", "score", "kind")})
+    assert_katz(katz.score_texts(docs, order).collect(), rows, want)
+    for context in (("<s>",) * (order - 1), next(iter(after[order]))):
+        assert abs(sum(p(context, w) for w in c1) + p(context, "<unseen>") - 1) < 1e-9
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_scores_other_texts_from_its_tables(spark, sf_dir, order, monkeypatch):
+    monkeypatch.setattr(katz.Words, "hot", property(lambda self: 200.0))
+    rows = katz_rows(spark, sf_dir)
+    others = [(r.doc_id, r.text) for r in documents(spark, sf_dir).orderBy(F.desc("doc_id")).limit(60).collect()] + [(1, "Entirely new words, the"), (2, None), (3, "the the the")]
+    model = katz.train(spark.createDataFrame(rows, "doc_id long, text string"), order)
+    want, _, c1, after = brute_katz(rows, order, others)
+    assert_katz(model.score(spark.createDataFrame(others, "doc_id long, text string").repartition(2)).collect(), others, want)
+    assert sorted(r["count"] for r in model.word_table().collect()) == sorted(c1.values())
+    for k in range(2, order + 1):
+        assert sorted(r["count"] for r in model.ngram_table(k).collect()) == sorted(c for own in after[k].values() for c in own.values())
+        # seen words and the rest together have all probability after every context
+        d = [float(x) for x in model.levels[k - 2].discount]
+        whole = model.ngram_table(k).join(model.context_table(k), "context").withColumn(
+            "p", F.coalesce(F.get(F.array(*map(F.lit, d)), F.col("count").cast("int")), F.lit(1.0)) * F.col("count") / (F.col("total") + (F.col("least") > katz.K).cast("int")))
+        sums = whole.groupBy("context").agg((F.sum("p") + F.first("backoff") * (1 - F.first("mass"))).alias("all")).collect()
+        assert len(sums) == len(after[k]) and all(abs(r["all"] - 1) < 1e-9 for r in sums)
 
 
 def test_katz_of_nothing(spark, empty):
