@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids in one block of a file, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-#: Pieces of text between blanks that a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+#: Pieces of words that a Python worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 #: Documents in one shard, about.
 SHARD_ROWS = 20_000
 #: Texts that are encoded together.
@@ -66,11 +68,18 @@ def blanks_part(config: dict) -> bool:
     return not any(c in m[0] for c in " \n" for x in around for m in regex.finditer(split["pattern"]["Regex"], x.format(c)))
 
 
-class Encoder:
-    """Texts to ids by the tokenizers library.
+# The characters of the short way (ASCII but for "<", and Latin-1 letters that are their own composed form), and
+# the pieces that texts of them fall into, lower-cased; Encoder compares them with the tokenizer's own pattern.
+_PLAIN = re.compile(r"[\t\n\r -;=-~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-    Where blanks part a text (see blanks_part), each distinct piece is encoded once and remembered, and the first texts
-    are compared with what the library gives for them whole; any other tokenizer encodes whole texts.
+
+class Encoder(dict):
+    """Texts to ids by the tokenizers library; remembers the ids of pieces of words.
+
+    Where blanks part a text (see blanks_part) and the file's pattern cuts plain texts as _PIECE does, pieces of those go to the
+    library's model once each, the words of other texts to the library; the first texts are compared with what the library
+    gives for them whole. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -80,39 +89,72 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         #: ids fit in two bytes or take four
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.parted = blanks_part(config)
-        #: ASCII may be lower-cased before
-        self.lower = '"Lowercase"' in json.dumps(config.get("normalizer"))
-        self.known: dict[str, bytes] = {"": b""}
+        self.plain = self.parted and self._cuts_alike(config)
+        letters = _byte_letters()
+        self.spelled = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
         self.unchecked = 8
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers of `kind`; none for null."""
-        whole = [t or "" for t in texts]
-        if not self.parted:
-            return self._bytes(whole)
-        split = [(t.lower() if self.lower and t.isascii() else t).replace("\n", " ").split(" ") for t in whole]
-        new = list(set().union(*split).difference(self.known))
-        found = dict(zip(new, self._bytes(new), strict=True))
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known = {"": b""}
-            found |= dict(zip(more := list(set().union(*split).difference(found)), self._bytes(more), strict=True))
-        self.known |= found
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
-        for k in [k for k in found if len(k) > LONGEST]:
-            del self.known[k]
+    @staticmethod
+    def _cuts_alike(config: dict) -> bool:
+        """Whether the file lower-cases, cuts all pairs of plain characters, and contractions, as _PIECE does, and gives pieces
+        byte by byte to its model."""
+        import regex
+
+        split = config["pre_tokenizer"]
+        if '"Lowercase"' not in json.dumps(config["normalizer"]) or config["model"]["type"] != "BPE" or split["type"] != "Sequence":
+            return False
+        if [x["type"] for x in split["pretokenizers"]] != ["Split", "ByteLevel"] or any("<" not in t["content"] for t in config["added_tokens"]):
+            return False
+        own = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"])
+        plain = [c for c in map(chr, range(0x100)) if _PLAIN.fullmatch(c) and c == c.lower()]
+        return all(own.findall(x) == _PIECE.findall(x) for x in [
+            *(a + b for a in plain for b in plain), *(f"a'{e}{c}" for e in ("s", "t", "re", "ve", "m", "ll", "d", "r", "v", "l", "") for c in plain)])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.code, [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.spelled))]).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        if text.isascii() and "<" not in text and text.isprintable() or _PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+        return b"".join(
+            b"".join(map(self.__getitem__, _PIECE.findall(w.lower()))) if _PLAIN.fullmatch(w) else array(self.code, self.library.encode(w, add_special_tokens=False).ids).tobytes()
+            for w in re.split("[ \n]+", text))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids that the library gives for whole texts."""
+        return [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; none for null."""
+        given = [t or "" for t in texts]
+        if not self.plain:
+            return self.whole(given)
+        out = [np.frombuffer(self._text(t), dtype=self.kind) for t in given]
         if self.unchecked:
-            if out[: self.unchecked] != self._bytes(whole[: self.unchecked]):
-                raise ValueError("this tokenizer does not encode what blanks part each by itself")
+            for mine, theirs in zip(out[: self.unchecked], self.whole(given[: self.unchecked]), strict=True):
+                if not np.array_equal(mine, theirs):
+                    raise ValueError("this tokenizer does not encode what blanks part each by itself")
             self.unchecked = max(0, self.unchecked - len(out))
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in keep]
+    return {b: chr(b) for b in keep} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -155,19 +197,19 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         width = int(enc.kind[-1])
-        tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
+        tail = np.array([] if end_id is None else [end_id], dtype=enc.kind)
         for whole in batches:
             for lo in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(lo, TEXTS)
-                ids = [_planes(width, x + tail) for x in enc.ids(b.column("text").to_pylist())]
+                ids = [_planes(np.concatenate((x, tail))) for x in enc.ids(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("width int, ids binary")]))
 
 
-def _planes(width: int, raw: bytes) -> bytes:
-    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes()
+def _planes(ids: np.ndarray) -> bytes:
+    return ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()
 
 
 def _ids(width: int, planes) -> np.ndarray:
@@ -183,7 +225,7 @@ def count_tokens(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Dat
         for whole in batches:
             for lo in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(lo, TEXTS)
-                n = [len(x) // int(enc.kind[-1]) + one for x in enc.ids(b.column("text").to_pylist())]
+                n = [len(x) + one for x in enc.ids(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("n_tokens long")]))
@@ -195,8 +237,9 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for width, ids in zip(b.column("width").to_pylist(), b.column("ids"), strict=True):
-                n = np.bincount(_ids(width, ids.as_buffer()), minlength=len(total))
+            own = [_ids(width, ids.as_buffer()) for width, ids in zip(b.column("width").to_pylist(), b.column("ids"), strict=True)]
+            for lo in range(0, len(own), TEXTS):
+                n = np.bincount(np.concatenate(own[lo : lo + TEXTS]), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
@@ -231,19 +274,19 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, end_id: int |
         shard, rows, held, start, no = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def block() -> pa.RecordBatch:
-            # each document's control bytes begin anew
+            control, data = encode_ranks(shared.value[np.concatenate([r[1] for r in rows])])
             return pa.RecordBatch.from_pylist([{
-                "shard": shard, "block": no, "start": start, "doc_ids": [r[0] for r in rows], "lengths": [r[1] for r in rows],
-                "control": b"".join(r[2] for r in rows), "data": b"".join(r[3] for r in rows)}], schema=arrow)
+                "shard": shard, "block": no, "start": start, "doc_ids": [r[0] for r in rows], "lengths": [len(r[1]) for r in rows],
+                "control": control, "data": data}], schema=arrow)
 
         for b in batches:
             for doc_id, width, ids in zip(b.column("doc_id").to_pylist(), b.column("width").to_pylist(), b.column("ids"), strict=True):
-                ranks = shared.value[_ids(width, ids.as_buffer())]
-                if rows and held + len(ranks) > BLOCK_IDS:
+                own = _ids(width, ids.as_buffer())
+                if rows and held + len(own) > BLOCK_IDS:
                     yield block()
                     rows, start, held, no = [], start + held, 0, no + 1
-                rows.append((doc_id, len(ranks), *encode_ranks(ranks)))
-                held += len(ranks)
+                rows.append((doc_id, own))
+                held += len(own)
         if rows:
             yield block()
 
@@ -271,7 +314,7 @@ def read_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame
         for b in batches:
             for i in range(b.num_rows):
                 lens = np.array(b.column("lengths")[i].as_py(), dtype=np.int64)
-                ids = to_id[decode_ranks(b.column("control")[i].as_py(), b.column("data")[i].as_py(), lens)]
+                ids = to_id[decode_ranks(b.column("control")[i].as_py(), b.column("data")[i].as_py(), lens.sum(keepdims=True))]
                 ends = np.cumsum(lens)
                 own = [ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)]
                 start = ends - lens + b.column("start")[i].as_py() + b.column("_before")[i].as_py()
