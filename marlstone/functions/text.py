@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
 #: White space as in Unicode.
 BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# Fixed value: what counts as a token of a query.
 TOKEN = r"[0-9A-Za-z_\-\.]+|[\u4e00-\u9fff]{2,}"
 
 
@@ -110,8 +111,8 @@ def ensure_title(text: Column | str, title: Column | str, origin: Column | str)
 def markdown_errors(text: Column | str) -> Column:
     t = col(text)
     return F.array_compact(F.array(
-        F.when(strip(t) == "", "empty markdown output"), F.when(F.contains(t, F.lit("\ufffd")), "contains Unicode replacement characters"),
-        F.when(F.contains(t, F.lit("\x00")), "contains NUL bytes")))
+        F.when(strip(t) == "", "nothing but white space"), F.when(F.contains(t, F.lit("\ufffd")), "has undecodable characters (U+FFFD)"),
+        F.when(F.contains(t, F.lit("\x00")), "has NUL characters")))
 
 
 def repeated_runs(text: Column | str) -> Column:
@@ -123,8 +124,8 @@ def markdown_warnings(text: Column | str) -> Column:
     t = col(text)
     runs = repeated_runs(t)
     return F.array_compact(F.array(
-        F.when(~has_heading(t), "no Markdown H1 title detected"), F.when(F.length(strip(t)) < 80, "very short markdown output"),
-        F.when(runs > 0, F.concat(F.lit("contains "), runs.cast("string"), F.lit(" adjacent repeated-character patterns")))))
+        F.when(~has_heading(t), "lacks a first-level heading"), F.when(F.length(strip(t)) < 80, "shorter than 80 characters"),
+        F.when(runs > 0, F.concat(F.lit("repeats a character three times or more: "), runs.cast("string")))))
 
 
 def is_title_line(stripped: Column) -> Column:

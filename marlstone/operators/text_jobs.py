@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,28 +29,71 @@ def scan_credentials(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"summary": summary, "ok": F.size("credentials") == 0})
 
 
-_TABLE = re.compile(r"<table\b.*?</table>", re.I | re.S)
-_ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
-_CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.I | re.S)
+_TABLE_EDGE = re.compile(r"<(/?)table\b", re.I)
+
+
+class _Cells(HTMLParser):
+    """What the cells of a table say, row by row; markup inside a cell is dropped, a break becomes a blank."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list[str]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.close_cell()
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            self.close_cell()
+            self.cell = []
+        elif tag == "br" and self.cell is not None:
+            self.cell.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th", "tr", "table"):
+            self.close_cell()
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+    def close_cell(self):
+        if self.cell is not None:
+            said = " ".join("".join(self.cell).split()).replace("|", "\\|")
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append(said)
+            self.cell = None
 
 
 def pipe_table(block: str) -> str:
-    """One HTML table as a pipe table; a block without rows stays."""
-    rows = []
-    for r in _ROW.findall(block):
-        cells = [re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", c, flags=re.I)) for c in _CELL.findall(r)]
-        if cells:
-            rows.append([" ".join(html.unescape(c).split()).replace("|", "\\|") for c in cells])
+    """One HTML table as a pipe table; a block without cells stays."""
+    reader = _Cells()
+    reader.feed(block)
+    reader.close()
+    rows = list(filter(None, reader.rows))
     if not rows:
         return block
     width = max(map(len, rows))
-    padded = [r + [""] * (width - len(r)) for r in rows]
-    line = lambda r: "| " + " | ".join(r) + " |"
-    return "\n".join([line(padded[0]), line(["---"] * width), *map(line, padded[1:])])
+    rows.insert(1, ["---"] * width)
+    return "\n".join("".join(f"| {cell} " for cell in [*r, *[""] * (width - len(r))]) + "|" for r in rows)
+
+
+def with_pipe_tables(text: str) -> str:
+    """A text with each of its tables, up to the first end tag behind its beginning, as a pipe table."""
+    out, done, begin = [], 0, None
+    for edge in _TABLE_EDGE.finditer(text):
+        if not edge[1]:
+            begin = edge.start() if begin is None else begin
+        elif begin is not None and (end := text.find(">", edge.end()) + 1):
+            out += [text[done:begin], pipe_table(text[begin:end])]
+            done, begin = end, None
+    return "".join([*out, text[done:]])
 
 
 def _normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _TABLE.sub(lambda m: pipe_table(m[0]), t) if t else t)
+    return texts.map(lambda t: with_pipe_tables(t) if t else t)
 
 
 def normalize_html_tables(text: Column | str) -> Column:
@@ -73,11 +116,6 @@ def table_to_markdown_parts(rows: DataFrame, part_rows: int = 5000) -> DataFrame
         F.concat(F.array(line(F.col("_h")), dashes), F.col("_rows.l")), "\n").alias("content"))
 
 
-def parts_index(parts: DataFrame) -> DataFrame:
-    """sheet, rows, files: what the index page lists."""
-    return parts.groupBy("sheet").agg(F.sum("n_rows").alias("rows"), F.count("*").alias("files"))
-
-
 def explode_lines(docs: DataFrame, text: str = "content") -> DataFrame:
     """docs' path with line (from 1) and body."""
     return docs.select("path", F.posexplode(T.lines(text)).alias("_i", "body")).select("path", (F.col("_i") + 1).alias("line"), "body")
