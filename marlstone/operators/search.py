@@ -5,20 +5,23 @@ Everything works on sets of queries: queries(query_id, text) in, ranked rows for
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlstone.functions import text as T
+from marlstone.session import shared_dir
 
+# Weights of fields and channels, constants of BM25 and of rank fusion.
 TITLE_WEIGHT, CONTENT_WEIGHT = 8.0, 3.0
 K1, B = 1.2, 0.75
 RRF_K = 60
 AND, OR, PATH = 0, 1, 2
 CHANNEL_WEIGHTS = {AND: 3.0, OR: 1.0, PATH: 2.0}
-#: Tokens that are sent to every executor at a time where documents are searched for containment; more take more passes.
-TOKENS_A_PASS = 20_000
-#: Folders that a stored index's postings lie in, by a hash of the token.
-BUCKETS = 64
+#: Tokens in one folder of a stored index's postings, about.
+FOLDER_TOKENS = 20_000_000
 
 
 def knowledge_documents(docs: DataFrame) -> DataFrame:
@@ -40,65 +43,110 @@ def list_documents(docs: DataFrame, member: str | None = None, prefix: str | Non
     return found.select("path", "title").orderBy("path").limit(limit)
 
 
-def bucket(token: Column | str) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def clean_text(text: Column | str) -> Column:
+    """A text without byte order marks at its beginning; empty for null."""
+    return F.regexp_replace(F.coalesce(T.col(text), F.lit("")), "^\\uFEFF+", "")
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 class Index:
     """postings(key, field, token, positions), lengths(key, n_tokens) and the corpus' totals: what BM25 needs.
 
-    Made of documents, it is computed when it is asked; `store` keeps it and `StoredIndex` reads no more of it than
+    Made of documents, it is computed when it is asked; `store` keeps it, and StoredIndex reads no more of it than
     the folders of the tokens asked for.
     """
 
     def __init__(self, docs: DataFrame, fields: dict[str, float] | None = None, key: str = "path"):
         self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
         self.key = key
-        per_field = [
-            docs.select(key, F.lit(f).alias("field"), T.index_tokens(F.regexp_replace(F.coalesce(f, F.lit("")), "^\\uFEFF+", "")).alias("tokens")) for f in self.fields]
-        both = per_field[0]
-        for x in per_field[1:]:
-            both = both.unionByName(x)
-        self.tokens = both
-        self.lengths = both.groupBy(key).agg(F.sum(F.size("tokens")).alias("n_tokens"))
+        self.docs = docs
+        self.tokens = _all([docs.select(key, F.lit(f).alias("field"), T.index_tokens(clean_text(f)).alias("tokens")) for f in self.fields])
+        self.lengths = self.tokens.groupBy(key).agg(F.sum(F.size("tokens")).alias("n_tokens"))
+
+    def _flat(self) -> DataFrame:
+        return self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
 
     @property
     def postings(self) -> DataFrame:
-        flat = self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
-        return flat.groupBy(self.key, "field", "token").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        return self._flat().groupBy(self.key, "field", "token").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
     def positions_of(self, asked: DataFrame) -> DataFrame:
         """key, field, token, at for the tokens of asked(token)."""
-        flat = self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
-        return flat.join(asked, "token").groupBy(self.key, "field", "token").agg(F.collect_list("position").alias("at"))
+        return self._flat().join(asked, "token").groupBy(self.key, "field", "token").agg(F.collect_list("position").alias("at"))
 
     def corpus(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
 
     def store(self, path: str) -> StoredIndex:
-        cut = self.postings.withColumn("bucket", bucket("token"))
-        # a frequent token's postings are dealt to several files
-        cut.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return StoredIndex(self.tokens.sparkSession, path, self.fields, self.key)
+        """Write the index as the first generation of a stored one."""
+        return _write(self, path, 0, None)
+
+
+def _digest(docs: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
+    """key and digest of the indexed fields."""
+    parts = [F.sha2(clean_text(f), 256) for f in fields]
+    return docs.select(key, F.sha2(F.concat(*parts), 256).alias("digest"))
+
+
+def _write(new: Index, path: str, generation: int, kept: DataFrame | None) -> StoredIndex:
+    """Write the postings of new documents as a generation, and which generation holds each document."""
+    spark = new.docs.sparkSession
+    own = new.lengths.join(_digest(new.docs, new.fields, new.key), new.key).withColumn("generation", F.lit(generation))
+    live = own if kept is None else kept.unionByName(own)
+    live.write.mode("overwrite").parquet(f"{path}/live/{generation}")
+    total = spark.read.parquet(f"{path}/live/{generation}").where(F.col("generation") == generation).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    folders = max(1, -(-total // FOLDER_TOKENS))
+    cut = new.postings.withColumn("folder", F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int"))
+    # a frequent token's postings are dealt to several files
+    cut.repartition("folder", F.pmod(F.xxhash64(new.key), F.lit(8))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/{generation}")
+    spark.createDataFrame([(generation, folders)], "generation int, folders int").coalesce(1).write.mode("append").parquet(f"{path}/generations")
+    return StoredIndex(spark, path, new.fields, new.key)
 
 
 class StoredIndex(Index):
-    """An index that was stored; only the folders of the tokens asked for are read."""
+    """An index that was stored, in generations; only the folders of the tokens asked for are read.
+
+    A refresh writes postings of new and changed documents only; older postings of those, and of documents that are
+    gone, are passed over, since each document is read from its own generation.
+    """
 
     def __init__(self, spark: SparkSession, path: str, fields: dict[str, float] | None = None, key: str = "path"):
         self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
-        self.key = key
-        self.stored = spark.read.parquet(f"{path}/postings")
-        self.lengths = spark.read.parquet(f"{path}/lengths")
+        self.key, self.path, self.spark = key, path, spark
+        self.folders = {r.generation: r.folders for r in spark.read.parquet(f"{path}/generations").collect()}  # one row for each refresh
+        self.generation = max(self.folders)
+        self.live = spark.read.parquet(f"{path}/live/{self.generation}")
+        self.lengths = self.live.select(key, "n_tokens")
+
+    def _stored(self, asked: DataFrame | None = None) -> DataFrame:
+        """Postings of live documents, of all tokens or of those in asked(token)."""
+        key = StructType([self.live.schema[self.key]]).simpleString()[len("struct<") : -1].replace(":", " ")
+        parts, schema = [], f"{key}, field string, token string, positions array<int>, folder int"
+        for g, folders in self.folders.items():
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/postings/{g}")  # a generation may have none
+            if asked is not None:
+                mine = F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int")
+                part = part.where(F.col("folder").isin([r.f for r in asked.select(mine.alias("f")).distinct().collect()])).join(asked, "token")  # folders at most
+            parts.append(part.drop("folder").withColumn("generation", F.lit(g)))
+        rows = _all(parts)
+        return (rows if len(parts) == 1 else rows.join(self.live.select(self.key, "generation"), [self.key, "generation"], "left_semi")).drop("generation")
 
     @property
     def postings(self) -> DataFrame:
-        return self.stored.drop("bucket")
+        return self._stored()
 
     def positions_of(self, asked: DataFrame) -> DataFrame:
-        folders = [r.b for r in asked.select(bucket("token").alias("b")).distinct().collect()]  # BUCKETS at most
-        return self.stored.where(F.col("bucket").isin(folders)).join(asked, "token").select(self.key, "field", "token", F.col("positions").alias("at"))
+        return self._stored(asked).select(self.key, "field", "token", F.col("positions").alias("at"))
+
+    def refresh(self, docs: DataFrame) -> StoredIndex:
+        """The index of docs as they are now: new and changed documents are indexed, those gone are dropped."""
+        now = _digest(docs, self.fields, self.key)
+        same = self.live.join(now, [self.key, "digest"], "left_semi")
+        changed = docs.join(same.select(self.key), self.key, "left_anti")
+        return _write(Index(changed, self.fields, self.key), self.path, self.generation + 1, same)
 
 
 def query_phrases(queries: DataFrame, tokens=T.query_tokens) -> DataFrame:
@@ -129,9 +177,11 @@ def phrase_frequencies(index: Index, phrases: DataFrame) -> DataFrame:
     return hits.groupBy("pieces", key).agg(F.sum("w").alias("f"))
 
 
-def bm25(index: Index, phrases: DataFrame) -> DataFrame:
-    """query_id, key, score (higher is better) and n_phrases matched, for every document with a phrase of a query."""
-    found = phrase_frequencies(index, phrases)
+def bm25(index: Index, phrases: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score (higher is better) and n_phrases matched, for every document with a phrase of a query.
+
+    found are the frequencies of these phrases, perhaps among others, if they are known already."""
+    found = phrase_frequencies(index, phrases) if found is None else found
     df = found.groupBy("pieces").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = df.crossJoin(F.broadcast(index.corpus())).select("pieces", idf.alias("idf"), "avg_tokens")  # one row of totals
@@ -150,35 +200,48 @@ def rounded(score: Column) -> Column:
     return F.round(score, 9)
 
 
-def match_any(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+def match_any(index: Index, queries: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
     """query_id, path, score, rank: documents with any of a query's expanded tokens."""
-    found = bm25(index, query_phrases(queries, T.expanded_tokens))
-    return top(found.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
+    scored = bm25(index, query_phrases(queries, T.expanded_tokens), found)
+    return top(scored.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
 
 
-def match_all(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+def match_all(index: Index, queries: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
     """query_id, path, score, rank: documents with every token of a query."""
     phrases = query_phrases(queries)
     sizes = phrases.groupBy("query_id").agg(F.count("*").alias("_n"))
-    found = bm25(index, phrases).join(sizes, "query_id").where(F.col("n_phrases") == F.col("_n"))
-    return top(found.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
+    scored = bm25(index, phrases, found).join(sizes, "query_id").where(F.col("n_phrases") == F.col("_n"))
+    return top(scored.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
+
+
+#: What tokens of queries consist of, lower-cased: a token that a text contains lies within one such run.
+RUN = r"[0-9a-z_\-\.\u4e00-\u9fff]+"
+
+
+def containing(units: DataFrame, tokens: DataFrame) -> DataFrame:
+    """unit and token: which of the distinct units(unit) contain which of the distinct tokens(token), both lower-case.
+
+    Units are posted under their runs of two and three characters, tokens under their first; the whole token is compared
+    in the join.
+    """
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length("unit") - n + 1), lambda i: F.substring("unit", i, F.lit(n)))
+    grams = F.array_distinct(F.concat(
+        F.when(F.length("unit") >= 2, gram(2)).otherwise(F.array().cast("array<string>")), F.when(F.length("unit") >= 3, gram(3)).otherwise(F.array().cast("array<string>"))))
+    posted = units.select("unit", F.explode(grams).alias("g"))
+    asked = tokens.select("token", F.substring("token", 1, 3).alias("g"))
+    return posted.join(asked, (posted.g == asked.g) & F.contains("unit", F.col("token"))).select("unit", "token")
 
 
-def in_passes(tokens: DataFrame, search) -> DataFrame:
-    """The union of search(some) over parts of tokens(token) that are small enough to be broadcast."""
-    parts = max(1, -(-tokens.count() // TOKENS_A_PASS))
-    out = search(tokens) if parts == 1 else None
-    for p in range(parts if out is None else 0):
-        found = search(tokens.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == p))
-        out = found if out is None else out.unionByName(found)
-    return out
+def lower_tokens(queries: DataFrame) -> DataFrame:
+    """query_id and token, lower-case."""
+    return queries.select("query_id", F.explode(T.query_tokens("text")).alias("_t")).select("query_id", F.lower("_t").alias("token")).distinct()
 
 
 def path_channel(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, path, score, rank: documents whose path holds tokens, each worth 1 / the number of paths that hold it."""
-    tokens = queries.select("query_id", F.explode(T.query_tokens("text")).alias("_t")).select("query_id", F.lower("_t").alias("token"))
-    distinct = tokens.select("token").distinct()
-    hits = in_passes(distinct, lambda some: docs.select("path").join(F.broadcast(some), F.contains(F.lower("path"), F.col("token"))))
+    tokens = lower_tokens(queries)
+    runs = docs.select("path", F.explode(F.regexp_extract_all(F.lower("path"), F.lit(RUN), F.lit(0))).alias("unit")).distinct()
+    hits = runs.join(containing(runs.select("unit").distinct(), tokens.select("token").distinct()), "unit").select("path", "token").distinct()
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = tokens.join(hits, "token").join(df, "token").groupBy("query_id", "path").agg(F.sum(1 / F.col("df")).alias("score"))
     return top(scored.select("query_id", "path", rounded(F.col("score")).alias("score")), limit)
@@ -196,10 +259,17 @@ def rrf_fuse(channels: dict[int, DataFrame], limit: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, path, score, tier, rank of the three channels together; a query without tokens has no rows."""
-    index = Index(docs)
-    return rrf_fuse({AND: match_all(index, queries, 3 * limit), OR: match_any(index, queries, 3 * limit), PATH: path_channel(docs, queries, 3 * limit)}, limit)
+def hybrid_search(docs: DataFrame, queries: DataFrame, limit: int = 10, index: Index | None = None) -> DataFrame:
+    """query_id, path, score, tier, rank of the three channels together; a query without tokens has no rows.
+
+    Phrases are looked up once for both channels of the index; without an index that was stored, one is.
+    """
+    spark = docs.sparkSession
+    index = index or Index(docs).store(shared_dir(spark))
+    out = shared_dir(spark)
+    phrase_frequencies(index, query_phrases(queries).unionByName(query_phrases(queries, T.expanded_tokens))).write.parquet(out)
+    found = spark.read.parquet(out)
+    return rrf_fuse({AND: match_all(index, queries, 3 * limit, found), OR: match_any(index, queries, 3 * limit, found), PATH: path_channel(docs, queries, 3 * limit)}, limit)
 
 
 def fill_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -210,48 +280,59 @@ def fill_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataF
 
 
 def substring_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, path, score, rank: how often a token is contained in content or title, whatever its case.
-
-    There is no index for this; it is for the queries that the index leaves short.
-    """
-    tokens = queries.select("query_id", F.explode(T.query_tokens("text")).alias("_t")).select("query_id", F.lower("_t").alias("token"))
-    body = docs.select("path", F.lower("content").alias("_c"), F.lower("title").alias("_h"))
-    n = F.contains("_c", F.col("token")).cast("int") + F.contains("_h", F.col("token")).cast("int")
-    found = in_passes(tokens.select("token").distinct(), lambda some: body.join(
-        F.broadcast(some), F.contains("_c", F.col("token")) | F.contains("_h", F.col("token"))).select("path", "token", n.alias("n")))
+    """query_id, path, score, rank: how often a token is contained in content or title, whatever its case."""
+    tokens = lower_tokens(queries)
+    runs = _all([docs.select("path", F.lit(f).alias("field"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(RUN), F.lit(0)))).alias("unit"))
+                 for f in ("content", "title")])
+    known = containing(runs.select("unit").distinct(), tokens.select("token").distinct())
+    found = runs.join(known, "unit").select("path", "field", "token").distinct().groupBy("path", "token").agg(F.count("*").alias("n"))
     scored = tokens.join(found, "token").groupBy("query_id", "path").agg(F.sum("n").alias("score"))
     return top(scored, limit)
 
 
-def knowledge_search(docs: DataFrame, queries: DataFrame, limit: int = 5, member: str | None = None, post_filter: bool = False) -> DataFrame:
-    """query_id, path, rank, matched_by: indexed hits first, then substring hits for queries that have fewer than limit.
+def knowledge_search(docs: DataFrame, queries: DataFrame, limit: int = 5, member: str | None = None, post_filter: bool = False, index: Index | None = None) -> DataFrame:
+    """query_id, path, rank, matched_by, title and snippet: indexed hits first, then substring hits for queries that have
+    fewer than limit.
 
-    The member scope applies before the cut at 3 * limit, or after it with post_filter.
+    The member scope applies before the cut at 3 * limit, or after it with post_filter. An index has to be one of the
+    documents that are searched.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    spark = docs.sparkSession
     scope = docs if post_filter else member_scope(docs, member)
-    hits = member_scope(hybrid_search(scope, queries, 3 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(0).alias("_by"))
+    out = shared_dir(spark)
+    member_scope(hybrid_search(scope, queries, 3 * limit, index), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(0).alias("_by")).write.parquet(out)
+    hits = spark.read.parquet(out)
     full = hits.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit)
     short = queries.join(full, "query_id", "left_anti")
-    more = member_scope(substring_search(scope, short, 4 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(1).alias("_by"))
-    first = hits.unionByName(more).groupBy("query_id", "path").agg(F.min(F.struct("_by", "_r")).alias("_f"))
+    if not short.isEmpty():
+        more = member_scope(substring_search(scope, short, 4 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(1).alias("_by"))
+        hits = hits.unionByName(more)
+    first = hits.groupBy("query_id", "path").agg(F.min(F.struct("_by", "_r")).alias("_f"))
     w = Window.partitionBy("query_id").orderBy("_f", "path")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(
+    found = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(
         "query_id", "path", "rank", F.when(F.col("_f._by") == 0, "fts").otherwise("substring").alias("matched_by"))
+    return fill_snippets(found, docs, queries)
 
 
 def highlight(index: Index, docs: DataFrame, hits: DataFrame, queries: DataFrame, width: int = 24, field: str = "content") -> DataFrame:
-    """hits(query_id, path) with excerpt: the window of `width` index tokens of the document that holds most distinct phrases, the
-    first of them, matched tokens in brackets. Only the hits' documents are fetched."""
-    phrases = query_phrases(queries, T.expanded_tokens)
-    pieces = phrases.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("_p"))
-    text = docs.join(hits.select(index.key).distinct(), index.key, "left_semi").select(index.key, T.index_tokens(field).alias("_t"))
-    rows = hits.join(pieces, "query_id").join(text, index.key)
-    flags = rows.withColumn("_at", F.filter(F.transform("_t", lambda t, i: F.when(F.array_contains("_p", t), F.struct(i.alias("i"), t.alias("t")))), lambda x: x.isNotNull()))
-    starts = F.transform("_at", lambda a: F.struct(
-        (-F.size(F.array_distinct(F.transform(F.filter("_at", lambda b: (b["i"] >= a["i"]) & (b["i"] < a["i"] + width)), lambda b: b["t"])))).alias("n"), a["i"].alias("i")))
-    best = F.coalesce(F.array_min(starts)["i"], F.lit(0))
-    shown = F.transform(F.slice("_t", F.col("_s") + 1, F.lit(width)), lambda t: F.when(F.array_contains("_p", t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
-    excerpt = F.concat(F.when(F.col("_s") > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.col("_s") + width < F.size("_t"), "...").otherwise(""))
-    return flags.withColumn("_s", best).withColumn("excerpt", excerpt).drop("_p", "_t", "_at", "_s")
+    """hits(query_id, path) with excerpt: the window of `width` index tokens in which most distinct phrases of the query
+    begin, the first of them, the tokens of phrases in brackets. Only the hits' documents are fetched."""
+    key = index.key
+    phrases = query_phrases(queries, T.expanded_tokens).groupBy("query_id").agg(F.collect_set("pieces").alias("_p"))
+    text = docs.join(hits.select(key).distinct(), key, "left_semi").select(key, T.index_tokens(clean_text(field)).alias("_t"))
+    rows = hits.select("query_id", key).distinct().join(phrases, "query_id", "left").join(text, key)
+    # where a phrase begins, and how many tokens it takes
+    begun = F.flatten(F.transform("_t", lambda t, i: F.transform(
+        F.filter("_p", lambda p: (F.get(p, F.lit(0)) == t) & (F.slice("_t", i + 1, F.size(p)) == p)), lambda p: F.struct(i.alias("i"), F.size(p).alias("n"), F.array_join(p, " ").alias("p")))))
+    events = rows.select("query_id", key, F.explode(begun).alias("e")).select("query_id", key, "e.*")
+    ahead = Window.partitionBy("query_id", key).orderBy("i").rangeBetween(0, width - 1)
+    best = events.withColumn("m", F.size(F.collect_set("p").over(ahead))).groupBy("query_id", key).agg(
+        F.min(F.struct((-F.col("m")).alias("m"), "i"))["i"].alias("_s"), F.collect_set(F.struct("i", "n")).alias("_e"))
+    shown = rows.join(best, ["query_id", key], "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    marked = F.filter("_e", lambda e: (e["i"] < F.col("_s") + width) & (e["i"] + e["n"] > F.col("_s")))
+    words = F.transform(F.slice("_t", F.col("_s") + 1, F.lit(width)), lambda t, j: F.when(
+        F.exists(F.coalesce("_m", F.array().cast("array<struct<i:int,n:int>>")), lambda e: (e["i"] <= F.col("_s") + j) & (F.col("_s") + j < e["i"] + e["n"])), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    excerpt = F.concat(F.when(F.col("_s") > 0, "...").otherwise(""), F.array_join(words, " "), F.when(F.col("_s") + width < F.size("_t"), "...").otherwise(""))
+    return hits.join(shown.withColumn("_m", marked).select("query_id", key, excerpt.alias("excerpt")), ["query_id", key])

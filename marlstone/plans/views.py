@@ -53,21 +53,28 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, s in ((0, "failed_retryable"), (1, "quality_failed"), (2, "quality_warned"), (3, "processing")):
         status = F.when(F.col("doc_id") % 11 == k, s).otherwise(status)
     return scan_1(spark, sf_dir).where("doc_id % 13 <> 0 and doc_id % 8 <> 6").select(
-        "relative_path", F.col("sha256").alias("source_sha256"), F.lit("mineru-3.4.5").alias("converter_version"),
+        "relative_path", F.col("sha256").alias("source_sha256"), F.lit("quarry-1.0").alias("converter_version"),
         status.alias("status"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))").alias("updated_at"),
         (F.col("doc_id") % 17 != 0).alias("output_exists"), "doc_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and text: the beginnings of benchmark items."""
-    return table(spark, sf_dir, "benchmark").where("item_id < 20").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    """query_id and text: all benchmark items, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and path: the documents that hold a whole benchmark item (a bounded set of 20 items)."""
-    items = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("_t"))
-    return documents(spark, sf_dir).join(F.broadcast(items), F.contains("content", F.col("_t"))).select("query_id", "path")
+    """query_id and path: the documents that hold a whole benchmark item of five words or more.
+
+    Items and documents meet by three words in a row, the second to fourth of an item; the whole item is compared then.
+    """
+    words = F.split("text", " ")
+    items = table(spark, sf_dir, "benchmark").where(F.size(words) >= 5).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("_t"), F.array_join(F.slice(words, 2, 3), " ").alias("_k"))
+    own = F.split("content", " ")
+    runs = F.transform(F.sequence(F.lit(0), F.size(own) - 3), lambda i: F.array_join(F.slice(own, i + 1, F.lit(3)), " "))
+    posted = documents(spark, sf_dir).where(F.size(own) >= 3).select("path", "content", F.explode(F.array_distinct(runs)).alias("_k"))
+    return posted.join(items, "_k").where(F.contains("content", F.col("_t"))).select("query_id", "path")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +120,12 @@ SQL = {
     "v_scan_1": f"select {_SCAN_PATH} as relative_path, n_chars as size, sha256(text) as sha256, doc_id from documents where doc_id % 10 <> 0",
     "v_scan_2": f"""select {_SCAN_PATH} as relative_path, n_chars as size, sha256(case when doc_id % 7 = 0 then text||'v2' else text end) as sha256, doc_id
   from documents where doc_id % 10 <> 1""",
-    "v_conversions": """select relative_path, sha256 as source_sha256, 'mineru-3.4.5' as converter_version,
+    "v_conversions": """select relative_path, sha256 as source_sha256, 'quarry-1.0' as converter_version,
   case doc_id % 11 when 0 then 'failed_retryable' when 1 then 'quality_failed' when 2 then 'quality_warned' when 3 then 'processing' else 'converted' end as status,
   timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) as updated_at, doc_id % 17 <> 0 as output_exists, doc_id
   from v_scan_1 where doc_id % 13 <> 0 and doc_id % 8 <> 6""",
-    "v_queries": "select item_id as query_id, substring(text, 1, 60) as text from benchmark where item_id < 20",
-    "v_expected": "select b.item_id as query_id, d.path from benchmark b join v_documents d on contains(d.content, b.text) where b.item_id < 20",
+    "v_queries": "select item_id as query_id, text from benchmark",
+    "v_expected": "select b.item_id as query_id, d.path from benchmark b join v_documents d on contains(d.content, b.text) where len(string_split(b.text, ' ')) >= 5",
     "v_messages": """select conv_id as session_id, conv_id * 10000 + turn as message_id,
   case role when 'user' then 'user' when 'assistant' then 'answer' else 'process' end as kind, text as content from conversations""",
     "v_runs": """select event_id as seq, user_id as member, ts as started_at,

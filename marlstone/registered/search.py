@@ -49,37 +49,46 @@ def _top(src: str, limit: int, extra: str = "") -> str:
   from {src} {extra}) where rank <= {limit}"""
 
 
+def stored(spark, d):
+    """The index of the documents, stored in the shared folder: it is built once for a query and then read by folders."""
+    return S.Index(V.documents(spark, d)).store(shared_dir(spark))
+
+
 @query("search_or_bm25", f"with {_PH} {_top('scored', 10)}", "v_documents", "v_queries")
 def search_or(spark, d):
     """The OR channel."""
-    return S.match_any(S.Index(V.documents(spark, d)), V.queries(spark, d), 10).select("query_id", "path", "score", "rank")
+    return S.match_any(stored(spark, d), V.queries(spark, d), 10).select("query_id", "path", "score", "rank")
 
 
 @query("search_and_bm25", f"with {_PH} {_top('scored join sizes using (query_id)', 30, 'where n = n_all')}", "v_documents", "v_queries")
 def search_and(spark, d):
     """The AND channel."""
-    return S.match_all(S.Index(V.documents(spark, d)), V.queries(spark, d), 30).select("query_id", "path", "score", "rank")
+    return S.match_all(stored(spark, d), V.queries(spark, d), 30).select("query_id", "path", "score", "rank")
 
 
 @query("search_index_stats", f"""with {_PH} select token, count(*) as n_positions, count(distinct path) as n_docs from flat group by token""", "v_documents", "v_queries")
 def index_stats(spark, d):
     """Positions and documents of each token of the index."""
-    p = S.Index(V.documents(spark, d)).postings
+    p = stored(spark, d).postings
     return p.groupBy("token").agg(F.sum(F.size("positions")).alias("n_positions"), F.countDistinct("path").alias("n_docs"))
 
 
 @query("search_stored_index", f"with {_PH} {_top('scored', 10)}", "v_documents", "v_queries")
 def search_stored(spark, d):
-    """The OR channel over an index that is stored first; only the folders of the queries' tokens are read."""
-    index = S.Index(V.documents(spark, d)).store(shared_dir(spark))
+    """The OR channel over an index that began with other documents and was refreshed twice: some were not
+    there yet, some had other texts, some are gone."""
+    docs = V.documents(spark, d)
+    n = F.col("doc_id")
+    first = docs.where(n % 3 != 0).withColumn("content", F.when(n % 5 == 0, F.concat(F.lit("\ufeffolder words "), "content")).otherwise(F.col("content")))
+    gone = docs.where(n % 7 == 0).withColumn("path", F.concat("path", F.lit(".old")))
+    index = S.Index(first.unionByName(gone)).store(shared_dir(spark)).refresh(docs.where(n % 3 != 1)).refresh(docs)
     return S.match_any(index, V.queries(spark, d), 10).select("query_id", "path", "score", "rank")
 
 
 @query("search_highlight")
 def highlight(spark, d):
     """Excerpts of the best three hits; tests compare them with a plain search for the best window."""
-    docs, queries = V.documents(spark, d), V.queries(spark, d)
-    index = S.Index(docs)
+    docs, queries, index = V.documents(spark, d), V.queries(spark, d), stored(spark, d)
     return S.highlight(index, docs, S.match_any(index, queries, 3), queries).select("query_id", "path", "rank", "excerpt")
 
 
@@ -99,12 +108,11 @@ def path_queries(spark, d):
 
 
 _MIXED = """v_queries as (
-  select item_id as query_id, substring(text, 1, 60) || ' d' || cast(item_id as varchar) as text from benchmark where item_id < 20)"""
+  select item_id as query_id, text || ' d' || cast(item_id as varchar) as text from benchmark)"""
 
 
 def mixed_queries(spark, d):
-    return V.table(spark, d, "benchmark").where("item_id < 20").select(
-        F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 60), F.lit(" d"), F.col("item_id").cast("string")).alias("text"))
+    return V.queries(spark, d).withColumn("text", F.concat("text", F.lit(" d"), F.col("query_id").cast("string")))
 
 
 def _hybrid(limit: int) -> str:
@@ -148,9 +156,20 @@ found as (select query_id, path, rank, case f.b when 0 then 'fts' else 'substrin
   from (select *, row_number() over (partition by query_id order by f, path) as rank from firsts) where rank <= {limit})"""
 
 
-@query("search_knowledge", f"with {_MIXED}, {knowledge_sql(5)} select query_id, path, rank, matched_by from found", "v_documents")
+def snippet_sql(hits: str, tokens: str, key: str, content: str, each: int) -> str:
+    """Of hits(query_id, key) the context of the token of tokens(query_id, t, i) that comes first in content."""
+    return f"""
+  select h.query_id, h.{key}, trim(case when b is null then substring(c, 1, {2 * each}) else replace(substring(c, greatest(0, b.at - 1 - {each}) + 1,
+      least(len(c), b.at - 1 + b.n + {each}) - greatest(0, b.at - 1 - {each})), chr(10), ' ') end, ' ' || chr(9) || chr(10) || chr(13)) as snippet
+  from (select h.query_id, h.{key}, any_value({content}) as c, min(struct_pack(at := instr(lower({content}), lower(t)), i := i, n := len(t))) filter (instr(lower({content}), lower(t)) > 0) as b
+    from ({hits}) h left join {tokens} tk using (query_id) group by h.query_id, h.{key}) h"""
+
+
+@query("search_knowledge", f"""with {_MIXED}, {knowledge_sql(5)},
+hc as (select query_id, path, content from found join v_documents using (path)), sn as ({snippet_sql('select * from hc', 'qd', 'path', 'content', 40)})
+select query_id, path, rank, matched_by, title, snippet from found join sn using (query_id, path) join (select path, title from v_documents) using (path)""", "v_documents")
 def search_knowledge(spark, d):
-    """The combined search with its substring fallback."""
+    """The combined search with its substring fallback, titles and snippets."""
     return S.knowledge_search(V.documents(spark, d), mixed_queries(spark, d), 5)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,13 +24,17 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    import tempfile
-    import uuid
+#: By application: the folder that stands in for an unset one.
+_own_dir: dict[str, str] = {}
 
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share, spark.checkpoint.dir. Only where the driver is the one
+    executor, too, a folder of this machine is taken if that is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get(spark.sparkContext.applicationId)
     if not configured:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", configured)
+        _own_dir[spark.sparkContext.applicationId] = configured
     return f"{configured.rstrip('/')}/flow-{uuid.uuid4().hex}"
