@@ -23,12 +23,15 @@ def session_list(messages: DataFrame) -> DataFrame:
         "title", T.session_title("_q")).drop("_q")
 
 
+def histories(messages: DataFrame) -> DataFrame:
+    """messages with their place in their session, those with a payload that is no JSON left out if there is a payload."""
+    own = messages.where(F.try_parse_json("payload").isNotNull()) if "payload" in messages.columns else messages
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("message_id")))
+
+
 def history(messages: DataFrame, session_id: int) -> DataFrame:
-    """The messages of a session in order, those with a payload that is no JSON left out if there is a payload."""
-    own = messages.where(F.col("session_id") == session_id)
-    if "payload" in messages.columns:
-        own = own.where(F.try_parse_json("payload").isNotNull())
-    return own.orderBy("message_id")
+    """The messages of a session in order."""
+    return histories(messages.where(F.col("session_id") == session_id)).orderBy("place").drop("place")
 
 
 def delete_sessions(table: DataFrame, ids: DataFrame) -> DataFrame:

@@ -58,8 +58,12 @@ def top_zero_hit_queries(traces: DataFrame, n: int = 10) -> DataFrame:
 def usage_rollup(traces: DataFrame, questions: int = 20) -> DataFrame:
     """month, day, member, the metrics and the first questions of each day and member."""
     day = F.date_format("ts", "yyyy-MM-dd")
-    asked = F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.coalesce("question", F.lit("")) != "", F.struct("ts", "trace_id", "question")))), lambda x: x["question"]), 1, questions)
-    return traces.groupBy(day.alias("day"), "member").agg(*_metrics(), asked.alias("questions")).withColumn("month", F.substring("day", 1, 7))
+    dated = traces.withColumn("day", day)
+    place = F.row_number().over(Window.partitionBy("day", "member").orderBy("ts", "trace_id"))
+    asked = dated.where(F.coalesce("question", F.lit("")) != "").select("day", "member", "ts", "trace_id", "question", place.alias("_p")).where(F.col("_p") <= questions)
+    first = asked.groupBy("day", "member").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "question"))), lambda x: x["question"]).alias("questions"))
+    return dated.groupBy("day", "member").agg(*_metrics()).join(first, ["day", "member"], "left").withColumns({
+        "questions": F.coalesce("questions", F.array().cast("array<string>")), "month": F.substring("day", 1, 7)})
 
 
 def last_days(traces: DataFrame, n: int) -> DataFrame:

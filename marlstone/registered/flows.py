@@ -66,12 +66,14 @@ def questions(spark, d):
     return I.load_question_set(spark, out, lines=True).select("id", "question", F.size("expected_paths").alias("n_expected"))
 
 
-@query("decode_text", "select doc_id::varchar as path, case when doc_id % 5 = 0 then null else text end as text, case when doc_id % 5 = 0 then 'binary' end as error from documents")
+@query("decode_text", "select doc_id::varchar as path, case when doc_id % 5 = 0 then null when doc_id % 5 = 2 then text || ' 仓库é' else text end as text, case when doc_id % 5 = 0 then 'binary' end as error from documents")
 def decode(spark, d):
-    """UTF-8 with and without a mark, and NUL bytes."""
+    """UTF-8 with and without a mark, NUL bytes, and GB18030."""
     n = F.col("doc_id")
     raw = F.when(n % 5 == 0, F.concat(F.col("text"), F.lit("\x00"))).when(n % 5 == 1, F.concat(F.lit("﻿"), "text")).otherwise(F.col("text"))
-    return I.decode_text_corpus(V.table(spark, d, "documents").select(n.cast("string").alias("path"), raw.cast("binary").alias("content")))
+    other = F.pandas_udf(lambda t: t.map(lambda x: (x + " 仓库é").encode("gb18030"), na_action="ignore"), "binary")
+    content = F.when(n % 5 == 2, other(F.when(n % 5 == 2, F.col("text")))).otherwise(raw.cast("binary"))
+    return I.decode_text_corpus(V.table(spark, d, "documents").select(n.cast("string").alias("path"), content.alias("content")))
 
 
 @query("custom_converter", "select doc_id::varchar as path, case when doc_id % 7 = 0 then null else '# ' || doc_id || chr(10) || text end as content, case when doc_id % 7 = 0 then 'ValueError: unreadable' end as error from documents")
@@ -104,23 +106,27 @@ g as (select *, case when ts < lag(ts) over w + interval 30 minute then 0 else 1
 s as (select *, sum(fresh) over (partition by session_id order by ts, message_id) as burst from g)
 select session_id, min(ts) as opened, max(ts) + interval 30 minute as closed, count(*) as n from s group by session_id, burst""")
 def sessions(spark, d):
-    """T4: bursts of messages, by the batch twin of the stream."""
+    """T4: bursts of messages by the stream; those that its watermark has not closed at the end by the batch twin."""
     m = V.table(spark, d, "events").select(F.col("event_id").alias("message_id"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    s = W.session_bursts(m)
+    last = m.agg((F.max("ts") - F.expr("interval 1 hour")).alias("last"))
+    done = _drain(W.stream_sessions(_replay(spark, m)), shared_dir(spark), spark).crossJoin(F.broadcast(last)).where("closed <= last")  # one row
+    s = done.union(W.session_bursts(m).crossJoin(F.broadcast(last)).where("closed > last"))
     return s.select("session_id", F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("closed").cast("timestamp_ntz").alias("closed"), "n")
 
 
-@query("stream_usage_days", """select cast(ts as date) as day, member, count(*) as traces, count(*) filter (zero_hit) as zero_hit_traces, count(*) filter (seq % 3 = 0) as cited from v_trace_events where cast(ts as date) < date '2024-01-25' group by 1, 2""", "v_trace_events")
+@query("stream_usage_days", """select cast(ts as date) as day, member, count(*) as traces, count(*) filter (zero_hit) as zero_hit_traces, count(*) filter (seq % 3 = 0) as cited from v_trace_events group by 1, 2""", "v_trace_events")
 def usage_days(spark, d):
-    """Daily counters kept by a stream; days that the watermark has closed."""
+    """Daily counters kept by a stream; days that its watermark has not closed at the end are counted in a batch."""
     t = V.trace_events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "member", F.col("zero_hit").cast("int").alias("n_zero"), (F.col("seq") % 3 == 0).cast("int").alias("n_citations"))
-    return _drain(W.stream_usage(_replay(spark, t)), shared_dir(spark), spark).where("day < '2024-01-25'")
+    last = t.agg(F.to_date(F.max("ts") - F.expr("interval 1 day")).alias("last"))
+    done = _drain(W.stream_usage(_replay(spark, t)), shared_dir(spark), spark).crossJoin(F.broadcast(last)).where("day < last")  # one row
+    return done.union(W.usage_days(t).crossJoin(F.broadcast(last)).where("day >= last")).drop("last")
 
 
 @query("stream_traces")
 def traces(spark, d):
     """Traces folded by a stateful stream; compared with a plain fold in tests."""
-    e = events(spark, d).select("trace_id", "member", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "path", "citations", "content")
+    e = events(spark, d).select("trace_id", "member", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "path", "citations", "content", "query")
     return _drain(W.stream_traces(_replay(spark, e)), shared_dir(spark), spark)
 
 

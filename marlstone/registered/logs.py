@@ -13,7 +13,7 @@ from marlstone.operators import sessions as M
 from marlstone.operators import usage as U
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
-from marlstone.registered.search import QTOK, knowledge_sql
+from marlstone.registered.search import QTOK, knowledge_sql, snippet_sql
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -51,12 +51,17 @@ full_ as (
     coalesce(len(answer), 0) as answer_chars from tr left join ans using (trace_id))"""
 
 
-@query("fold_traces", f"""with {_TRACES} select trace_id, member, n_steps, n_zero, failed, n_retrieved, n_citations, n_cited_not, n_unused, answer_chars::int as answer_chars, answer_chars > 0 and n_citations = 0 as no_hit_answer from full_""", "v_trace_events")
+@query("fold_traces", f"""with {_TRACES} select trace_id, member, n_steps, n_zero, failed, n_retrieved, n_citations, n_cited_not, n_unused, answer_chars::int as answer_chars, answer_chars > 0 and n_citations = 0 as no_hit_answer,
+  (select coalesce(string_agg(path, '|' order by s), '') from ret where ret.trace_id = full_.trace_id) as retrieved, (select coalesce(string_agg(path, '|' order by path), '') from cit where cit.trace_id = full_.trace_id) as citations,
+  (select coalesce(string_agg(query, '|' order by seq), '') from ev where ev.trace_id = full_.trace_id and type = 'search' and path is null) as zero_hit_queries,
+  (select coalesce(string_agg(path, '|' order by path), '') from cit where cit.trace_id = full_.trace_id and path not in (select path from ret where ret.trace_id = cit.trace_id)) as cited_not_retrieved from full_""", "v_trace_events")
 def fold(spark, d):
     """T1 (batch), F5"""
     n = lambda c: F.size(c).cast("long")
     return traces(spark, d).select("trace_id", "member", n("steps").alias("n_steps"), n("zero_hit_queries").alias("n_zero"), "failed", n("retrieved").alias("n_retrieved"), n("citations").alias("n_citations"),
-                                   n("cited_not_retrieved").alias("n_cited_not"), n("retrieved_but_unused").alias("n_unused"), "answer_chars", "no_hit_answer")
+                                   n("cited_not_retrieved").alias("n_cited_not"), n("retrieved_but_unused").alias("n_unused"), "answer_chars", "no_hit_answer",
+                                   F.array_join("retrieved", "|").alias("retrieved"), F.array_join(F.sort_array("citations"), "|").alias("citations"), F.array_join("zero_hit_queries", "|").alias("zero_hit_queries"),
+                                   F.array_join(F.sort_array("cited_not_retrieved"), "|").alias("cited_not_retrieved"))
 
 
 _METRICS = """count(*) as traces, count(*) filter (n_zero > 0) as zero_hit_traces, round(count(*) filter (n_zero > 0) / count(*), 4) as zero_hit_rate,
@@ -75,10 +80,10 @@ def top_zero(spark, d):
     return U.top_zero_hit_queries(traces(spark, d))
 
 
-@query("usage_rollup", f"""with {_TRACES} select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, member, {_METRICS} from full_ group by 1, 2, 3""", "v_trace_events")
+@query("usage_rollup", f"""with {_TRACES} select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, member, {_METRICS}, array_to_string((list(trace_id order by ts, trace_id))[:20], '|') as questions from full_ group by 1, 2, 3""", "v_trace_events")
 def rollup(spark, d):
-    """F4, T2 (batch)"""
-    return U.usage_rollup(traces(spark, d)).drop("questions")
+    """F4, T2 (batch); the question of a trace is its id here."""
+    return U.usage_rollup(traces(spark, d).withColumn("question", F.col("trace_id"))).withColumn("questions", F.array_join("questions", "|"))
 
 
 @query("last_days", f"with {_TRACES} select trace_id from full_ where cast(ts as date) in (select distinct cast(ts as date) as x from full_ order by x desc limit 5)", "v_trace_events")
@@ -204,14 +209,14 @@ def checks(spark, d):
 
 @query("inspection_report", f"""with {_INSPECT}, k as (select split_part(unnest(issues), ':', 1) as name from chk)
 select 'total' as section, 'sampled' as name, count(*) as n from chk union all select 'total', 'clean', count(*) filter (len(issues) = 0) from chk
-union all select 'total', 'blocking', count(*) from k where name in ('output_missing', 'empty_output', 'invalid_utf8', 'replacement_chars', 'nul_bytes', 'broken_images')
+union all select 'total', 'blocking', count(*) from k where name in ('output_missing', 'empty_file', 'invalid_utf8', 'replacement_chars', 'nul_bytes', 'broken_images')
 union all select 'issue', name, count(*) from k group by name union all select 'type', file_type, count(*) from chk group by file_type""", "v_documents")
 def report(spark, d):
     """F6"""
     return G.inspection_report(inspected(spark, d))
 
 
-@query("conversion_timing", "select 'c' || (member % 5) as converter, '.pdf' as suffix, result as status, count(*) as n, avg(seconds) as avg_seconds, quantile_cont(seconds, 0.5) as p50_seconds from v_runs group by 1, 3", "v_runs")
+@query("conversion_timing", "select 'c' || (member % 5) as converter, '.pdf' as suffix, result as status, count(*) as n, avg(seconds) as avg_seconds, quantile_disc(seconds, 0.5) as p50_seconds from v_runs group by 1, 3", "v_runs")
 def timing(spark, d):
     """F11"""
     r = V.runs(spark, d).select(F.concat(F.lit("c"), (F.col("member") % 5).cast("string")).alias("converter"), F.lit(".pdf").alias("suffix"), F.col("result").alias("status"), "seconds")
@@ -236,6 +241,22 @@ def retrieval(spark, d):
     return G.retrieval_metrics(hits, V.expected(spark, d), V.queries(spark, d))
 
 
+_KEYWORDS = """v_queries as (
+  select item_id as query_id, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] as text from benchmark where len(string_split(text, ' ')) >= 5)"""
+
+
+@query("retrieval_metrics_keywords", f"""with {_KEYWORDS}, {knowledge_sql(10)},
+r as (select q.query_id, min(rank) as r from (select distinct query_id from v_queries) q left join (select h.query_id, h.rank from found h join v_expected e using (query_id, path)) x using (query_id) group by q.query_id)
+select count(*) as cases, count(*) filter (r <= 1) as hit_at_1, count(*) filter (r <= 3) as hit_at_3, count(*) filter (r <= 5) as hit_at_5, count(*) filter (r <= 10) as hit_at_10,
+  count(*) filter (r is null) as miss, round(sum(coalesce(1.0::double / r, 0)) / count(*), 3) as mrr from r""", "v_documents", "v_expected")
+def retrieval_keywords(spark, d):
+    """F8: the same cases asked by their keywords, joined by blanks."""
+    words = F.split("text", " ")
+    cases = V.queries(spark, d).where(F.size(words) >= 5).select("query_id", F.slice(words, 2, 3).alias("keywords"))
+    asked = cases.select("query_id", F.array_join("keywords", " ").alias("text"))
+    return G.retrieval_metrics(S.knowledge_search(V.documents(spark, d), asked, 10), V.expected(spark, d), asked)
+
+
 @query("citation_metrics", r"""with a as (select conv_id as query_id, text as answer, 'members/src' || (conv_id % 20) || '/d' || conv_id || '/d' || conv_id || '.md' as path from conversations where role = 'assistant'),
 j as (select distinct query_id, answer, path from a), k as (select j.*, v.content from j left join v_documents v using (path))
 select count(*) as citations, count(content) as existing, count(*) filter (query_id % 2 = 0) as retrieved,
@@ -250,6 +271,10 @@ def citations(spark, d):
     return G.citation_metrics(one, V.documents(spark, d), got)
 
 
+_TITLES = r"""select session_id, title from (select session_id, max(message_id) as updated, count(*) as n_messages, coalesce(nullif(substring(trim(regexp_replace(coalesce(min_by(content, message_id) filter (kind = 'user'), ''), '[ \t\n\r\x0B\f]+', ' ', 'g'), ' '), 1, 20), ''), 'New session') as title
+from v_messages group by session_id)"""
+
+
 @query("session_list", r"""select session_id, max(message_id) as updated, count(*) as n_messages, coalesce(nullif(substring(trim(regexp_replace(coalesce(min_by(content, message_id) filter (kind = 'user'), ''), '[ \t\n\r\x0B\f]+', ' ', 'g'), ' '), 1, 20), ''), 'New session') as title
 from v_messages group by session_id""", "v_messages")
 def sessions(spark, d):
@@ -257,10 +282,10 @@ def sessions(spark, d):
     return M.session_list(V.messages(spark, d))
 
 
-@query("session_history", "select message_id, kind, content from v_messages where session_id = 3 order by message_id", "v_messages")
+@query("session_history", "select session_id, message_id, kind, content, row_number() over (partition by session_id order by message_id) as place from v_messages", "v_messages")
 def history(spark, d):
-    """The messages of one session."""
-    return M.history(V.messages(spark, d), 3).select("message_id", "kind", "content")
+    """The messages of every session in order."""
+    return M.histories(V.messages(spark, d)).select("session_id", "message_id", "kind", "content", "place")
 
 
 @query("delete_sessions", "select session_id, message_id from v_messages where session_id % 3 <> 0", "v_messages")
@@ -292,9 +317,9 @@ def searchable(spark, d):
     return t.select("conv_id", "turn", body.alias("body"))
 
 
-_MQ = """qs as (select item_id as query_id, substring(text, 1, 40) as text from benchmark where item_id < 20)"""
-_MS = rf"""{_MQ}, qt as (select query_id, {QTOK} as ts from qs), qf as (select distinct query_id, t from (select query_id, unnest(ts) as t from qt)),
-ql as (select query_id, t from qf a where not exists (select 1 from qf b where b.query_id = a.query_id and lower(b.t) = lower(a.t) and b.t < a.t)),
+_MQ = """qs as (select item_id as query_id, text from benchmark)"""
+_MS = rf"""{_MQ}, qt as (select query_id, {QTOK} as ts from qs), qf as (select query_id, unnest(ts) as t, unnest(range(1, len(ts) + 1)) as i from qt),
+ql as (select query_id, t, i from qf a where not exists (select 1 from qf b where b.query_id = a.query_id and lower(b.t) = lower(a.t) and b.i < a.i)),
 ph as (select query_id, t, regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+')[1] as token from ql),
 fl as (select message_id, session_id, regexp_extract_all(strip_accents(lower(coalesce(content, ''))), '[\p{{L}}\p{{N}}]+') as ts from v_messages where kind <> 'process'),
 ln as (select message_id, len(ts) as n from fl), co as (select count(*) as nd, avg(n) as av from ln),
@@ -302,11 +327,13 @@ tf as (select message_id, token, count(*) as f from (select message_id, unnest(t
 sc as (select query_id, message_id, round(sum(greatest(ln((nd - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av))), 9) as score from ph join tf using (token) join df using (token) join ln using (message_id), co group by 1, 2)"""
 
 
-@query("search_messages", f"""with {_MS} select query_id, session_id, message_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, message_id) as rank from sc) join (select message_id, session_id from fl) using (message_id) where rank <= 20""", "v_messages")
+@query("search_messages", f"""with {_MS}, hit as (select * from (select *, row_number() over (partition by query_id order by score desc, message_id) as rank from sc) where rank <= 20),
+hc as (select query_id, message_id, content from hit join v_messages using (message_id)),
+sn as ({snippet_sql("select * from hc", "ql", "message_id", "content", 30)}), ti as ({_TITLES})
+select query_id, session_id, message_id, score, rank, title, snippet from hit join (select message_id, session_id from fl) using (message_id) join sn using (query_id, message_id) join ti using (session_id)""", "v_messages")
 def search_messages(spark, d):
     """E15, C17, D15"""
-    q = V.table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
-    return M.search_messages(V.messages(spark, d), q, 20).select("query_id", "session_id", "message_id", "score", "rank")
+    return M.search_messages(V.messages(spark, d), V.queries(spark, d), 20).select("query_id", "session_id", "message_id", "score", "rank", "title", "snippet")
 
 
 @query("manifest_diff", """with n as (select doc_id::varchar as token, sha256(case when doc_id % 7 = 0 then text || 'x' else text end) as h from documents where doc_id % 10 <> 1),

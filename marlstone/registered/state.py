@@ -33,11 +33,11 @@ def route(spark, d):
     return S.route_format(V.scan_1(spark, d)).select("relative_path", "suffix", "supported", "converter", "origin", S.cost_class().alias("cost"))
 
 
-@query("output_path", """select relative_path, 'members/whm/' || regexp_extract(relative_path, '^(.*)/', 1) || '/' || stem || '/' || stem || '.md' as output_path
+@query("output_path", """select relative_path, 'members/ada/' || regexp_extract(relative_path, '^(.*)/', 1) || '/' || stem || '/' || stem || '.md' as output_path
 from (select relative_path, regexp_replace(split_part(relative_path, '/', -1), '\\.[^.]*$', '') as stem from v_scan_1)""", "v_scan_1")
 def output(spark, d):
     """B6"""
-    return V.scan_1(spark, d).select("relative_path", S.output_path("whm").alias("output_path"))
+    return V.scan_1(spark, d).select("relative_path", S.output_path("ada").alias("output_path"))
 
 
 @query("exclude_sources", """select s.relative_path, sha256, case when doc_id % 9 = 0 then 'ignored' end as status, case when doc_id % 9 = 0 then 'excluded' end as reason from v_scan_1 s""", "v_scan_1")
@@ -125,7 +125,7 @@ def feedback(spark, d):
     return S.new_feedback(c, old).select("source_sha256", "category")
 
 
-@query("source_registry", """select c.relative_path, source_sha256, s.size as source_bytes, 'mineru' as converter, '3.4.5' as version, status, 'members/' || c.relative_path as output_path
+@query("source_registry", """select c.relative_path, source_sha256, s.size as source_bytes, 'quarry' as converter, '1.0' as version, status, 'members/' || c.relative_path as output_path
 from v_conversions c left join v_scan_2 s on c.relative_path = s.relative_path""", "v_conversions", "v_scan_2")
 def sources(spark, d):
     """C9, B8, B9"""

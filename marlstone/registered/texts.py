@@ -37,18 +37,18 @@ def md(spark, d):
 from (select doc_id, {_MD} as t from documents)""")
 def inspect(spark, d):
     """D3, without the count of repeated characters, which the other engine's patterns cannot say."""
-    w = F.filter(T.markdown_warnings("t"), lambda x: ~F.startswith(x, F.lit("contains ")))
+    w = F.filter(T.markdown_warnings("t"), lambda x: ~F.startswith(x, F.lit("repeats ")))
     return md(spark, d).select("doc_id", F.size(T.markdown_errors("t")).alias("n_errors"), F.size(w).alias("n_warnings"))
 
 
-@query("repeated_characters", r"""select doc_id, sum(case when c = p and c <> q and c <> chr(10) then 1 else 0 end)::bigint as runs from (
+@query("repeated_characters", r"""select doc_id, coalesce(runs, 0)::bigint as runs from documents left join (select doc_id, sum(case when c = p and c <> q and c <> chr(10) then 1 else 0 end)::bigint as runs from (
   select doc_id, c, lag(c, 2) over w = c and lag(c) over w = c as is_third, lag(c) over w as p0, case when lag(c) over w = c and lag(c, 2) over w = c then c end as p,
     case when lag(c, 1) over w = c and lag(c, 2) over w = c and lag(c, 3) over w = c then c else '' end as q
   from (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, len(text) + 1)) as i from documents) window w as (partition by doc_id order by i))
-group by doc_id""")
+group by doc_id) using (doc_id)""")
 def repeated(spark, d):
     """D3: runs of three or more of a character."""
-    return V.table(spark, d, "documents").where("text <> ''").select("doc_id", T.repeated_runs("text").cast("long").alias("runs"))
+    return V.table(spark, d, "documents").select("doc_id", T.repeated_runs(F.coalesce("text", F.lit(""))).cast("long").alias("runs"))
 
 
 @query("scan_credentials", r"""select doc_id, n as found, n = 0 as ok from (select doc_id, len(regexp_extract_all(text, '(?i)\b(api[_-]?key|token|secret|password)["'']?\s*[:=]\s*["''][0-9A-Za-z_\-]{16,}["'']'))
@@ -138,11 +138,11 @@ _STRIP = "trim(({0}), ' ' || chr(9) || chr(10) || chr(13))"
 
 @query("snippet_window", f"""select doc_id, case when pos > 0 then (case when pos - 41 > 0 then '...' else '' end) || {_STRIP.format("substring(f, greatest(0, pos - 41) + 1, least(len(f), pos - 1 + len(a) + 40) - greatest(0, pos - 41))")}
    || (case when least(len(f), pos - 1 + len(a) + 40) < len(f) then '...' else '' end) else {_STRIP.format('substring(f, 1, 160)')} end as snippet
-from (select doc_id, f, a, instr(f, a) as pos from (select doc_id, {_FLAT} as f, case when doc_id % 2 = 0 then split_part({_FLAT}, ' ', 30) else 'zzzz' end as a from documents) where a <> '')""")
+from (select doc_id, f, a, instr(f, a) as pos from (select doc_id, {_FLAT} as f, case when doc_id % 2 = 0 then coalesce(nullif(split_part({_FLAT}, ' ', 30), ''), 'zzzz') else 'zzzz' end as a from documents))""")
 def snippet(spark, d):
     """D10"""
     flat = F.translate("text", "\r\n", "  ")
-    x = V.table(spark, d, "documents").withColumn("a", F.when(F.col("doc_id") % 2 == 0, F.split_part(flat, F.lit(" "), F.lit(30))).otherwise("zzzz")).where("a <> ''")
+    x = V.table(spark, d, "documents").withColumn("a", F.when(F.col("doc_id") % 2 == 0, F.coalesce(F.nullif(F.split_part(flat, F.lit(" "), F.lit(30)), F.lit("")), F.lit("zzzz"))).otherwise("zzzz"))
     return x.select("doc_id", T.snippet_window("text", F.col("a")).alias("snippet"))
 
 
@@ -168,12 +168,12 @@ def paths(spark, d):
 
 
 @query("highlight_anchors", r"""with r as (select doc_id, t, min(i) as i from (select doc_id, unnest(x) as t, unnest(range(1, len(x) + 1)) as i from (
-  select doc_id, regexp_extract_all(substring(text, 1, 200), '[\x{4e00}-\x{9fff}]{2,}|[0-9A-Za-z_]{4,}') as x from documents)) group by doc_id, t)
-select doc_id, string_agg(t, '|' order by k) as anchors from (select doc_id, t, row_number() over (partition by doc_id order by -len(t), i) as k from r) where k <= 3 group by doc_id""")
+  select doc_id, regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}|[0-9A-Za-z_]{4,}') as x from documents)) group by doc_id, t)
+select doc_id, coalesce(anchors, '') as anchors from documents left join (
+  select doc_id, string_agg(t, '|' order by k) as anchors from (select doc_id, t, row_number() over (partition by doc_id order by -len(t), i) as k from r) where k <= 3 group by doc_id) using (doc_id)""")
 def anchors(spark, d):
-    """D22"""
-    x = V.table(spark, d, "documents").select("doc_id", F.array_join(T.highlight_anchors(F.substring("text", 1, 200)), "|").alias("anchors"))
-    return x.where("anchors <> ''")
+    """D22, of whole texts"""
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(T.highlight_anchors("text"), "|").alias("anchors"))
 
 
 _REF = "case doc_id % 6 when 0 then 'images/a' || doc_id || '.png' when 1 then '../up.png' when 2 then 'https://h/x.png' when 3 then 'C:/x.png' when 4 then '../../../../x.png' else '/abs.png' end"
@@ -245,11 +245,17 @@ sc as (select *, len(list_filter(needles, lambda n: contains(body, n))) as score
 best as (select * from (select *, row_number() over (partition by query_id, path order by score desc, line) as r from sc where score > 0) where r <= 3)"""
 
 
-@query("locate_hits", f"with {_LOCATE} select query_id, path, line from best", "v_expected", "v_queries")
+_SNIPPET = r"""select query_id, path, line, case when a is null then substring(f, 1, 120) else (case when pos - 41 > 0 then '...' else '' end)
+  || trim(substring(f, greatest(0, pos - 41) + 1, least(len(f), pos - 1 + len(a) + 60) - greatest(0, pos - 41))) || (case when least(len(f), pos - 1 + len(a) + 60) < len(f) then '...' else '' end) end as snippet
+from (select *, instr(f, a) as pos from (select *, list_reduce(list_filter(needles, lambda n: contains(f, n)), lambda p, q: case when len(q) > len(p) then q else p end) as a
+  from (select query_id, path, line, needles, trim(regexp_replace(body, '[ \t\n\r\x0B\f]+', ' ', 'g'), ' ') as f from best)))"""
+
+
+@query("locate_hits", f"with {_LOCATE} {_SNIPPET}", "v_expected", "v_queries")
 def locate(spark, d):
     """E11, H3, D14"""
     q = V.queries(spark, d).select("query_id", T.needles("text").alias("needles"))
-    return A.locate_hits(V.documents(spark, d), V.expected(spark, d).join(q, "query_id")).select("query_id", "path", "line")
+    return A.locate_hits(V.documents(spark, d), V.expected(spark, d).join(q, "query_id")).select("query_id", "path", "line", "snippet")
 
 
 @query("locate_sources", f"""with {_LOCATE} select e.query_id, e.path, case when d.title = '' then '?' else d.title end as title, (select string_agg(line::varchar, ',' order by line) from best b where b.query_id = e.query_id and b.path = e.path) as lines

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.functions import text as T
 from marlstone.operators.state import route_format
 
 QUESTIONS = "id string, question string, expected_paths array<string>, keywords array<string>, note string"
@@ -99,21 +99,24 @@ def load_question_set(spark: SparkSession, path: str, lines: bool = False) -> Da
     return out
 
 
+def _gb18030(raw: pd.Series) -> pd.Series:
+    def read(b):
+        try:
+            return bytes(b).decode("gb18030")
+        except UnicodeDecodeError:
+            return None
+
+    return raw.map(read, na_action="ignore")
+
+
 def decode_text_corpus(files: DataFrame) -> DataFrame:
     """files(path, content binary) with text and error: NUL bytes are rejected, then UTF-8 is tried, then GB18030.
 
-    GB18030 needs spark.sql.legacy.javaCharsets=true; without it, such files are errors.
+    Only bytes that are not UTF-8 reach Python.
     """
     raw = F.col("content")
-    binary = F.locate("00", F.regexp_replace(F.hex(raw), "(..)", "$1 ")) > 0
-    utf8 = F.decode(raw, "UTF-8")
-    chars = files.sparkSession.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
-    other = F.decode(raw, "GB18030") if chars else F.lit(None).cast("string")
-    text = F.when(binary, None).when(F.is_valid_utf8(raw), F.regexp_replace(utf8, "^\\uFEFF", "")).when(~F.contains(other, F.lit("�")), other)
-    error = F.when(binary, "binary").when(text.isNull(), "undecodable")
-    return files.select("path", text.alias("text"), error.alias("error"))
-
-
-def titled(docs: DataFrame) -> DataFrame:
-    """docs(path, content) with title and content_sha256, as the index takes them."""
-    return docs.withColumns({"title": T.extract_title("content", "path"), "content_sha256": F.sha2("content", 256)})
+    binary, valid = F.contains(raw, F.lit(bytearray(1))), F.is_valid_utf8(raw)
+    other = F.pandas_udf(_gb18030, "string")(F.when(~binary & ~valid, raw))
+    text = F.when(binary, None).when(valid, F.regexp_replace(F.decode(raw, "UTF-8"), "^\\uFEFF", "")).otherwise(other)
+    read = files.select("path", text.alias("text"), binary.alias("_b"))
+    return read.select("path", "text", F.when(F.col("_b"), "binary").when(F.col("text").isNull(), "undecodable").alias("error"))

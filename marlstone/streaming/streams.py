@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import text as T
-
-TRACE = "trace_id string, member long, n_steps long, n_zero long, retrieved array<string>, citations array<string>, answer string, failed boolean, closed_by string"
-_STATE = "member long, steps array<string>, zero long, retrieved array<string>"
+TRACE = """trace_id string, member long, n_steps long, n_zero long, retrieved array<string>, zero_hit_queries array<string>, citations array<string>,
+  answer string, failed boolean, closed_by string"""
+_STATE = "member long, steps array<string>, zero long, retrieved array<string>, missed array<string>"
 
 
 def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """One row for each finished trace of a stream of events(trace_id, member, seq, ts, type, path, citations, content).
+    """One row for each finished trace of a stream of events(trace_id, member, seq, ts, type, path, citations, content and, if
+    there is one, query), with the signals of the batch fold: queries without hits, what was cited and not retrieved, or
+    retrieved and not used, the answer's length, and whether an answer cites nothing.
 
     A trace ends with its answer or an error; one that stays silent is closed when the watermark has passed its last
     event by `idle`.
@@ -24,14 +25,14 @@ def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         def row(s, answer, cited, failed, by):
             return pd.DataFrame([{
-                "trace_id": key[0], "member": s[0], "n_steps": len(s[1]), "n_zero": s[2], "retrieved": s[3],
+                "trace_id": key[0], "member": s[0], "n_steps": len(s[1]), "n_zero": s[2], "retrieved": s[3], "zero_hit_queries": s[4],
                 "citations": list(dict.fromkeys(cited)), "answer": answer, "failed": failed, "closed_by": by}])
 
         if state.hasTimedOut:
             yield row(state.get, None, [], False, "timeout")
             state.remove()
             return
-        s = state.get if state.exists else (None, [], 0, [])
+        s = state.get if state.exists else (None, [], 0, [], [])
         pdf = pd.concat(list(batches)).sort_values("seq")
         latest = pdf["ts"].max()
         for e in pdf.itertuples():
@@ -39,10 +40,10 @@ def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
             if e.type in ("search", "read"):
                 missed = e.type == "search" and e.path is None
                 paths = list(s[3]) + ([e.path] if e.type == "search" and e.path is not None and e.path not in s[3] else [])
-                s = (member, [*s[1], e.type], s[2] + int(missed), paths)
+                s = (member, [*s[1], e.type], s[2] + int(missed), paths, [*s[4], *([e.query] if missed and e.query is not None else [])])
             elif e.type in ("answer", "error"):
                 yield row((member, *s[1:]), e.content if e.type == "answer" else None, list(e.citations) if e.citations is not None else [], e.type == "error", e.type)
-                s = (None, [], 0, [])
+                s = (None, [], 0, [], [])
             else:
                 s = (member, *s[1:])
         if s[0] is None:
@@ -52,7 +53,18 @@ def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
             state.update(s)
             state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000))
 
-    return events.withWatermark("ts", idle).groupBy("trace_id").applyInPandasWithState(fold, TRACE, _STATE, "append", "EventTimeTimeout")
+    asked = events if "query" in events.columns else events.withColumn("query", F.lit(None).cast("string"))
+    folded = asked.withWatermark("ts", idle).groupBy("trace_id").applyInPandasWithState(fold, TRACE, _STATE, "append", "EventTimeTimeout")
+    said = F.coalesce("answer", F.lit(""))
+    return folded.withColumns({
+        "cited_not_retrieved": F.array_except("citations", "retrieved"), "retrieved_but_unused": F.slice(F.array_except("retrieved", "citations"), 1, 10),
+        "answer_chars": F.length(said), "no_hit_answer": (said != "") & (F.size("citations") == 0)})
+
+
+def usage_days(traces: DataFrame) -> DataFrame:
+    """The batch twin of stream_usage."""
+    return traces.groupBy(F.to_date("ts").alias("day"), "member").agg(
+        F.count("*").alias("traces"), F.count_if(F.col("n_zero") > 0).alias("zero_hit_traces"), F.count_if(F.col("n_citations") > 0).alias("cited"))
 
 
 def stream_usage(traces: DataFrame, late: str = "1 day") -> DataFrame:
@@ -85,7 +97,3 @@ def session_bursts(messages: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """The batch twin of stream_sessions."""
     return messages.dropDuplicates(["session_id", "message_id"]).groupBy(F.session_window("ts", gap), "session_id").agg(F.count("*").alias("n")).select(
         "session_id", F.col("session_window.start").alias("opened"), F.col("session_window.end").alias("closed"), "n")
-
-
-def title_of(question: str):
-    return T.session_title(F.lit(question))
