@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import key_filter, materialize, table
+from marlstone.llm.common import fresh, key_filter, materialize, table
 from marlstone.llm.components import connected_components
 from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
@@ -323,9 +323,10 @@ def _label(base: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stand for their component, with the columns of docs; rows are told apart by a stored number."""
-    numbered = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    judged = _judged(numbered, shingle, percent).where("not kept").select(ROW)
-    return numbered.join(judged, ROW, "left_anti").select(*docs.columns)
+    row = fresh(ROW, docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = _judged(numbered.select("doc_id", "text", F.col(row).alias(ROW)), shingle, percent).where("not kept").select(F.col(ROW).alias(row))
+    return numbered.join(judged, row, "left_anti").select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
