@@ -19,6 +19,8 @@ from marlstone.llm.common import SPACE_CLASS, let, table
 MAX_LABELLED = 20_000
 #: A rule must be this precise on the pruning rows and on all rows, and cover so many bad ones.
 MIN_PRECISION, MIN_COVERED = 0.9, 5
+#: Parameters of `learn`: rules of a list, conditions of a rule, and thresholds that are tried for a condition (values of
+#: the labelled rows, evenly spaced in their order). They bound the search for rules, not the rows that are judged.
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 8, 3, 24
 #: Repeated windows are looked up in a list of up to this many hashes, and by sorting beyond; both give the same count.
 FEW = 24
@@ -152,7 +154,7 @@ def _precision(rows: list[dict]) -> float:
     return (sum(r["bad"] for r in rows) + 1) / (len(rows) + 2)
 
 
-def _best_condition(rows: list[dict]) -> Condition | None:
+def _best_condition(rows: list[dict], thresholds: int) -> Condition | None:
     """The threshold with the most gain: bad rows covered times the precision won.
 
     It is set halfway between the last value on one side and the first on the other.
@@ -166,7 +168,7 @@ def _best_condition(rows: list[dict]) -> Condition | None:
             bad += is_bad
             bad_up_to.append(bad)
         cuts = [i for i in range(len(ordered) - 1) if ordered[i][0] < ordered[i + 1][0]]
-        step = max(1, len(cuts) // THRESHOLDS)
+        step = max(1, len(cuts) // thresholds)
         for i in {*cuts[::step], *cuts[:1], *cuts[-1:]}:
             for above in (True, False):
                 n, n_bad = (len(rows) - i - 1, all_bad - bad_up_to[i]) if above else (i + 1, bad_up_to[i])
@@ -176,11 +178,11 @@ def _best_condition(rows: list[dict]) -> Condition | None:
     return best
 
 
-def _grow(rows: list[dict]) -> list[Condition]:
+def _grow(rows: list[dict], conditions: int, thresholds: int) -> list[Condition]:
     rule: list[Condition] = []
     inside = rows
-    while len(rule) < MAX_CONDITIONS and inside and not all(r["bad"] for r in inside):
-        best = _best_condition(inside)
+    while len(rule) < conditions and inside and not all(r["bad"] for r in inside):
+        best = _best_condition(inside, thresholds)
         if best is None:
             break
         rule.append(best)
@@ -195,12 +197,12 @@ def _prune(rule: list[Condition], rows: list[dict]) -> list[Condition]:
     return rule
 
 
-def learn(rows: list[dict]) -> DecisionList:
+def learn(rows: list[dict], max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, thresholds: int = THRESHOLDS) -> DecisionList:
     """Sequential covering over rows with the features, `bad` and `fold` (0 and 1 grow, 2 prunes)."""
     grow, prune = [r for r in rows if r["fold"] < 2], [r for r in rows if r["fold"] == 2]
     rules: list[list[Condition]] = []
-    while len(rules) < MAX_RULES and any(r["bad"] for r in grow):
-        rule = _prune(_grow(grow), prune)
+    while len(rules) < max_rules and any(r["bad"] for r in grow):
+        rule = _prune(_grow(grow, max_conditions, thresholds), prune)
         unseen = _covered(prune, rule)
         both = unseen + _covered(grow, rule)
         if not rule or sum(r["bad"] for r in both) < MIN_COVERED or _precision(both) < MIN_PRECISION or not unseen:
@@ -214,14 +216,16 @@ def learn(rows: list[dict]) -> DecisionList:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[dict]:
-    """Features and label of at most `most` labelled documents; ids without one label are left out."""
+    """Features and label of at most `most` labelled ids, those without one label left out; of an id with several texts the first
+    by code point counts."""
     sample = (
         labels.where("quality in (0, 1) and doc_id is not null")
         .groupBy("doc_id").agg(F.max("quality").alias("hi"), F.min("quality").alias("lo")).where("hi = lo")
         .select("doc_id", (F.col("hi") == 0).alias("bad"), F.xxhash64(F.lit("sample"), "doc_id").alias("_h"))
         .orderBy("_h", "doc_id").limit(most)
     )
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `most` rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample has at most `most` rows
+    joined = joined.groupBy("doc_id", "bad").agg(F.min("text").alias("text"))  # one row for each id
     rows = features(with_statistics(joined)).where(~base_failed())
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3))
     return [r.asDict() for r in rows.select("doc_id", "bad", fold.alias("fold"), *FEATURES).orderBy("doc_id", "fold").collect()]
