@@ -594,6 +594,85 @@ def test_classifier_of_odd_rows(spark, odd, empty):
 
 # ---- the pipeline
 
+def plain_pipeline(docs, rules, benchmark, statistics_of):
+    """The five stages on lists of (doc_id, text, source): (doc_id, ids) of what comes out."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    def kept(text):
+        s = statistics_of[text]
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        return not failed and not any(all(c.holds(s) for c in rule) for rule in rules.rules)
+
+    docs = [d for d in docs if kept(d[1])]
+    groups = brute_components([(i, t) for i, t, _ in docs], 5, 80)
+    docs = [d for d in docs if groups[d[0]][1] == d[0]]
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    items = [plain_words(b, word) for b in benchmark]
+    windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    docs = [d for d in docs if clean(plain_words(d[1], word))]
+    own = defaultdict(list)
+    for d in docs:
+        own[d[2]].append(d)
+    size = {s: sum(len(plain_words(t, lower=False)) for _, t, _ in ds) for s, ds in own.items()}
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    weight, cap = {s: i % 3 + 1 for i, s in enumerate(names)}, {s: 3 * n for s, n in size.items()}
+    target, left, open_ = {}, float(sum(size.values())), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > cap[s]}
+        for s in full or open_:
+            target[s] = float(cap[s]) if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    t = Tokenizer.from_file(token_ids.tokenizer_path())
+    out = []
+    for s, ds in own.items():
+        copies = int(target[s] + 1e-9) // size[s] if size[s] else 0
+        rest = int(target[s] + 1e-9) - copies * size[s]
+        for i, text, _ in sorted(ds, key=lambda d: hashlib.md5((str(d[0]) + hashlib.md5(d[1].encode()).hexdigest()).encode()).hexdigest()):
+            w = plain_words(text, lower=False)
+            take = min(rest, len(w))
+            rest -= take
+            for body in [text] * copies + ([text] if take == len(w) else [" ".join(w[:take])] if take else []):
+                out.append((i, t.encode(body, add_special_tokens=False).ids + [1]))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality_rules.learn_from(docs, labels)
+    judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.DecisionList([]))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    want = plain_pipeline(rows, rules, [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()], {r.text: r.asDict() for r in judged.collect()})
+    got = P.run(spark, sf_dir).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(i), zlib.crc32(np.array(i, dtype="<u4").tobytes())) for d, i in want)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and len(got) > 50
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows, private column names and no rows at all through every stage."""
+    import corpus_pipeline as P
+
+    some = documents(spark, sf_dir).where("doc_id < 60")
+    wide = {c: F.lit("keep") for c in ("_row", "_key", "_hit", "k1", "cid", "kept", "score", "size", "_w", "shard")}
+    for i, docs in enumerate((odd.select(*some.columns).union(some).union(some.limit(5)).withColumns(wide), empty.withColumns(wide))):
+        first = docs.columns
+        for name, stage in P.STAGES:
+            stage(spark, docs, sf_dir).write.parquet(str(tmp_path / f"{i}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{i}-{name}"))
+            if name != "token_ids":
+                assert docs.columns == first
+                assert docs.where(" or ".join(f"`{c}` <> 'keep'" for c in wide)).count() == 0
+        assert (docs.count() > 0) == (i == 0)
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline as P
 
