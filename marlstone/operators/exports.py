@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import shared_dir
+
 
 def manifest_diff(nodes: DataFrame, manifest: DataFrame) -> DataFrame:
     """token and change (new, updated, unchanged, disappeared) of nodes(token, hash) against manifest(token, hash, output_exists)."""
@@ -19,20 +21,24 @@ def tree_top_segment(nodes: DataFrame, root: str, max_depth: int = 64) -> DataFr
 
     Levels are joined one after another until none is left.
     """
-    level = nodes.where(F.col("parent") == root).select("token", "title", F.col("title").alias("top"))
+    spark = nodes.sparkSession
+
+    def kept(level: DataFrame) -> DataFrame:
+        path = shared_dir(spark)
+        level.write.parquet(path)
+        return spark.read.schema(level.schema).parquet(path)
+
+    # each level is computed once, from the stored one above it
+    level = kept(nodes.where(F.col("parent") == root).select("token", "title", F.col("title").alias("top")))
     out = level
     for _ in range(max_depth):
-        level = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.token")).select("n.token", "n.title", "p.top")
+        level = kept(nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.token")).select("n.token", "n.title", "p.top"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
     raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
 
 
-def split_types(nodes: DataFrame, kind: str = "doc") -> tuple[DataFrame, DataFrame]:
-    return nodes.where(F.col("type") == kind), nodes.where(F.col("type") != kind)
-
-
 def export_report(diff: DataFrame, failed: DataFrame, skipped: DataFrame) -> DataFrame:
     """action and n: changes, failures and skipped types."""
     rows = diff.groupBy(F.col("change").alias("action")).agg(F.count("*").alias("n"))

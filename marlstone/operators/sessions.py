@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import search as S
+from marlstone.operators.state import place_in_group
 
 
 def searchable_text(payload: Column | str) -> Column:
@@ -56,5 +57,5 @@ def session_buckets(sessions: DataFrame, now: Column, keyword: str = "") -> Data
     """sessions(session_id, title, updated_at) whose title contains keyword, with bucket and place in it (newest first)."""
     days = F.datediff(F.to_date(now), F.to_date("updated_at"))
     bucket = F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, "week").otherwise("older")
-    w = Window.partitionBy("bucket").orderBy(F.desc("updated_at"), F.desc("session_id"))
-    return sessions.where(F.contains(F.lower("title"), F.lit(keyword.lower()))).withColumn("bucket", bucket).withColumn("place", F.row_number().over(w))
+    found = sessions.where(F.contains(F.lower("title"), F.lit(keyword.lower()))).withColumn("bucket", bucket)
+    return place_in_group(found, "bucket", F.desc("updated_at"), F.desc("session_id"))

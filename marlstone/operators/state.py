@@ -88,7 +88,11 @@ def recover_stale(conversions: DataFrame, now: Column, minutes: int = 60) -> Dat
     return out.withColumn("status", F.when(F.col("_stale"), "failed_retryable").otherwise(F.col("status"))).drop("_stale")
 
 
-def global_row_number(df: DataFrame, *order: Column | str, ranges: int = 64) -> DataFrame:
+#: Rows that one task numbers, about.
+RANGE_ROWS = 1_000_000
+
+
+def global_row_number(df: DataFrame, *order: Column | str, ranges: int | None = None) -> DataFrame:
     """df with `n`, its place from 1 in a total order, without one task that sees all rows.
 
     Rows are dealt into ranges of the order and written with their range, so that counting and numbering see the same
@@ -96,6 +100,7 @@ def global_row_number(df: DataFrame, *order: Column | str, ranges: int = 64) ->
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    ranges = ranges or max(1, -(-df.count() // RANGE_ROWS))
     df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_k"))  # one row for each range
@@ -106,6 +111,13 @@ def global_row_number(df: DataFrame, *order: Column | str, ranges: int = 64) ->
     return numbered.join(offsets, "_range").withColumn("n", (F.col("_before") + F.col("_i")).cast("long")).drop("_range", "_i", "_before")
 
 
+def place_in_group(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """df with `place`, from 1 in a total order of each group, however few and large the groups are. Groups are not null."""
+    numbered = global_row_number(df, F.col(group), *order)
+    first = numbered.groupBy(group).agg(F.min("n").alias("_first"))
+    return numbered.join(first, group).withColumn("place", F.col("n") - F.col("_first") + 1).drop("n", "_first")
+
+
 def plan_batches(pending: DataFrame, size: int, lanes: bool = True, path: str = "relative_path") -> DataFrame:
     """pending with its batch number: light formats first (lanes), then by path."""
     key = F.concat(cost_class(path).cast("string"), F.lower(T.col(path))) if lanes else F.lower(T.col(path))
@@ -212,7 +224,6 @@ def stratified_sample(conversions: DataFrame, per_type: int = 6) -> DataFrame:
     """Successes of each suffix, evenly spaced along the path."""
     ok = conversions.where(F.col("status").isin(*SUCCESS)).withColumn("file_type", T.suffix("relative_path"))
     n = ok.groupBy("file_type").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("file_type").orderBy("relative_path")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / per_type))
-    placed = ok.join(n, "file_type").withColumn("_i", F.row_number().over(w) - 1)
+    placed = place_in_group(ok, "file_type", "relative_path").join(n, "file_type").withColumn("_i", F.col("place") - 1)
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") / step < per_type)).select("relative_path", "file_type", "status")

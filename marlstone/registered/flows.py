@@ -130,18 +130,32 @@ def traces(spark, d):
     return _drain(W.stream_traces(_replay(spark, e)), shared_dir(spark), spark)
 
 
+@query("scan_sources", "select 'k=' || source as folder, sum(strlen(text) + 1)::bigint as bytes, true as supported from documents group by source")
+def scan(spark, d):
+    """A1: the texts of each source as files of bounded numbers of texts, scanned with their hashes."""
+    out = shared_dir(spark)
+    docs = V.table(spark, d, "documents")
+    dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
+    dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
+    found = I.scan_sources(spark, out).where("relative_path like 'k=%.txt'")
+    return found.groupBy(F.substring_index("relative_path", "/", 1).alias("folder")).agg(F.sum("size").alias("bytes"), F.bool_and("supported").alias("supported"))
+
+
 @query("stream_ingest", "select count(distinct source) as n_files, sum(strlen(text) + 1)::bigint as bytes, count(distinct source) as n_hashes from documents")
 def ingest(spark, d):
-    """The texts of each source as files of bounded numbers of texts, taken up in batches; the files of a source count as one."""
+    """The texts of each source as files of bounded numbers of texts, merged into a table of sources batch by batch; the files of a source count as one."""
     out, state, sink = shared_dir(spark), shared_dir(spark), shared_dir(spark)
     docs = V.table(spark, d, "documents")
     dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
     dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
 
-    def keep(df, epoch):
-        df.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+    seen = []
+
+    def merge(batch, epoch):
+        W.merge_into(spark, sink)(batch, epoch)
+        seen.append(epoch)
 
-    W.stream_ingest(spark, f"{out}/k=*", keep, state, 8).awaitTermination()
-    source = F.regexp_extract("path", "/k=([^/]*)/", 1)
-    each = spark.read.parquet(sink).groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
+    W.stream_ingest(spark, out, merge, state, 8).awaitTermination()
+    source = F.regexp_extract("relative_path", "^k=([^/]*)/", 1)
+    each = spark.read.parquet(f"{sink}/{max(seen)}").where("status = 'discovered'").groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
     return each.agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("digest").alias("n_hashes"))

@@ -14,6 +14,7 @@ from marlstone.operators import usage as U
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
 from marlstone.registered.search import QTOK, knowledge_sql, snippet_sql
+from marlstone.session import shared_dir
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -184,6 +185,28 @@ def prune(spark, d):
     return G.prune_plan(items(spark, d), V.runs(spark, d), F.expr("timestamp'2024-01-20 00:00:00'"), keep=2, days=10)
 
 
+@query("prune_applied", f"""with {_ITEMS}, act as (
+  select 'delete' as action, kind || '/' || name as item from old union all select 'rotate', kind || '/' || name from it where kind = 'log' and bytes > 10485760
+  union all select distinct 'archive', strftime(started_at, '%Y-%m') from v_runs where started_at < timestamp '2024-01-20 00:00:00' - interval 10 day)
+select 'audit ' || action as what, count(*) as n from act group by action
+union all select 'archived ' || strftime(started_at, '%Y-%m'), count(*) from v_runs where started_at < timestamp '2024-01-20 00:00:00' - interval 10 day group by 1
+union all select 'runs left', count(*) from v_runs where started_at >= timestamp '2024-01-20 00:00:00' - interval 10 day
+union all select 'items left', count(*) from it where kind || '/' || name not in (select kind || '/' || name from old)
+union all select 'items rotated', count(*) from it where kind = 'log' and bytes > 10485760""", "v_runs")
+def prune_applied(spark, d):
+    """H9: the plan carried out, with its audit."""
+    out = shared_dir(spark)
+    G.apply_prune(items(spark, d), V.runs(spark, d), F.expr("timestamp'2024-01-20 00:00:00'"), out, keep=2, days=10)
+    told = lambda df, what: df.select(what.alias("what"), "n")
+    count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"))
+    left = spark.read.parquet(f"{out}/items")
+    return (
+        told(count(spark.read.schema("action string").json(f"{out}/audit/plan"), "action"), F.concat(F.lit("audit "), "action"))
+        .union(told(count(spark.read.parquet(f"{out}/archive"), "archive_month"), F.concat(F.lit("archived "), F.col("archive_month").cast("string"))))
+        .union(told(count(spark.read.parquet(f"{out}/runs")), F.lit("runs left"))).union(told(count(left), F.lit("items left")))
+        .union(told(count(left.where(F.endswith("name", F.lit(".1")))), F.lit("items rotated"))))
+
+
 def inspected(spark, d):
     docs = V.documents(spark, d).where("doc_id % 5 <> 0")
     kind = F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".md")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,16 +77,37 @@ def stream_usage(traces: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str, max_files: int = 1000):
-    """Hand new files (relative path, size, sha256) to on_batch, max_files at a time, until none is left; the checkpoint resumes after a crash.
+    """Hand new files (relative_path below folder, size, sha256) to on_batch, max_files at a time, until none is left; the
+    checkpoint resumes after a crash.
 
     The file source knows paths: files edited in place and deleted ones are found by comparing scans.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option(
         "recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(folder)
-    rows = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    below = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    root = re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + "/"
+    rows = files.select(F.replace(below, F.lit(root), F.lit("")).alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(on_batch).start()
 
 
+def merge_into(spark: SparkSession, state: str, conversions: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A function for stream_ingest that merges each batch into the table of sources below `state`, one generation a batch,
+    statuses of known conversions included. A batch that is repeated after a crash writes its generation anew."""
+    from marlstone.operators import state as S
+
+    schema = "relative_path string, size long, sha256 string, status string"
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{state}/{epoch - 1}") if epoch else spark.createDataFrame([], schema)
+        now = S.upsert_sources(before, batch.dropDuplicates(["relative_path"]))
+        if conversions is not None:
+            known = S.backfill_status(now, conversions).select("relative_path", F.col("status").alias("_s"))
+            now = now.join(known, "relative_path").withColumn("status", F.col("_s")).drop("_s")
+        now.write.mode("overwrite").parquet(f"{state}/{epoch}")
+
+    return merge
+
+
 def stream_sessions(messages: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """session_id, opened, closed and n of bursts of messages(session_id, message_id, ts) that no longer gap parts; repeated messages count once."""
     once = messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "message_id"])
