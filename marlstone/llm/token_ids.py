@@ -124,7 +124,7 @@ class Encoder(dict):
         return ids
 
     def _text(self, text: str) -> bytes:
-        if text.isascii() and "<" not in text and text.isprintable() or _PLAIN.fullmatch(text):
+        if text.isascii() and "<" not in text and text.replace("\n", "").isprintable() or _PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
         return b"".join(
             b"".join(map(self.__getitem__, _PIECE.findall(w.lower()))) if _PLAIN.fullmatch(w) else array(self.code, self.library.encode(w, add_special_tokens=False).ids).tobytes()
