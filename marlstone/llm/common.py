@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +27,16 @@ def lower_ascii(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-#: By application: the folder that stands in for an unset one.
+#: By application: the folder that stands in for an unset one, and the run folders that are open, innermost last.
 _own_dir: dict[str, str] = {}
+_run_dirs: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where the driver is the one
-    executor, too, a folder of this machine is taken if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the run folder that is open below
+    it. Only where the driver is the one executor, too, a folder of this machine is taken if that is unset."""
+    if _run_dirs.get(spark.sparkContext.applicationId):
+        return _run_dirs[spark.sparkContext.applicationId][-1]
     configured = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get(spark.sparkContext.applicationId)
     if not configured:
         master = spark.conf.get("spark.master", "")
@@ -42,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside go to one folder, which is removed at the end. A result that is to be
+    read later is written elsewhere before."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    open_ = _run_dirs.setdefault(spark.sparkContext.applicationId, [])
+    open_.append(path)
+    try:
+        yield path
+    finally:
+        open_.remove(path)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialize(df: DataFrame, label: str = "step", compression: str = "snappy", few: bool = False) -> DataFrame:
     """Cut the lineage by writing df as Parquet to the shared folder and reading it again; a lost executor then costs no recomputation.
 

@@ -594,6 +594,20 @@ def test_classifier_of_odd_rows(spark, odd, empty):
 
 # ---- the pipeline
 
+def test_a_run_folder_is_removed(spark, sf_dir):
+    import os
+
+    from marlstone.llm import common
+
+    with common.run_folder(spark) as folder:
+        kept = common.materialize(spark.range(5))
+        near_duplicates.near_duplicates(documents(spark, sf_dir).limit(20)).count()
+        files = [f.replace("file://", "") for f in kept.inputFiles()]
+        assert files and all(folder.split("/")[-1] in f and os.path.exists(f) for f in files)
+    assert not any(map(os.path.exists, files)) and folder not in common.shared_dir(spark)
+
+
+
 def plain_pipeline(docs, rules, benchmark, statistics_of):
     """The five stages on lists of (doc_id, text, source): (doc_id, ids) of what comes out."""
     import hashlib
