@@ -103,13 +103,10 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and content: one HTML table for each region."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"), F.col("n_name"), F.lit("</td></tr>"))
-    body = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("rows"))
-    return region.join(body, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        F.col("r_regionkey").alias("id"),
-        F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.col("rows.r"), ""), F.lit("</table>")).alias("content"))
+    """id and content: one HTML table of orders for each customer that has any."""
+    row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td></tr>"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("rows")).select(
+        "id", F.concat(F.lit("<table><tr><th>key</th><th>status</th></tr>"), F.array_join(F.col("rows.r"), ""), F.lit("</table>")).alias("content"))
 
 
 _SCAN_PATH = """source||'/d'||cast(doc_id as varchar)||case doc_id % 8 when 0 then '.md' when 1 then '.txt' when 2 then '.pdf'
@@ -133,9 +130,8 @@ SQL = {
     "v_trace_events": """select cast(user_id as varchar)||'-'||cast(cast(ts as date) as varchar) as trace_id, user_id as member, event_id as seq, ts,
   case event_type when 'signup' then 'start' when 'view' then 'search' when 'click' then 'read' when 'purchase' then 'answer' else 'error' end as type,
   event_id % 40 as doc_id, event_id % 5 = 0 as zero_hit from events""",
-    "v_html_tables": """select r_regionkey as id, '<table><tr><th>key</th><th>name</th></tr>'||(
-  select string_agg('<tr><td>'||cast(n_nationkey as varchar)||'</td><td>'||n_name||'</td></tr>', '' order by n_nationkey)
-  from nation n where n.n_regionkey = r.r_regionkey)||'</table>' as content from region r""",
+    "v_html_tables": """select o_custkey as id, '<table><tr><th>key</th><th>status</th></tr>'||string_agg(
+  '<tr><td>'||cast(o_orderkey as varchar)||'</td><td>'||o_orderstatus||'</td></tr>', '' order by o_orderkey)||'</table>' as content from orders group by o_custkey""",
 }
 _NEEDS = {"v_conversions": ["v_scan_1"], "v_expected": ["v_documents"]}
 

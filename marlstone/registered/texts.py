@@ -117,17 +117,16 @@ def display(spark, d):
     return J.display_document(t, offset=1, limit=2)
 
 
-@query("table_parts", """with r as (select n_regionkey as sheet, row_number() over (partition by n_regionkey order by n_nationkey) + 1 as row, n_nationkey, n_name from nation)
+@query("table_parts", """with r as (select o_custkey as sheet, row_number() over (partition by o_custkey order by o_orderkey) + 1 as row, o_orderkey, o_orderstatus from orders)
 select 'r' || sheet as sheet, (row - 2) // 3 + 1 as part, 'r' || sheet || case when (row - 2) // 3 > 0 then '-' || lpad(((row - 2) // 3 + 1)::varchar, 3, '0') else '' end || '.md' as name, count(*)::int as n_rows,
-  '| key | Column2 |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by row) as content from r group by sheet, (row - 2) // 3""")
+  '| key | Column2 |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) order by row) as content from r group by sheet, (row - 2) // 3""")
 def parts(spark, d):
-    """D9"""
+    """The orders of each customer as a sheet."""
     from pyspark.sql import Window
 
-    n = V.table(spark, d, "nation")
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    body = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("sheet"), (F.row_number().over(w) + 1).alias("row"),
-                    F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    body = V.table(spark, d, "orders").select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("sheet"), (F.row_number().over(w) + 1).alias("row"),
+                                              F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")).alias("cells"))
     head = body.select("sheet", F.lit(1).alias("row"), F.array(F.lit("key"), F.lit(" ")).alias("cells")).distinct()
     return J.table_to_markdown_parts(head.union(body), 3)
 
