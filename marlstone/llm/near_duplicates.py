@@ -5,7 +5,7 @@
 2. Each class is posted under every pair of coordinate and value. Pairs that only one class has are skipped: a
    class with fewer shared coordinates than the match threshold can have no partner, and of the others only the
    prefix of the rarest is needed, since two classes that agree in `least` coordinates have one in either's prefix.
-3. Every posting list elects two leaders, the class whose coordinates are shared most and one by a hash; each class
+3. Every posting list elects leaders, classes whose coordinates are shared most and one by a hash; each class
    proposes to the leader of either kind with which its signature has most collisions, and proposals are confirmed on
    the full sets. So a group of thousands costs two comparisons for each member, not one for each pair.
 4. Lists that still hold several components are looked at by their shingles: rarest first, two sets at the threshold
@@ -32,7 +32,7 @@ from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
 COORDINATES = 64
 #: Lists of so many classes are compared pair by pair; of longer ones LEADERS classes a round are compared with all.
-SHORT, LEADERS = 256, 256
+SHORT, LEADERS = 256, 64
 #: Sizes within this ratio share a band.
 BAND = 1.04
 #: Bits of the filter of texts whose sets are kept; its false hits are joined away.
@@ -121,8 +121,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _same(x: str, y: str) -> Column:
+    """Coordinates in which two signatures agree."""
+    return F.size(F.filter(F.arrays_zip(x, y), lambda z: z[x] == z[y]))
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of at least `least` collisions whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,25 +139,25 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"), F.col("sig").alias("ga"))
+    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"), F.col("sig").alias("gb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").where(_same("ga", "gb") >= least)
+    return met.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _collisions(pairs: DataFrame, classes: DataFrame, least: int, percent: int, *more: str) -> DataFrame:
-    """The pairs (a, b) with n (coordinates that agree) of at least `least` and sizes within the threshold."""
+def _collisions(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """The pairs (a, b, kind) with n (coordinates that agree) of at least `least` and sizes within the threshold."""
     a = classes.select(F.col("cid").alias("a"), F.col("sig").alias("ga"), F.col("n_shingles").alias("na"))
     b = classes.select(F.col("cid").alias("b"), F.col("sig").alias("gb"), F.col("n_shingles").alias("nb"))
-    same = F.size(F.filter(F.arrays_zip("ga", "gb"), lambda z: z["ga"] == z["gb"]))
-    counted = pairs.join(a, "a").join(b, "b").where(
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", *more, same.alias("n"))
-    return counted.where(F.col("n") >= least)
+    counted = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return counted.select("a", "b", "kind", _same("ga", "gb").alias("n")).where(F.col("n") >= least)
 
 
 class _Groups:
     """The components that links have joined so far: cid and c of every class that has a posting."""
 
-    def __init__(self, wanted: DataFrame, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, wanted: DataFrame, sets: DataFrame, least: int, percent: int):
+        self.sets, self.least, self.percent = sets, least, percent
         self.of = wanted.select("cid", F.col("cid").alias("c"))
 
     def join(self, rows: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ class _Groups:
 
     def link(self, pairs: DataFrame) -> bool:
         """Confirm pairs (a, b) and merge what they link; whether there was a link."""
-        links = _confirm(self.sets, pairs, self.percent)
+        links = _confirm(self.sets, pairs, self.least, self.percent)
         a, b = self.of.toDF("a", "ca"), self.of.toDF("b", "cb")
         between = materialize(links.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), "links", few=True)
         if between.isEmpty():
@@ -193,10 +198,10 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         F.min(ROW).alias("first"), F.min(KEY).alias(KEY)), "classes")
     lists = _prefix_lists(classes, least)
     wanted = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi"), "wanted")
-    sets = materialize(_sets(docs, wanted, shingle), "sets")
-    groups = _Groups(wanted, sets, percent)
+    sets = materialize(_sets(docs, wanted, shingle).join(wanted.select("cid", "sig"), "cid"), "sets")
+    groups = _Groups(wanted, sets, least, percent)
     groups.link(_proposals(lists, wanted, least, percent))
-    _link_by_shingles(groups, lists, wanted, least)
+    _link_by_shingles(groups, lists)
     return _label(base, classes, groups.of)
 
 
@@ -217,7 +222,7 @@ def _proposals(lists: DataFrame, classes: DataFrame, least: int, percent: int) -
     leaders = lists.groupBy("j", "v").agg(central.alias("x"), drawn.alias("y")).select("j", "v", F.array(
         F.struct(F.lit(0).alias("kind"), F.col("x.cid").alias("a")), F.struct(F.lit(1).alias("kind"), F.col("y.cid").alias("a"))).alias("s"))
     pairs = lists.join(leaders, ["j", "v"]).select(F.col("cid").alias("b"), F.inline("s")).where("a <> b").distinct()
-    best = _collisions(pairs, classes, least, percent, "kind").groupBy("b", "kind").agg(F.max(F.struct("n", "a")).alias("m"))
+    best = _collisions(pairs, classes, least, percent).groupBy("b", "kind").agg(F.max(F.struct("n", "a")).alias("m"))
     return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
 
 
@@ -257,7 +262,7 @@ def _shingle_lists(groups: _Groups, lists: DataFrame, percent: int) -> DataFrame
     return materialize(alive.drop("any_n", "home_n"), "shingles")
 
 
-def _link_by_shingles(groups: _Groups, lists: DataFrame, classes: DataFrame, least: int) -> None:
+def _link_by_shingles(groups: _Groups, lists: DataFrame) -> None:
     """Find all links between components that are left: short lists pair by pair, then leaders of the long ones."""
     percent = groups.percent
     alive = _shingle_lists(groups, lists, percent).drop("c")
@@ -272,7 +277,7 @@ def _link_by_shingles(groups: _Groups, lists: DataFrame, classes: DataFrame, lea
         return now, materialize(about.select("t", "band", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.c").alias("top")), "lists", few=True)
 
     def compare(pairs: DataFrame) -> None:
-        groups.link(_collisions(pairs.distinct(), classes, least, percent))
+        groups.link(pairs.distinct())
 
     r = 0
     while True:
@@ -281,17 +286,21 @@ def _link_by_shingles(groups: _Groups, lists: DataFrame, classes: DataFrame, lea
             return
         member = now.join(about, ["t", "band"])
         short, long_ = member.where(F.col("m") <= SHORT), member.where(F.col("m") > SHORT)
-        # only classes outside a list's largest component have to be compared with all
-        drawn = F.xxhash64(F.lit(r), "t", "cid")
-        chosen = long_.where(F.col("c") != F.col("top")).where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("t", "band").agg(
-            F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("h"), "cid"))), 1, 2 * LEADERS).alias("s"))
-        leaders = materialize(chosen.select("t", "band", F.explode("s").alias("x")).select("t", "band", "x.cid"), "leaders", few=True)
-        compare(_pairs(short, short, percent).union(_pairs(member.join(leaders, ["t", "band", "cid"]), long_, percent, both=True)))
-        left = about.where((F.col("m") > SHORT) & (F.col("others") > LEADERS)).select("t", "band")
+        if r == 0:  # what short lists link need not be compared in long ones
+            compare(_pairs(short, short, percent))
+        else:
+            # only classes outside a list's largest component have to be compared with all
+            drawn = F.xxhash64(F.lit(r), "t", "cid")
+            chosen = member.where(F.col("c") != F.col("top")).where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("t", "band").agg(
+                F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("h"), "cid"))), 1, 2 * LEADERS).alias("s"))
+            leaders = materialize(chosen.select("t", "band", F.explode("s").alias("x")).select("t", "band", "x.cid"), "leaders", few=True)
+            compare(_pairs(member.join(leaders, ["t", "band", "cid"]), member, percent, both=True))
+            done = leaders if done is None else materialize(done.union(leaders), "leaders", few=True)
+        left = about.where(F.col("others") > LEADERS) if r else about.where(F.col("m") > SHORT)
+        left = left.select("t", "band")
         if left.isEmpty():
             return
         alive, r = materialize(alive.join(left, ["t", "band"], "left_semi"), "lists", few=True), r + 1
-        done = leaders if done is None else materialize(done.union(leaders), "leaders", few=True)
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, both: bool = False) -> DataFrame:
