@@ -10,9 +10,9 @@ statistics. Texts with equal sets are one class.
 2. Every posting list elects leaders, and each class is compared with the leader that it shares most segments with. So a group of
    thousands of near copies costs two comparisons a member, and lists that lie in one component are done.
 3. Classes in the other lists that hold too many n-grams alone have no partner and leave. Of those that stay, members outside a list's
-   largest component are compared with the rest, unless what the two hold alone rules a link out: pair by pair if that is little; else
-   the list is split by the segments of another cut, in which linked sets agree somewhere, too; and what stays long after some cuts is
-   worked off a number of leaders a round.
+   largest component are compared with the rest, unless what the two hold alone, or how often they agree in a finer cut, rules a link
+   out. Lists with very many such members are first split by the segments of another cut, in which linked sets agree somewhere, too;
+   what stays as long is worked off a number of leaders a round.
 4. A comparison counts the overlap in each of PARTS coarse fragments on its own and sums the counts for each pair. The first fragment
    is counted alone: the n-grams that two sets do not share in it may not exceed what the sizes allow in all.
 
@@ -39,10 +39,10 @@ from marlstone.llm.wordhash import U, mix
 PARTS = 8
 #: A band's largest size over its least.
 BAND = 1.25
-#: Lists of so many classes are compared pair by pair, as are those with up to LEADERS members outside their largest component.
-SHORT, LEADERS = 128, 64
-#: Times that a list is split by another cut.
-CUTS = 3
+#: Lists with more members outside their largest component are split by another cut; of those that stay as long, LEADERS are compared with all in a round.
+LONG, LEADERS = 2048, 512
+#: Fragments of the fine cut for each n-gram that sets of a band can differ in.
+FINE = 4
 #: Bits of the filters that texts and segments are held against; false hits are joined away.
 FILTER_BITS = 25
 ROWS = 128
@@ -75,29 +75,47 @@ def fragments_of(band: int, percent: int) -> int:
     return h + 1 + h // 4
 
 
-def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The keys under which a set (sorted hashes) is posted, and how many of them are of its own band, the first ones.
+def _cut(s: np.ndarray, pieces: int) -> np.ndarray:
+    """Where the fragments of a cut begin and the last one ends in a set (sorted hashes)."""
+    return np.concatenate(([0], np.searchsorted(((s >> U(32)) * U(pieces)) >> U(32), np.arange(1, pieces + 1, dtype=U))))
 
-    It is posted in its own band and those of all larger sets that it can link with."""
-    n = len(s)
+
+def _bands_of(n: int, percent: int) -> list[int]:
+    """The bands of a set: its own and those of all larger sets that it can link with, as far as sets of a band can differ and link."""
     own, last = np.searchsorted(EDGES, [n, n * 100 // percent], side="right") - 1
-    keys, home = [], 0
+    return [int(b) for b in range(own, last + 1) if n and most_differing(b, percent)]
+
+
+def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is posted, and how many bands above its own each is of."""
+    keys, steps = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int32)]
+    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(s))))
+    own = int(np.searchsorted(EDGES, len(s), side="right")) - 1
+    for band in _bands_of(len(s), percent):
+        k = fragments_of(band, percent)
+        at = _cut(s, k)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        place = mix((U(band) << U(40)) + full.astype(U) + U(1))
+        found = mix(sums[at[full + 1]] - sums[at[full]] + place) + (at[full + 1] - at[full]).astype(U)
+        if len(full) <= most_differing(band, percent):  # all fragments in which a partner agrees may be empty
+            found = np.append(found, mix(np.array([U(band) << U(40)], dtype=U)))
+        keys.append(found)
+        steps.append(np.full(len(found), band - own, dtype=np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(steps)
+
+
+def fine_signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For each band of a set (as steps above its own) a number for every fragment of a FINE times finer cut; two sets of a band that
+    differ in x n-grams have all of these numbers in common but x at most."""
+    own = int(np.searchsorted(EDGES, len(s), side="right")) - 1
     sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(s))))
-    for band in range(own, last + 1):
-        h = most_differing(band, percent)
-        if h and n:
-            k = fragments_of(band, percent)
-            ends = np.searchsorted(((s >> U(32)) * U(k)) >> U(32), np.arange(1, k + 1, dtype=U))
-            starts = np.concatenate(([0], ends[:-1]))
-            full = np.flatnonzero(ends > starts)
-            place = mix((U(band) << U(40)) + full.astype(U) + U(1))
-            found = mix(sums[ends[full]] - sums[starts[full]] + place) + (ends - starts)[full].astype(U)
-            if k - len(full) >= k - h:  # all fragments in which a partner agrees may be empty
-                found = np.append(found, mix(np.array([U(band) << U(40)], dtype=U)))
-            keys.append(found)
-        if band == own:
-            home = sum(map(len, keys))
-    return (np.concatenate(keys) if keys else np.zeros(0, dtype=U)).view(np.int64), home
+    out = []
+    for band in _bands_of(len(s), percent):
+        pieces = FINE * most_differing(band, percent)
+        at = _cut(s, pieces)
+        low = mix(sums[at[1:]] - sums[at[:-1]]) >> U(33)
+        out.append((band - own, ((np.arange(pieces, dtype=U) << U(31)) | low).view(np.int64)))
+    return out
 
 
 def _segments(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -120,8 +138,8 @@ def _segments(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _base(docs: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, row number, KEY (a hash of the text), n_shingles, cid, and the keys of the own band and of others, of those that are shared
-    and few more, for each row of docs."""
+    """doc_id, row number, KEY (a hash of the text), n_shingles, cid, and the keys with their steps, of those that are shared and few more,
+    for each row of docs."""
     keep = key_filter(shared, "key", FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +147,19 @@ def _base(docs: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFrame
             for lo in range(0, whole.num_rows, ROWS):
                 b = whole.slice(lo, ROWS)
                 sets = shingle_sets(b.column("text").to_pylist(), k)
-                own, guest = [], []
-                for s in sets:
-                    keys, home = segment_keys(s, percent)
-                    hit = keep(keys)
-                    own.append(keys[:home][hit[:home]])
-                    guest.append(keys[home:][hit[home:]])
+                posted = [segment_keys(s, percent) for s in sets]
+                hits = [keep(keys) for keys, _ in posted]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column(ROW), b.column(KEY), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()),
-                     pa.array(own, pa.list_(pa.int64())), pa.array(guest, pa.list_(pa.int64()))],
-                    names=["doc_id", ROW, KEY, "n_shingles", "cid", "own", "guest"])
+                     pa.array([keys[h] for (keys, _), h in zip(posted, hits, strict=True)], pa.list_(pa.int64())), pa.array([steps[h] for (_, steps), h in zip(posted, hits, strict=True)], pa.list_(pa.int32()))],
+                    names=["doc_id", ROW, KEY, "n_shingles", "cid", "keys", "steps"])
 
     return docs.select("doc_id", "text", ROW, F.xxhash64("text").alias(KEY)).mapInArrow(
-        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{ROW} long, {KEY} long, n_shingles long, cid long, own array<long>, guest array<long>")]))
+        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{ROW} long, {KEY} long, n_shingles long, cid long, keys array<long>, steps array<int>")]))
 
 
-def _parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid, g and tokens: the n-grams of the wanted classes (cid, KEY) in each coarse fragment g."""
+def _parts(docs: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
+    """cid, g and tokens: the n-grams of the wanted classes (cid, KEY) in each coarse fragment g; from PARTS on, their fine signatures by step."""
     keep = key_filter(wanted, KEY, FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +171,12 @@ def _parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k):
                     if len(s) and (c := class_id(s)) not in seen:
                         seen.add(c)
-                        ends = np.searchsorted(((s >> U(32)) * U(PARTS)) >> U(32), np.arange(1, PARTS + 1, dtype=U))
-                        for g, (x, y) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-                            if y > x:
-                                cids.append(c)
-                                parts.append(g)
-                                tokens.append(s[x:y].view(np.int64))
+                        at = _cut(s, PARTS)
+                        own = [(g, s[at[g] : at[g + 1]].view(np.int64)) for g in range(PARTS) if at[g + 1] > at[g]]
+                        for g, t in own + [(PARTS + step, t) for step, t in fine_signatures(s, percent)]:
+                            cids.append(c)
+                            parts.append(g)
+                            tokens.append(t)
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(parts, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["cid", "g", "tokens"])
 
     found = docs.select("text", F.xxhash64("text").alias(KEY)).mapInArrow(run, "cid long, g int, tokens array<long>")
@@ -196,7 +210,8 @@ class _Links:
     """The components that links have joined so far: cid and c of every class that has a shared segment."""
 
     def __init__(self, sizes: DataFrame, parts: DataFrame, percent: int):
-        self.sizes, self.parts, self.percent = sizes.withColumn("alone", F.lit(0).cast("long")), parts, percent
+        self.sizes, self.parts, self.percent = sizes.withColumn("alone", F.lit(0).cast("long")), parts.where(F.col("g") < PARTS), percent
+        self.signatures = parts.where(F.col("g") >= PARTS).select("cid", (F.col("g") - PARTS).alias("step"), F.col("tokens").alias("sig"))
         self.of = sizes.select("cid", F.col("cid").alias("c"))
 
     def compare(self, pairs: DataFrame) -> None:
@@ -221,11 +236,11 @@ def _proposals(lists: DataFrame) -> DataFrame:
 
 
 def _open(links: _Links, lists: DataFrame) -> DataFrame:
-    """key, cid, home, n, alone, c, m, others and top: lists of several components, one of those with the same members, with their numbers of members and
+    """key, cid, step, n, alone, c, m, others and top: lists of several components, one of those with the same members, with their numbers of members and
     of those outside the largest component, top."""
-    now = materialize(lists.select("key", "cid", "home").join(links.of, "cid"), "lists", few=True)
-    same = [F.bit_xor(F.xxhash64(F.lit(i), "cid", "home")).alias(f"x{i}") for i in range(2)]
-    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("home").alias("homes"), F.count("*").alias("m"), *same).where("lo < hi and homes")
+    now = materialize(lists.select("key", "cid", "step").join(links.of, "cid"), "lists", few=True)
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "cid", "step")).alias(f"x{i}") for i in range(2)]
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("step").alias("least"), F.count("*").alias("m"), *same).where("lo < hi and least = 0")
     mixed = mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", "m")
     by_group = now.join(mixed, "key").groupBy("key", "m", "c").agg(F.count("*").alias("k"))
     about = by_group.groupBy("key", "m").agg(F.max(F.struct("k", "c")).alias("t")).select("key", "m", (F.col("m") - F.col("t.k")).alias("others"), F.col("t.c").alias("top"))
@@ -233,51 +248,52 @@ def _open(links: _Links, lists: DataFrame) -> DataFrame:
 
 
 def _pruned(links: _Links, lists: DataFrame) -> DataFrame:
-    """key, cid and home of the lists, without classes that have more n-grams alone, of all classes in lists, than they could have beside a partner."""
+    """key, cid and step of the lists, without classes that have more n-grams alone, of all classes in lists, than they could have beside a partner."""
     tokens = links.parts.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("tokens").alias("t"))
     once = tokens.groupBy("t").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).where("k = 1")
     links.sizes = materialize(links.sizes.drop("alone").join(once.groupBy("cid").agg(F.count("*").alias("alone")), "cid", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "sizes", few=True)
     largest = F.floor(F.col("n") * 100 / links.percent)
     able = links.sizes.where(F.col("alone") <= _room(F.col("n"), largest, links.percent) + 1)  # a total of one less may leave room for one more
-    return materialize(lists.select("key", "cid", "home").join(able, "cid", "left_semi"), "lists", few=True)
+    return materialize(lists.select("key", "cid", "step").join(able, "cid", "left_semi"), "lists", few=True)
 
 
-def _pairs(askers: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _pairs(links: _Links, askers: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct pairs of classes of different components in one list, one of them an asker (all outside the largest component, or some of
-    those), whose n-grams held alone leave room for a link."""
-    x, y = askers.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.home") | F.col("y.home")) & (F.col("y.first") | (F.col("x.cid") < F.col("y.cid")))
-                 & (F.col("x.alone") + F.col("y.alone") <= _room(F.col("x.n"), F.col("y.n"), percent)) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    those), whose n-grams held alone and whose fine signatures leave room for a link."""
+    x, y = (rows.join(links.signatures, ["cid", "step"]).alias(a) for rows, a in ((askers, "x"), (members, "y")))
+    room = _room(F.col("x.n"), F.col("y.n"), links.percent)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.step") == 0) | (F.col("y.step") == 0)) & (F.col("y.first") | (F.col("x.cid") < F.col("y.cid")))
+                 & (F.col("x.alone") + F.col("y.alone") <= room) & (100 * F.least("x.n", "y.n") >= links.percent * F.greatest("x.n", "y.n"))
+                 & (F.size(F.array_intersect("x.sig", "y.sig")) >= F.size("x.sig") - room))
     return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def _split(long_: DataFrame, links: _Links, cut: int) -> DataFrame:
-    """The lists by the segments of another cut of the order: key, cid and home. The band's cut has twice as many fragments as differ at most."""
-    tokens = long_.select("key", "cid", "home").distinct().join(links.parts.select("cid", "tokens"), "cid").select("key", "cid", "home", F.explode("tokens").alias("t"))
-    # the sizes of a list's members differ by their threshold and a band at most, so one number of fragments fits a list
+def _split(long_: DataFrame, links: _Links) -> DataFrame:
+    """The lists by the segments of another cut of the n-grams, in which linked sets agree somewhere, too: key, cid and step."""
+    tokens = long_.select("key", "cid", "step").distinct().join(links.parts.select("cid", "tokens"), "cid").select("key", "cid", "step", F.explode("tokens").alias("t"))
+    # the sizes of a list's members differ by the threshold and a band at most, so one number of fragments, twice what can differ, fits a list
     most = long_.groupBy("key").agg(F.max("n").alias("n")).select("key", (2 * F.floor(2 * F.col("n") * (100 - links.percent) / (100 + links.percent)) + 1).alias("k"))
-    seed = F.lit(1000 + cut)
-    placed = tokens.join(most, "key").groupBy("key", "cid", "home", "k", F.pmod(F.xxhash64(seed, "t"), "k").alias("f")).agg(F.bit_xor(F.xxhash64(seed, F.lit(1), "t")).alias("x"), F.count("*").alias("n"))
-    found = placed.select(F.xxhash64("key", "f", "x", "n").alias("key"), "cid", "home")
+    placed = tokens.join(most, "key").groupBy("key", "cid", "step", "k", F.pmod(F.xxhash64(F.lit("cut"), "t"), "k").alias("f")).agg(F.bit_xor(F.xxhash64("t")).alias("x"), F.count("*").alias("n"))
+    found = placed.select(F.xxhash64("key", "f", "x", "n").alias("key"), "cid", "step")
     # as in the first cut: where fragments without n-grams could be all that partners agree in, there is a list for those
-    bare = placed.groupBy("key", "cid", "home", "k").agg(F.count("*").alias("full")).where("2 * full <= k - 1").select(F.xxhash64("key", F.lit("bare")).alias("key"), "cid", "home")
+    bare = placed.groupBy("key", "cid", "step", "k").agg(F.count("*").alias("full")).where("2 * full <= k - 1").select(F.xxhash64("key", F.lit("bare")).alias("key"), "cid", "step")
     return found.union(bare).distinct()
 
 
 def _finish(links: _Links, lists: DataFrame) -> None:
     """Find all links between components that are left."""
-    for cut in range(CUTS + 1):
+    for cut in (True, False):
         now = _open(links, lists)
         if now.isEmpty():
             return
         now = _open(links, _pruned(links, now))
-        direct = (F.col("m") <= SHORT) | (F.col("others") <= LEADERS)
+        direct = F.col("others") <= LONG
         ready = now.where(direct)
-        links.compare(_pairs(ready.where("c <> top"), ready.withColumn("first", F.col("c") == F.col("top")), links.percent))
+        links.compare(_pairs(links, ready.where("c <> top"), ready.withColumn("first", F.col("c") == F.col("top"))))
         long_ = now.where(~direct)
         if long_.isEmpty():
             return
-        lists = materialize(_split(long_, links, cut), "lists", few=True) if cut < CUTS else long_.select("key", "cid", "home")
+        lists = materialize(_split(long_, links), "lists", few=True) if cut else long_.select("key", "cid", "step")
     r = 0
     while True:
         now = _open(links, lists)
@@ -287,8 +303,8 @@ def _finish(links: _Links, lists: DataFrame) -> None:
         drawn = F.xxhash64(F.lit(r), "key", "cid")
         chosen = now.where("c <> top").where(F.pmod(drawn, F.col("others")) < LEADERS).groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("h"), "cid"))), 1, 2 * LEADERS).alias("s"))
         chosen = materialize(chosen.select("key", F.explode("s").alias("x")).select("key", "x.cid"), "leaders", few=True)
-        links.compare(_pairs(now.join(chosen, ["key", "cid"]), now.withColumn("first", F.lit(True)), links.percent))
-        lists = materialize(now.join(chosen, ["key", "cid"], "left_anti").select("key", "cid", "home"), "lists", few=True)
+        links.compare(_pairs(links, now.join(chosen, ["key", "cid"]), now.withColumn("first", F.lit(True))))
+        lists = materialize(now.join(chosen, ["key", "cid"], "left_anti").select("key", "cid", "step"), "lists", few=True)
         r += 1
 
 
@@ -306,11 +322,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     base = materialize(_base(docs, shared, shingle, percent), "base")
     classes = materialize(base.where("n_shingles > 0").groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min(ROW).alias("first"), F.min(KEY).alias(KEY)), "classes")
-    one = base.join(classes.select(F.col("first").alias(ROW)), ROW, "left_semi").select("cid", "own", "guest", (F.size("own") / F.col("n_shingles")).alias("shared"))
-    posted = one.select("cid", "shared", F.explode("own").alias("key"), F.lit(True).alias("home")).union(one.select("cid", "shared", F.explode("guest").alias("key"), F.lit(False)))
-    lists = materialize(posted.join(shared, "key", "left_semi"), "postings")
+    one = base.join(classes.select(F.col("first").alias(ROW)), ROW, "left_semi").select("cid", (F.size("keys") / F.col("n_shingles")).alias("shared"), F.explode(F.arrays_zip("keys", "steps")).alias("x"))
+    lists = materialize(one.select("cid", "shared", F.col("x.keys").alias("key"), F.col("x.steps").alias("step")).join(shared, "key", "left_semi"), "postings")
     wanted = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "n", KEY), "wanted", few=True)
-    links = _Links(wanted.select("cid", "n"), materialize(_parts(docs, wanted, shingle), "parts"), percent)
+    links = _Links(wanted.select("cid", "n"), materialize(_parts(docs, wanted, shingle, percent), "parts"), percent)
     links.compare(_proposals(lists))
     _finish(links, lists)
     return _label(base, classes, links.of).select("doc_id", "n_shingles", "component_id")

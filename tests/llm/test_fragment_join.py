@@ -32,11 +32,10 @@ def test_join(spark, sf_dir, k, percent):
     assert found(spark, rows, k, percent) == brute_components(rows, k, percent)
 
 
-@pytest.mark.parametrize("short, leaders, cuts", [(fragment_join.SHORT, fragment_join.LEADERS, fragment_join.CUTS), (6, 3, 1), (5, 8, 0)])
-def test_large_group_with_many_that_link_with_none(spark, monkeypatch, short, leaders, cuts):
-    monkeypatch.setattr(fragment_join, "SHORT", short)
+@pytest.mark.parametrize("long_, leaders", [(fragment_join.LONG, fragment_join.LEADERS), (6, 8)])
+def test_large_group_with_many_that_link_with_none(spark, monkeypatch, long_, leaders):
+    monkeypatch.setattr(fragment_join, "LONG", long_)
     monkeypatch.setattr(fragment_join, "LEADERS", leaders)
-    monkeypatch.setattr(fragment_join, "CUTS", cuts)
     rng = np.random.default_rng(11)
     base = [f"b{i}" for i in rng.integers(0, 400, 150)]
     rows = []
@@ -90,5 +89,8 @@ def test_linked_sets_share_a_key(n, data):
     if linked and same < max(len(a), len(b)):
         assert fragment_join.differing(len(a) + len(b), percent) >= len(a) + len(b) - 2 * same
         small, large = sorted((a, b), key=len)
-        keys, home = fragment_join.segment_keys(large, percent)
-        assert set(keys[:home]) & set(fragment_join.segment_keys(small, percent)[0])
+        keys, steps = fragment_join.segment_keys(large, percent)
+        assert set(keys[steps == 0]) & set(fragment_join.segment_keys(small, percent)[0])
+        own = dict(fragment_join.fine_signatures(large, percent))[0]
+        other = next(x for _, x in fragment_join.fine_signatures(small, percent) if len(x) == len(own))
+        assert len(set(own)) == len(own) and len(set(own) & set(other)) >= len(own) - (len(a) + len(b) - 2 * same)
