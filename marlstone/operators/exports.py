@@ -16,27 +16,30 @@ def manifest_diff(nodes: DataFrame, manifest: DataFrame) -> DataFrame:
     return n.join(m, "token", "full").select("token", change.alias("change"))
 
 
-def tree_top_segment(nodes: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+def tree_top_segment(nodes: DataFrame, root: str) -> DataFrame:
     """token, title and top of nodes(token, parent, title): the title of the ancestor right below root, the node's own if it is that one.
 
-    Levels are joined one after another until none is left.
+    Every node jumps to its ancestor, then to that one's, and so on: each round doubles the distance, so that a tree of depth n takes
+    log2(n) joins. Nodes that do not hang below root (below no node, or in a cycle) are left out.
     """
     spark = nodes.sparkSession
 
-    def kept(level: DataFrame) -> DataFrame:
+    def kept(rows: DataFrame) -> DataFrame:
         path = shared_dir(spark)
-        level.write.parquet(path)
-        return spark.read.schema(level.schema).parquet(path)
-
-    # each level is computed once, from the stored one above it
-    level = kept(nodes.where(F.col("parent") == root).select("token", "title", F.col("title").alias("top")))
-    out = level
-    for _ in range(max_depth):
-        level = kept(nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.token")).select("n.token", "n.title", "p.top"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    # at: the ancestor that a node has reached; done: that one is right below root. What jumps to no node hangs elsewhere and goes.
+    jumps = kept(nodes.select("token", F.when(F.col("parent") == root, F.col("token")).otherwise(F.col("parent")).alias("at"), F.coalesce(F.col("parent") == root, F.lit(False)).alias("done")))
+    steps, left = 1, jumps.where("not done").count()
+    while left and steps < jumps.count():
+        ahead = jumps.select(F.col("token").alias("at"), F.col("at").alias("_to"), F.col("done").alias("_done"))
+        moved = jumps.where("not done").join(ahead, "at").select("token", F.col("_to").alias("at"), F.col("_done").alias("done"))
+        jumps = kept(jumps.where("done").unionByName(moved))
+        # whoever is still on the way after as many steps as there are nodes goes round in a cycle
+        steps, left = 2 * steps, jumps.where("not done").count()
+    tops = nodes.where(F.col("parent") == root).select(F.col("token").alias("at"), F.col("title").alias("top"))
+    return jumps.where("done").join(tops, "at").join(nodes.select("token", "title"), "token").select("token", "title", "top")
 
 
 def export_report(diff: DataFrame, failed: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -5,23 +5,20 @@ Everything works on sets of queries: queries(query_id, text) in, ranked rows for
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from marlstone.functions import text as T
+from marlstone.operators.index import RUN, Index, StoredIndex, clean_text, grams
 from marlstone.session import shared_dir
 
-# Weights of fields and channels, constants of BM25 and of rank fusion.
-TITLE_WEIGHT, CONTENT_WEIGHT = 8.0, 3.0
+# Weights of channels, constants of BM25 and of rank fusion.
 K1, B = 1.2, 0.75
 RRF_K = 60
 AND, OR, PATH = 0, 1, 2
 CHANNEL_WEIGHTS = {AND: 3.0, OR: 1.0, PATH: 2.0}
-#: Tokens in one folder of a stored index's postings, about.
-FOLDER_TOKENS = 20_000_000
+#: Scores within this of the bound stay, since they are rounded before ranking.
+SLACK = 1e-6
 
 
 def knowledge_documents(docs: DataFrame) -> DataFrame:
@@ -43,112 +40,6 @@ def list_documents(docs: DataFrame, member: str | None = None, prefix: str | Non
     return found.select("path", "title").orderBy("path").limit(limit)
 
 
-def clean_text(text: Column | str) -> Column:
-    """A text without byte order marks at its beginning; empty for null."""
-    return F.regexp_replace(F.coalesce(T.col(text), F.lit("")), "^\\uFEFF+", "")
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-class Index:
-    """postings(key, field, token, positions), lengths(key, n_tokens) and the corpus' totals: what BM25 needs.
-
-    Made of documents, it is computed when it is asked; `store` keeps it, and StoredIndex reads no more of it than
-    the folders of the tokens asked for.
-    """
-
-    def __init__(self, docs: DataFrame, fields: dict[str, float] | None = None, key: str = "path"):
-        self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
-        self.key = key
-        self.docs = docs
-        self.tokens = _all([docs.select(key, F.lit(f).alias("field"), T.index_tokens(clean_text(f)).alias("tokens")) for f in self.fields])
-        self.lengths = self.tokens.groupBy(key).agg(F.sum(F.size("tokens")).alias("n_tokens"))
-
-    def _flat(self) -> DataFrame:
-        return self.tokens.select(self.key, "field", F.posexplode("tokens").alias("position", "token"))
-
-    @property
-    def postings(self) -> DataFrame:
-        return self._flat().groupBy(self.key, "field", "token").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-
-    def positions_of(self, asked: DataFrame) -> DataFrame:
-        """key, field, token, at for the tokens of asked(token)."""
-        return self._flat().join(asked, "token").groupBy(self.key, "field", "token").agg(F.collect_list("position").alias("at"))
-
-    def corpus(self) -> DataFrame:
-        return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
-
-    def store(self, path: str) -> StoredIndex:
-        """Write the index as the first generation of a stored one."""
-        return _write(self, path, 0, None)
-
-
-def _digest(docs: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
-    """key and digest of the indexed fields."""
-    parts = [F.sha2(clean_text(f), 256) for f in fields]
-    return docs.select(key, F.sha2(F.concat(*parts), 256).alias("digest"))
-
-
-def _write(new: Index, path: str, generation: int, kept: DataFrame | None) -> StoredIndex:
-    """Write the postings of new documents as a generation, and which generation holds each document."""
-    spark = new.docs.sparkSession
-    own = new.lengths.join(_digest(new.docs, new.fields, new.key), new.key).withColumn("generation", F.lit(generation))
-    live = own if kept is None else kept.unionByName(own)
-    live.write.mode("overwrite").parquet(f"{path}/live/{generation}")
-    total = spark.read.parquet(f"{path}/live/{generation}").where(F.col("generation") == generation).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    folders = max(1, -(-total // FOLDER_TOKENS))
-    cut = new.postings.withColumn("folder", F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int"))
-    # a frequent token's postings are dealt to several files
-    cut.repartition("folder", F.pmod(F.xxhash64(new.key), F.lit(8))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/{generation}")
-    spark.createDataFrame([(generation, folders)], "generation int, folders int").coalesce(1).write.mode("append").parquet(f"{path}/generations")
-    return StoredIndex(spark, path, new.fields, new.key)
-
-
-class StoredIndex(Index):
-    """An index that was stored, in generations; only the folders of the tokens asked for are read.
-
-    A refresh writes postings of new and changed documents only; older postings of those, and of documents that are
-    gone, are passed over, since each document is read from its own generation.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, fields: dict[str, float] | None = None, key: str = "path"):
-        self.fields = fields or {"title": TITLE_WEIGHT, "content": CONTENT_WEIGHT}
-        self.key, self.path, self.spark = key, path, spark
-        self.folders = {r.generation: r.folders for r in spark.read.parquet(f"{path}/generations").collect()}  # one row for each refresh
-        self.generation = max(self.folders)
-        self.live = spark.read.parquet(f"{path}/live/{self.generation}")
-        self.lengths = self.live.select(key, "n_tokens")
-
-    def _stored(self, asked: DataFrame | None = None) -> DataFrame:
-        """Postings of live documents, of all tokens or of those in asked(token)."""
-        key = StructType([self.live.schema[self.key]]).simpleString()[len("struct<") : -1].replace(":", " ")
-        parts, schema = [], f"{key}, field string, token string, positions array<int>, folder int"
-        for g, folders in self.folders.items():
-            part = self.spark.read.schema(schema).parquet(f"{self.path}/postings/{g}")  # a generation may have none
-            if asked is not None:
-                mine = F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int")
-                part = part.where(F.col("folder").isin([r.f for r in asked.select(mine.alias("f")).distinct().collect()])).join(asked, "token")  # folders at most
-            parts.append(part.drop("folder").withColumn("generation", F.lit(g)))
-        rows = _all(parts)
-        return (rows if len(parts) == 1 else rows.join(self.live.select(self.key, "generation"), [self.key, "generation"], "left_semi")).drop("generation")
-
-    @property
-    def postings(self) -> DataFrame:
-        return self._stored()
-
-    def positions_of(self, asked: DataFrame) -> DataFrame:
-        return self._stored(asked).select(self.key, "field", "token", F.col("positions").alias("at"))
-
-    def refresh(self, docs: DataFrame) -> StoredIndex:
-        """The index of docs as they are now: new and changed documents are indexed, those gone are dropped."""
-        now = _digest(docs, self.fields, self.key)
-        same = self.live.join(now, [self.key, "digest"], "left_semi")
-        changed = docs.join(same.select(self.key), self.key, "left_anti")
-        return _write(Index(changed, self.fields, self.key), self.path, self.generation + 1, same)
-
-
 def query_phrases(queries: DataFrame, tokens=T.query_tokens) -> DataFrame:
     """query_id, phrase (number), pieces: what each token of a query becomes in the index; tokens without letters and digits are left out."""
     flat = queries.select("query_id", F.posexplode(tokens("text")).alias("phrase", "_t"))
@@ -177,17 +68,76 @@ def phrase_frequencies(index: Index, phrases: DataFrame) -> DataFrame:
     return hits.groupBy("pieces", key).agg(F.sum("w").alias("f"))
 
 
-def bm25(index: Index, phrases: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """query_id, key, score (higher is better) and n_phrases matched, for every document with a phrase of a query.
-
-    found are the frequencies of these phrases, perhaps among others, if they are known already."""
-    found = phrase_frequencies(index, phrases) if found is None else found
+def contributions(index: Index, found: DataFrame) -> DataFrame:
+    """pieces, key and s: what each phrase of found (phrase_frequencies) adds to a document's BM25 score."""
     df = found.groupBy("pieces").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = df.crossJoin(F.broadcast(index.corpus())).select("pieces", idf.alias("idf"), "avg_tokens")  # one row of totals
     score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = found.join(weighted, "pieces").join(index.lengths, index.key).select("pieces", index.key, score.alias("s"))
-    return phrases.join(scored, "pieces").groupBy("query_id", index.key).agg(F.sum("s").alias("score"), F.countDistinct("phrase").alias("n_phrases"))
+    return found.join(weighted, "pieces").join(index.lengths, index.key).select("pieces", index.key, score.alias("s"))
+
+
+def stored_contributions(index: Index, phrases: DataFrame) -> DataFrame:
+    """The contributions of the phrases of queries, each phrase once, computed once and stored for the channels that read them."""
+    spark = phrases.sparkSession
+    out = shared_dir(spark)
+    contributions(index, phrase_frequencies(index, phrases)).write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def phrase_bounds(phrases: DataFrame, parts: DataFrame) -> DataFrame:
+    """query_id, pieces, weight (how often the query has the phrase), df, place (from 1, largest contribution first) and
+    rest: the most that this phrase and all behind it can add to a score."""
+    bound = parts.groupBy("pieces").agg(F.max("s").alias("most"), F.count("*").alias("df"))
+    own = phrases.groupBy("query_id", "pieces").agg(F.count("*").alias("weight")).join(bound, "pieces")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("weight") * F.col("most")), "df", "pieces")
+    return own.withColumn("place", F.row_number().over(order)).withColumn(
+        "rest", F.sum(F.col("weight") * F.col("most")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))).select("query_id", "pieces", "weight", "df", "place", "rest")
+
+
+def _partial(phrases: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    return phrases.join(parts, "pieces").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("s")).alias("score"))
+
+
+def best_any(index: Index, phrases: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """query_id, key and score of every document that can be among a query's best `limit`, and some more.
+
+    Phrases that few documents hold give a score that at least `limit` documents reach. Behind some place, all phrases of a query
+    together cannot lift a document to it: documents have to hold a phrase from before that place, and only those that the
+    rest could still lift are joined with the rest.
+    """
+    key, bounds = index.key, phrase_bounds(phrases, parts)
+    spark = phrases.sparkSession
+    out = shared_dir(spark)
+    bounds.write.parquet(out)
+    bounds = spark.read.parquet(out)
+    # a reachable score: the best by the phrases with most to give whose documents are some tens of times the limit together
+    before = F.sum("df").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = bounds.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < 20 * limit)
+    ranked = top(_partial(seeds, parts, key), limit, key)
+    reached = ranked.where(F.col("rank") == limit).select("query_id", (F.col("score") - SLACK).alias("least"))
+    held = bounds.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    leading = held.where("rest >= least")
+    behind = held.where("rest < least").groupBy("query_id").agg(F.max("rest").alias("more"))
+    cut = held.groupBy("query_id").agg(F.first("least").alias("least")).join(behind, "query_id", "left")
+    able = _partial(leading, parts, key).join(cut, "query_id").where(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("least")).select("query_id", key, "score")
+    out = shared_dir(spark)
+    able.write.parquet(out)
+    able = spark.read.parquet(out)
+    rest = able.select("query_id", key).join(held.where("rest < least").select("query_id", "pieces", "weight"), "query_id").join(parts, ["pieces", key])
+    added = rest.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("s")).alias("added"))
+    return able.join(added, ["query_id", key], "left").select("query_id", key, (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"))
+
+
+def best_all(index: Index, phrases: DataFrame, parts: DataFrame) -> DataFrame:
+    """query_id, key and score of the documents with every phrase of a query: those of its rarest phrase are held against the others."""
+    key = index.key
+    df = parts.groupBy("pieces").agg(F.count("*").alias("df"))
+    own = phrases.groupBy("query_id", "pieces").agg(F.count("*").alias("weight")).join(df, "pieces", "left")
+    sizes = own.groupBy("query_id").agg(F.count("*").alias("_n"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pieces")).alias("rare")).where("rare.df > 0")
+    held = sizes.select("query_id", "_n", F.col("rare.pieces").alias("pieces")).join(parts.select("pieces", key), "pieces").select("query_id", "_n", key)
+    met = held.join(own.select("query_id", "pieces", "weight"), "query_id").join(parts, ["pieces", key])
+    return met.groupBy("query_id", key, "_n").agg(F.sum(F.col("weight") * F.col("s")).alias("score"), F.count("*").alias("k")).where("k = _n").select("query_id", key, "score")
 
 
 def top(scored: DataFrame, limit: int, key: str = "path") -> DataFrame:
@@ -200,36 +150,38 @@ def rounded(score: Column) -> Column:
     return F.round(score, 9)
 
 
-def match_any(index: Index, queries: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
-    """query_id, path, score, rank: documents with any of a query's expanded tokens."""
-    scored = bm25(index, query_phrases(queries, T.expanded_tokens), found)
+def match_any(index: Index, queries: DataFrame, limit: int, parts: DataFrame | None = None) -> DataFrame:
+    """query_id, path, score, rank: documents with any of a query's expanded tokens. parts are the contributions of these phrases, perhaps among others, if they are stored already."""
+    phrases = query_phrases(queries, T.expanded_tokens)
+    scored = best_any(index, phrases, stored_contributions(index, phrases) if parts is None else parts, limit)
     return top(scored.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
 
 
-def match_all(index: Index, queries: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
+def match_all(index: Index, queries: DataFrame, limit: int, parts: DataFrame | None = None) -> DataFrame:
     """query_id, path, score, rank: documents with every token of a query."""
     phrases = query_phrases(queries)
-    sizes = phrases.groupBy("query_id").agg(F.count("*").alias("_n"))
-    scored = bm25(index, phrases, found).join(sizes, "query_id").where(F.col("n_phrases") == F.col("_n"))
+    scored = best_all(index, phrases, stored_contributions(index, phrases) if parts is None else parts)
     return top(scored.select("query_id", index.key, rounded(F.col("score")).alias("score")), limit, index.key)
 
 
-#: What tokens of queries consist of, lower-cased: a token that a text contains lies within one such run.
-RUN = r"[0-9a-z_\-\.\u4e00-\u9fff]+"
+def containing(units: DataFrame, tokens: DataFrame) -> DataFrame:
+    """unit and token: which of the distinct units(unit) contain which of the distinct tokens(token), both lower-case."""
+    return containing_grams(tokens, lambda asked: units.select("unit", F.explode(grams(F.col("unit"))).alias("g")).join(asked, "g"))
 
 
-def containing(units: DataFrame, tokens: DataFrame) -> DataFrame:
-    """unit and token: which of the distinct units(unit) contain which of the distinct tokens(token), both lower-case.
+def containing_grams(tokens: DataFrame, grams_of) -> DataFrame:
+    """unit and token, for units that stand under their grams: grams_of gives g and unit for some grams.
 
-    Units are posted under their runs of two and three characters, tokens under their first; the whole token is compared
-    in the join.
+    A token looks its rarest gram up; the whole token is compared in the join. A token with a gram that no unit has is in none.
     """
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length("unit") - n + 1), lambda i: F.substring("unit", i, F.lit(n)))
-    grams = F.array_distinct(F.concat(
-        F.when(F.length("unit") >= 2, gram(2)).otherwise(F.array().cast("array<string>")), F.when(F.length("unit") >= 3, gram(3)).otherwise(F.array().cast("array<string>"))))
-    posted = units.select("unit", F.explode(grams).alias("g"))
-    asked = tokens.select("token", F.substring("token", 1, 3).alias("g"))
-    return posted.join(asked, (posted.g == asked.g) & F.contains("unit", F.col("token"))).select("unit", "token")
+    asked = tokens.select("token", F.explode(F.when(F.length("token") == 2, F.array("token")).otherwise(F.filter(grams(F.col("token")), lambda g: F.length(g) == 3))).alias("g"))
+    spark = tokens.sparkSession
+    out = shared_dir(spark)
+    grams_of(asked.select("g").distinct()).write.parquet(out)
+    known = spark.read.parquet(out)
+    n = known.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = asked.join(n, "g", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("token", F.col("r.g").alias("g"))
+    return known.join(rarest, (known.g == rarest.g) & F.contains("unit", F.col("token"))).select("unit", "token")
 
 
 def lower_tokens(queries: DataFrame) -> DataFrame:
@@ -266,10 +218,8 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, limit: int = 10, index: I
     """
     spark = docs.sparkSession
     index = index or Index(docs).store(shared_dir(spark))
-    out = shared_dir(spark)
-    phrase_frequencies(index, query_phrases(queries).unionByName(query_phrases(queries, T.expanded_tokens))).write.parquet(out)
-    found = spark.read.parquet(out)
-    return rrf_fuse({AND: match_all(index, queries, 3 * limit, found), OR: match_any(index, queries, 3 * limit, found), PATH: path_channel(docs, queries, 3 * limit)}, limit)
+    parts = stored_contributions(index, query_phrases(queries).unionByName(query_phrases(queries, T.expanded_tokens)))
+    return rrf_fuse({AND: match_all(index, queries, 3 * limit, parts), OR: match_any(index, queries, 3 * limit, parts), PATH: path_channel(docs, queries, 3 * limit)}, limit)
 
 
 def fill_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -279,12 +229,21 @@ def fill_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataF
     return hits.join(tokens, "query_id").join(text, "path").withColumn("snippet", T.earliest_snippet("content", F.col("_tokens"))).drop("_tokens", "content")
 
 
-def substring_search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, path, score, rank: how often a token is contained in content or title, whatever its case."""
+def substring_search(docs: DataFrame, queries: DataFrame, limit: int, index: StoredIndex | None = None) -> DataFrame:
+    """query_id, path, score, rank: how often a token is contained in content or title, whatever its case.
+
+    With a stored index no text is read: tokens look up their rarest gram in its dictionary of runs, and runs their documents."""
     tokens = lower_tokens(queries)
-    runs = _all([docs.select("path", F.lit(f).alias("field"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(RUN), F.lit(0)))).alias("unit"))
-                 for f in ("content", "title")])
-    known = containing(runs.select("unit").distinct(), tokens.select("token").distinct())
+    asked = tokens.select("token").distinct()
+    if index is None:
+        runs = Index(docs).runs()
+        known = containing(runs.select("unit").distinct(), asked)
+    else:
+        spark = docs.sparkSession
+        out = shared_dir(spark)
+        containing_grams(asked, index.grams_of).write.parquet(out)
+        known = spark.read.parquet(out)
+        runs = index.runs(known.select("unit").distinct())
     found = runs.join(known, "unit").select("path", "field", "token").distinct().groupBy("path", "token").agg(F.count("*").alias("n"))
     scored = tokens.join(found, "token").groupBy("query_id", "path").agg(F.sum("n").alias("score"))
     return top(scored, limit)
@@ -294,20 +253,22 @@ def knowledge_search(docs: DataFrame, queries: DataFrame, limit: int = 5, member
     """query_id, path, rank, matched_by, title and snippet: indexed hits first, then substring hits for queries that have
     fewer than limit.
 
-    The member scope applies before the cut at 3 * limit, or after it with post_filter. An index has to be one of the
-    documents that are searched.
+    The member scope applies before the cut at 3 * limit, or after it with post_filter. An index has to be one of docs; it is
+    read within the scope. Without one, docs are indexed.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
     spark = docs.sparkSession
     scope = docs if post_filter else member_scope(docs, member)
+    index = index or Index(docs).store(shared_dir(spark))
+    index = index if post_filter else index.scoped(member)
     out = shared_dir(spark)
     member_scope(hybrid_search(scope, queries, 3 * limit, index), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(0).alias("_by")).write.parquet(out)
     hits = spark.read.parquet(out)
     full = hits.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= limit)
     short = queries.join(full, "query_id", "left_anti")
     if not short.isEmpty():
-        more = member_scope(substring_search(scope, short, 4 * limit), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(1).alias("_by"))
+        more = member_scope(substring_search(scope, short, 4 * limit, index), member).select("query_id", "path", F.col("rank").alias("_r"), F.lit(1).alias("_by"))
         hits = hits.unionByName(more)
     first = hits.groupBy("query_id", "path").agg(F.min(F.struct("_by", "_r")).alias("_f"))
     w = Window.partitionBy("query_id").orderBy("_f", "path")
@@ -316,6 +277,38 @@ def knowledge_search(docs: DataFrame, queries: DataFrame, limit: int = 5, member
     return fill_snippets(found, docs, queries)
 
 
+def passages(index: Index, items: DataFrame) -> DataFrame:
+    """query_id, key, start and n: where the tokens of items(query_id, text) stand in a row in content, by stored positions (start counts
+    tokens from 0). An item without tokens stands nowhere.
+
+    Places of an item's rarest token are held against the positions of its other tokens in the same documents; no text is read.
+    """
+    spark, key = items.sparkSession, index.key
+    words = items.select("query_id", T.index_tokens("text").alias("_w")).where(F.size("_w") > 0)
+    pieces = words.select("query_id", F.size("_w").alias("n"), F.posexplode("_w").alias("i", "token"))
+    out = shared_dir(spark)
+    index.positions_of(pieces.select("token").distinct()).where("field = 'content'").select(key, "token", "at").write.parquet(out)
+    own = spark.read.parquet(out)
+    df = own.groupBy("token").agg(F.sum(F.size("at")).alias("df"))
+    rarest = pieces.join(df, "token", "left").groupBy("query_id", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "i", "token")).alias("r")).where("r.df > 0")
+    places = rarest.select("query_id", "n", F.col("r.i").alias("i"), F.col("r.token").alias("token")).join(own, "token").select(
+        "query_id", "n", key, F.explode("at").alias("p"), "i").select("query_id", "n", key, (F.col("p") - F.col("i")).alias("start")).where("start >= 0")
+    out = shared_dir(spark)
+    places.write.parquet(out)
+    places = spark.read.parquet(out)
+    near = own.join(places.select(key).distinct(), key, "left_semi")
+    met = places.join(pieces.drop("n"), "query_id").join(near, [key, "token"]).where(F.array_contains("at", F.col("start") + F.col("i")))
+    return met.groupBy("query_id", key, "start", "n").agg(F.count("*").alias("k")).where("k = n").select("query_id", key, "start", "n")
+
+
+def passage_lines(index: Index, found: DataFrame) -> DataFrame:
+    """found (passages) with first_line and last_line: the lines in which its first and last token stand, by the index's table of lines."""
+    key = index.key
+    lines = index.lines().where("n > 0").select(key, "line", "first", (F.col("first") + F.col("n")).alias("end"))
+    met = found.join(lines, key).where((F.col("first") < F.col("start") + found["n"]) & (F.col("end") > F.col("start")))
+    return met.groupBy("query_id", key, "start", found["n"]).agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
 def highlight(index: Index, docs: DataFrame, hits: DataFrame, queries: DataFrame, width: int = 24, field: str = "content") -> DataFrame:
     """hits(query_id, path) with excerpt: the window of `width` index tokens in which most distinct phrases of the query
     begin, the first of them, the tokens of phrases in brackets. Only the hits' documents are fetched."""

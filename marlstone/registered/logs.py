@@ -13,7 +13,7 @@ from marlstone.operators import sessions as M
 from marlstone.operators import usage as U
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
-from marlstone.registered.search import QTOK, knowledge_sql, snippet_sql
+from marlstone.registered.search import QTOK, expected, knowledge_sql, snippet_sql, stored
 from marlstone.session import shared_dir
 
 query = Registry()
@@ -219,7 +219,7 @@ _INSPECT = r"""chk as (select path as relative_path, ft as file_type, case when
   case when doc_id % 5 = 0 then ['output_missing'] when b = '' then ['empty_file: main.md'] else list_filter([
     case when contains(b, chr(65533)) then 'replacement_chars: 1' end, case when len(b) < 200 then 'near_empty: ' || len(b) || ' chars' end,
     case when ft = '.pdf' and not regexp_matches(b, '(?m)^#\s+\S+') then 'no_h1_title' end,
-    case when ft = '.pdf' and not regexp_matches(l, '[。！？.!?）」』】`\)\|\-\*0-9A-Za-z]') then 'suspect_truncation: last=''' || l || '''' end], lambda x: x is not null) end as issues
+    case when ft = '.pdf' and not regexp_matches(l, '[\p{L}\p{N}\p{Pe}\p{Pf}.!?…。！？`|*-]') then 'suspect_truncation: last=''' || l || '''' end], lambda x: x is not null) end as issues
 from (select *, right(rtrim(b, ' ' || chr(10) || chr(9)), 1) as l from (select path, doc_id, case when doc_id % 2 = 0 then '.pdf' else '.md' end as ft,
    case when doc_id % 7 = 0 then '' when doc_id % 11 = 0 then '# t' || chr(10) || content || chr(65533) else content end as b from v_documents)))"""
 
@@ -260,12 +260,12 @@ select count(*) as cases, count(*) filter (r <= 1) as hit_at_1, count(*) filter
   count(*) filter (r is null) as miss, round(sum(coalesce(1.0::double / r, 0)) / count(*), 3) as mrr from r""", "v_documents", "v_queries", "v_expected")
 def retrieval(spark, d):
     """F8"""
-    hits = S.knowledge_search(V.documents(spark, d), V.queries(spark, d), 10)
-    return G.retrieval_metrics(hits, V.expected(spark, d), V.queries(spark, d))
+    hits = S.knowledge_search(V.documents(spark, d), V.queries(spark, d), 10, index=stored(spark, d))
+    return G.retrieval_metrics(hits, expected(spark, d), V.queries(spark, d))
 
 
 _KEYWORDS = """v_queries as (
-  select item_id as query_id, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] as text from benchmark where len(string_split(text, ' ')) >= 5)"""
+  select item_id as query_id, case when len(string_split(text, ' ')) >= 5 then array_to_string(string_split(text, ' ')[2:4], ' ') else text end as text from benchmark)"""
 
 
 @query("retrieval_metrics_keywords", f"""with {_KEYWORDS}, {knowledge_sql(10)},
@@ -273,11 +273,10 @@ r as (select q.query_id, min(rank) as r from (select distinct query_id from v_qu
 select count(*) as cases, count(*) filter (r <= 1) as hit_at_1, count(*) filter (r <= 3) as hit_at_3, count(*) filter (r <= 5) as hit_at_5, count(*) filter (r <= 10) as hit_at_10,
   count(*) filter (r is null) as miss, round(sum(coalesce(1.0::double / r, 0)) / count(*), 3) as mrr from r""", "v_documents", "v_expected")
 def retrieval_keywords(spark, d):
-    """F8: the same cases asked by their keywords, joined by blanks."""
+    """F8: the same cases asked by their keywords, joined by blanks; items of fewer than five words are asked whole."""
     words = F.split("text", " ")
-    cases = V.queries(spark, d).where(F.size(words) >= 5).select("query_id", F.slice(words, 2, 3).alias("keywords"))
-    asked = cases.select("query_id", F.array_join("keywords", " ").alias("text"))
-    return G.retrieval_metrics(S.knowledge_search(V.documents(spark, d), asked, 10), V.expected(spark, d), asked)
+    asked = V.queries(spark, d).select("query_id", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")).otherwise(F.col("text")).alias("text"))
+    return G.retrieval_metrics(S.knowledge_search(V.documents(spark, d), asked, 10, index=stored(spark, d)), expected(spark, d), asked)
 
 
 @query("citation_metrics", r"""with a as (select conv_id as query_id, text as answer, 'members/src' || (conv_id % 20) || '/d' || conv_id || '/d' || conv_id || '.md' as path from conversations where role = 'assistant'),

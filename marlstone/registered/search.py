@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import search as S
 from marlstone.plans import views as V
-from marlstone.registered.base import Registry
+from marlstone.registered.base import Registry, lines_sql
 from marlstone.session import shared_dir
 
 query = Registry()
@@ -49,9 +49,25 @@ def _top(src: str, limit: int, extra: str = "") -> str:
   from {src} {extra}) where rank <= {limit}"""
 
 
+#: The stored index of each data folder, by application and the time at which its documents were written.
+_built: dict[tuple, str] = {}
+
+
 def stored(spark, d):
-    """The index of the documents, stored in the shared folder: it is built once for a query and then read by folders."""
-    return S.Index(V.documents(spark, d)).store(shared_dir(spark))
+    """The index of the documents, stored in the shared folder: it is built once for all queries of an application and then read by folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    written = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    known = (spark.sparkContext.applicationId, str(d), written)
+    if known not in _built:
+        out = shared_dir(spark)
+        S.Index(V.documents(spark, d)).store(out)
+        _built[known] = out
+    return S.StoredIndex(spark, _built[known])
+
+
+def expected(spark, d):
+    """query_id and path: the documents that hold the words of a benchmark item in a row, by the stored positions."""
+    return S.passages(stored(spark, d), V.queries(spark, d)).select("query_id", "path").distinct()
 
 
 @query("search_or_bm25", f"with {_PH} {_top('scored', 10)}", "v_documents", "v_queries")
@@ -129,7 +145,7 @@ hyb as (select * from (select *, row_number() over (partition by query_id order
 @query("search_hybrid_rrf", f"with {_MIXED}, {_PH}, {_TOKENS}, {_PATHS}, {_hybrid(10)} select query_id, path, score, tier, rank from hyb", "v_documents")
 def search_hybrid(spark, d):
     """Three channels fused."""
-    return S.hybrid_search(V.documents(spark, d), mixed_queries(spark, d), 10).select("query_id", "path", "score", "tier", "rank")
+    return S.hybrid_search(V.documents(spark, d), mixed_queries(spark, d), 10, stored(spark, d)).select("query_id", "path", "score", "tier", "rank")
 
 
 _SUB = """
@@ -140,8 +156,8 @@ sscore as (select query_id, path, sum(n)::bigint as score from tk join shit usin
 
 @query("search_substring", f"with {_PH}, {_TOKENS}, {_SUB} {_top('sscore', 20)}", "v_documents", "v_queries")
 def search_substring(spark, d):
-    """Containment of tokens."""
-    return S.substring_search(V.documents(spark, d), V.queries(spark, d), 20).select("query_id", "path", "score", "rank")
+    """Containment of tokens, by the index's dictionary of runs."""
+    return S.substring_search(V.documents(spark, d), V.queries(spark, d), 20, stored(spark, d)).select("query_id", "path", "score", "rank")
 
 
 def knowledge_sql(limit: int) -> str:
@@ -170,7 +186,38 @@ hc as (select query_id, path, content from found join v_documents using (path)),
 select query_id, path, rank, matched_by, title, snippet from found join sn using (query_id, path) join (select path, title from v_documents) using (path)""", "v_documents")
 def search_knowledge(spark, d):
     """The combined search with its substring fallback, titles and snippets."""
-    return S.knowledge_search(V.documents(spark, d), mixed_queries(spark, d), 5)
+    return S.knowledge_search(V.documents(spark, d), mixed_queries(spark, d), 5, index=stored(spark, d))
+
+
+#: Members whose documents are searched alone.
+_MEMBERS = ("src0", "src1", "src7")
+
+
+def _scoped_sql(member: str) -> str:
+    docs = f"v_documents as (select * from ({V.SQL['v_documents']}) where member = '{member}')"
+    return f"select '{member}' as member, * from (with {docs}, v_queries as ({V.SQL['v_queries']}), {_PH} {_top('scored', 5)})"
+
+
+@query("search_member_scope", " union all ".join(_scoped_sql(m) for m in _MEMBERS))
+def search_members(spark, d):
+    """Searches below some members' folders, each with the statistics of its own documents, from one index."""
+    index, queries = stored(spark, d), V.queries(spark, d)
+    found = [S.match_any(index.scoped(m), queries, 5).select(F.lit(m).alias("member"), "query_id", "path", "score", "rank") for m in _MEMBERS]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("locate_passages", r"""with it as (select query_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from v_queries),
+dl as (select path, unnest(l) as body, unnest(range(1, len(l) + 1))::int as line from (select path, LINES as l from v_documents)),
+lt as (select path, line, regexp_extract_all(strip_accents(lower(body)), '[\p{L}\p{N}]+') as ts from dl),
+fl as (select path, line, token, (row_number() over (partition by path order by line, p) - 1)::int as pos from (select path, line, unnest(ts) as token, unnest(range(1, len(ts) + 1)) as p from lt)),
+dt as (select path, list(token order by pos) as ts from fl group by path),
+st as (select query_id, w, path, pos as start from it join fl on token = w[1] join dt using (path) where ts[pos + 1 : pos + len(w)] = w)
+select query_id, path, start, len(w)::int as n, a.line as first_line, b.line as last_line
+from st join fl a using (path) join fl b using (path) where a.pos = start and b.pos = start + len(w) - 1""".replace("LINES", lines_sql("content")), "v_documents", "v_queries")
+def locate_passages(spark, d):
+    """Where benchmark items stand, word by word: places and lines, both from the stored index."""
+    index = stored(spark, d)
+    return S.passage_lines(index, S.passages(index, V.queries(spark, d)))
 
 
 @query("knowledge_document_filter", """select path, member, title from v_documents

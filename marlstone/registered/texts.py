@@ -9,21 +9,13 @@ from marlstone.operators import attribution as A
 from marlstone.operators import state as S
 from marlstone.operators import text_jobs as J
 from marlstone.plans import views as V
-from marlstone.registered.base import Registry
-from marlstone.registered.search import QTOK
+from marlstone.registered.base import Registry, lines_sql
+from marlstone.registered.search import QTOK, expected
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 _WS = r"[ \t\n\r\x0B\f]"
-_LINES = r"string_split_regex(regexp_replace({0}, '\r\n', chr(10), 'g'), '[\n\r\x0B\f\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
-
-
-def _lines(text: str) -> str:
-    cut = _LINES.format(text)
-    return f"(case when {cut}[-1] = '' then {cut}[:-2] else {cut} end)"
-
-
 _MD = "case when doc_id % 3 = 0 then '# ' || source || chr(10) || text when doc_id % 31 = 0 then '' else text end"
 
 
@@ -68,13 +60,13 @@ def ensure(spark, d):
 
 
 @query("extract_title", f"""select doc_id, case when len(h) > 0 then trim(h[1][3:], ' ' || chr(9)) else 'd' || doc_id end as title
-from (select doc_id, list_filter({_lines(_MD)}, lambda l: starts_with(l, '# ')) as h from documents)""")
+from (select doc_id, list_filter({lines_sql(_MD)}, lambda l: starts_with(l, '# ')) as h from documents)""")
 def title(spark, d):
     """D6"""
     return md(spark, d).select("doc_id", T.extract_title("t", "path").alias("title"))
 
 
-@query("explode_lines", f"""select doc_id, line, sha256(body) as sha from (select doc_id, unnest(l) as body, unnest(range(1, len(l) + 1))::int as line from (select doc_id, {_lines('text')} as l from documents))""")
+@query("explode_lines", f"""select doc_id, line, sha256(body) as sha from (select doc_id, unnest(l) as body, unnest(range(1, len(l) + 1))::int as line from (select doc_id, {lines_sql('text')} as l from documents))""")
 def lines(spark, d):
     """D12"""
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
@@ -83,7 +75,7 @@ def lines(spark, d):
 
 @query("title_lines", rf"""select count(*) as n, count(*) filter (starts_with(s, '#') or regexp_matches(s, '^(-{{3,}}|={{3,}})$')
    or (starts_with(s, '**') and ends_with(s, '**') and len(s) > 4 and not contains(s[3:-3], '**')) or (starts_with(s, '__') and ends_with(s, '__') and len(s) > 4 and not contains(s[3:-3], '__'))) as titles
-from (select regexp_replace(unnest({_lines(_MD)}), '^{_WS}+|{_WS}+$', '', 'g') as s from documents)""")
+from (select regexp_replace(unnest({lines_sql(_MD)}), '^{_WS}+|{_WS}+$', '', 'g') as s from documents)""")
 def title_lines(spark, d):
     """D13"""
     body = md(spark, d).select(F.explode(T.lines("t")).alias("l")).select(T.strip("l").alias("s"))
@@ -91,7 +83,7 @@ def title_lines(spark, d):
 
 
 @query("read_document", f"""select path, title, array_to_string(l[6:10], chr(10)) as content, 5 as offset, len(l[6:10])::int as returned_lines, len(l)::int as total_lines, 5 + len(l[6:10]) < len(l) as truncated
-from (select path, {_lines('content')} as l, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as title from v_documents)""", "v_documents")
+from (select path, {lines_sql('content')} as l, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as title from v_documents)""", "v_documents")
 def read(spark, d):
     """A10"""
     return J.read_document(V.documents(spark, d), offset=5, limit=5)
@@ -237,9 +229,9 @@ def names(spark, d):
 
 
 _NEED = QTOK.replace("coalesce(text, '')", "text")
-_LOCATE = rf"""nd as (select query_id, list_distinct(list_transform({_NEED}, lambda t: t)) as needles from v_queries),
+_LOCATE = rf"""nd as (select query_id, list_filter(ts, lambda t, i: list_position(list_transform(ts, lambda u: lower(u)), lower(t)) = i) as needles from (select query_id, {_NEED} as ts from v_queries)),
 want as (select e.query_id, e.path, needles from v_expected e join nd using (query_id)),
-ln as (select w.query_id, w.path, w.needles, unnest(l) as body, unnest(range(1, len(l) + 1))::int as line from (select want.*, {_lines('content')} as l from want join v_documents using (path)) w),
+ln as (select w.query_id, w.path, w.needles, unnest(l) as body, unnest(range(1, len(l) + 1))::int as line from (select want.*, {lines_sql('content')} as l from want join v_documents using (path)) w),
 sc as (select *, len(list_filter(needles, lambda n: contains(body, n))) as score from ln where trim(body) <> '' and not starts_with(trim(body), '#')),
 best as (select * from (select *, row_number() over (partition by query_id, path order by score desc, line) as r from sc where score > 0) where r <= 3)"""
 
@@ -254,13 +246,15 @@ from (select *, instr(f, a) as pos from (select *, list_reduce(list_filter(needl
 def locate(spark, d):
     """E11, H3, D14"""
     q = V.queries(spark, d).select("query_id", T.needles("text").alias("needles"))
-    return A.locate_hits(V.documents(spark, d), V.expected(spark, d).join(q, "query_id")).select("query_id", "path", "line", "snippet")
+    return A.locate_hits(V.documents(spark, d), expected(spark, d).join(q, "query_id")).select("query_id", "path", "line", "snippet")
 
 
-@query("locate_sources", f"""with {_LOCATE} select e.query_id, e.path, case when d.title = '' then '?' else d.title end as title, (select string_agg(line::varchar, ',' order by line) from best b where b.query_id = e.query_id and b.path = e.path) as lines
-from v_expected e join v_documents d using (path)""", "v_expected", "v_queries")
+@query("locate_sources", f"""with {_LOCATE}, sn as ({_SNIPPET}),
+own as (select query_id, path, string_agg(line::varchar, ',' order by line) as lines, string_agg(snippet, chr(10) order by line) as snippets from sn group by query_id, path)
+select e.query_id, e.path, case when d.title = '' then '?' else d.title end as title, lines, snippets
+from v_expected e join v_documents d using (path) left join own using (query_id, path)""", "v_expected", "v_queries")
 def sources(spark, d):
     """E12, C16"""
-    out = A.locate_sources(V.expected(spark, d), V.documents(spark, d), V.queries(spark, d))
-    lines_of = F.nullif(F.array_join(F.transform("hits", lambda h: h["line"].cast("string")), ","), F.lit(""))
-    return out.select("query_id", "path", "title", lines_of.alias("lines"))
+    out = A.locate_sources(expected(spark, d), V.documents(spark, d), V.queries(spark, d))
+    joined = lambda f, by: F.when(F.size("hits") > 0, F.array_join(F.transform("hits", lambda h: h[f].cast("string")), by))
+    return out.select("query_id", "path", "title", joined("line", ",").alias("lines"), joined("snippet", "\n").alias("snippets"))

@@ -243,3 +243,13 @@ def test_flows_write_bounded_files_and_objects(spark, sf_dir, tmp_path, monkeypa
     assert max(sizes) <= 2 and sum(sizes) == docs.count()
     n = docs.select("source").distinct().count()
     assert (got.n_files, got.n_hashes) == (n, n)
+
+
+def test_tops_of_deep_trees_and_cycles(spark):
+    from marlstone.operators import exports as X
+
+    rows = [(f"n{i}", "root" if i == 0 else f"n{i - 1}", f"t{i}") for i in range(700)]
+    rows += [("a", "root", "A"), ("b", "a", "B"), ("c", "c2", "C"), ("c2", "c", "C2"), ("d", "c", "D"), ("self", "self", "S"), ("lost", "nowhere", "L"), ("none", None, "N")]
+    got = {r.token: (r.title, r.top) for r in X.tree_top_segment(spark.createDataFrame(rows, "token string, parent string, title string"), "root").collect()}
+    assert got == {**{f"n{i}": (f"t{i}", "t0") for i in range(700)}, "a": ("A", "A"), "b": ("B", "A")}
+    assert X.tree_top_segment(spark.createDataFrame([], "token string, parent string, title string"), "root").count() == 0
