@@ -43,6 +43,8 @@ BAND = 1.25
 LONG, LEADERS = 2048, 512
 #: Fragments of the fine cut for each n-gram that sets of a band can differ in.
 FINE = 4
+#: Bits that a fine signature keeps of a fragment.
+BITS = 4
 #: Bits of the filters that texts and segments are held against; false hits are joined away.
 FILTER_BITS = 25
 ROWS = 128
@@ -105,19 +107,33 @@ def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fine_signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """For each band of a set (as steps above its own) a number for every fragment of a FINE times finer cut; two sets of a band that
-    differ in x n-grams have all of these numbers in common but x at most."""
+    """For each band of a set (as steps above its own) BITS bits for every fragment of a FINE times finer cut. Two sets of a band that
+    differ in x n-grams differ in the bits of x fragments at most. A word holds one bit of 64 fragments; BITS words in a row are theirs."""
     own = int(np.searchsorted(EDGES, len(s), side="right")) - 1
     sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(s))))
     out = []
     for band in _bands_of(len(s), percent):
         pieces = FINE * most_differing(band, percent)
         at = _cut(s, pieces)
-        low = mix(sums[at[1:]] - sums[at[:-1]]) >> U(33)
-        out.append((band - own, ((np.arange(pieces, dtype=U) << U(31)) | low).view(np.int64)))
+        found = np.zeros(-(-pieces // 64) * 64, dtype=U)
+        found[:pieces] = mix(sums[at[1:]] - sums[at[:-1]])
+        words = [np.packbits(((found >> U(63 - i)) & U(1)).astype(np.uint8)).view(np.int64) for i in range(BITS)]
+        out.append((band - own, np.stack(words, axis=1).ravel()))
     return out
 
 
+def _differing(x: str, y: str) -> Column:
+    """Fragments in whose bits two signatures differ."""
+    def word(n: Column) -> Column:
+        apart = [F.get(x, n * BITS + i).bitwiseXOR(F.get(y, n * BITS + i)) for i in range(BITS)]
+        any_ = apart[0]
+        for a in apart[1:]:
+            any_ = any_.bitwiseOR(a)
+        return F.bit_count(any_)
+
+    return F.aggregate(F.sequence(F.lit(0), (F.size(x) / BITS).cast("int") - 1), F.lit(0), lambda total, n: total + word(n))
+
+
 def _segments(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """key and cid of every segment of every text, once for a class and task."""
 
@@ -264,7 +280,7 @@ def _pairs(links: _Links, askers: DataFrame, members: DataFrame) -> DataFrame:
     room = _room(F.col("x.n"), F.col("y.n"), links.percent)
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.step") == 0) | (F.col("y.step") == 0)) & (F.col("y.first") | (F.col("x.cid") < F.col("y.cid")))
                  & (F.col("x.alone") + F.col("y.alone") <= room) & (100 * F.least("x.n", "y.n") >= links.percent * F.greatest("x.n", "y.n"))
-                 & (F.size(F.array_intersect("x.sig", "y.sig")) >= F.size("x.sig") - room))
+                 & (_differing("x.sig", "y.sig") <= room))
     return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
