@@ -80,6 +80,11 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once for a row and hand it to body as a variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

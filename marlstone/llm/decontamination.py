@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import fresh, key_filter, materialize, table
+from marlstone.llm.common import columns_of, fresh, key_filter, materialize, table
 from marlstone.llm.wordhash import ALNUM, U, Words, mix, shingles, words_of
 
 WINDOW = 10
@@ -172,7 +172,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     posted = materialize(postings(docs, prefixes).where("s is not null"), "postings")
     a, b = fresh("k1", docs.columns), fresh("k2", docs.columns)
     leaking = _hits(posted, prefixes).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
-    return docs.select("*", *_keys(a, b)).join(leaking, [a, b], "left_anti").select(*docs.columns)
+    return docs.select("*", *_keys(a, b)).join(leaking, [a, b], "left_anti").select(*columns_of(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@
    alone has, and lists whose places or sizes rule out a link or that lie in one component, are skipped. What is left
    is short lists, whose pairs count collisions and are confirmed, and long ones, whose leaders are compared with all
    members and then leave the list until it is short or of one component. No link between different texts is lost.
+   So coordinates propose links and say which classes are open; the candidates of this last step come from shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import fresh, key_filter, materialize, table
+from marlstone.llm.common import columns_of, fresh, key_filter, materialize, table
 from marlstone.llm.components import connected_components
 from marlstone.llm.wordhash import NON_SPACE, U, mix, shingles, words_of
 
@@ -103,14 +104,18 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid and set (hashes) of the wanted classes (cid, key), one row each. Texts go by a filter of fixed size first, then by a join."""
+    """cid and set (hashes) of the wanted classes (cid, key), one row each. Texts go by a filter of fixed size first, then by a join;
+    a task emits a class once, so that a text with very many copies does not send as many sets."""
     keep = key_filter(wanted, KEY, FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             whole = whole.filter(pa.array(keep(whole.column(KEY).to_numpy())))
             for lo in range(0, whole.num_rows, ROWS):
-                sets = [s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)]
+                named = {class_id(s): s for s in shingle_sets(whole.column("text").slice(lo, ROWS).to_pylist(), k) if len(s)}
+                sets = [s for c, s in named.items() if c not in seen]
+                seen.update(named)
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U)
                 yield pa.RecordBatch.from_arrays([
@@ -335,7 +340,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     row = fresh(ROW, docs.columns)
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     judged = _judged(numbered.select("doc_id", "text", F.col(row).alias(ROW)), shingle, percent).where("not kept").select(F.col(ROW).alias(row))
-    return numbered.join(judged, row, "left_anti").select(*docs.columns)
+    return numbered.join(judged, row, "left_anti").select(*columns_of(docs))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE_CLASS, let, table
+from marlstone.llm.common import SPACE_CLASS, columns_of, let, table
 
 #: Labelled rows that the list is learned from at most, chosen by a hash of their id.
 MAX_LABELLED = 20_000
@@ -249,7 +249,7 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 def filter_quality(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
-    judged = with_statistics(docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns])))
+    judged = with_statistics(docs.withColumn("_row", F.struct(*columns_of(docs))))
     flat = judged.select("_row", "_s.*")
     fails = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return flat.where(~fails & rules.kept()).select("_row.*")

@@ -46,7 +46,7 @@ def test_sql(spark, sf_dir, name):
 def test_entry_has_all():
     import __spark_entry__ as E
 
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in E.queries()} and "pipeline" in E.queries()
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in E.queries()} and "pipeline" in E.queries()
 
 
 # ---- words
@@ -341,6 +341,24 @@ def test_windows_that_many_texts_share(spark, odd, bits, monkeypatch):
     assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) == r.n_hit for r in got)
 
 
+def test_dotted_names_stay(spark, odd, sf_dir):
+    """Columns with dots and back-quotes in their names go through the stages that filter."""
+    docs = documents(spark, sf_dir).withColumns({"a.b": F.lit(1), "c`d": F.lit(2)})
+    labels, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    for kept in (quality_rules.filter_quality(docs, quality_rules.learn_from(docs, labels)), near_duplicates.keep_one(docs), decontamination.remove_leaks(docs, items)):
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+def test_many_copies_of_a_near_copied_text_are_one_set(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(60))) for i in range(3000)] + [(5000, " ".join(f"w{j}" for j in range(61)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = near_duplicates._signatures(docs.withColumn(near_duplicates.ROW, F.monotonically_increasing_id()), 3).groupBy("cid").agg(F.min(near_duplicates.KEY).alias(near_duplicates.KEY))
+    plan = near_duplicates._sets(docs, wanted, 3)
+    assert plan.count() == 2
+    got = near_duplicates.near_duplicates(docs, 3, 85).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_leaks_keep_the_callers_columns(spark):
     ten = " ".join(f"x{i}" for i in range(10))
     docs = spark.createDataFrame([(1, ten, "keep"), (2, "clean " + ten[:-1], "keep"), (3, None, "keep")], "doc_id long, text string, k1 string").withColumns(
