@@ -15,6 +15,7 @@ from marlstone.plans import views as V
 from marlstone.registered.base import Registry
 from marlstone.registered.search import QTOK, expected, knowledge_sql, snippet_sql, stored
 from marlstone.session import shared_dir
+from marlstone.sources.files import pointed_to
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -196,14 +197,15 @@ union all select 'items rotated', count(*) from it where kind = 'log' and bytes
 def prune_applied(spark, d):
     """H9: the plan carried out, with its audit."""
     out = shared_dir(spark)
-    G.apply_prune(items(spark, d), V.runs(spark, d), F.expr("timestamp'2024-01-20 00:00:00'"), out, keep=2, days=10)
+    G.apply_prune(items(spark, d), V.runs(spark, d), F.expr("timestamp'2024-01-20 00:00:00'"), out, "20240120", keep=2, days=10)
+    mine = pointed_to(spark, out)
     told = lambda df, what: df.select(what.alias("what"), "n")
     count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"))
-    left = spark.read.parquet(f"{out}/items")
+    left = spark.read.parquet(f"{out}/items/{mine}")
     return (
-        told(count(spark.read.schema("action string").json(f"{out}/audit/plan"), "action"), F.concat(F.lit("audit "), "action"))
-        .union(told(count(spark.read.parquet(f"{out}/archive"), "archive_month"), F.concat(F.lit("archived "), F.col("archive_month").cast("string"))))
-        .union(told(count(spark.read.parquet(f"{out}/runs")), F.lit("runs left"))).union(told(count(left), F.lit("items left")))
+        told(count(spark.read.schema("action string").json(f"{out}/audit/{mine}/plan"), "action"), F.concat(F.lit("audit "), "action"))
+        .union(told(count(spark.read.parquet(f"{out}/archive/{mine}"), "archive_month"), F.concat(F.lit("archived "), F.col("archive_month").cast("string"))))
+        .union(told(count(spark.read.parquet(f"{out}/runs/{mine}")), F.lit("runs left"))).union(told(count(left), F.lit("items left")))
         .union(told(count(left.where(F.endswith("name", F.lit(".1")))), F.lit("items rotated"))))
 
 

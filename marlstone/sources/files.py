@@ -77,15 +77,56 @@ def write_registry(df: DataFrame, path: str, keys: list[str]) -> bool:
     return True
 
 
+POINTER = "CURRENT"
+
+
+def point_to(spark: SparkSession, folder: str, name: str) -> None:
+    """Let the pointer file of a folder name what is current: written beside it and moved over it in one step."""
+    jvm, (new, fs) = spark._jvm, _hadoop(spark, f"{folder}/{POINTER}.new")
+    stream = fs.create(new, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(target), over)
+
+
+def pointed_to(spark: SparkSession, folder: str) -> str | None:
+    """What the pointer file of a folder names; None without one."""
+    path, fs = _hadoop(spark, f"{folder}/{POINTER}")
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def publish_snapshot(df: DataFrame, path: str, published_at: str, keep: int) -> None:
-    """Write history/published_at=…, replace latest, and delete all but the newest `keep` of the history."""
+    """Write history/published_at=…, make it the current one, and delete all but the newest `keep` of the history.
+
+    A snapshot is complete before the pointer is moved to it; after a run that broke off anywhere, readers find the snapshot before,
+    and the same run again gives the same folders. The current snapshot is never deleted.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}/history/published_at={published_at}")
-    df.write.mode("overwrite").parquet(f"{path}/latest")
+    name = f"published_at={published_at}"
+    df.write.mode("overwrite").parquet(f"{path}/history/{name}")
+    point_to(spark, path, name)
     folder, fs = _hadoop(spark, f"{path}/history")
     names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("published_at=")), reverse=True)
     for n in names[keep:]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/history/{n}"), True)
+        if n != name:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/history/{n}"), True)
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the current snapshot."""
+    name = pointed_to(spark, path)
+    if name is None:
+        raise ValueError(f"nothing was published below {path}")
+    return spark.read.parquet(f"{path}/history/{name}")
 
 
 def load_question_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

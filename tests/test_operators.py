@@ -253,3 +253,38 @@ def test_tops_of_deep_trees_and_cycles(spark):
     got = {r.token: (r.title, r.top) for r in X.tree_top_segment(spark.createDataFrame(rows, "token string, parent string, title string"), "root").collect()}
     assert got == {**{f"n{i}": (f"t{i}", "t0") for i in range(700)}, "a": ("A", "A"), "b": ("B", "A")}
     assert X.tree_top_segment(spark.createDataFrame([], "token string, parent string, title string"), "root").count() == 0
+
+
+def test_publication_and_pruning_survive_a_run_that_breaks_off(spark, tmp_path, monkeypatch):
+    """A pointer names the current version; what broke off is not seen, and a repeated run gives the same tables."""
+    out = str(tmp_path / "p")
+    a, b = spark.range(3), spark.range(5)
+    with pytest.raises(ValueError):
+        I.latest_snapshot(spark, out)
+    I.publish_snapshot(a, out, "2024-01-01", keep=1)
+    with monkeypatch.context() as m:
+        m.setattr(I, "point_to", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            I.publish_snapshot(b, out, "2024-01-02", keep=1)
+    assert I.latest_snapshot(spark, out).count() == 3
+    for _ in range(2):
+        I.publish_snapshot(b, out, "2024-01-02", keep=1)
+        assert I.latest_snapshot(spark, out).count() == 5 and [p.name for p in (tmp_path / "p" / "history").iterdir() if not p.name.startswith(".")] == ["published_at=2024-01-02"]
+
+    out, now = str(tmp_path / "q"), F.expr("timestamp'2024-01-20 00:00:00'")
+    runs = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-19 00:00:00"), (3, "unreadable")], "seq long, started_at string")
+    items = spark.createDataFrame([("log", "x", 50), ("log", "x.1", 40), ("log", "x.2", 30), ("log", "y", 1), ("docs", "a1", 7), ("docs", "a2", 8), ("docs", "a3", 9)], "kind string, name string, bytes long")
+    prune = lambda run: G.apply_prune(items, runs, now, out, run, keep=2, days=10, rotate_bytes=20, log_keep=2)
+    with monkeypatch.context() as m:
+        m.setattr(I, "point_to", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            prune("r1")
+    assert I.pointed_to(spark, out) is None
+    for _ in range(2):
+        prune("r1")
+        mine = I.pointed_to(spark, out)
+        read = lambda kind: sorted(tuple(r) for r in spark.read.parquet(f"{out}/{kind}/{mine}").collect())
+        assert mine == "run=r1" and read("items") == [("docs", "a2", 8), ("docs", "a3", 9), ("log", "x.1", 50), ("log", "x.2", 40), ("log", "y", 1)]
+        assert [r[0] for r in read("archive")] == [1] and [r[0] for r in read("runs")] == [2, 3]
+        summary = spark.read.json(f"{out}/audit/{mine}/summary").first()
+        assert (summary.archived_runs, summary.kept_runs, summary.frozen_runs, summary.freed_bytes) == (1, 2, 1, 37)
