@@ -171,6 +171,20 @@ def earliest_snippet(text: Column | str, tokens: Column, each_side: int = 40) ->
         strip(F.replace(F.substring(col(text), start + 1, end - start), F.lit("\n"), F.lit(" "))))
 
 
+def message_snippet(text: Column | str, tokens: Column, each_side: int = 30) -> Column:
+    """each_side characters before and behind the place of the token that comes first, whatever its case, with dots where the text
+    goes on; without one the first 2 * each_side."""
+    t = col(text)
+    first = F.array_min(F.filter(F.transform(tokens, lambda x: F.instr(F.lower(t), F.lower(x))), lambda at: at > 0)) - 1
+
+    def shown(start: Column, end: Column) -> Column:
+        dots = lambda cut: F.when(cut, "...").otherwise("")
+        return F.concat(dots(start > 0), F.substring(t, start + 1, end - start), dots(end < F.length(t)))
+
+    return F.when(first.isNull(), shown(F.lit(0), F.least(F.length(t), F.lit(2 * each_side)))).otherwise(
+        shown(F.greatest(F.lit(0), first - each_side), F.least(F.length(t), first + each_side)))
+
+
 def line_snippet(line: Column, wanted: Column, width: int = 120) -> Column:
     """A line with its white space collapsed, around the longest needle it holds."""
     return let(collapse(line), lambda flat: let(longest(F.filter(wanted, lambda n: F.contains(flat, n))), lambda a: F.when(

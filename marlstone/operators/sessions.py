@@ -50,7 +50,7 @@ def search_messages(messages: DataFrame, queries: DataFrame, limit: int = 20) ->
     tokens = queries.select("query_id", T.expanded_tokens("text").alias("_t"))
     titles = session_list(messages).select("session_id", "title")
     return hits.join(said.select("message_id", "session_id", "content"), "message_id").join(tokens, "query_id").join(titles, "session_id").select(
-        "query_id", "session_id", "message_id", "score", "rank", T.earliest_snippet("content", F.col("_t"), 30).alias("snippet"), "title")
+        "query_id", "session_id", "message_id", "score", "rank", T.message_snippet("content", F.col("_t")).alias("snippet"), "title")
 
 
 def session_buckets(sessions: DataFrame, now: Column, keyword: str = "") -> DataFrame:

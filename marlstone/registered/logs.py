@@ -13,7 +13,7 @@ from marlstone.operators import sessions as M
 from marlstone.operators import usage as U
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
-from marlstone.registered.search import QTOK, expected, knowledge_sql, snippet_sql, stored
+from marlstone.registered.search import QTOK, expected, knowledge_sql, stored
 from marlstone.session import shared_dir
 from marlstone.sources.files import pointed_to
 
@@ -353,7 +353,9 @@ sc as (select query_id, message_id, round(sum(greatest(ln((nd - df + 0.5) / (df
 
 @query("search_messages", f"""with {_MS}, hit as (select * from (select *, row_number() over (partition by query_id order by score desc, message_id) as rank from sc) where rank <= 20),
 hc as (select query_id, message_id, content from hit join v_messages using (message_id)),
-sn as ({snippet_sql("select * from hc", "ql", "message_id", "content", 30)}), ti as ({_TITLES})
+plc as (select query_id, message_id, any_value(content) as c, min(instr(lower(content), lower(t))) filter (instr(lower(content), lower(t)) > 0) - 1 as p from hc join ql using (query_id) group by query_id, message_id),
+cut as (select query_id, message_id, c, case when p is null then 0 else greatest(0, p - 30) end as s, case when p is null then least(len(c), 60) else least(len(c), p + 30) end as e from plc),
+sn as (select query_id, message_id, (case when s > 0 then '...' else '' end) || substring(c, s + 1, e - s) || (case when e < len(c) then '...' else '' end) as snippet from cut), ti as ({_TITLES})
 select query_id, session_id, message_id, score, rank, title, snippet from hit join (select message_id, session_id from fl) using (message_id) join sn using (query_id, message_id) join ti using (session_id)""", "v_messages")
 def search_messages(spark, d):
     """E15, C17, D15"""

@@ -288,3 +288,10 @@ def test_publication_and_pruning_survive_a_run_that_breaks_off(spark, tmp_path,
         assert [r[0] for r in read("archive")] == [1] and [r[0] for r in read("runs")] == [2, 3]
         summary = spark.read.json(f"{out}/audit/{mine}/summary").first()
         assert (summary.archived_runs, summary.kept_runs, summary.frozen_runs, summary.freed_bytes) == (1, 2, 1, 37)
+
+
+def test_message_snippets(spark):
+    text = "a" * 40 + " Fox " + "b" * 40
+    cut = lambda t, *tokens: one(spark, T.message_snippet("t", F.array(*map(F.lit, tokens)).cast("array<string>")), t=t)
+    assert cut(text, "zinc", "fox") == "..." + "a" * 29 + " Fox " + "b" * 26 + "..."
+    assert cut("a fox", "FOX") == "a fox" and cut(text, "zinc") == text[:60] + "..." and cut("short") == "short"
