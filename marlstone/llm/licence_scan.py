@@ -166,18 +166,26 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
         return F.struct(line.cast("int").alias("line"), of["licence"].alias("licence"), of["d"].alias("d"))
 
     def of_lines(lines: Column) -> Column:
-        each = F.transform(lines, lambda x, i: let(F.when(has_any(F.lower(x)), let(let(normalised_words(x), bigrams), best)), lambda b: row(i, b)))
-        return F.filter(each, lambda r: r["d"] <= -threshold)
+        return F.transform(lines, lambda x, i: let(F.when(has_any(F.lower(x)), let(let(normalised_words(x), bigrams), best)), lambda b: F.when(b["d"] <= -threshold, row(i, b))))
 
-    def windows(pairs: Column, t: Column) -> Column:
-        starts = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(t["g"], g), i)), lambda i: i.isNotNull())
-        cut = F.transform(starts, lambda i: let(F.array_distinct(F.slice(pairs, i + 1, t["words"] - 1)), lambda g: F.struct(
+    def windows(part: Column, begin: Column, t: Column) -> Column:
+        """The windows of a template that start in a part of the pairs."""
+        starts = F.filter(F.transform(part, lambda g, i: F.when(F.array_contains(t["g"], g), begin + i)), lambda i: i.isNotNull())
+        cut = F.transform(starts, lambda i: let(F.array_distinct(F.slice("_p", i + 1, t["words"] - 1)), lambda g: F.struct(
             unlike(g, t).alias("d"), t["licence"].alias("licence"), i.alias("at"), t["words"].alias("n"))))
         return F.filter(cut, lambda x: x["d"] <= -threshold)
 
-    def undominated(all_: Column) -> Column:
+    def in_blocks(ts: Column, reach: Column) -> Column:
+        """The windows of a text by blocks of its pairs; a block is as long as the longest template, so what overlaps starts in blocks side by side."""
+        blocks = F.sequence(F.lit(0), ((F.size("_p") - 1) / reach).cast("int"))
+        return F.transform(blocks, lambda b: let(F.slice("_p", b * reach + 1, reach), lambda part: F.flatten(F.transform(ts, lambda t: windows(part, b * reach, t)))))
+
+    def undominated(blocks: Column) -> Column:
         better = lambda x, y: (y["d"] < x["d"]) | ((y["d"] == x["d"]) & ((y["licence"] < x["licence"]) | ((y["licence"] == x["licence"]) & (y["at"] < x["at"]))))
-        return F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["at"] < x["at"] + x["n"]) & (x["at"] < y["at"] + y["n"]) & better(x, y)))
+        overlap = lambda x, y: (y["at"] < x["at"] + x["n"]) & (x["at"] < y["at"] + y["n"])
+        around = lambda b: F.flatten(F.array_compact(F.array(F.when(b > 0, F.get(blocks, b - 1)), F.get(blocks, b), F.get(blocks, b + 1))))
+        return F.flatten(F.transform(blocks, lambda own, b: F.when(F.size(own) == 0, own).otherwise(
+            let(around(b), lambda near: F.filter(own, lambda x: ~F.exists(near, lambda y: overlap(x, y) & better(x, y)))))))
 
     lines = F.split("text", "\n")
     # each generated column is computed once
@@ -186,18 +194,19 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
     follow = F.when(F.size("_w") < 2, F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i)["w"], F.get("_w", i + 1)["w"])))
     paired = told.select("doc_id", "text", "_w", F.explode(F.array(follow)).alias("_p"))
-    whole = F.when(F.size(lines) > 1, let(let(F.array_distinct("_p"), best), lambda b: F.filter(F.array(row(F.lit(-1), b)), lambda r: r["d"] <= -threshold)))
-    passages = F.concat(of_lines(lines), F.coalesce(whole, F.array().cast("array<struct<line:int,licence:string,d:double>>")))
+    whole = F.when(F.size(lines) > 1, let(let(F.array_distinct("_p"), best), lambda b: F.when(b["d"] <= -threshold, row(F.lit(-1), b))))
     present = F.array_intersect("_p", all_grams)
     enough = let(present, lambda own: F.filter(listed, lambda t: F.size(F.array_intersect(own, t["g"])) >= t["need"]))
-    found = paired.select("doc_id", "_w", "_p", F.explode(F.array(F.struct(passages.alias("plain"), enough.alias("t")))).alias("_f"))
-    wins = let(F.flatten(F.transform("_f.t", lambda t: windows(F.col("_p"), t))), undominated)
+    found = paired.select("doc_id", "_w", "_p", F.explode(F.array(F.struct(of_lines(lines).alias("lines"), whole.alias("whole"), enough.alias("t")))).alias("_f"))
+    reach = F.coalesce(F.array_max(F.transform("_f.t", lambda t: t["words"])), F.size("_p") + 1)
+    wins = let(let(reach, lambda r: in_blocks(F.col("_f.t"), r)), undominated)
     placed = F.transform(wins, lambda x: F.struct(
         F.get("_w", x["at"])["line"].cast("int").alias("line"), x["licence"].alias("licence"), x["d"].alias("d"),
         F.get("_w", F.least(x["at"] + x["n"], F.size("_w")) - 1)["line"].alias("last")))
-    new = F.filter(placed, lambda x: ~F.exists("_f.plain", lambda r: (r["licence"] == x["licence"]) & (
-        (r["line"] == -1) | ((r["line"] == x["line"]) & (x["last"] == x["line"])))))
-    rows = F.concat("_f.plain", F.transform(new, lambda x: F.struct(x["line"].alias("line"), x["licence"].alias("licence"), x["d"].alias("d"))))
+    same = lambda r, x: F.coalesce(r["licence"] == x["licence"], F.lit(False))
+    new = F.filter(placed, lambda x: ~(same(F.col("_f.whole"), x) | ((x["last"] == x["line"]) & same(F.get("_f.lines", x["line"]), x))))
+    plain = F.array_compact(F.concat("_f.lines", F.array("_f.whole")))
+    rows = F.concat(plain, F.transform(new, lambda x: F.struct(x["line"].alias("line"), x["licence"].alias("licence"), x["d"].alias("d"))))
     return found.select("doc_id", F.inline(rows)).select("doc_id", "line", "licence", (-F.col("d")).alias("dice"))
 
 
