@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources import parts as P
+
 
 def fold_traces(events: DataFrame) -> DataFrame:
     """One row for each trace of events(trace_id, member, seq, ts, type, path, query, zero_hit, content, citations).
@@ -66,6 +68,37 @@ def usage_rollup(traces: DataFrame, questions: int = 20) -> DataFrame:
         "questions": F.coalesce("questions", F.array().cast("array<string>")), "month": F.substring("day", 1, 7)})
 
 
+ROLLUP = """member long, traces long, zero_hit_traces long, zero_hit_rate double, citation_rate double, cited_not_retrieved long, avg_steps double,
+  questions array<string>, day string"""
+
+
+def filed_rollups(spark: SparkSession, path: str) -> DataFrame:
+    """The roll-ups that file_rollups keeps."""
+    return P.read_parts(spark, path, ROLLUP).withColumn("month", F.substring("day", 1, 7))
+
+
+def file_rollups(traces: DataFrame, path: str, run: str, keep: int = 12) -> list[str]:
+    """Roll up the traces and file the days by month; the months that were written.
+
+    The days of the traces, which are all traces of those days, stand for what was filed of them, and other days stay. Months
+    without a change are not written, so a repeated run leaves files and rows alike; only the newest `keep` months stay.
+    """
+    spark = traces.sparkSession
+    new = usage_rollup(traces).select("month", *(f.split()[0] for f in ROLLUP.split(","))).persist()
+    months = sorted(r[0] for r in new.select("month").distinct().collect())  # one for each month of the traces
+    filed = P.current(spark, path)["parts"]
+    stay = sorted({*filed, *months})[-keep:] if keep else []
+    old = P.read_parts(spark, path, ROLLUP, months).withColumn("month", F.substring("day", 1, 7)).select(new.columns)
+    now = old.join(new.select("day").distinct(), "day", "left_anti").select(new.columns).unionByName(new)
+    print_of = lambda df: {r[0]: r[1:] for r in df.groupBy("month").agg(F.count("*"), F.sum(F.xxhash64(*new.columns).cast("decimal(38,0)"))).collect()}
+    before, after = print_of(old), print_of(now)
+    changed = [m for m in months if m in stay and before.get(m) != after.get(m)]
+    gone = [m for m in filed if m not in stay]
+    written = P.replace_parts(now.where(F.col("month").isin(changed)), path, run, "month", [*changed, *gone]) if changed or gone else []
+    new.unpersist()
+    return written
+
+
 def last_days(traces: DataFrame, n: int) -> DataFrame:
     """The traces of the last n days that have any."""
     day = F.to_date("ts")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import state as S
 from marlstone.operators import text_jobs as J
+from marlstone.operators import usage as U
 from marlstone.plans import views as V
 from marlstone.registered.base import Registry
-from marlstone.registered.logs import events
+from marlstone.registered.logs import FOLDED_SQL, ROLLUP_SQL, events, folded_columns
 from marlstone.session import shared_dir
 from marlstone.sources import files as I
 from marlstone.streaming import streams as W
@@ -123,11 +124,28 @@ def usage_days(spark, d):
     return done.union(W.usage_days(t).crossJoin(F.broadcast(last)).where("day >= last")).drop("last")
 
 
-@query("stream_traces")
+@query("stream_traces", FOLDED_SQL, "v_trace_events")
 def traces(spark, d):
-    """Traces folded by a stateful stream; compared with a plain fold in tests."""
-    e = events(spark, d).select("trace_id", "member", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "path", "citations", "content", "query")
-    return _drain(W.stream_traces(_replay(spark, e)), shared_dir(spark), spark)
+    """Traces folded by a stateful stream whose files are shuffled in time; those that its watermark has not closed at the end by the batch fold."""
+    e = events(spark, d).select("trace_id", "member", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "path", "citations", "content", "query", "zero_hit")
+    out = shared_dir(spark)
+    e.repartition(4, F.xxhash64("seq")).write.parquet(out)
+    # the events of a trace lie within a day; a second apart from the watermark, so that its rounding never decides
+    last = e.agg((F.max("ts") - F.expr("interval 2 days 1 second")).alias("last"))
+    done = _drain(W.stream_traces(spark.readStream.schema(e.schema).parquet(out), "1 day"), shared_dir(spark), spark).crossJoin(F.broadcast(last)).where("ended_at < last")  # one row
+    open_ = e.groupBy("trace_id").agg(F.max("ts").alias("_t")).crossJoin(F.broadcast(last)).where("_t >= last").select("trace_id")
+    rest = U.fold_traces(e.join(open_, "trace_id", "left_semi")).withColumns({"n_steps": F.size("steps").cast("long"), "n_zero": F.size("zero_hit_queries").cast("long")})
+    return folded_columns(done).union(folded_columns(rest))
+
+
+@query("filed_rollups", ROLLUP_SQL, "v_trace_events")
+def filed(spark, d):
+    """Roll-ups filed by month; the traces of odd days come in a later run, and a repeated run writes nothing."""
+    t = U.fold_traces(events(spark, d)).withColumn("question", F.col("trace_id"))
+    out = shared_dir(spark)
+    for run in ("0", "1", "1-again"):
+        U.file_rollups(t.where(F.dayofmonth("ts") % 2 == int(run[0])), out, run, keep=1200)
+    return U.filed_rollups(spark, out).withColumn("questions", F.array_join("questions", "|"))
 
 
 @query("scan_sources", "select 'k=' || source as folder, sum(strlen(text) + 1)::bigint as bytes, true as supported from documents group by source")
@@ -149,13 +167,28 @@ def ingest(spark, d):
     dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
     dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
 
-    seen = []
+    W.stream_ingest(spark, out, W.merge_into(spark, sink), state, 8).awaitTermination()
+    source = F.regexp_extract("relative_path", "^k=([^/]*)/", 1)
+    each = W.sources_of(spark, sink).where("status = 'discovered'").groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
+    return each.agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("digest").alias("n_hashes"))
 
-    def merge(batch, epoch):
-        W.merge_into(spark, sink)(batch, epoch)
-        seen.append(epoch)
 
-    W.stream_ingest(spark, out, merge, state, 8).awaitTermination()
+@query("ingest_states", """with s as (select source, unicode(right(source, 1)) % 4 as u, sum(strlen(text) + 1)::bigint as bytes from documents group by source)
+select 'k=' || source as folder, case u when 0 then 'source_missing' when 1 then 'converted' when 2 then 'failed' else 'discovered' end as status, bytes,
+  case u when 1 then 'unchanged' when 2 then 'previous_failed' else 'new_source' end as reason from s""")
+def states(spark, d):
+    """Files ingested in batches with the conversions that are known, then a scan in which some sources are gone; the state and the reason of each source's files."""
+    out, state, sink, due = (shared_dir(spark) for _ in range(4))
+    docs = V.table(spark, d, "documents")
+    dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
+    dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
     source = F.regexp_extract("relative_path", "^k=([^/]*)/", 1)
-    each = spark.read.parquet(f"{sink}/{max(seen)}").where("status = 'discovered'").groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
-    return each.agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("digest").alias("n_hashes"))
+    u = F.ascii(F.right(source, F.lit(1))) % 4
+    scan = I.scan_sources(spark, out).where("relative_path like 'k=%.txt'")
+    known = scan.where(u.isin(1, 2)).select("relative_path", F.col("sha256").alias("source_sha256"), F.when(u == 1, "converted").otherwise("failed").alias("status"), F.lit(True).alias("output_exists"))
+    note = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{due}/epoch={epoch}")
+    W.stream_ingest(spark, out, W.merge_into(spark, sink, known, note), state, 8).awaitTermination()
+    W.mark_missing_into(spark, sink, scan.where(u != 0), "1")
+    why = spark.read.parquet(due).select("relative_path", "reason")
+    each = W.sources_of(spark, sink).join(why, "relative_path", "left").withColumn("reason", F.coalesce("reason", F.lit("unchanged")))
+    return each.groupBy(F.concat(F.lit("k="), source).alias("folder"), "status", "reason").agg(F.sum("size").alias("bytes"))

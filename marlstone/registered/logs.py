@@ -53,17 +53,25 @@ full_ as (
     coalesce(len(answer), 0) as answer_chars from tr left join ans using (trace_id))"""
 
 
-@query("fold_traces", f"""with {_TRACES} select trace_id, member, n_steps, n_zero, failed, n_retrieved, n_citations, n_cited_not, n_unused, answer_chars::int as answer_chars, answer_chars > 0 and n_citations = 0 as no_hit_answer,
+FOLDED_SQL = f"""with {_TRACES} select trace_id, member, n_steps, n_zero, failed, n_retrieved, n_citations, n_cited_not, n_unused, answer_chars::int as answer_chars, answer_chars > 0 and n_citations = 0 as no_hit_answer,
   (select coalesce(string_agg(path, '|' order by s), '') from ret where ret.trace_id = full_.trace_id) as retrieved, (select coalesce(string_agg(path, '|' order by path), '') from cit where cit.trace_id = full_.trace_id) as citations,
   (select coalesce(string_agg(query, '|' order by seq), '') from ev where ev.trace_id = full_.trace_id and type = 'search' and path is null) as zero_hit_queries,
-  (select coalesce(string_agg(path, '|' order by path), '') from cit where cit.trace_id = full_.trace_id and path not in (select path from ret where ret.trace_id = cit.trace_id)) as cited_not_retrieved from full_""", "v_trace_events")
+  (select coalesce(string_agg(path, '|' order by path), '') from cit where cit.trace_id = full_.trace_id and path not in (select path from ret where ret.trace_id = cit.trace_id)) as cited_not_retrieved from full_"""
+
+
+def folded_columns(folded):
+    """What the oracle of folded traces has, of traces with n_steps and n_zero."""
+    n = lambda c: F.size(c).cast("long")
+    return folded.select("trace_id", "member", "n_steps", "n_zero", "failed", n("retrieved").alias("n_retrieved"), n("citations").alias("n_citations"),
+                         n("cited_not_retrieved").alias("n_cited_not"), n("retrieved_but_unused").alias("n_unused"), "answer_chars", "no_hit_answer",
+                         F.array_join("retrieved", "|").alias("retrieved"), F.array_join(F.sort_array("citations"), "|").alias("citations"), F.array_join("zero_hit_queries", "|").alias("zero_hit_queries"),
+                         F.array_join(F.sort_array("cited_not_retrieved"), "|").alias("cited_not_retrieved"))
+
+
+@query("fold_traces", FOLDED_SQL, "v_trace_events")
 def fold(spark, d):
     """T1 (batch), F5"""
-    n = lambda c: F.size(c).cast("long")
-    return traces(spark, d).select("trace_id", "member", n("steps").alias("n_steps"), n("zero_hit_queries").alias("n_zero"), "failed", n("retrieved").alias("n_retrieved"), n("citations").alias("n_citations"),
-                                   n("cited_not_retrieved").alias("n_cited_not"), n("retrieved_but_unused").alias("n_unused"), "answer_chars", "no_hit_answer",
-                                   F.array_join("retrieved", "|").alias("retrieved"), F.array_join(F.sort_array("citations"), "|").alias("citations"), F.array_join("zero_hit_queries", "|").alias("zero_hit_queries"),
-                                   F.array_join(F.sort_array("cited_not_retrieved"), "|").alias("cited_not_retrieved"))
+    return folded_columns(traces(spark, d).withColumns({"n_steps": F.size("steps").cast("long"), "n_zero": F.size("zero_hit_queries").cast("long")}))
 
 
 _METRICS = """count(*) as traces, count(*) filter (n_zero > 0) as zero_hit_traces, round(count(*) filter (n_zero > 0) / count(*), 4) as zero_hit_rate,
@@ -82,7 +90,10 @@ def top_zero(spark, d):
     return U.top_zero_hit_queries(traces(spark, d))
 
 
-@query("usage_rollup", f"""with {_TRACES} select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, member, {_METRICS}, array_to_string((list(trace_id order by ts, trace_id))[:20], '|') as questions from full_ group by 1, 2, 3""", "v_trace_events")
+ROLLUP_SQL = f"""with {_TRACES} select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, member, {_METRICS}, array_to_string((list(trace_id order by ts, trace_id))[:20], '|') as questions from full_ group by 1, 2, 3"""
+
+
+@query("usage_rollup", ROLLUP_SQL, "v_trace_events")
 def rollup(spark, d):
     """F4, T2 (batch); the question of a trace is its id here."""
     return U.usage_rollup(traces(spark, d).withColumn("question", F.col("trace_id"))).withColumn("questions", F.array_join("questions", "|"))

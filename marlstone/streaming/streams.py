@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,57 +10,78 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators import state as S
+from marlstone.sources import parts as P
+
 TRACE = """trace_id string, member long, n_steps long, n_zero long, retrieved array<string>, zero_hit_queries array<string>, citations array<string>,
-  answer string, failed boolean, closed_by string"""
-_STATE = "member long, steps array<string>, zero long, retrieved array<string>, missed array<string>"
+  answer string, failed boolean, closed_by string, ended_millis long"""
+#: Events of a trace are held as JSON lists of these fields.
+_HELD = ("seq", "millis", "member", "type", "path", "query", "content", "citations")
+
+
+def _plain(v):
+    """A value of pandas as JSON has it."""
+    if v is None or isinstance(v, str):
+        return v
+    if hasattr(v, "tolist"):
+        return v.tolist()
+    return list(v) if isinstance(v, (list, tuple)) else None if v != v else int(v)
+
+
+def _fold_events(trace_id: str, events: list[dict], closed_by: str) -> dict:
+    """The row of a trace, whatever the order in which its events came."""
+    events = sorted(events, key=lambda e: (e["seq"], e["millis"]))
+    searches = [e for e in events if e["type"] == "search"]
+    answers = [e for e in events if e["type"] == "answer"]
+    missed = [e for e in searches if e["path"] is None]
+    return {
+        "trace_id": trace_id, "member": min((e["member"] for e in events if e["member"] is not None), default=None),
+        "n_steps": len(searches) + sum(e["type"] == "read" for e in events), "n_zero": len(missed),
+        "retrieved": list(dict.fromkeys(e["path"] for e in searches if e["path"] is not None)),
+        "zero_hit_queries": [e["query"] for e in missed if e["query"] is not None],
+        "citations": list(dict.fromkeys((answers[-1]["citations"] or []) if answers else [])), "answer": answers[-1]["content"] if answers else None,
+        "failed": any(e["type"] == "error" for e in events), "closed_by": closed_by, "ended_millis": max(e["millis"] for e in events)}
+
+
+def _ends(events: list[dict]) -> str | None:
+    """What ends a trace of which no event can be missing: numbered from 0 or 1 without a gap up to its answer or error."""
+    last = max(events, key=lambda e: e["seq"])
+    numbers = {e["seq"] for e in events}
+    whole = min(numbers) in (0, 1) and len(numbers) == last["seq"] - min(numbers) + 1
+    return last["type"] if whole and last["type"] in ("answer", "error") else None
 
 
 def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
     """One row for each finished trace of a stream of events(trace_id, member, seq, ts, type, path, citations, content and, if
     there is one, query), with the signals of the batch fold: queries without hits, what was cited and not retrieved, or
-    retrieved and not used, the answer's length, and whether an answer cites nothing.
+    retrieved and not used, the answer's length, and whether an answer cites nothing. Notices are ignored.
 
-    A trace ends with its answer or an error; one that stays silent is closed when the watermark has passed its last
-    event by `idle`.
+    Events may come in any order within `idle`: a trace is held and folded in order of seq, at once when it is numbered
+    without gaps up to its answer or error, else when the watermark, `idle` behind the latest event, has passed its last
+    event by `idle`. Events that come after that make a row of their own. What is held grows with the traces that are open.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def row(s, answer, cited, failed, by):
-            return pd.DataFrame([{
-                "trace_id": key[0], "member": s[0], "n_steps": len(s[1]), "n_zero": s[2], "retrieved": s[3], "zero_hit_queries": s[4],
-                "citations": list(dict.fromkeys(cited)), "answer": answer, "failed": failed, "closed_by": by}])
-
-        if state.hasTimedOut:
-            yield row(state.get, None, [], False, "timeout")
-            state.remove()
-            return
-        s = state.get if state.exists else (None, [], 0, [], [])
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        latest = pdf["ts"].max()
-        for e in pdf.itertuples():
-            member = int(e.member) if s[0] is None else s[0]
-            if e.type in ("search", "read"):
-                missed = e.type == "search" and e.path is None
-                paths = list(s[3]) + ([e.path] if e.type == "search" and e.path is not None and e.path not in s[3] else [])
-                s = (member, [*s[1], e.type], s[2] + int(missed), paths, [*s[4], *([e.query] if missed and e.query is not None else [])])
-            elif e.type in ("answer", "error"):
-                yield row((member, *s[1:]), e.content if e.type == "answer" else None, list(e.citations) if e.citations is not None else [], e.type == "error", e.type)
-                s = (None, [], 0, [], [])
-            else:
-                s = (member, *s[1:])
-        if s[0] is None:
+        held = [dict(zip(_HELD, json.loads(e))) for e in state.get[0]] if state.exists else []
+        if not state.hasTimedOut:
+            held += [{k: _plain(getattr(e, k)) for k in _HELD} for pdf in batches for e in pdf.itertuples()]
+        end = "timeout" if state.hasTimedOut else _ends(held)
+        if end:
             if state.exists:
                 state.remove()
+            yield pd.DataFrame([_fold_events(key[0], held, end)])
         else:
-            state.update(s)
-            state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000))
+            state.update(([json.dumps([e[k] for k in _HELD]) for e in held],))
+            state.setTimeoutTimestamp(max(e["millis"] for e in held) + int(pd.Timedelta(idle).total_seconds() * 1000))
 
     asked = events if "query" in events.columns else events.withColumn("query", F.lit(None).cast("string"))
-    folded = asked.withWatermark("ts", idle).groupBy("trace_id").applyInPandasWithState(fold, TRACE, _STATE, "append", "EventTimeTimeout")
+    told = asked.where("type <> 'notice'").withWatermark("ts", idle).select("trace_id", "ts", F.unix_millis("ts").alias("millis"), *[c for c in _HELD if c != "millis"])
+    folded = told.groupBy("trace_id").applyInPandasWithState(fold, TRACE, "events array<string>", "append", "EventTimeTimeout")
     said = F.coalesce("answer", F.lit(""))
     return folded.withColumns({
         "cited_not_retrieved": F.array_except("citations", "retrieved"), "retrieved_but_unused": F.slice(F.array_except("retrieved", "citations"), 1, 10),
-        "answer_chars": F.length(said), "no_hit_answer": (said != "") & (F.size("citations") == 0)})
+        "answer_chars": F.length(said), "no_hit_answer": (said != "") & (F.size("citations") == 0),
+        "ended_at": F.timestamp_millis("ended_millis")}).drop("ended_millis")
 
 
 def usage_days(traces: DataFrame) -> DataFrame:
@@ -90,24 +112,77 @@ def stream_ingest(spark: SparkSession, folder: str, on_batch: Callable[[DataFram
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(on_batch).start()
 
 
-def merge_into(spark: SparkSession, state: str, conversions: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """A function for stream_ingest that merges each batch into the table of sources below `state`, one generation a batch,
-    statuses of known conversions included. A batch that is repeated after a crash writes its generation anew."""
-    from marlstone.operators import state as S
+SOURCES = "relative_path string, size long, sha256 string, status string"
+#: Sources in a bucket at most, on average; the number of buckets doubles when there are more.
+BUCKET_ROWS = 1_000_000
+
+
+def sources_of(spark: SparkSession, state: str) -> DataFrame:
+    """The table of sources that merge_into and mark_missing_into keep below `state`."""
+    return P.read_parts(spark, state, SOURCES)
 
-    schema = "relative_path string, size long, sha256 string, status string"
+
+def _rewrite(spark: SparkSession, state: str, run: str, paths: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Rewrite the buckets that hold the paths, with what `change` makes of their rows; the buckets written.
+
+    Twice as many buckets, when the rows outgrow them, touch all once; that is as often as the table has doubled.
+    """
+    at = P.current(spark, state)
+    if at["run"] == run:
+        return []  # a batch that is repeated after it was committed
+    n, rows = at.get("buckets", 1), at.get("rows", 0)
+    grown = n
+    while rows + paths.count() > grown * BUCKET_ROWS:
+        grown *= 2
+    bucket = lambda k: F.pmod(F.xxhash64("relative_path"), F.lit(k)).cast("int")
+    hit = {str(r[0]) for r in paths.select(bucket(n)).distinct().collect()}  # as many as buckets, at most
+    if not hit:
+        return []
+    touched = sorted(hit) if grown == n else sorted(at["parts"])
+    before = P.read_parts(spark, state, SOURCES, touched)
+    now = change(before).withColumn("bucket", bucket(grown))
+    return P.replace_parts(now, state, run, "bucket", touched, buckets=grown, rows=rows + now.count() - before.count())
+
+
+def merge_into(spark: SparkSession, state: str, conversions: DataFrame | Callable[[], DataFrame] | None = None, on_due: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A function for stream_ingest that merges each batch into the table of sources below `state`.
+
+    on_due gets (relative_path, sha256, reason) of the batch's sources that are to be converted: those that are new or changed,
+    whose last conversion failed, or whose output is missing, by conversions(relative_path, source_sha256, status, output_exists). It may
+    convert, gate and index them; `conversions` as a function is asked again afterwards, and statuses are taken from it.
+
+    The table lies in buckets by path; a batch rewrites the buckets that it touches. One that breaks off leaves the table before,
+    and is repeated by the checkpoint; on_due may then see its sources again.
+    """
+    known = conversions if callable(conversions) else lambda: conversions
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{state}/{epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        now = S.upsert_sources(before, batch.dropDuplicates(["relative_path"]))
-        if conversions is not None:
-            known = S.backfill_status(now, conversions).select("relative_path", F.col("status").alias("_s"))
-            now = now.join(known, "relative_path").withColumn("status", F.col("_s")).drop("_s")
-        now.write.mode("overwrite").parquet(f"{state}/{epoch}")
+        new = batch.dropDuplicates(["relative_path"]).persist()
+        if on_due is not None and P.current(spark, state)["run"] != f"batch-{epoch}":
+            c = known()
+            c = spark.createDataFrame([], "relative_path string, source_sha256 string, status string, output_exists boolean") if c is None else c
+            on_due(S.conversion_reason(new, c).where("reason not in ('unsupported', 'unchanged')"), epoch)
+
+        def change(before: DataFrame) -> DataFrame:
+            now = S.upsert_sources(before, new)
+            if known() is None:
+                return now
+            status = S.backfill_status(now, known()).select("relative_path", F.col("status").alias("_s"))
+            return now.join(status, "relative_path").withColumn("status", F.col("_s")).drop("_s")
+
+        _rewrite(spark, state, f"batch-{epoch}", new.select("relative_path"), change)
+        new.unpersist()
 
     return merge
 
 
+def mark_missing_into(spark: SparkSession, state: str, scan: DataFrame, run: str) -> list[str]:
+    """Mark the sources below `state` that a whole scan does not have; buckets without such a source stay as they are."""
+    here = scan.select("relative_path").distinct()
+    gone = sources_of(spark, state).where("status <> 'source_missing'").join(here, "relative_path", "left_anti").select("relative_path")
+    return _rewrite(spark, state, f"missing-{run}", gone, lambda before: S.mark_missing(before, here))
+
+
 def stream_sessions(messages: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """session_id, opened, closed and n of bursts of messages(session_id, message_id, ts) that no longer gap parts; repeated messages count once."""
     once = messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "message_id"])
