@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,13 +60,30 @@ def index_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold_accents(F.lower(F.coalesce(col(text), F.lit("")))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
-# Lower-case Latin letters with accents and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _foldings() -> tuple[str, str]:
+    """Characters and what they fold to, by Unicode's decompositions: a Latin letter with one mark is its base letter, a letter with a form
+    of its own (final sigma, long s) is its plain form; the marks that such Latin letters have, standing alone, are dropped."""
+    letters, plain, marks = [], [], set()
+    for c in map(chr, range(0x80, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        base = parts[0].casefold()
+        if len(parts) == 2 and base.isascii() and base.isalpha():
+            marks.add(parts[1])
+            if c.islower():
+                letters.append(c)
+                plain.append(base)
+        elif c.islower() and len(c.casefold()) == 1 and c.casefold() != c and c.casefold() < "\u1000":
+            letters.append(c)
+            plain.append(c.casefold())
+    return "".join(letters + sorted(marks)), "".join(plain)
+
+
+FOLDED_FROM, FOLDED_TO = _foldings()
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, FOLDED)
+    """Lower-case text without the accents of Latin letters, composed or not; letters with two marks stay."""
+    return F.translate(text, FOLDED_FROM, FOLDED_TO)
 
 
 def lines(text: Column | str) -> Column:
