@@ -42,8 +42,20 @@ def tree_top_segment(nodes: DataFrame, root: str) -> DataFrame:
     return jumps.where("done").join(tops, "at").join(nodes.select("token", "title"), "token").select("token", "title", "top")
 
 
-def export_report(diff: DataFrame, failed: DataFrame, skipped: DataFrame) -> DataFrame:
-    """action and n: changes, failures and skipped types."""
+def export_report(diff: DataFrame, failed: DataFrame, skipped: DataFrame, nodes: DataFrame | None = None, trace: DataFrame | None = None, kind: str = "docx") -> DataFrame:
+    """action and n: changes, failures and skipped nodes.
+
+    nodes(type, images) add what was scanned, how many are documents (of the kind that is exported), the images of those, and the others by
+    type; trace(action) adds what was done, by action.
+    """
     rows = diff.groupBy(F.col("change").alias("action")).agg(F.count("*").alias("n"))
-    return rows.union(failed.agg(F.count("*").alias("n")).select(F.lit("failed").alias("action"), "n")).union(
+    rows = rows.union(failed.agg(F.count("*").alias("n")).select(F.lit("failed").alias("action"), "n")).union(
         skipped.agg(F.count("*").alias("n")).select(F.lit("skipped").alias("action"), "n"))
+    if nodes is not None:
+        mine = F.coalesce(F.col("type") == kind, F.lit(False))
+        totals = nodes.agg(F.count("*").alias("scanned"), F.count_if(mine).alias("docs"), F.coalesce(F.sum(F.when(mine, F.col("images"))), F.lit(0)).alias("images"))
+        rows = rows.union(totals.unpivot([], ["scanned", "docs", "images"], "action", "n")).union(
+            nodes.where(~mine).groupBy(F.concat(F.lit("skipped "), F.coalesce("type", F.lit(""))).alias("action")).agg(F.count("*").alias("n")))
+    if trace is not None:
+        rows = rows.union(trace.groupBy(F.concat(F.lit("did "), "action").alias("action")).agg(F.count("*").alias("n")))
+    return rows

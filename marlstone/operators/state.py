@@ -43,13 +43,18 @@ def exclude_sources(scan: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def upsert_sources(state: DataFrame, scan: DataFrame) -> DataFrame:
-    """state(relative_path, size, sha256, status) merged with scan(relative_path, size, sha256): new sources are discovered, a status stays while the hash does."""
-    s, n = state.alias("s"), scan.select("relative_path", "size", "sha256").alias("n")
+    """state(relative_path, size, sha256, status) merged with scan(relative_path, size, sha256): new sources are discovered, a status stays while the hash does.
+
+    mtime is refreshed alike where either has it.
+    """
+    s, n = state.alias("s"), scan.alias("n")
+    times = [f"{side}.mtime" for side, df in (("n", scan), ("s", state)) if "mtime" in df.columns]
     same = F.col("s.sha256") == F.col("n.sha256")
     return s.join(n, F.col("s.relative_path") == F.col("n.relative_path"), "full").select(
         F.coalesce("n.relative_path", "s.relative_path").alias("relative_path"), F.coalesce("n.size", "s.size").alias("size"),
         F.coalesce("n.sha256", "s.sha256").alias("sha256"),
-        F.when(F.col("n.relative_path").isNull() | same, F.col("s.status")).otherwise("discovered").alias("status"))
+        F.when(F.col("n.relative_path").isNull() | same, F.col("s.status")).otherwise("discovered").alias("status"),
+        *([F.coalesce(*times).alias("mtime")] if times else []))
 
 
 def conversion_reason(scan: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -140,8 +145,12 @@ def new_feedback(findings: DataFrame, feedback: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["source_sha256", "category"]).join(open_, ["source_sha256", "category"], "left_anti")
 
 
-def run_summary(reasons: DataFrame, statuses: DataFrame) -> DataFrame:
-    """One row: how a run went, with the counts by reason as a map."""
+def run_summary(reasons: DataFrame, statuses: DataFrame, planned: DataFrame | None = None, indexed: DataFrame | None = None) -> DataFrame:
+    """One row: how a run went, with the counts by reason as a map.
+
+    batches are those of planned(batch), indexed the documents that stand in the index after the actions of indexed(action); each is
+    left out without its frame.
+    """
     r = reasons.groupBy("reason").agg(F.count("*").alias("n"))
     of = lambda *names: F.coalesce(F.sum(F.when(F.col("reason").isin(*names), F.col("n"))), F.lit(0)).cast("long")
     left = r.agg(
@@ -153,6 +162,10 @@ def run_summary(reasons: DataFrame, statuses: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin(*SUCCESS)).alias("converted"), F.count_if(F.col("status") == "quality_warned").alias("warned"),
         F.count_if(F.col("status").isin("quality_failed", "failed_retryable", "blocked_secret")).alias("failed"),
         F.count_if(F.col("status") == "source_missing").alias("missing"))
+    if planned is not None:
+        right = right.crossJoin(planned.agg(F.countDistinct("batch").alias("batches")))
+    if indexed is not None:
+        right = right.crossJoin(indexed.agg(F.count_if(F.col("action") != "delete").alias("indexed")))
     return left.crossJoin(right)  # one row each
 
 
@@ -212,12 +225,13 @@ def source_registry(conversions: DataFrame, sources: DataFrame, root: str = "mem
 
 
 def knowledge_registry(docs: DataFrame, registry: DataFrame, images: DataFrame) -> DataFrame:
-    """path, title, bytes, images (files in the sibling images folder) and the source's hash or nothing."""
+    """path, title, bytes, images (files in the sibling images folder), the source's hash or nothing, and, where the registry has it, converted_at or nothing."""
     folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
     n = images.groupBy(F.regexp_replace("path", r"/images/[^/]*$", "").alias("_dir")).agg(F.count("*").alias("images"))
-    src = registry.select("path", "source_sha256")
+    said = [c for c in ("source_sha256", "converted_at") if c in registry.columns]
+    src = registry.select("path", *said)
     return docs.withColumn("_dir", folder(F.col("path"))).join(n, "_dir", "left").join(src, "path", "left").select(
-        "path", "title", F.octet_length("content").cast("long").alias("bytes"), F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("source_sha256", F.lit("")).alias("source_sha256"))
+        "path", "title", F.octet_length("content").cast("long").alias("bytes"), F.coalesce("images", F.lit(0)).alias("images"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in said])
 
 
 def stratified_sample(conversions: DataFrame, per_type: int = 6) -> DataFrame:

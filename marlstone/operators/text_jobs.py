@@ -116,6 +116,23 @@ def table_to_markdown_parts(rows: DataFrame, part_rows: int = 5000) -> DataFrame
         F.concat(F.array(line(F.col("_h")), dashes), F.col("_rows.l")), "\n").alias("content"))
 
 
+def table_index(parts: DataFrame, book: Column | str, folder: str = "sheets") -> DataFrame:
+    """book, n_sheets, n_rows, n_files and content of the index page over the parts of table_to_markdown_parts, which say their book: a line for each
+    sheet, in order of their names, with the file of its first part."""
+    sheets = parts.groupBy(T.col(book).alias("book"), "sheet").agg(F.min_by("name", "part").alias("_first"), F.sum("n_rows").alias("_rows"), F.count("*").alias("_files"))
+    line = F.concat(F.lit("- ["), "sheet", F.lit(f"]({folder}/"), "_first", F.lit("): "), F.col("_rows").cast("string"), F.lit(" rows, "), F.col("_files").cast("string"), F.lit(" files"))
+    pages = sheets.groupBy("book").agg(
+        F.count("*").alias("n_sheets"), F.sum("_rows").alias("n_rows"), F.sum("_files").alias("n_files"), F.sort_array(F.collect_list(F.struct("sheet", line.alias("l")))).alias("_lines"))
+    page = F.concat(F.lit("# "), "book", F.lit("\n\n## Sheets\n\n"), F.array_join("_lines.l", "\n"), F.lit("\n"))
+    return pages.select("book", "n_sheets", "n_rows", "n_files", page.alias("content"))
+
+
+def provenance(**said: Column | str) -> Column:
+    """A Markdown comment that says where a text comes from, in front of it; no value ends the comment."""
+    shown = [F.concat(F.lit(f"{name}="), F.replace(F.coalesce(T.col(value).cast("string"), F.lit("")), F.lit("-->"), F.lit("-- >"))) for name, value in said.items()]
+    return F.concat(F.lit("<!-- "), F.concat_ws(" | ", *shown), F.lit(" -->\n\n"))
+
+
 def explode_lines(docs: DataFrame, text: str = "content") -> DataFrame:
     """docs' path with line (from 1) and body."""
     return docs.select("path", F.posexplode(T.lines(text)).alias("_i", "body")).select("path", (F.col("_i") + 1).alias("line"), "body")
@@ -164,13 +181,15 @@ def classify_images(refs: DataFrame) -> DataFrame:
     return refs.withColumn("kind", kind).withColumn("asset", F.when(F.col("kind") == "asset", asset))
 
 
-def rewrite_assets(docs: DataFrame, assets: DataFrame) -> DataFrame:
-    """docs(path, content) with links to …/file/<token> replaced by the local names of assets(token, name), and how many were."""
+def rewrite_assets(docs: DataFrame, assets: DataFrame, header: Column | None = None) -> DataFrame:
+    """docs(path, content) with links to …/file/<token> replaced by the local names of assets(token, name), and how many were; a header over
+    columns of docs, such as provenance(…), is put in front."""
     found = docs.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\(([^)\s]*/file/[0-9A-Za-z]+)\)"), F.lit(1)))).alias("url"))
     known = found.withColumn("token", F.regexp_extract("url", "/file/([0-9A-Za-z]+)$", 1)).join(assets, "token").groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("url", "name"))).alias("_a"))
     done = F.aggregate("_a", F.col("content"), lambda t, x: F.replace(t, F.concat(F.lit("("), x["url"], F.lit(")")), F.concat(F.lit("("), x["name"], F.lit(")"))))
-    return docs.join(known, "path", "left").select("path", F.coalesce(done, "content").alias("content"), F.coalesce(F.size("_a"), F.lit(0)).alias("images"))
+    text = F.coalesce(done, "content")
+    return docs.join(known, "path", "left").select("path", (text if header is None else F.concat(header, text)).alias("content"), F.coalesce(F.size("_a"), F.lit(0)).alias("images"))
 
 
 def validate_contract(rows: DataFrame, required: list[str], hashes: list[str] = (), key: str = "path") -> DataFrame:

@@ -115,6 +115,19 @@ def sessions(spark, d):
     return s.select("session_id", F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("closed").cast("timestamp_ntz").alias("closed"), "n")
 
 
+@query("stream_session_heads", r"""select session_id, timestamp '2024-01-01 00:00:00' + to_seconds(max(message_id)) as updated_at,
+  coalesce(nullif(substring(trim(regexp_replace(coalesce(min_by(content, message_id) filter (kind = 'user'), ''), '[ \t\n\r\x0B\f]+', ' ', 'g'), ' '), 1, 20), ''), 'New session') as title
+from v_messages group by session_id""", "v_messages")
+def heads(spark, d):
+    """T4: title and last update of each session, merged into a table in buckets as its messages arrive in shuffled files."""
+    out, state = shared_dir(spark), shared_dir(spark)
+    m = V.messages(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("message_id")))
+    m.repartition(4, F.xxhash64("message_id")).write.parquet(out)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(out)
+    stream.writeStream.foreachBatch(W.sessions_into(spark, state)).option("checkpointLocation", f"{state}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return W.sessions_of(spark, state).select("session_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "title")
+
+
 @query("stream_usage_days", """select cast(ts as date) as day, member, count(*) as traces, count(*) filter (zero_hit) as zero_hit_traces, count(*) filter (seq % 3 = 0) as cited from v_trace_events group by 1, 2""", "v_trace_events")
 def usage_days(spark, d):
     """Daily counters kept by a stream; days that its watermark has not closed at the end are counted in a batch."""

@@ -147,10 +147,11 @@ def candidates(spark, d):
 @query("run_health", f"""with r as ({_ERRORS}), t as (select * from r order by seq desc limit 20)
 select count(*) as window, count(*) filter (result = 'ok') as ok, count(*) filter (result = 'locked') as locked, count(*) filter (result not in ('ok', 'locked')) as failed,
   max_by(result, seq) as last_result, coalesce((select error from t order by seq desc limit 1), '') as last_error,
-  count(*) filter (seq > coalesce((select max(seq) from t where result = 'ok'), -1)) as streak, (count(*) filter (seq > coalesce((select max(seq) from t where result = 'ok'), -1)) >= 3)::int as blocking from t""", "v_runs")
+  count(*) filter (seq > coalesce((select max(seq) from t where result = 'ok'), -1)) as streak, (count(*) filter (seq > coalesce((select max(seq) from t where result = 'ok'), -1)) >= 3)::int as blocking,
+  (select least(count(*), 20) from v_runs where result = 'locked' and member % 3 = 0) as lock_recoveries from t""", "v_runs")
 def health(spark, d):
-    """F10, H4, H5"""
-    return G.run_health(runs(spark, d), 20)
+    """Locks of every third member are taken over."""
+    return G.run_health(runs(spark, d), 20, runs(spark, d).where("result = 'locked' and member % 3 = 0"))
 
 
 @query("trailing_streak", "select member, count(*) filter (seq > coalesce(o, -1)) as streak from (select *, max(case when result = 'ok' then seq end) over (partition by member) as o from v_runs) group by member", "v_runs")
@@ -252,6 +253,18 @@ def report(spark, d):
     return G.inspection_report(inspected(spark, d))
 
 
+@query("inspection_blocking", f"""with {_INSPECT}, k as (select split_part(unnest(issues), ':', 1) as name from chk),
+t as (select * from (select member, seq, result, row_number() over (partition by member order by seq desc) as back from v_runs) where back <= 20),
+h as (select member, count(*) filter (seq > coalesce(ok, -1)) >= 3 as blocking from (select *, max(case when result = 'ok' then seq end) over (partition by member) as ok from t) group by member)
+select member, 'blocking' as name, (select count(*) from k where name in ('output_missing', 'empty_file', 'invalid_utf8', 'replacement_chars', 'nul_bytes', 'broken_images')) + blocking::int as n
+from h where member = (select min(member) from v_runs)""", "v_documents", "v_runs")
+def blocking(spark, d):
+    """what blocks, run health included; the runs are those of the first member in the log."""
+    first = V.runs(spark, d).agg(F.min("member").alias("member"))
+    mine = runs(spark, d).join(first, "member")
+    return G.inspection_report(inspected(spark, d), G.run_health(mine)).where("name = 'blocking'").crossJoin(first).select("member", "name", "n")  # a row each
+
+
 @query("conversion_timing", "select 'c' || (member % 5) as converter, '.pdf' as suffix, result as status, count(*) as n, avg(seconds) as avg_seconds, quantile_disc(seconds, 0.5) as p50_seconds from v_runs group by 1, 3", "v_runs")
 def timing(spark, d):
     """F11"""
@@ -293,8 +306,9 @@ def retrieval_keywords(spark, d):
 
 
 @query("citation_metrics", r"""with a as (select conv_id as query_id, text as answer, 'members/src' || (conv_id % 20) || '/d' || conv_id || '/d' || conv_id || '.md' as path from conversations where role = 'assistant'),
-j as (select distinct query_id, answer, path from a), k as (select j.*, v.content from j left join v_documents v using (path))
-select count(*) as citations, count(content) as existing, count(*) filter (query_id % 2 = 0) as retrieved,
+j as (select distinct query_id, answer, path from a), q as (select distinct query_id, answer from a), k as (select j.*, v.content from j left join v_documents v using (path))
+select (select count(*) from q) as answers, (select count(*) from q where regexp_matches(answer, '\S')) as answered, (select count(*) from q) as with_citation, (select count(*) from q where query_id % 3 = 0) as expected_in_citations,
+  count(*) as citations, count(content) as existing, count(*) filter (query_id % 2 = 0) as retrieved,
   count(*) filter (content is not null and list_has_any(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?'), regexp_extract_all(content, '[0-9]+(?:\.[0-9]+)?'))) as supported from (select distinct query_id, path, content, list_distinct(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?')) as t, answer from k)""", "v_documents")
 def citations(spark, d):
     """F9, S4"""
@@ -303,7 +317,8 @@ def citations(spark, d):
     a = V.table(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("answer"), F.array(path).alias("citations"))
     got = a.where("query_id % 2 = 0").select("query_id", F.explode("citations").alias("path"))
     one = a.groupBy("query_id", "answer").agg(F.first("citations").alias("citations"))
-    return G.citation_metrics(one, V.documents(spark, d), got)
+    wanted = a.where("query_id % 3 = 0").select("query_id", F.explode("citations").alias("path")).distinct()
+    return G.citation_metrics(one, V.documents(spark, d), got, wanted)
 
 
 _TITLES = r"""select session_id, title from (select session_id, max(message_id) as updated, count(*) as n_messages, coalesce(nullif(substring(trim(regexp_replace(coalesce(min_by(content, message_id) filter (kind = 'user'), ''), '[ \t\n\r\x0B\f]+', ' ', 'g'), ' '), 1, 20), ''), 'New session') as title
@@ -400,3 +415,17 @@ def export(spark, d):
     t = V.table(spark, d, "documents")
     n = F.col("doc_id") % 4
     return X.export_report(t.select(F.when(n == 0, "new").when(n == 1, "updated").otherwise("unchanged").alias("change")), t.where("doc_id % 9 = 0"), t.where("doc_id % 11 = 0"))
+
+
+@query("export_totals", """with n as (select doc_id, case when doc_id % 11 = 0 then 'sheet' when doc_id % 13 = 0 then 'bitable' else 'docx' end as type, doc_id % 3 as images from documents)
+select 'new' as action, count(*) as n from n where type = 'docx' union all select 'failed', count(*) from n where doc_id % 9 = 0 union all select 'skipped', count(*) from n where type <> 'docx'
+union all select 'scanned', count(*) from n union all select 'docs', count(*) from n where type = 'docx' union all select 'images', coalesce(sum(images), 0)::bigint from n where type = 'docx'
+union all select 'skipped ' || type, count(*) from n where type <> 'docx' group by type
+union all select case when doc_id % 9 = 0 then 'did write-failed' else 'did written' end, count(*) from n where type = 'docx' group by 1""")
+def totals(spark, d):
+    """what an export scanned, left out by type, and did."""
+    kind = F.when(F.col("doc_id") % 11 == 0, "sheet").when(F.col("doc_id") % 13 == 0, "bitable").otherwise("docx")
+    nodes = V.table(spark, d, "documents").select("doc_id", kind.alias("type"), (F.col("doc_id") % 3).alias("images"))
+    mine = nodes.where("type = 'docx'")
+    did = mine.select(F.when(F.col("doc_id") % 9 == 0, "write-failed").otherwise("written").alias("action"))
+    return X.export_report(mine.select(F.lit("new").alias("change")), nodes.where("doc_id % 9 = 0"), nodes.where("type <> 'docx'"), nodes, did)

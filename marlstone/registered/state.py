@@ -48,11 +48,13 @@ def exclude(spark, d):
 
 
 @query("upsert_sources", f"""with {_STATE} select coalesce(n.relative_path, s.relative_path) as relative_path, coalesce(n.size, s.size) as size, coalesce(n.sha256, s.sha256) as sha256,
-  case when n.relative_path is null or s.sha256 = n.sha256 then s.status else 'discovered' end as status
+  case when n.relative_path is null or s.sha256 = n.sha256 then s.status else 'discovered' end as status,
+  coalesce(timestamp '2024-02-01 00:00:00' + to_minutes(n.doc_id), timestamp '2024-01-01 00:00:00' + to_minutes(s.doc_id)) as mtime
 from state s full join v_scan_2 n on s.relative_path = n.relative_path""", "v_scan_1", "v_scan_2")
 def upsert(spark, d):
     """C1"""
-    return S.upsert_sources(state(spark, d), V.scan_2(spark, d))
+    changed = lambda df, month: df.withColumn("mtime", F.expr(f"timestamp_ntz'2024-{month}-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))"))
+    return S.upsert_sources(changed(state(spark, d), "01"), changed(V.scan_2(spark, d), "02"))
 
 
 @query("conversion_reason", f"""select s.relative_path, s.sha256, case when {_SUF.replace('relative_path', 's.relative_path')} not in {_SUPPORTED} then 'unsupported'
@@ -133,7 +135,8 @@ def sources(spark, d):
 
 
 @query("knowledge_registry", """with img as (select regexp_replace(path, '/[^/]*$', '') as dir, count(*) as images from v_documents, range(3) where doc_id % 4 > range group by dir)
-select v.path, title, strlen(content) as bytes, coalesce(images, 0) as images, case when doc_id % 2 = 0 then sha256(content) else '' end as source_sha256
+select v.path, title, strlen(content) as bytes, coalesce(images, 0) as images, case when doc_id % 2 = 0 then sha256(content) else '' end as source_sha256,
+  case when doc_id % 2 = 0 then strftime(timestamp '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') else '' end as converted_at
 from v_documents v left join img on regexp_replace(v.path, '/[^/]*$', '') = img.dir""", "v_documents")
 def knowledge(spark, d):
     """C10"""
@@ -141,7 +144,7 @@ def knowledge(spark, d):
     n = F.least(F.lit(3), F.col("doc_id") % 4).cast("int")
     images = docs.where(n > 0).select(F.explode(F.sequence(F.lit(1), n)).alias("i"), "path").select(
         F.concat(F.regexp_replace("path", "/[^/]*$", "/images/"), F.col("i").cast("string"), F.lit(".png")).alias("path"))
-    registry = docs.where("doc_id % 2 = 0").select("path", F.sha2("content", 256).alias("source_sha256"))
+    registry = docs.where("doc_id % 2 = 0").select("path", F.sha2("content", 256).alias("source_sha256"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))").alias("converted_at"))
     return S.knowledge_registry(docs, registry, images)
 
 
@@ -183,10 +186,14 @@ select count(*) as scanned, count(*) filter (reason in ('new_source', 'source_ch
   count(*) filter (reason in ('unchanged', 'unsupported', 'excluded')) as skipped,
   (select count(*) from v_conversions where status in ('converted', 'quality_warned')) as converted, (select count(*) from v_conversions where status = 'quality_warned') as warned,
   (select count(*) from v_conversions where status in ('quality_failed', 'failed_retryable', 'blocked_secret')) as failed, 0::bigint as missing,
+  ceil(count(*) filter (reason in ('new_source', 'source_changed', 'previous_failed', 'output_missing')) / 50.0)::bigint as batches, (select count(*) from documents where doc_id % 10 <> 1) as indexed,
   (select string_agg(reason || '=' || n, ',' order by reason) from (select reason, count(*) as n from r group by reason)) as reasons from r""", "v_scan_2", "v_conversions")
 def summary(spark, d):
     """F2"""
-    one = S.run_summary(S.conversion_reason(V.scan_2(spark, d), V.conversions(spark, d)), V.conversions(spark, d))
+    reasons = S.conversion_reason(V.scan_2(spark, d), V.conversions(spark, d))
+    planned = S.plan_batches(reasons.where("reason in ('new_source', 'source_changed', 'previous_failed', 'output_missing')"), 50)
+    docs = V.documents(spark, d).select("path", "doc_id", F.sha2("content", 256).alias("content_sha256"))
+    one = S.run_summary(reasons, V.conversions(spark, d), planned, S.refresh_index(docs.where("doc_id % 10 <> 1"), docs.where("doc_id % 10 <> 2")))
     pairs = F.array_join(F.transform(F.map_entries("reason_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return one.withColumn("reasons", pairs).drop("reason_counts")
 

@@ -123,6 +123,15 @@ def parts(spark, d):
     return J.table_to_markdown_parts(head.union(body), 3)
 
 
+@query("table_index", """with s as (select o_custkey, count(*) as n from orders group by 1)
+select 'b' || (o_custkey // 100) as book, count(*) as n_sheets, sum(n)::bigint as n_rows, sum((n + 2) // 3)::bigint as n_files, '# b' || (o_custkey // 100) || chr(10) || chr(10) || '## Sheets' || chr(10) || chr(10) ||
+  string_agg('- [r' || o_custkey || '](sheets/r' || o_custkey || '.md): ' || n || ' rows, ' || ((n + 2) // 3) || ' files', chr(10) order by 'r' || o_custkey) || chr(10) as content from s group by o_custkey // 100""")
+def index_pages(spark, d):
+    """The index page of a book, which holds the sheets of a hundred customers."""
+    number = F.floor(F.substring("sheet", 2, 20).cast("long") / 100).cast("string")
+    return J.table_index(parts(spark, d), F.concat(F.lit("b"), number))
+
+
 _FLAT = "translate(text, chr(13) || chr(10), '  ')"
 _STRIP = "trim(({0}), ' ' || chr(9) || chr(10) || chr(13))"
 
@@ -202,6 +211,16 @@ def rewrite(spark, d):
     return J.rewrite_assets(linked, assets).select("path", F.sha2("content", 256).alias("sha"), "images")
 
 
+@query("asset_provenance", """select path, sha256('<!-- source=wiki | title=' || replace(coalesce(title, ''), '-->', '-- >') || ' | node=n' || doc_id || ' -->' || chr(10) || chr(10) || content || ' (' || case when doc_id % 2 = 0 then 'img' || doc_id || '.png' else 'https://h/file/t' || doc_id end || ')') as sha from v_documents""", "v_documents")
+def provenance(spark, d):
+    """Documents with rewritten links below a header that says where they come from."""
+    s = F.col("doc_id").cast("string")
+    docs = V.documents(spark, d)
+    assets = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("t"), s).alias("token"), F.concat(F.lit("img"), s, F.lit(".png")).alias("name"))
+    linked = docs.withColumn("content", F.concat("content", F.lit(" (https://h/file/t"), s, F.lit(")")))
+    return J.rewrite_assets(linked, assets, J.provenance(source=F.lit("wiki"), title="title", node=F.concat(F.lit("n"), s))).select("path", F.sha2("content", 256).alias("sha"))
+
+
 @query("validate_contract", """select path, 'title' as column, 'missing' as problem from v_documents where coalesce(title, '') = '' union all select path, 'sha', 'not a sha256' from v_documents where doc_id % 4 = 0""", "v_documents")
 def contract(spark, d):
     """A8"""

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import state as S
 from marlstone.sources import parts as P
 
@@ -99,7 +100,7 @@ def stream_usage(traces: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str, max_files: int = 1000):
-    """Hand new files (relative_path below folder, size, sha256) to on_batch, max_files at a time, until none is left; the
+    """Hand new files (relative_path below folder, size, sha256, mtime) to on_batch, max_files at a time, until none is left; the
     checkpoint resumes after a crash.
 
     The file source knows paths: files edited in place and deleted ones are found by comparing scans.
@@ -108,11 +109,11 @@ def stream_ingest(spark: SparkSession, folder: str, on_batch: Callable[[DataFram
         "recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(folder)
     below = F.regexp_replace("path", "^[a-z]+:/*", "/")
     root = re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + "/"
-    rows = files.select(F.replace(below, F.lit(root), F.lit("")).alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select(F.replace(below, F.lit(root), F.lit("")).alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"))
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(on_batch).start()
 
 
-SOURCES = "relative_path string, size long, sha256 string, status string"
+SOURCES = "relative_path string, size long, sha256 string, status string, mtime timestamp"
 #: Sources in a bucket at most, on average; the number of buckets doubles when there are more.
 BUCKET_ROWS = 1_000_000
 
@@ -122,8 +123,8 @@ def sources_of(spark: SparkSession, state: str) -> DataFrame:
     return P.read_parts(spark, state, SOURCES)
 
 
-def _rewrite(spark: SparkSession, state: str, run: str, paths: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[str]:
-    """Rewrite the buckets that hold the paths, with what `change` makes of their rows; the buckets written.
+def _rewrite(spark: SparkSession, state: str, run: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], schema: str = SOURCES) -> list[str]:
+    """Rewrite the buckets that hold the keys (one column), with what `change` makes of their rows; the buckets written.
 
     Twice as many buckets, when the rows outgrow them, touch all once; that is as often as the table has doubled.
     """
@@ -132,14 +133,14 @@ def _rewrite(spark: SparkSession, state: str, run: str, paths: DataFrame, change
         return []  # a batch that is repeated after it was committed
     n, rows = at.get("buckets", 1), at.get("rows", 0)
     grown = n
-    while rows + paths.count() > grown * BUCKET_ROWS:
+    while rows + keys.count() > grown * BUCKET_ROWS:
         grown *= 2
-    bucket = lambda k: F.pmod(F.xxhash64("relative_path"), F.lit(k)).cast("int")
-    hit = {str(r[0]) for r in paths.select(bucket(n)).distinct().collect()}  # as many as buckets, at most
+    bucket = lambda k: F.pmod(F.xxhash64(keys.columns[0]), F.lit(k)).cast("int")
+    hit = {str(r[0]) for r in keys.select(bucket(n)).distinct().collect()}  # as many as buckets, at most
     if not hit:
         return []
     touched = sorted(hit) if grown == n else sorted(at["parts"])
-    before = P.read_parts(spark, state, SOURCES, touched)
+    before = P.read_parts(spark, state, schema, touched)
     now = change(before).withColumn("bucket", bucket(grown))
     return P.replace_parts(now, state, run, "bucket", touched, buckets=grown, rows=rows + now.count() - before.count())
 
@@ -194,3 +195,45 @@ def session_bursts(messages: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """The batch twin of stream_sessions."""
     return messages.dropDuplicates(["session_id", "message_id"]).groupBy(F.session_window("ts", gap), "session_id").agg(F.count("*").alias("n")).select(
         "session_id", F.col("session_window.start").alias("opened"), F.col("session_window.end").alias("closed"), "n")
+
+
+HEADS = "session_id long, updated_at timestamp, first_id long, question string"
+
+
+def _heads(messages: DataFrame) -> DataFrame:
+    """The latest time and the first question of each session."""
+    asked = F.when(F.col("kind") == "user", F.struct("message_id", "content"))
+    return messages.groupBy("session_id").agg(F.max("ts").alias("updated_at"), F.min(asked).alias("_q")).select(
+        "session_id", "updated_at", F.col("_q.message_id").alias("first_id"), F.col("_q.content").alias("question"))
+
+
+def session_heads(messages: DataFrame) -> DataFrame:
+    """session_id, updated_at and title of messages(session_id, message_id, kind, content, ts); sessions without an id are left out."""
+    return _titled(_heads(messages.where("session_id is not null")))
+
+
+def _titled(heads: DataFrame) -> DataFrame:
+    return heads.select("session_id", "updated_at", T.session_title(F.coalesce("question", F.lit(""))).alias("title"))
+
+
+def sessions_into(spark: SparkSession, state: str) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that keeps the heads of sessions below `state` as messages arrive, in any order and repeated ones as well:
+    the latest time and the first question. The table lies in buckets, as that of merge_into does."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        new = _heads(batch.where("session_id is not null")).persist()
+
+        def change(before: DataFrame) -> DataFrame:
+            both = before.unionByName(new)
+            first = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "question")))
+            return both.groupBy("session_id").agg(F.max("updated_at").alias("updated_at"), first.alias("_q")).select("session_id", "updated_at", "_q.first_id", "_q.question")
+
+        _rewrite(spark, state, f"batch-{epoch}", new.select("session_id"), change, HEADS)
+        new.unpersist()
+
+    return merge
+
+
+def sessions_of(spark: SparkSession, state: str) -> DataFrame:
+    """session_id, updated_at and title of the sessions that sessions_into keeps below `state`."""
+    return _titled(P.read_parts(spark, state, HEADS))
