@@ -254,15 +254,13 @@ def report(spark, d):
 
 
 @query("inspection_blocking", f"""with {_INSPECT}, k as (select split_part(unnest(issues), ':', 1) as name from chk),
-t as (select * from (select member, seq, result, row_number() over (partition by member order by seq desc) as back from v_runs) where back <= 20),
-h as (select member, count(*) filter (seq > coalesce(ok, -1)) >= 3 as blocking from (select *, max(case when result = 'ok' then seq end) over (partition by member) as ok from t) group by member)
-select member, 'blocking' as name, (select count(*) from k where name in ('output_missing', 'empty_file', 'invalid_utf8', 'replacement_chars', 'nul_bytes', 'broken_images')) + blocking::int as n
-from h where member = (select min(member) from v_runs)""", "v_documents", "v_runs")
+t as (select * from v_runs order by seq desc limit 20), h as (select (count(*) filter (seq > coalesce((select max(seq) from t where result = 'ok'), -1)) >= 3)::int as blocking from t)
+select 'total' as section, 'sampled' as name, count(*) as n from chk union all select 'total', 'clean', count(*) filter (len(issues) = 0) from chk
+union all select 'total', 'blocking', (select count(*) from k where name in ('output_missing', 'empty_file', 'invalid_utf8', 'replacement_chars', 'nul_bytes', 'broken_images')) + blocking from h
+union all select 'issue', name, count(*) from k group by name union all select 'type', file_type, count(*) from chk group by file_type""", "v_documents", "v_runs")
 def blocking(spark, d):
-    """what blocks, run health included; the runs are those of the first member in the log."""
-    first = V.runs(spark, d).agg(F.min("member").alias("member"))
-    mine = runs(spark, d).join(first, "member")
-    return G.inspection_report(inspected(spark, d), G.run_health(mine)).where("name = 'blocking'").crossJoin(first).select("member", "name", "n")  # a row each
+    """the report in which the health of runs is among what blocks."""
+    return G.inspection_report(inspected(spark, d), G.run_health(runs(spark, d)))
 
 
 @query("conversion_timing", "select 'c' || (member % 5) as converter, '.pdf' as suffix, result as status, count(*) as n, avg(seconds) as avg_seconds, quantile_disc(seconds, 0.5) as p50_seconds from v_runs group by 1, 3", "v_runs")
