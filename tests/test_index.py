@@ -129,3 +129,34 @@ def test_containment_by_the_stored_dictionary(spark, tmp_path):
     index = I.Index(docs.where("path not like '%d2%'")).store(str(tmp_path / "i")).refresh(docs)
     queries = spark.createDataFrame([(1, "w1"), (2, "10w 仓库"), (3, "r-e .md zz"), (4, "w5 w59 库发布")], "query_id long, text string")
     assert sorted(S.substring_search(docs, queries, 50, index).collect()) == sorted(S.substring_search(docs, queries, 50).collect())
+
+
+def test_kinds_are_written_alone_and_later(spark, tmp_path):
+    docs = frame(spark, corpus(20))
+    index = I.Index(docs).store(str(tmp_path / "i"), ("postings",))
+    assert not (tmp_path / "i" / "runs").exists() and not (tmp_path / "i" / "lines").exists()
+    same_as_rebuilt(index.supply(docs, "runs").supply(docs, "lines"), docs)
+
+
+def test_best_rows_of_slices_and_blocks(spark, tmp_path, monkeypatch):
+    """Small slices and blocks of queries give what a join of all phrases with all documents gives, without shuffling pairs of them."""
+    monkeypatch.setattr(S.scoring, "BLOCK", 3)
+    index = I.Index(frame(spark, [*corpus(60, seed=3), *[(f"members/copy/c{i}/c.md", "w1", "w1 w2 w2.w3") for i in range(20)]])).store(str(tmp_path / "i"), ("postings",))
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["w1 w2", "w0 w0. w5", "w2.w3 w1", "w59 nowhere", "w1", "", "t3 w1"])], "query_id long, text string")
+    phrases = S.query_phrases(queries)
+    scored, _ = plain_scores(index, phrases)
+    want = S.top(scored.select("query_id", "path", S.rounded(F.col("score")).alias("score")), 4)
+    assert sorted(S.match_any(index, queries, 4).select("query_id", "path", "score", "rank").collect()) == sorted(want.select("query_id", "path", "score", "rank").collect())
+    sizes = phrases.groupBy("query_id").agg(F.count("*").alias("m"))
+    every = S.top(scored.join(sizes, "query_id").where("n = m").select("query_id", "path", S.rounded(F.col("score")).alias("score")), 4)
+    assert sorted(S.match_all(index, queries, 4).select("query_id", "path", "score", "rank").collect()) == sorted(every.select("query_id", "path", "score", "rank").collect())
+
+
+def test_common_tokens_of_paths(spark, monkeypatch):
+    """Tokens that most paths hold give the same rows whether documents are paired with all queries by them or stand for others alike."""
+    docs = frame(spark, corpus(40))
+    queries = spark.createDataFrame([(i, f"members m{i % 3} d{i} md nowhere") for i in range(12)], "query_id long, text string")
+    monkeypatch.setattr(S, "COMMON", 10**9)
+    want = sorted(S.path_channel(docs, queries, 5).collect())
+    monkeypatch.setattr(S, "COMMON", 20)
+    assert sorted(S.path_channel(docs, queries, 5).collect()) == want and len(want) == 60
