@@ -142,7 +142,7 @@ def traces(spark, d):
     """Traces folded by a stateful stream whose files are shuffled in time; those that its watermark has not closed at the end by the batch fold."""
     e = events(spark, d).select("trace_id", "member", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "path", "citations", "content", "query", "zero_hit")
     out = shared_dir(spark)
-    e.repartition(4, F.xxhash64("seq")).write.parquet(out)
+    e.repartition(F.xxhash64("seq")).write.parquet(out)
     # the events of a trace lie within a day; a second apart from the watermark, so that its rounding never decides
     last = e.agg((F.max("ts") - F.expr("interval 2 days 1 second")).alias("last"))
     done = _drain(W.stream_traces(spark.readStream.schema(e.schema).parquet(out), "1 day"), shared_dir(spark), spark).crossJoin(F.broadcast(last)).where("ended_at < last")  # one row

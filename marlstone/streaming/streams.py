@@ -16,6 +16,8 @@ from marlstone.sources import parts as P
 
 TRACE = """trace_id string, member long, n_steps long, n_zero long, retrieved array<string>, zero_hit_queries array<string>, citations array<string>,
   answer string, failed boolean, closed_by string, ended_millis long"""
+#: Traces are held and folded in so many groups by the hash of their id, as a call for each trace would cost more than its events.
+TRACE_GROUPS = 4096
 #: Events of a trace are held as JSON lists of these fields.
 _HELD = ("seq", "millis", "member", "type", "path", "query", "content", "citations")
 
@@ -59,25 +61,39 @@ def stream_traces(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
 
     Events may come in any order within `idle`: a trace is held and folded in order of seq, at once when it is numbered
     without gaps up to its answer or error, else when the watermark, `idle` behind the latest event, has passed its last
-    event by `idle`. Events that come after that make a row of their own. What is held grows with the traces that are open.
+    event by `idle`. Events that come after that make a row of their own. What is held grows with the traces that are open, and lies in TRACE_GROUPS
+    groups; a batch rewrites the groups that it has events of.
     """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(_HELD, json.loads(e))) for e in state.get[0]] if state.exists else []
+        held: dict[str | None, list[dict]] = {}
+        fresh: set[str | None] = set()
+        for line in state.get[0] if state.exists else []:
+            trace, events = json.loads(line)
+            held[trace] = [dict(zip(_HELD, e)) for e in events]
         if not state.hasTimedOut:
-            held += [{k: _plain(getattr(e, k)) for k in _HELD} for pdf in batches for e in pdf.itertuples()]
-        end = "timeout" if state.hasTimedOut else _ends(held)
-        if end:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([_fold_events(key[0], held, end)])
-        else:
-            state.update(([json.dumps([e[k] for k in _HELD]) for e in held],))
-            state.setTimeoutTimestamp(max(e["millis"] for e in held) + int(pd.Timedelta(idle).total_seconds() * 1000))
+            for pdf in batches:
+                for trace, *values in zip(pdf["trace_id"].tolist(), *(pdf[k].tolist() for k in _HELD)):
+                    fresh.add(trace)
+                    held.setdefault(trace, []).append(dict(zip(_HELD, map(_plain, values))))
+        done = []
+        for trace in list(held):
+            late = trace not in fresh and max(e["millis"] for e in held[trace]) + wait < state.getCurrentWatermarkMs()
+            if end := "timeout" if late else trace in fresh and _ends(held[trace]):
+                done.append(_fold_events(trace, held.pop(trace), end))
+        if held:
+            state.update(([json.dumps([trace, [[e[k] for k in _HELD] for e in events]]) for trace, events in held.items()],))
+            state.setTimeoutTimestamp(min(max(e["millis"] for e in events) for events in held.values()) + wait)
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame(done)
 
     asked = events if "query" in events.columns else events.withColumn("query", F.lit(None).cast("string"))
-    told = asked.where("type <> 'notice'").withWatermark("ts", idle).select("trace_id", "ts", F.unix_millis("ts").alias("millis"), *[c for c in _HELD if c != "millis"])
-    folded = told.groupBy("trace_id").applyInPandasWithState(fold, TRACE, "events array<string>", "append", "EventTimeTimeout")
+    told = asked.where("type <> 'notice'").withWatermark("ts", idle).select("trace_id", "ts", F.unix_millis("ts").alias("millis"), *[c for c in _HELD if c != "millis"]).withColumn(
+        "_g", F.pmod(F.xxhash64("trace_id"), F.lit(TRACE_GROUPS)))
+    folded = told.groupBy("_g").applyInPandasWithState(fold, TRACE, "events array<string>", "append", "EventTimeTimeout")
     said = F.coalesce("answer", F.lit(""))
     return folded.withColumns({
         "cited_not_retrieved": F.array_except("citations", "retrieved"), "retrieved_but_unused": F.slice(F.array_except("retrieved", "citations"), 1, 10),

@@ -109,3 +109,15 @@ def test_traces_in_any_order_equal_the_batch_fold(spark, tmp_path):
     assert {r.closed_by for r in got.collect()} == {"answer", "error", "timeout"}
     key = lambda r: r.trace_id
     assert sorted(got.select(*cols, "n_steps").collect(), key=key) == sorted(want.select(*cols, F.size("steps").cast("long").alias("n_steps")).collect(), key=key)
+
+
+def test_traces_of_one_group_end_each_at_its_time(spark, tmp_path, monkeypatch):
+    """Traces that share a group: one ends whole, one by the watermark while the group gets events of others, one stays open."""
+    monkeypatch.setattr(W, "TRACE_GROUPS", 1)
+    rows = [[("a", 1, 0, "start"), ("b", 1, 60, "start")], [("a", 2, 60, "answer"), ("c", 5, 30_000, "read")], [("c", 6, 30_060, "read")], [("c", 7, 30_120, "read")]]
+    for part in rows:
+        df = spark.createDataFrame([(t, 1, seq, at, kind, None, [], None) for t, seq, at, kind in part], "trace_id string, member long, seq long, t long, type string, path string, citations array<string>, content string")
+        df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t"))).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    W.stream_traces(s, "1 hour").writeStream.format("memory").queryName("one_group").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.trace_id, r.closed_by, r.n_steps) for r in spark.sql("select * from one_group").collect()) == [("a", "answer", 0), ("b", "timeout", 0)]
