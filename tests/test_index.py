@@ -160,3 +160,37 @@ def test_common_tokens_of_paths(spark, monkeypatch):
     want = sorted(S.path_channel(docs, queries, 5).collect())
     monkeypatch.setattr(S, "COMMON", 20)
     assert sorted(S.path_channel(docs, queries, 5).collect()) == want and len(want) == 60
+
+
+def test_tokens_by_document_give_what_positions_give(spark, tmp_path, monkeypatch):
+    """Phrases are counted where a document's tokens are read, over merged generations and scopes, and nothing is exchanged by document."""
+    rows = [*corpus(60, seed=3), *[(f"members/copy/c{i}/c.md", "w1", "w1 w2 w2.w3 w3.w3.w3") for i in range(20)], ("members/m/e/e.md", "", None)]
+    docs, before = frame(spark, rows), frame(spark, [(p, t, f"{c} old") for p, t, c in rows[::2]] + [("members/m1/gone/gone.md", "w1", "w1 w2")])
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["w1 w2", "w0 w0. w5", "w2.w3 w1", "w3.w3 w3-w3-w3", "w59 nowhere", "", "t3 w1"])], "query_id long, text string")
+    of = {k: I.Index(before).store(str(tmp_path / k), (k,)).refresh(frame(spark, rows[:40])).refresh(docs) for k in ("postings", "tokens")}
+    for member in (None, "m2"):
+        for match in (S.match_any, S.match_all):
+            got, want = (sorted(match(of[k].scoped(member), queries, 4).collect()) for k in ("tokens", "postings"))
+            assert got == want and got
+    monkeypatch.setattr(S.scoring, "by_document", None)  # the exchange of tokens
+    assert S.match_any(of["tokens"], queries, 4).count() and S.match_any(I.Index(docs), queries, 4).count()
+
+
+def test_rows_of_one_key_are_one_document(spark, tmp_path):
+    rows = [("members/a/a.md", "w1", "w2 w2"), ("members/a/a.md", "w3", ""), ("members/a/a.md", "x", "y"), ("members/b/b.md", "w1 w3", "w2")]
+    queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w1 a b")], "query_id long, text string")
+    one = [("members/a/a.md", "w1 w3 x", "w2 w2 y"), rows[3]]
+    for index in (I.Index(frame(spark, rows)), I.Index(frame(spark, rows)).store(str(tmp_path / "i"), ("tokens",))):
+        for match in (S.match_any, S.match_all):
+            assert sorted(match(index, queries, 4).collect()) == sorted(match(I.Index(frame(spark, one)), queries, 4).collect())
+    got = {(r.query_id, r.path): r.score for r in S.path_channel(frame(spark, rows), spark.createDataFrame([(1, "members a/a.md zz"), (2, "b.md")], "query_id long, text string"), 4).collect()}
+    assert got == {(1, "members/a/a.md"): round(3 * (1 / 4 + 1 / 3), 9), (1, "members/b/b.md"): 0.25, (2, "members/b/b.md"): 1.0}
+
+
+def test_passages_need_no_exchange_of_positions(spark, tmp_path, monkeypatch):
+    docs = frame(spark, [("members/m/z/z.md", "w1 w2", "w1 W2, w1\nw2 w1 w2\n\nw3"), ("members/m/y/y.md", "", "w2 w1")])
+    index = I.Index(docs).store(str(tmp_path / "i"), ("tokens", "lines"))
+    monkeypatch.setattr(I.StoredIndex, "positions_of", None)
+    got = S.passage_lines(index, S.passages(index, spark.createDataFrame([(1, "w1 w2 w1"), (2, "W1 w2 w1"), (3, "w2 w1 w1")], "query_id long, text string")))
+    want = [(q, "members/m/z/z.md", s, 3, a, b) for q in (1, 2) for s, a, b in ((0, 1, 1), (2, 1, 2))]
+    assert sorted(tuple(r) for r in got.select("query_id", "path", "start", "n", "first_line", "last_line").collect()) == want
