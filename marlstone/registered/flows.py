@@ -52,6 +52,12 @@ def snapshots(spark, d):
     return spark.read.parquet(f"{out}/history").groupBy(F.col("published_at").cast("string").alias("published_at")).agg(F.count("*").alias("n"))
 
 
+def _per_batch(spark, folder: str) -> int:
+    """Files in a batch of a folder that is drained: 8, and more of more than 256, so that batches grow with the files and not their number."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return max(8, -(-files.select("path").count() // 32))
+
+
 def _blocks(df, each: int):
     """A column that deals the rows of df evenly over blocks of about `each` rows, by their place and not by a key."""
     return F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-df.count() // each))))
@@ -180,7 +186,7 @@ def ingest(spark, d):
     dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
     dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
 
-    W.stream_ingest(spark, out, W.merge_into(spark, sink), state, 8).awaitTermination()
+    W.stream_ingest(spark, out, W.merge_into(spark, sink), state, _per_batch(spark, out)).awaitTermination()
     source = F.regexp_extract("relative_path", "^k=([^/]*)/", 1)
     each = W.sources_of(spark, sink).where("status = 'discovered'").groupBy(source.alias("k")).agg(F.sum("size").alias("size"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("digest"))
     return each.agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.countDistinct("digest").alias("n_hashes"))

@@ -161,6 +161,13 @@ def _rewrite(spark: SparkSession, state: str, run: str, keys: DataFrame, change:
     return P.replace_parts(now, state, run, "bucket", touched, buckets=grown, rows=rows + now.count() - before.count())
 
 
+def _arrived(spark: SparkSession, state: str, batch: DataFrame) -> DataFrame:
+    """The rows of a batch, written once below `state` by the tasks that read them: what follows is no plan of the stream's, so that it
+    has as many tasks as so few rows need, and not as many as a shuffle may have."""
+    batch.write.mode("overwrite").parquet(f"{state}/arrived")
+    return spark.read.schema(batch.schema).parquet(f"{state}/arrived")
+
+
 def merge_into(spark: SparkSession, state: str, conversions: DataFrame | Callable[[], DataFrame] | None = None, on_due: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A function for stream_ingest that merges each batch into the table of sources below `state`.
 
@@ -174,7 +181,7 @@ def merge_into(spark: SparkSession, state: str, conversions: DataFrame | Callabl
     known = conversions if callable(conversions) else lambda: conversions
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(["relative_path"]).persist()
+        new = _arrived(spark, state, batch).dropDuplicates(["relative_path"])
         if on_due is not None and P.current(spark, state)["run"] != f"batch-{epoch}":
             c = known()
             c = spark.createDataFrame([], "relative_path string, source_sha256 string, status string, output_exists boolean") if c is None else c
@@ -188,7 +195,6 @@ def merge_into(spark: SparkSession, state: str, conversions: DataFrame | Callabl
             return now.join(status, "relative_path").withColumn("status", F.col("_s")).drop("_s")
 
         _rewrite(spark, state, f"batch-{epoch}", new.select("relative_path"), change)
-        new.unpersist()
 
     return merge
 
@@ -237,7 +243,7 @@ def sessions_into(spark: SparkSession, state: str) -> Callable[[DataFrame, int],
     the latest time and the first question. The table lies in buckets, as that of merge_into does."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = _heads(batch.where("session_id is not null")).persist()
+        new = _heads(_arrived(spark, state, batch.where("session_id is not null"))).persist()
 
         def change(before: DataFrame) -> DataFrame:
             both = before.unionByName(new)

@@ -121,3 +121,24 @@ def test_traces_of_one_group_end_each_at_its_time(spark, tmp_path, monkeypatch):
     s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     W.stream_traces(s, "1 hour").writeStream.format("memory").queryName("one_group").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.trace_id, r.closed_by, r.n_steps) for r in spark.sql("select * from one_group").collect()) == [("a", "answer", 0), ("b", "timeout", 0)]
+
+
+def test_a_batch_has_as_many_tasks_as_its_rows_need(spark, tmp_path):
+    """A stream's session does not fit its shuffles to the rows; what is done with a batch there would have as many tasks as a shuffle may have, in each batch."""
+    of_stream = spark.newSession()
+    of_stream.conf.set("spark.sql.adaptive.enabled", "false")
+    of_stream.conf.set("spark.sql.shuffle.partitions", "64")
+    state, seen = str(tmp_path / "s"), []
+    merge = W.merge_into(spark, state, None, lambda due, epoch: seen.append((due.rdd.getNumPartitions(), len(_rows(due)))))
+    for epoch in range(2):
+        merge(of_stream.createDataFrame([(f"p{n}.md", n, f"h{epoch}{n}") for n in range(20)], SCAN), epoch)
+    assert [n for _, n in seen] == [20, 20] and all(tasks <= 16 for tasks, _ in seen)
+
+
+def test_batches_of_a_drained_folder_grow_and_not_their_number(spark, tmp_path):
+    from marlstone.registered import flows
+
+    for n, want in ((20, 8), (320, 10)):
+        for i in range(n):
+            (tmp_path / f"f{i}").write_text("x")
+        assert flows._per_batch(spark, str(tmp_path)) == want
