@@ -197,16 +197,18 @@ select 'k=' || source as folder, case u when 0 then 'source_missing' when 1 then
   case u when 1 then 'unchanged' when 2 then 'previous_failed' else 'new_source' end as reason from s""")
 def states(spark, d):
     """Files ingested in batches with the conversions that are known, then a scan in which some sources are gone; the state and the reason of each source's files."""
-    out, state, sink, due = (shared_dir(spark) for _ in range(4))
+    out, state, sink, due, seen, done = (shared_dir(spark) for _ in range(6))
     docs = V.table(spark, d, "documents")
     dealt = docs.select("text", F.col("source").alias("k"), _blocks(docs, 20 * TEXTS).alias("b")).repartition("k", "b").drop("b")
     dealt.write.partitionBy("k").format("text").option("lineSep", "\x1f").option("maxRecordsPerFile", TEXTS).save(out)
     source = F.regexp_extract("relative_path", "^k=([^/]*)/", 1)
     u = F.ascii(F.right(source, F.lit(1))) % 4
-    scan = I.scan_sources(spark, out).where("relative_path like 'k=%.txt'")
-    known = scan.where(u.isin(1, 2)).select("relative_path", F.col("sha256").alias("source_sha256"), F.when(u == 1, "converted").otherwise("failed").alias("status"), F.lit(True).alias("output_exists"))
+    I.scan_sources(spark, out).where("relative_path like 'k=%.txt'").write.parquet(seen)  # files are hashed once, not for each batch
+    scan = spark.read.parquet(seen)
+    scan.where(u.isin(1, 2)).select("relative_path", F.col("sha256").alias("source_sha256"), F.when(u == 1, "converted").otherwise("failed").alias("status"), F.lit(True).alias("output_exists")).write.parquet(done)
+    known = spark.read.parquet(done)
     note = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{due}/epoch={epoch}")
-    W.stream_ingest(spark, out, W.merge_into(spark, sink, known, note), state, 8).awaitTermination()
+    W.stream_ingest(spark, out, W.merge_into(spark, sink, known, note), state, _per_batch(spark, out)).awaitTermination()
     W.mark_missing_into(spark, sink, scan.where(u != 0), "1")
     why = spark.read.parquet(due).select("relative_path", "reason")
     each = W.sources_of(spark, sink).join(why, "relative_path", "left").withColumn("reason", F.coalesce("reason", F.lit("unchanged")))
