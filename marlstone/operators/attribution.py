@@ -25,12 +25,17 @@ def locate_hits(docs: DataFrame, wanted: DataFrame, limit: int = HITS_PER_DOCUME
 
     Lines score by the number of needles they hold; fences are skipped, and titles outside fences.
     """
-    lines = fence_state(explode_lines(docs.join(wanted.select("path").distinct(), "path", "left_semi")))
-    body = lines.where(~F.col("marker") & (F.col("_s") != "") & (F.col("fenced") | ~T.is_title_line(F.col("_s"))))
+    return _hits(docs.join(wanted.select("path").distinct(), "path", "left_semi"), wanted, limit)
+
+
+def _hits(docs: DataFrame, wanted: DataFrame, limit: int = HITS_PER_DOCUMENT) -> DataFrame:
+    """locate_hits of docs that are wanted. Lines are dealt by path once; what is sorted has a line's snippet and not the needles of its query."""
+    lines = fence_state(explode_lines(docs))
+    body = lines.where(~F.col("marker") & (F.col("_s") != "") & (F.col("fenced") | ~T.is_title_line(F.col("_s")))).select("path", "line", "body")
     scored = body.join(wanted, "path").withColumn("score", F.size(F.filter("needles", lambda n: F.contains(F.col("body"), n)))).where("score > 0")
+    shown = scored.select("query_id", "path", "line", "score", T.line_snippet(F.col("body"), F.col("needles")).alias("snippet"))
     w = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "line")
-    best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    return best.select("query_id", "path", "line", T.line_snippet(F.col("body"), F.col("needles")).alias("snippet"))
+    return shown.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select("query_id", "path", "line", "snippet")
 
 
 def resolve_citations(paths: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,10 +46,11 @@ def resolve_citations(paths: DataFrame, docs: DataFrame) -> DataFrame:
 
 def locate_sources(paths: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, path, title, hits (line and snippet, by line) for paths(query_id, path): every row stays, with or without hits."""
-    known = resolve_citations(paths, docs)
+    own = docs.join(paths.select("path").distinct(), "path", "left_semi")
+    known = resolve_citations(paths, own)
     wanted = paths.join(queries.select("query_id", T.needles("text").alias("needles")), "query_id").where(F.size("needles") > 0)
-    shown = docs.select("path", normalize_html_tables("content").alias("content"))
-    hits = locate_hits(shown, wanted).groupBy("query_id", "path").agg(F.sort_array(F.collect_list(F.struct("line", "snippet"))).alias("hits"))
+    shown = own.select("path", normalize_html_tables("content").alias("content"))
+    hits = _hits(shown, wanted).groupBy("query_id", "path").agg(F.sort_array(F.collect_list(F.struct("line", "snippet"))).alias("hits"))
     empty = F.array().cast("array<struct<line:int,snippet:string>>")
     return known.join(hits, ["query_id", "path"], "left").select("query_id", "path", "title", F.coalesce("hits", empty).alias("hits"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import attribution as A
+from marlstone.operators import search
 from marlstone.operators import state as S
 from marlstone.operators import text_jobs as J
 from marlstone.plans import views as V
@@ -264,8 +265,9 @@ from (select *, instr(f, a) as pos from (select *, list_reduce(list_filter(needl
 @query("locate_hits", f"with {_LOCATE} {_SNIPPET}", "v_expected", "v_queries")
 def locate(spark, d):
     """E11, H3, D14"""
-    q = V.queries(spark, d).select("query_id", T.needles("text").alias("needles"))
-    return A.locate_hits(V.documents(spark, d), expected(spark, d).join(q, "query_id")).select("query_id", "path", "line", "snippet")
+    found, asked, members = expected(spark, d)
+    wanted = found.join(asked.select("query_id", T.needles("text").alias("needles")), "query_id")
+    return search.for_all(A.locate_hits(V.documents(spark, d), wanted).select("query_id", "path", "line", "snippet"), members)
 
 
 @query("locate_sources", f"""with {_LOCATE}, sn as ({_SNIPPET}),
@@ -274,6 +276,7 @@ select e.query_id, e.path, case when d.title = '' then '?' else d.title end as t
 from v_expected e join v_documents d using (path) left join own using (query_id, path)""", "v_expected", "v_queries")
 def sources(spark, d):
     """E12, C16"""
-    out = A.locate_sources(expected(spark, d), V.documents(spark, d), V.queries(spark, d))
+    found, asked, members = expected(spark, d)
+    out = A.locate_sources(found, V.documents(spark, d), asked)
     joined = lambda f, by: F.when(F.size("hits") > 0, F.array_join(F.transform("hits", lambda h: h[f].cast("string")), by))
-    return out.select("query_id", "path", "title", joined("line", ",").alias("lines"), joined("snippet", "\n").alias("snippets"))
+    return search.for_all(out.select("query_id", "path", "title", joined("line", ",").alias("lines"), joined("snippet", "\n").alias("snippets")), members)
