@@ -41,16 +41,20 @@ def delete_sessions(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def search_messages(messages: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, session_id, message_id, score, rank, snippet, title: any expanded token, BM25 over message texts; steps of tools are left out."""
+    """query_id, session_id, message_id, score, rank, snippet, title: any expanded token, BM25 over message texts; steps of tools are left out.
+
+    Queries of the same text are answered once and get their rows at the end; a hit meets the tokens of its query last.
+    """
     n = max(1, min(100, limit))
     said = messages.where("kind <> 'process'").withColumn("_key", F.col("message_id"))
     pairs = F.array_join(F.flatten(F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[一-鿿]{3,}"), F.lit(0)), T.cjk_pairs)), " ")
     expanded = said.select("message_id", F.concat_ws(" ", "content", F.nullif(pairs, F.lit(""))).alias("content"))
-    hits = S.match_any(S.Index(expanded, {"content": 1.0}, key="message_id"), queries, n)
-    tokens = queries.select("query_id", T.expanded_tokens("text").alias("_t"))
+    asked, members = S.alike(queries)
+    hits = S.match_any(S.Index(expanded, {"content": 1.0}, key="message_id"), asked, n)
+    tokens = asked.select("query_id", T.expanded_tokens("text").alias("_t"))
     titles = session_list(messages).select("session_id", "title")
-    return hits.join(said.select("message_id", "session_id", "content"), "message_id").join(tokens, "query_id").join(titles, "session_id").select(
-        "query_id", "session_id", "message_id", "score", "rank", T.message_snippet("content", F.col("_t")).alias("snippet"), "title")
+    found = hits.join(said.select("message_id", "session_id", "content"), "message_id").join(titles, "session_id").join(tokens, "query_id")
+    return S.for_all(found.select("query_id", "session_id", "message_id", "score", "rank", T.message_snippet("content", F.col("_t")).alias("snippet"), "title"), members)
 
 
 def session_buckets(sessions: DataFrame, now: Column, keyword: str = "") -> DataFrame:
